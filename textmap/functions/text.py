@@ -11,7 +11,7 @@ NON_ASCII = r"[^\x00-\x7F]"
 # Runs of two or more word characters.
 ASCII_TOKEN = r"\w\w+"
 UNICODE_TOKEN = r"(?U)\w\w+"
-_PAIR, _KEY = "\x01", "\x02"
+_PAIR, _KEY, _MARK = "\x01", "\x02", "\x03"
 
 
 @lru_cache(maxsize=1)
@@ -30,18 +30,20 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, accents to ASCII, other non-ASCII characters dropped. Pure ASCII rows skip the fold."""
+    """Lower case, accents to ASCII, other non-ASCII characters dropped. Pure ASCII rows skip the fold.
+
+    One pass maps the single characters and marks those with a longer form; only marked rows are
+    expanded. A mark that was in the text already only sends its row the longer way.
+    """
     source, target, longer = fold_table()
     lowered = F.lower(text)
+    quick = F.translate(lowered, source + "".join(longer), target + _MARK * len(longer))
     pairs = F.map_entries(
         F.str_to_map(F.lit(_PAIR.join(k + _KEY + v for k, v in longer.items())), F.lit(_PAIR), F.lit(_KEY))
     )
-    expanded = F.when(
-        lowered.rlike("[" + "".join(longer) + "]"),
-        F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["key"], p["value"])),
-    ).otherwise(lowered)
-    folded = F.regexp_replace(F.translate(expanded, source, target), NON_ASCII, "")
-    return F.when(lowered.rlike(NON_ASCII), folded).otherwise(lowered)
+    expanded = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["key"], p["value"]))
+    folded = F.when(F.contains(quick, F.lit(_MARK)), F.translate(expanded, source, target)).otherwise(quick)
+    return F.when(lowered.rlike(NON_ASCII), F.regexp_replace(folded, NON_ASCII, "")).otherwise(lowered)
 
 
 def normalize(text: Column, accents: str | None = "ascii") -> Column:
@@ -63,15 +65,17 @@ def word_ngrams(words: Column, n_min: int, n_max: int) -> Column:
     if not 1 <= n_min <= n_max:
         raise ValueError("need 1 <= n_min <= n_max")
 
-    def grams(n: int) -> Column:
+    def grams(w: Column, n: int) -> Column:
         if n == 1:
-            return words
-        starts = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-        made = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
-
-    parts = [grams(n) for n in range(n_min, n_max + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+            return w
+        starts = F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))
+        made = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    if (n_min, n_max) == (1, 1):
+        return words
+    # one-element array: the words are found once per text, not once per n-gram
+    return F.transform(F.array(words), lambda w: F.concat(*[grams(w, n) for n in range(n_min, n_max + 1)]))[0]
 
 
 def terms(text: Column, accents: str | None = "ascii", ngram_range: tuple[int, int] = (1, 1)) -> Column:

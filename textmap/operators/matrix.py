@@ -87,7 +87,7 @@ def sum_rows(
     """(row, vec): the sum over all blocks of ``work(block)``, a matrix of the given shape.
 
     Each task adds up its own blocks and ships one partial matrix; the rows of the partials are
-    summed in the JVM, spread by row number.
+    summed by row number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,33 @@ def sum_rows(
             yield pa.RecordBatch.from_arrays([pa.array(numbers), list_array(piece)], ["row", "vec"])
 
     partial = few_tasks(row_columns(rows, id_col)).mapInArrow(run, "row int, vec array<double>")
-    return sum_vectors(partial, "row")
+    return merge_partials(partial, "row", shape[1])
+
+
+def add_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the value rows of each."""
+    order = np.argsort(keys, kind="stable")
+    found, starts = np.unique(keys[order], return_index=True)
+    return found, np.add.reduceat(values[order], starts, axis=0)
+
+
+def merge_partials(partial: DataFrame, key: str, width: int) -> DataFrame:
+    """(key int, vec): sums of per-task partial rows, spread by key.
+
+    A key has at most one row per task, so no key is hot, and a task holds one sum per key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int32), np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, sums = add_by_key(np.concatenate([keys, numbers]), np.concatenate([sums, flat]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), list_array(sums)], [key, "vec"])
+
+    return partial.select(key, "vec").repartition(key).mapInArrow(run, f"{key} int, vec array<double>")
 
 
 def sum_vectors(df: DataFrame, key: str) -> DataFrame:
@@ -113,10 +139,12 @@ def sum_vectors(df: DataFrame, key: str) -> DataFrame:
 
 
 def collect_matrix(df: DataFrame, shape: tuple[int, int], key: str = "row") -> np.ndarray:
-    """A (key, vec) table of known, driver-sized shape as a numpy matrix."""
+    """A (key, vec) table of known, driver-sized shape as a numpy matrix; absent rows are zero."""
+    table = df.select(F.col(key).cast("long").alias("key"), "vec").toArrow().combine_chunks()
     out = np.zeros(shape)
-    for row in df.select(key, "vec").toLocalIterator():
-        out[row[0]] = row[1]
+    if table.num_rows:
+        values = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out[table.column("key").to_numpy()] = values.reshape(table.num_rows, shape[1])
     return out
 
 
@@ -207,4 +235,4 @@ def transpose_product(
             rows_out = np.arange(n_features, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(rows_out), list_array(total)], ["row", "vec"])
 
-    return sum_vectors(few_tasks(joined).mapInArrow(run, "row int, vec array<double>"), "row")
+    return merge_partials(few_tasks(joined).mapInArrow(run, "row int, vec array<double>"), "row", width)

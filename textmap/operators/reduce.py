@@ -67,24 +67,39 @@ def _ritz(small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[::-1], vectors[:, ::-1]
 
 
-def _subspace(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, np.ndarray, int]:
-    """Leading right singular vectors by subspace iteration, stopped on the residual."""
+def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, np.ndarray, int]:
+    """Leading right singular vectors: block Krylov iteration with Rayleigh-Ritz, stopped on the residual.
+
+    Each pass over the rows multiplies only the directions that have not settled yet. The basis is
+    cut back to the best ``k`` directions when it has grown to several blocks.
+    """
     width = min(k + params.oversample, n_terms)
-    start = np.random.default_rng(params.seed).standard_normal((n_terms, width))
-    basis = np.linalg.qr(start)[0]
+    block = np.linalg.qr(np.random.default_rng(params.seed).standard_normal((n_terms, width)))[0]
+    basis, image = np.zeros((n_terms, 0)), np.zeros((n_terms, 0))
     for step in range(1, params.max_steps + 1):
-        image = mx.collect_matrix(power_step(rows, basis), basis.shape)
+        basis = np.hstack([basis, block])
+        image = np.hstack([image, mx.collect_matrix(power_step(rows, block), block.shape)])
         values, turn = _ritz(basis.T @ image)
-        gap = image @ turn[:, :k] - (basis @ turn[:, :k]) * values[:k]
-        worst = np.linalg.norm(gap, axis=0).max() / max(values[0], _TINY)
-        if worst <= params.tolerance or step == params.max_steps:
-            return values[:k], basis @ turn[:, :k], step
-        basis = np.linalg.qr(image)[0]
+        lead = basis @ turn[:, :k]
+        gap = image @ turn[:, :k] - lead * values[:k]
+        size = np.linalg.norm(gap, axis=0) / max(values[0], _TINY)
+        if size.max() <= params.tolerance or step == params.max_steps or basis.shape[1] == n_terms:
+            return values[:k], lead, step
+        if basis.shape[1] + k > 6 * width:
+            basis, image = lead, image @ turn[:, :k]
+        fresh = gap[:, size > params.tolerance / 10]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        block, scale = np.linalg.qr(fresh)
+        sound = np.abs(np.diag(scale)) > _TINY * max(values[0], 1.0)
+        block = block[:, sound][:, : n_terms - basis.shape[1]]
+        if block.shape[1] == 0:
+            return values[:k], lead, step
     raise ValueError("max_steps must be positive")
 
 
 def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, DataFrame, int]:
-    """The same iteration with basis and image as stored tables, for term lists too long to broadcast.
+    """Subspace iteration with basis and image as stored tables, for term lists too long to broadcast.
 
     Only l x l matrices reach the driver: the basis is made orthonormal through its small product.
     """
@@ -147,8 +162,8 @@ def lsa(rows: DataFrame, n_docs: int, n_terms: int, params: LsaParams = LsaParam
         values, by_term, steps = values[:k], vectors[:, :k], 1
         attributes["algorithm"] = "gram"
     elif fits_broadcast(n_terms * (k + params.oversample) * 8):
-        values, by_term, steps = _subspace(rows, n_terms, k, params)
-        attributes["algorithm"] = "subspace"
+        values, by_term, steps = _krylov(rows, n_terms, k, params)
+        attributes["algorithm"] = "krylov"
     else:
         values, table, steps = _subspace_tables(rows, n_terms, k, params)
         weights = table.select(F.col("row").alias("feature"), F.col("vec").alias("weights"))

@@ -10,8 +10,6 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,23 +225,20 @@ def epoch_sums(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id", metr
             node, _, error = best_units(block, shared.value, metric)
             counts += np.bincount(node, minlength=size)
             errors += np.bincount(node, weights=error, minlength=size)
-            # rows sorted by node, then one sum per run of equal nodes
-            order = np.argsort(node, kind="stable")
-            found, starts = np.unique(node[order], return_index=True)
-            sums[found] += np.add.reduceat(block[order], starts, axis=0)
+            found, part = mx.add_by_key(node, block)
+            sums[found] += part
         hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hit.astype(np.int32)), pa.array(counts[hit]), pa.array(errors[hit]), mx.list_array(sums[hit])],
-            ["node", "n", "qe", "vec"],
-        )
-
-    partial = few_tasks(mx.row_columns(rows, id_col)).mapInArrow(
-        run, "node int, n long, qe double, vec array<double>"
-    )
-    return partial.groupBy("node").agg(
-        F.sum("n").alias("n"),
-        F.sum("qe").alias("qe"),
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"),
+        # count and error travel as the first two entries of the sum
+        packed = np.column_stack([counts, errors, sums])[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), mx.list_array(packed)], ["node", "vec"])
+
+    partial = few_tasks(mx.row_columns(rows, id_col)).mapInArrow(run, "node int, vec array<double>")
+    merged = mx.merge_partials(partial, "node", width + 2)
+    return merged.select(
+        "node",
+        F.element_at("vec", 1).cast("long").alias("n"),
+        F.element_at("vec", 2).alias("qe"),
+        F.slice("vec", 3, width).alias("vec"),
     )
 
 
@@ -270,11 +265,12 @@ def run_epoch(
     rows: DataFrame, codebook: Codebook, params: SomParams, it: int, dist: np.ndarray, id_col: str = "doc_id"
 ) -> Epoch:
     size = params.n_nodes
-    counts, errors, sums = np.zeros(size), 0.0, np.zeros(codebook.weights.shape)
-    for row in epoch_sums(rows, codebook, id_col).toLocalIterator():
-        counts[row["node"]] = row["n"]
-        sums[row["node"]] = row["vec"]
-        errors += row["qe"]
+    # one map-sized fetch
+    packed = epoch_sums(rows, codebook, id_col).select(
+        "node", F.concat(F.array(F.col("n").cast("double"), "qe"), "vec").alias("vec")
+    )
+    found = mx.collect_matrix(packed, (size, codebook.width + 2), "node")
+    counts, errors, sums = found[:, 0], found[:, 1].sum(), found[:, 2:]
     strength = grid.influence_matrix(dist, params, it)
     strength = np.where(strength > params.min_influence, strength, 0.0)
     total = counts.sum()

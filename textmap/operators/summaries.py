@@ -16,6 +16,7 @@ from textmap.functions import vectors as vx
 from textmap.operators import matrix as mx
 from textmap.operators import som
 from textmap.operators.regions import with_coordinates
+from textmap.params import SomParams
 from textmap.session import few_tasks
 
 PAGE_SIZE = 10_000
@@ -31,6 +32,11 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
+def by_weight(tie: str) -> list[Column]:
+    """Largest weight first; weights equal to twelve digits are ties and go by name or id."""
+    return [F.desc(F.round("weight", som.TIE_DIGITS)), F.asc(tie)]
+
+
 def components_table(matrix: DataFrame) -> DataFrame:
     """(topic_id, term_id, weight) from a (row = term, vec = topics) product."""
     return matrix.select(F.posexplode("vec").alias("topic_id", "weight"), F.col("row").alias("term_id")).select(
@@ -38,11 +44,20 @@ def components_table(matrix: DataFrame) -> DataFrame:
     )
 
 
+def group_centres(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """(topic_id, term_id, weight): the mean sparse row of each group.
+
+    ``groups`` is (doc_id, topic_id); documents without a cell count in the mean.
+    """
+    sizes = groups.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.join(groups, "doc_id").groupBy("topic_id", "term_id").agg(F.sum("v").alias("s"))
+    return sums.join(sizes, "topic_id").select("topic_id", "term_id", (F.col("s") / F.col("n")).alias("weight"))
+
+
 def top_terms(components: DataFrame, terms: DataFrame, n_words: int) -> DataFrame:
     """(topic_id, rank, term_id, name, weight): the heaviest terms of each topic."""
     named = components.join(terms.select("term_id", F.col("term").alias("name")), "term_id")
-    order = [F.desc("weight"), F.asc("name")]
-    return top_per_group(named, "topic_id", order, n_words).select("topic_id", "rank", "term_id", "name", "weight")
+    return top_per_group(named, "topic_id", by_weight("name"), n_words).select("topic_id", "rank", "term_id", "name", "weight")
 
 
 def term_lines(top: DataFrame) -> DataFrame:
@@ -61,8 +76,7 @@ def topic_json(components: DataFrame, terms: DataFrame, n_words: int = 15) -> Da
 def top_topics(codebook: DataFrame, n_topics: int) -> DataFrame:
     """(node, rank, topic_id, weight): the topics of largest signed weight of each node."""
     entries = codebook.select("node", F.posexplode("vec").alias("topic_id", "weight"))
-    order = [F.desc("weight"), F.asc("topic_id")]
-    return top_per_group(entries, "node", order, n_topics).select("node", "rank", "topic_id", "weight")
+    return top_per_group(entries, "node", by_weight("topic_id"), n_topics).select("node", "rank", "topic_id", "weight")
 
 
 def top_documents(vectors: DataFrame, n_topics: int, n_articles: int, id_col: str = "doc_id") -> DataFrame:
@@ -76,7 +90,7 @@ def top_documents(vectors: DataFrame, n_topics: int, n_articles: int, id_col: st
         for numbers, block in mx.blocks(batches, n_topics):
             ids = np.concatenate([ids, np.broadcast_to(numbers, (n_topics, len(numbers)))], axis=1)
             weights = np.concatenate([weights, block.T], axis=1)
-            keep = np.lexsort((ids, -weights), axis=1)[:, :n_articles]
+            keep = np.lexsort((ids, -np.round(weights, som.TIE_DIGITS)), axis=1)[:, :n_articles]
             ids, weights = np.take_along_axis(ids, keep, 1), np.take_along_axis(weights, keep, 1)
         topic = np.repeat(np.arange(n_topics, dtype=np.int32), ids.shape[1])
         yield pa.RecordBatch.from_arrays(
@@ -85,8 +99,7 @@ def top_documents(vectors: DataFrame, n_topics: int, n_articles: int, id_col: st
 
     rows = few_tasks(mx.row_columns(vectors, id_col))
     kept = rows.mapInArrow(best, f"topic_id int, {id_col} long, weight double")
-    order = [F.desc("weight"), F.asc(id_col)]
-    return top_per_group(kept, "topic_id", order, n_articles).select("topic_id", "rank", id_col, "weight")
+    return top_per_group(kept, "topic_id", by_weight(id_col), n_articles).select("topic_id", "rank", id_col, "weight")
 
 
 def with_titles(df: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -166,6 +179,37 @@ def similar_documents(
     return top_per_group(pairs, "doc_id", order, k)
 
 
+def spread_hits(assigned: DataFrame, params: SomParams, it: int) -> DataFrame:
+    """(node, density): the hits of the map spread by the influence kernel of epoch ``it``."""
+    return (
+        _hits_pairs(assigned, params)
+        .groupBy("other")
+        .agg(F.sum(F.col("hits") * grid.influence(F.col("distance"), params, it)).alias("density"))
+        .select(F.col("other").alias("node"), "density")
+    )
+
+
+def unit_influence(assigned: DataFrame, params: SomParams, it: int) -> DataFrame:
+    """(node, other, influence): the kernel of epoch ``it`` centred on every node that holds a row."""
+    value = grid.influence(F.col("distance"), params, it)
+    return _hits_pairs(assigned, params).select("node", "other", value.alias("influence"))
+
+
+def _hits_pairs(assigned: DataFrame, params: SomParams) -> DataFrame:
+    """(node, other, distance, hits) for the occupied nodes."""
+    counted = assigned.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+    return counted.join(grid.node_pairs(assigned.sparkSession, params.kshape, params.topology), "node")
+
+
+def neighbour_hits(assigned: DataFrame, kshape: tuple[int, int], radius: int = 1) -> DataFrame:
+    """(node, neighbours, hits): how many cells surround a node and how many rows they hold."""
+    around = grid.neighbours(assigned.sparkSession, kshape, radius)
+    counted = som.hits(assigned, kshape).withColumnRenamed("node", "neighbour")
+    return around.join(counted, "neighbour").groupBy("node").agg(
+        F.count(F.lit(1)).alias("neighbours"), F.sum("hits").alias("hits")
+    )
+
+
 def cluster_sizes(assigned: DataFrame, node_clusters: DataFrame) -> DataFrame:
     """(cluster, articles): rows are counted per node before the join."""
     per_node = assigned.groupBy("node").agg(F.count(F.lit(1)).alias("articles"))

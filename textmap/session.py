@@ -59,3 +59,13 @@ def few_tasks(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     wanted = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.coalesce(wanted)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a small file scan spread over all cores, for work that costs far more than reading.
+
+    Only a scan with fewer parts than cores is moved, so the amount is bounded by the part size. Use
+    it on scans alone: asking a plan with shuffles for its parts would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

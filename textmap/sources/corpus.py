@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.functions import text as tx
+from textmap.session import spread
 
 FORMATS = ("parquet", "csv", "json", "orc", "jdbc")
 
@@ -20,7 +21,10 @@ def read_corpus(
     order_by: str = "doc_id",
     **options: str,
 ) -> DataFrame:
-    """Rows of a stored corpus; columns are pruned and the limit is taken in ``order_by`` order."""
+    """Rows of a stored corpus; columns are pruned and the limit is taken in ``order_by`` order.
+
+    A corpus of few files is spread over the cores, since reading text is cheaper than analysing it.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown corpus format: {fmt}")
     reader = spark.read.format(fmt).options(**options)
@@ -29,7 +33,7 @@ def read_corpus(
     df = reader.load(path) if path is not None else reader.load()
     if columns is not None:
         df = project(df, columns)
-    return df if size_limit is None else first_rows(df, size_limit, order_by)
+    return spread(df) if size_limit is None else first_rows(df, size_limit, order_by)
 
 
 def documents_as_articles(documents: DataFrame) -> DataFrame:
