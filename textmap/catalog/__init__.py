@@ -1,8 +1,8 @@
 """All queries, each over whole tables, with the SQL that gives the same rows."""
 
-from textmap.catalog import text, web
+from textmap.catalog import maps, text, web
 
-_PARTS = (text, web)
+_PARTS = (text, web, maps)
 
 
 def queries() -> dict:
