@@ -1,8 +1,8 @@
 """All queries, each over whole tables, with the SQL that gives the same rows."""
 
-from textmap.catalog import maps, publish, summaries, text, web
+from textmap.catalog import maps, models, publish, streams, summaries, text, web
 
-_PARTS = (text, web, maps, summaries, publish)
+_PARTS = (text, web, maps, summaries, publish, models, streams)
 
 
 def queries() -> dict:

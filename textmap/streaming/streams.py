@@ -37,7 +37,7 @@ def article_stream(
     return web.articles(pages, patterns)
 
 
-def store_articles(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def store_rows(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
