@@ -27,7 +27,7 @@ SEED = 7
 def trained(rows: DataFrame, params: SomParams = MAP, epochs: int = EPOCHS) -> som.Codebook:
     """The codebook after the first ``epochs`` of the schedule, without measuring in between."""
     codebook = som.initial_codebook(rows, som.mx.width_of(rows), params)
-    dist = grid.distance_matrix(rows.sparkSession, params.kshape, params.topology)
+    dist = grid.distance_matrix(params.kshape, params.topology)
     for it in range(1, epochs + 1):
         codebook = som.run_epoch(rows, codebook, params, it, dist).codebook
     return codebook
@@ -62,7 +62,7 @@ def m2_warm_start(spark: SparkSession, folder: str) -> DataFrame:
     )
     k_init = labels.join(start, "label").select("node", "vec")
     codebook = som.initial_codebook(rows, som.mx.width_of(rows), LABEL_MAP, k_init)
-    dist = grid.distance_matrix(spark, LABEL_MAP.kshape, LABEL_MAP.topology)
+    dist = grid.distance_matrix(LABEL_MAP.kshape, LABEL_MAP.topology)
     return entries(som.run_epoch(rows, codebook, LABEL_MAP, 1, dist).codebook.to_df(spark))
 
 

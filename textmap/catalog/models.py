@@ -9,7 +9,7 @@ from textmap.catalog.tables import articles
 from textmap.catalog.text import tokenized, weighted
 from textmap.functions.vectors import rounded
 from textmap.operators import reduce as rd
-from textmap.operators import som
+from textmap.operators import som, sparse_som
 from textmap.operators import summaries as sm
 from textmap.operators import vocabulary as vo
 from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams
@@ -19,6 +19,7 @@ from textmap.session import stage
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=8)
+TERM_MAP = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, decay="sparse", min_influence=0.001, seed=5)
 
 
 def stored(spark: SparkSession, folder: str) -> tuple[DataFrame, vo.Vocabulary]:
@@ -60,7 +61,7 @@ def r2_nmf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r3_lda(spark: SparkSession, folder: str) -> DataFrame:
-    terms = stage(tokenized(spark, folder), "tokens")
+    terms = tokenized(spark, folder)
     vocab = vo.fit_vocabulary(terms)
     found = rd.lda(terms, vocab, LdaParams(n_topics=8, n_iter=2))
     return sm.top_terms(found.components, vocab.terms, 10)
@@ -91,10 +92,25 @@ def u1_custom_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     return vo.document_frequencies(terms)
 
 
+def m3_terms_best_unit(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents placed by their raw term weights, without a topic model."""
+    rows, vocab = weighted(spark, folder)
+    found = som.predict(rows, som.random_codebook(TERM_MAP.kshape, vocab.n_terms, TERM_MAP.seed))
+    return found.select("doc_id", "node")
+
+
+def m9_terms_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """One epoch on raw term weights with the codebook as a table."""
+    rows, vocab = stored(spark, folder)
+    start = sparse_som.random_codebook(spark, TERM_MAP.kshape, vocab.n_terms, TERM_MAP.seed)
+    after, _ = sparse_som.run_epoch(rows, start, TERM_MAP, 1)
+    return sparse_som.entries(after).withColumn("w", rounded(F.col("w")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf, r3_lda, r4_nmf_map, text_map,
+        m3_terms_best_unit, m9_terms_epoch, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf, r3_lda, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
@@ -111,7 +127,30 @@ def _first_component_sql() -> str:
     return q.with_(*ctes) + f"SELECT term_id, round(w, 5) + 0.0 AS weight FROM v{POWER_STEPS}"
 
 
+_TERM_ROWS, _TERM_COLS = TERM_MAP.kshape
+_TERM_UNITS = [
+    *q.tfidf_ctes(),
+    f"""k0 AS MATERIALIZED (SELECT CAST(n AS INTEGER) AS node, term_id,
+        ('0x' || md5('{TERM_MAP.seed}:' || n || ':' || term_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS w
+        FROM voc, range({TERM_MAP.n_nodes}) t(n))""",
+    "kl AS (SELECT node, sqrt(sum(w * w)) AS l FROM k0 GROUP BY node)",
+    """dots AS MATERIALIZED (SELECT doc_id, node, sum(v * w) / max(l) AS sim FROM cells JOIN k0 USING (term_id)
+        JOIN kl USING (node) GROUP BY doc_id, node)""",
+    """aa AS MATERIALIZED (SELECT tok.doc_id, coalesce(node, 0) AS node FROM tok LEFT JOIN (SELECT doc_id, node FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 12) DESC, node) AS rn FROM dots)
+        WHERE rn = 1) u ON u.doc_id = tok.doc_id)""",
+]
+
 ORACLES = {
+    "m3_terms_best_unit": q.with_(*_TERM_UNITS) + "SELECT doc_id, node FROM aa",
+    "m9_terms_epoch": q.with_(
+        *_TERM_UNITS, q.grid(TERM_MAP), q.kernel(TERM_MAP, 1, "hh"),
+        "hits AS MATERIALIZED (SELECT node, count(*) AS n FROM aa GROUP BY node)",
+        "mass AS MATERIALIZED (SELECT j, sum(h * n) AS m FROM hh JOIN hits ON b = node GROUP BY j)",
+        "sums AS MATERIALIZED (SELECT node, term_id, sum(v) AS s FROM cells JOIN aa USING (doc_id) GROUP BY ALL)",
+        "pull AS MATERIALIZED (SELECT j, term_id, sum(h * s) AS p FROM hh JOIN sums ON b = node GROUP BY ALL)",
+    ) + """SELECT k0.node, k0.term_id AS feature, round(CASE WHEN m > 0 THEN coalesce(p, 0) / m ELSE w END, 6) AS w
+        FROM k0 JOIN mass ON mass.j = k0.node LEFT JOIN pull ON pull.j = k0.node AND pull.term_id = k0.term_id""",
     "r1_power_step": q.with_(
         *q.tfidf_ctes(),
         f"""b AS MATERIALIZED (SELECT term_id, CAST(j AS INTEGER) AS j,

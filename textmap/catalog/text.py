@@ -11,7 +11,7 @@ from textmap.operators import summaries as sm
 from textmap.operators import tfidf as tf
 from textmap.operators import vocabulary as vo
 from textmap.params import TextParams
-from textmap.session import stage, staging_path
+from textmap.session import staging_path
 from textmap.sources import corpus as co
 from textmap.sources import sinks
 
@@ -28,8 +28,8 @@ def tokenized(spark: SparkSession, folder: str, params: TextParams = TextParams(
 
 
 def weighted(spark: SparkSession, folder: str, norm: str | None = "l2") -> tuple[DataFrame, vo.Vocabulary]:
-    """(sparse rows, vocabulary) of the documents. The terms are stored: two passes read them."""
-    terms = stage(tokenized(spark, folder), "tokens")
+    """(sparse rows, vocabulary) of the documents. Texts are read twice, which costs less than storing their terms."""
+    terms = tokenized(spark, folder)
     vocab = vo.fit_vocabulary(terms)
     return tf.tfidf(terms, vocab, norm), vocab
 
@@ -96,7 +96,7 @@ def t2_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t3_stems(spark: SparkSession, folder: str) -> DataFrame:
-    terms = stage(tokenized(spark, folder), "tokens")
+    terms = tokenized(spark, folder)
     words = vo.document_frequencies(terms).where("term LIKE '%s' AND length(term) > 3")
     stems = words.select("term", F.expr("left(term, length(term) - 1)").alias("stem"))
     return vo.document_frequencies(vo.normalize_tokens(terms, stems))
@@ -133,7 +133,7 @@ def t9_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 def t10_fixed_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     given = vo.tokenize(table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("body")))
-    terms = stage(tokenized(spark, folder), "tokens")
+    terms = tokenized(spark, folder)
     vocab = vo.fixed_vocabulary(given.select(F.explode("terms").alias("term")), terms)
     return tf.cells(tf.tfidf(terms, vocab)).withColumn("v", rounded(F.col("v")))
 

@@ -89,13 +89,20 @@ def distance(
     return F.sqrt((dx * dx + dy * dy).cast("double"))
 
 
-def distance_matrix(spark: SparkSession, kshape: tuple[int, int], topology: str) -> np.ndarray:
-    """Node-by-node distances on the driver; grid-sized, read once per fit."""
-    size = kshape[0] * kshape[1]
-    rows = node_pairs(spark, kshape, topology).select("node", "other", "distance").toPandas()
-    matrix = np.zeros((size, size))
-    matrix[rows["node"].to_numpy(), rows["other"].to_numpy()] = rows["distance"].to_numpy()
-    return matrix
+def distance_matrix(kshape: tuple[int, int], topology: str) -> np.ndarray:
+    """Node-by-node distances for the driver's codebook update; grid-sized."""
+    x, y = np.divmod(np.arange(kshape[0] * kshape[1]), kshape[1])
+    if topology == "hex":
+        hx, hy = x - y // 2, x + (y + 1) // 2
+        dx, dy = hx[:, None] - hx, hy[:, None] - hy
+        ax, ay = np.abs(dx), np.abs(dy)
+        return np.where(dx * dy >= 0, np.maximum(ax, ay), ax + ay).astype(float)
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    if topology == "torus":
+        dx, dy = np.minimum(dx, kshape[0] - dx), np.minimum(dy, kshape[1] - dy)
+    elif topology != "rect":
+        raise ValueError(f"unknown topology: {topology}")
+    return np.sqrt((dx * dx + dy * dy).astype(float))
 
 
 def schedule(params: SomParams, it: int) -> tuple[float, float, float, int]:

@@ -306,7 +306,7 @@ def fit(
     """
     width = mx.width_of(rows) if width is None else width
     codebook = initial_codebook(rows, width, params, k_init, id_col)
-    dist = grid.distance_matrix(rows.sparkSession, params.kshape, params.topology)
+    dist = grid.distance_matrix(params.kshape, params.topology)
     trace, last = [], None
     for it in range(1, params.n_iter + 1):
         epoch = run_epoch(rows, codebook, params, it, dist, id_col)

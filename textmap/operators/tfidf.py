@@ -1,7 +1,6 @@
 """TF-IDF rows: one sparse row per document, (doc_id, indices, values)."""
 
-import math
-
+import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -17,20 +16,24 @@ def idf(df: Column, n_docs: int) -> Column:
     return F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def term_counts(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, counts): counts of the vocabulary's terms as an ML vector. No shuffle."""
-    if vocabulary.n_terms == 0:
+def _count(tokenized: DataFrame, texts: list[str]) -> DataFrame:
+    if not texts:
         raise ValueError("the vocabulary is empty: widen min_df and max_df")
-    counter = CountVectorizerModel.from_vocabulary(vocabulary.texts(), inputCol="terms", outputCol="counts")
+    counter = CountVectorizerModel.from_vocabulary(texts, inputCol="terms", outputCol="counts")
     return counter.transform(tokenized).select("doc_id", "counts")
 
 
+def term_counts(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, counts): counts of the vocabulary's terms as an ML vector. No shuffle."""
+    if vocabulary.n_terms > DICTIONARY_LIMIT:
+        raise ValueError(f"{vocabulary.n_terms} terms are over the limit of {DICTIONARY_LIMIT}: raise min_df")
+    return _count(tokenized, vocabulary.on_driver()[0])
+
+
 def _from_dictionary(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None) -> DataFrame:
-    weights = [
-        math.log((1.0 + vocabulary.n_docs) / (1.0 + r["df"])) + 1.0
-        for r in vocabulary.terms.select("df", "term_id").orderBy("term_id").toLocalIterator()
-    ]
-    counts = term_counts(tokenized, vocabulary)
+    texts, dfs = vocabulary.on_driver()
+    weights = np.log((1.0 + vocabulary.n_docs) / (1.0 + dfs)) + 1.0
+    counts = _count(tokenized, texts)
     scale = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts", outputCol="weighted")
     rows, out = scale.transform(counts), "weighted"
     if norm == "l2":

@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,10 @@ class Vocabulary:
     n_docs: int
     n_terms: int
 
-    def texts(self) -> list[str]:
-        """Terms in term_id order on the driver; callers check ``n_terms`` first."""
-        return [r["term"] for r in self.terms.select("term", "term_id").orderBy("term_id").toLocalIterator()]
+    def on_driver(self) -> tuple[list[str], np.ndarray]:
+        """Terms and document frequencies in term_id order; callers check ``n_terms`` first."""
+        table = self.terms.select("term_id", "term", "df").toArrow().sort_by("term_id")
+        return table.column("term").to_pylist(), table.column("df").to_numpy()
 
 
 def tokenize(corpus: DataFrame, params: TextParams = TextParams(), column: str = "body") -> DataFrame:
@@ -64,8 +66,8 @@ def frequency_bounds(params: TextParams, n_docs: int) -> tuple[float, float]:
     return bound(params.min_df), bound(params.max_df)
 
 
-def number_terms(df: DataFrame, column: str = "term") -> DataFrame:
-    """Add ``term_id``: the position of ``column`` in sorted order, from 0.
+def number_terms(df: DataFrame, column: str = "term") -> tuple[DataFrame, int]:
+    """The rows with ``term_id``, the position of ``column`` in sorted order from 0; and their number.
 
     A range sort gives each task one stretch of the order; the rows are numbered where they lie and
     shifted by the sizes of the stretches before, so no single task holds all terms.
@@ -79,7 +81,7 @@ def number_terms(df: DataFrame, column: str = "term") -> DataFrame:
         total += sizes.get(s, 0)
     start = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), stretch + 1)
     row = F.col("_mark").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return marked.withColumn("term_id", (start + row).cast(T.IntegerType())).drop("_mark")
+    return marked.withColumn("term_id", (start + row).cast(T.IntegerType())).drop("_mark"), total
 
 
 def fit_vocabulary(
@@ -89,16 +91,16 @@ def fit_vocabulary(
     n_docs = tokenized.count() if n_docs is None else n_docs
     low, high = frequency_bounds(params, n_docs)
     kept = document_frequencies(tokenized).where(F.col("df").between(F.lit(low), F.lit(high)))
-    terms = number_terms(kept).select("term", "term_id", "df")
-    return Vocabulary(terms, n_docs, terms.count())
+    numbered, n_terms = number_terms(kept)
+    return Vocabulary(numbered.select("term", "term_id", "df"), n_docs, n_terms)
 
 
 def fixed_vocabulary(terms: DataFrame, tokenized: DataFrame) -> Vocabulary:
     """A given term list with its document frequencies in ``tokenized``; unseen terms get zero."""
     wanted = terms.select("term").where(F.col("term").isNotNull()).distinct()
     counted = wanted.join(document_frequencies(tokenized), "term", "left").na.fill(0, ["df"])
-    numbered = number_terms(counted).select("term", "term_id", "df")
-    return Vocabulary(numbered, tokenized.count(), numbered.count())
+    numbered, n_terms = number_terms(counted)
+    return Vocabulary(numbered.select("term", "term_id", "df"), tokenized.count(), n_terms)
 
 
 def with_terms(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
