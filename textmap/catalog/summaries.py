@@ -12,6 +12,7 @@ from textmap.catalog.tables import articles, documents, table
 from textmap.catalog.text import weighted
 from textmap.functions.vectors import rounded
 from textmap.operators import matrix as mx
+from textmap.operators import reduce as rd
 from textmap.operators import regions, som
 from textmap.operators import summaries as sm
 from textmap.operators import tfidf as tf
@@ -44,7 +45,7 @@ def components(spark: SparkSession, folder: str, fitted: Fitted) -> tuple[DataFr
     """(components, terms): each topic's weight over the terms, summed over the documents that have a vector."""
     rows, vocab = weighted(spark, folder)
     product = mx.transpose_product(rows, vocab.n_terms, fitted.vectors, fitted.width)
-    return stage(sm.components_table(product), "components"), vocab.terms
+    return stage(rd.components_from_table(product), "components"), vocab.terms
 
 
 def k1_topic_top_terms(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,12 @@ class Reduction:
 def components_of(spark: SparkSession, by_term: np.ndarray) -> DataFrame:
     """(topic_id, term_id, weight) of a terms x topics matrix."""
     table = mx.matrix_table(spark, by_term)
-    return table.select(F.posexplode("weights").alias("topic_id", "weight"), F.col("feature").alias("term_id")).select(
+    return components_from_table(table.select(F.col("feature").alias("row"), F.col("weights").alias("vec")))
+
+
+def components_from_table(table: DataFrame) -> DataFrame:
+    """The same of a (row = term, vec = topics) table."""
+    return table.select(F.posexplode("vec").alias("topic_id", "weight"), F.col("row").alias("term_id")).select(
         "topic_id", "term_id", "weight"
     )
 
@@ -134,7 +139,12 @@ def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -
         squared = np.einsum("ij,ik,kj->j", turn[:, :k], energy, turn[:, :k]) - values[:k] ** 2
         worst = np.sqrt(np.maximum(squared, 0.0)).max() / max(values[0], _TINY)
         if worst <= params.tolerance or step == params.max_steps:
-            return values[:k], turned(basis, turn[:, :k]), step
+            lead = stage(turned(basis, turn[:, :k]), "lsa-basis")
+            strongest = components_from_table(lead).groupBy("topic_id").agg(F.max_by("weight", F.abs("weight")).alias("w"))
+            signs = np.ones(k)
+            for r in strongest.collect():
+                signs[r["topic_id"]] = -1.0 if r["w"] < 0 else 1.0
+            return values[:k], turned(lead, np.diag(signs)), step
     raise ValueError("max_steps must be positive")
 
 
@@ -177,12 +187,6 @@ def lsa(rows: DataFrame, n_docs: int, n_terms: int, params: LsaParams = LsaParam
     return Reduction(mx.multiply(rows, by_term, unit=True), components_of(spark, by_term), k, attributes)
 
 
-def components_from_table(table: DataFrame) -> DataFrame:
-    return table.select(F.posexplode("vec").alias("topic_id", "weight"), F.col("row").alias("term_id")).select(
-        "topic_id", "term_id", "weight"
-    )
-
-
 def fit_weights(product: np.ndarray, square: np.ndarray, steps: int) -> np.ndarray:
     """Non-negative W that lowers |X - W H| for fixed H, from X H' and H H', by multiplicative steps.
 

@@ -37,13 +37,6 @@ def by_weight(tie: str) -> list[Column]:
     return [F.desc(F.round("weight", som.TIE_DIGITS)), F.asc(tie)]
 
 
-def components_table(matrix: DataFrame) -> DataFrame:
-    """(topic_id, term_id, weight) from a (row = term, vec = topics) product."""
-    return matrix.select(F.posexplode("vec").alias("topic_id", "weight"), F.col("row").alias("term_id")).select(
-        "topic_id", "term_id", "weight"
-    )
-
-
 def group_centres(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """(topic_id, term_id, weight): the mean sparse row of each group.
 
