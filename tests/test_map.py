@@ -204,7 +204,7 @@ def test_warm_start_needs_a_fitting_map(spark):
 
 def test_ragged_rows_are_refused(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "doc_id long, vec array<double>")
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="entries"):
         som.fit(rows, SomParams(kshape=(1, 2), n_iter=1))
 
 
@@ -269,3 +269,12 @@ def test_products_by_broadcast_and_by_join(spark, monkeypatch, limit):
     right = np.random.default_rng(7).normal(size=(30, 5))
     product = mx.transpose_product(rows, 12, vector_table(spark, right), 5)
     assert np.allclose(mx.collect_matrix(product, (12, 5)), dense.T @ right)
+
+
+def test_long_rows_are_summed_in_pieces(spark, monkeypatch):
+    rows = random_rows(50, 23)
+    params = SomParams(kshape=(2, 3), n_iter=2, seed=1)
+    whole = som.fit(vector_table(spark, rows, 4), params)
+    monkeypatch.setattr(mx, "PIECE_ENTRIES", 4)
+    pieces = som.fit(vector_table(spark, rows, 4), params)
+    assert np.allclose(whole.codebook.weights, pieces.codebook.weights)

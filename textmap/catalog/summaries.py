@@ -15,7 +15,6 @@ from textmap.operators import matrix as mx
 from textmap.operators import reduce as rd
 from textmap.operators import regions, som
 from textmap.operators import summaries as sm
-from textmap.operators import tfidf as tf
 from textmap.session import stage
 from textmap.sources import corpus as co
 
@@ -38,7 +37,8 @@ def fit(spark: SparkSession, folder: str) -> Fitted:
 
 
 def clusters(fitted: Fitted) -> DataFrame:
-    return regions.ward_regions(fitted.codebook, MAP.kshape, N_CLUSTERS)
+    """Stored, so that Spark knows how small the table is and joins it without a shuffle."""
+    return stage(regions.ward_regions(fitted.codebook, MAP.kshape, N_CLUSTERS), "clusters")
 
 
 def components(spark: SparkSession, folder: str, fitted: Fitted) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +116,7 @@ def c4_centre_top_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Top nine terms of each cluster centre; the clusters are the languages."""
     rows, vocab = weighted(spark, folder)
     groups = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("topic_id"))
-    top = sm.top_terms(sm.group_centres(tf.cells(rows), groups), vocab.terms, 9)
+    top = sm.top_terms(sm.group_centres(rows, groups), vocab.terms, 9)
     return top.select(F.col("topic_id").alias("lang"), "rank", "name", rounded(F.col("weight")).alias("weight"))
 
 

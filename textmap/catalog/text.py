@@ -142,7 +142,7 @@ def top_terms_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Ten terms of largest summed TF-IDF weight per source."""
     rows, vocab = weighted(spark, folder)
     sources = table(spark, folder, "documents").select("doc_id", "source")
-    sums = tf.cells(rows).join(sources, "doc_id").groupBy("source", "term_id").agg(F.sum("v").alias("weight"))
+    sums = sm.group_sums(rows, sources, "source").withColumnRenamed("s", "weight")
     named = vo.with_terms(sums, vocab.terms)
     return sm.top_per_group(named, "source", sm.by_weight("term"), 10).select(
         "source", "rank", "term", rounded(F.col("weight")).alias("weight")

@@ -7,6 +7,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmap.functions.common import let
+
 NON_ASCII = r"[^\x00-\x7F]"
 # Runs of two or more word characters.
 ASCII_TOKEN = r"\w\w+"
@@ -36,14 +38,21 @@ def fold(text: Column) -> Column:
     expanded. A mark that was in the text already only sends its row the longer way.
     """
     source, target, longer = fold_table()
-    lowered = F.lower(text)
-    quick = F.translate(lowered, source + "".join(longer), target + _MARK * len(longer))
     pairs = F.map_entries(
         F.str_to_map(F.lit(_PAIR.join(k + _KEY + v for k, v in longer.items())), F.lit(_PAIR), F.lit(_KEY))
     )
-    expanded = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["key"], p["value"]))
-    folded = F.when(F.contains(quick, F.lit(_MARK)), F.translate(expanded, source, target)).otherwise(quick)
-    return F.when(lowered.rlike(NON_ASCII), F.regexp_replace(folded, NON_ASCII, "")).otherwise(lowered)
+
+    def mapped(lowered: Column) -> Column:
+        expanded = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["key"], p["value"]))
+        return let(
+            F.translate(lowered, source + "".join(longer), target + _MARK * len(longer)),
+            lambda quick: F.when(F.contains(quick, F.lit(_MARK)), F.translate(expanded, source, target)).otherwise(quick),
+        )
+
+    return let(
+        F.lower(text),
+        lambda low: F.when(low.rlike(NON_ASCII), F.regexp_replace(mapped(low), NON_ASCII, "")).otherwise(low),
+    )
 
 
 def normalize(text: Column, accents: str | None = "ascii") -> Column:
@@ -74,8 +83,7 @@ def word_ngrams(words: Column, n_min: int, n_max: int) -> Column:
 
     if (n_min, n_max) == (1, 1):
         return words
-    # one-element array: the words are found once per text, not once per n-gram
-    return F.transform(F.array(words), lambda w: F.concat(*[grams(w, n) for n in range(n_min, n_max + 1)]))[0]
+    return let(words, lambda w: F.concat(*[grams(w, n) for n in range(n_min, n_max + 1)]))
 
 
 def terms(text: Column, accents: str | None = "ascii", ngram_range: tuple[int, int] = (1, 1)) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmap.functions.common import let
+
 
 def doubles(vec: Column) -> Column:
     return vec.cast("array<double>")
@@ -24,10 +26,7 @@ def norm(vec: Column) -> Column:
 
 def unit(vec: Column) -> Column:
     """Row scaled to length one; a zero row stays zero."""
-    # one-element array: the length is computed once, not once per entry
-    return F.transform(
-        F.array(norm(vec)), lambda n: F.transform(vec, lambda v: F.when(n > 0, v / n).otherwise(v))
-    )[0]
+    return let(norm(vec), lambda n: F.transform(vec, lambda v: F.when(n > 0, v / n).otherwise(v)))
 
 
 def clip_below(vec: Column, epsilon: float = 1e-4) -> Column:

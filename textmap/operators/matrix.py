@@ -5,9 +5,11 @@ Tasks turn Arrow batches into numpy blocks of bounded size; Spark adds the per-t
 """
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ from textmap.session import few_tasks, fits_broadcast
 
 # Entries of one numpy block: 4 million doubles, 32 MB.
 BLOCK_ENTRIES = 4_000_000
+# Longest row piece that is shuffled; a batch of ten thousand pieces stays under 100 MB.
+PIECE_ENTRIES = 1_024
 
 
 def is_sparse(rows: DataFrame) -> bool:
@@ -36,11 +40,21 @@ def row_columns(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def width_of(rows: DataFrame) -> int:
-    """Row length of a dense table; all rows must agree."""
-    found = rows.agg(F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high")).first()
-    if found["low"] is None or found["low"] != found["high"]:
-        raise ValueError(f"rows must have one common length, found {found['low']} to {found['high']}")
-    return found["low"]
+    """Row length of a dense table, from one row; the tasks refuse rows of another length."""
+    found = rows.where(F.col("vec").isNotNull()).select(F.size("vec").alias("n")).first()
+    if found is None:
+        raise ValueError("the table holds no vectors")
+    return found["n"]
+
+
+@contextmanager
+def shared(spark: SparkSession, value: np.ndarray) -> Iterator[Broadcast]:
+    """A broadcast variable for one finished job; released afterwards."""
+    sent = spark.sparkContext.broadcast(np.ascontiguousarray(value))
+    try:
+        yield sent
+    finally:
+        sent.destroy()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,6 +65,8 @@ def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.n
         for start in range(0, len(ids), step):
             part = batch.slice(start, step)
             if batch.num_columns == 2:
+                if not (np.diff(part.column(1).offsets.to_numpy(zero_copy_only=False)) == width).all():
+                    raise ValueError(f"every row must have {width} entries")
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 yield ids[start : start + step], flat.reshape(-1, width)
                 continue
@@ -117,20 +133,38 @@ def add_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 def merge_partials(partial: DataFrame, key: str, width: int) -> DataFrame:
     """(key int, vec): sums of per-task partial rows, spread by key.
 
-    A key has at most one row per task, so no key is hot, and a task holds one sum per key.
+    A key has at most one row per task, so no key is hot, and a task holds one sum per key. Long rows
+    are cut into pieces that are summed apart, which also spreads a table of few keys.
     """
+    if width > PIECE_ENTRIES:
+        return _merge_pieces(partial, key, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int32), np.zeros((0, width))
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             keys, sums = add_by_key(np.concatenate([keys, numbers]), np.concatenate([sums, flat]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), list_array(sums)], [key, "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), list_array(sums)], [key, "vec"])
+
+    spread = partial.select(F.col(key).cast("long").alias(key), "vec").repartition(key)
+    return spread.mapInArrow(run, f"{key} long, vec array<double>").withColumn(key, F.col(key).cast("int"))
 
-    return partial.select(key, "vec").repartition(key).mapInArrow(run, f"{key} int, vec array<double>")
+
+def _merge_pieces(partial: DataFrame, key: str, width: int) -> DataFrame:
+    parts = -(-width // PIECE_ENTRIES)
+    padded = F.concat("vec", F.array_repeat(F.lit(0.0), parts * PIECE_ENTRIES - width))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(F.col("_row"), i * PIECE_ENTRIES + 1, F.lit(PIECE_ENTRIES))
+    )
+    cut = partial.select(key, padded.alias("_row")).select(key, F.posexplode(pieces).alias("_part", "vec"))
+    numbered = cut.select((F.col(key).cast("long") * parts + F.col("_part")).cast("int").alias("_piece"), "vec")
+    merged = merge_partials(numbered, "_piece", PIECE_ENTRIES)
+    row = F.floor(F.col("_piece") / F.lit(parts)).cast("int")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "vec"))), lambda p: p["vec"]))
+    return merged.groupBy(row.alias(key)).agg(F.slice(whole, 1, width).alias("vec"))
 
 
 def sum_vectors(df: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Topic models over sparse rows: LSA, NMF, LDA. Each gives document vectors and topic components."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +58,13 @@ def gram(rows: DataFrame, n_terms: int) -> np.ndarray:
     return mx.collect_matrix(mx.sum_rows(rows, n_terms, size, lambda block: block.T @ block), size)
 
 
-def power_step(rows: DataFrame, basis: np.ndarray) -> DataFrame:
-    """(row, vec): transpose(X) X Q for a terms x l basis Q, in one pass over the rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
+def _power(rows: DataFrame, shape: tuple[int, int], sent: Broadcast) -> DataFrame:
+    return mx.sum_rows(rows, shape[0], shape, lambda block: block.T @ (block @ sent.value))
 
-    def work(block: np.ndarray) -> np.ndarray:
-        return block.T @ (block @ shared.value)
 
-    return mx.sum_rows(rows, basis.shape[0], basis.shape, work)
+def power_step(rows: DataFrame, basis: np.ndarray) -> DataFrame:
+    """(row, vec): transpose(X) X Q for a terms x l basis Q, in one pass over the rows."""
+    return _power(rows, basis.shape, rows.sparkSession.sparkContext.broadcast(basis))
 
 
 def _ritz(small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,8 @@ def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[n
     basis, image = np.zeros((n_terms, 0)), np.zeros((n_terms, 0))
     for step in range(1, params.max_steps + 1):
         basis = np.hstack([basis, block])
-        image = np.hstack([image, mx.collect_matrix(power_step(rows, block), block.shape)])
+        with mx.shared(rows.sparkSession, block) as sent:
+            image = np.hstack([image, mx.collect_matrix(_power(rows, block.shape, sent), block.shape)])
         values, turn = _ritz(basis.T @ image)
         lead = basis @ turn[:, :k]
         gap = image @ turn[:, :k] - lead * values[:k]
@@ -209,7 +211,9 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     """X ~ W H with non-negative factors; ``vectors`` is W, not scaled. One pass over ``rows`` per step."""
     k = component_count(params.n_components, n_docs, n_terms)
     spark = rows.sparkSession
-    sums = rows.select(F.explode("values").alias("v")).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).first()
+    in_row = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
+    squares = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v)
+    sums = rows.agg(F.sum(in_row).alias("s"), F.sum(squares).alias("q")).first()
     scale = np.sqrt((sums["s"] or 0.0) / max(1, n_docs * n_terms) / k)
     total, steps = sums["q"] or 0.0, params.inner_steps
     if not fits_broadcast(n_terms * k * 8):
@@ -217,15 +221,9 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     by_term = scale * np.random.default_rng(params.seed).random((n_terms, k))
     trace: list[float] = []
     for _ in range(params.max_steps):
-        shared = spark.sparkContext.broadcast(by_term)
-
-        def work(block: np.ndarray) -> np.ndarray:
-            topics = shared.value
-            weights = fit_weights(block @ topics, topics.T @ topics, steps)
-            return np.concatenate([block.T @ weights, weights.T @ weights])
-
         shape = (n_terms + k, k)
-        found = mx.collect_matrix(mx.sum_rows(rows, n_terms, shape, work), shape)
+        with mx.shared(spark, by_term) as sent:
+            found = mx.collect_matrix(mx.sum_rows(rows, n_terms, shape, _nmf_work(sent, steps)), shape)
         pulled, square = found[:n_terms], found[n_terms:]
         trace.append(float(total - 2 * (pulled * by_term).sum() + (square * (by_term.T @ by_term)).sum()))
         if _settled(trace, params.tolerance, total):
@@ -242,6 +240,17 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     return Reduction(mx.map_rows(rows, n_terms, weigh), components_of(spark, by_term), k, attributes)
 
 
+def _nmf_work(sent: Broadcast, steps: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Per block, transpose(X) W over transpose(W) W, with W fitted to the topics sent."""
+
+    def work(block: np.ndarray) -> np.ndarray:
+        topics = sent.value
+        weights = fit_weights(block @ topics, topics.T @ topics, steps)
+        return np.concatenate([block.T @ weights, weights.T @ weights])
+
+    return work
+
+
 def _settled(trace: list[float], tolerance: float, total: float) -> bool:
     return len(trace) > 1 and abs(trace[-2] - trace[-1]) <= tolerance * max(total, _TINY)
 

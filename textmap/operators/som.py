@@ -10,6 +10,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,12 +137,16 @@ def quantization_error(similarity: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0e-4 + similarity) - 1.0
 
 
-def _share(rows: DataFrame, codebook: Codebook):
+def _check_size(codebook: Codebook) -> None:
     if not fits_broadcast(codebook.weights.nbytes):
         raise ValueError(
             "this codebook is too large to send to every executor: reduce the vectors first, "
             "or train on sparse rows with textmap.operators.sparse_som"
         )
+
+
+def _share(rows: DataFrame, codebook: Codebook) -> Broadcast:
+    _check_size(codebook)
     return rows.sparkSession.sparkContext.broadcast(codebook.weights)
 
 
@@ -210,14 +215,16 @@ def node_distances(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id")
     )
 
 
-def epoch_sums(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id", metric: str = "cosine") -> DataFrame:
+def epoch_sums(
+    rows: DataFrame, codebook: Codebook, id_col: str = "doc_id", metric: str = "cosine", sent: Broadcast | None = None
+) -> DataFrame:
     """(node, n, qe, vec): per best unit the rows, their summed error and their summed vectors.
 
     Every task adds up its rows first and ships at most one row per node, so a node that holds a
     third of all rows costs no more than any other.
     """
     check_metric(metric)
-    shared, width, size = _share(rows, codebook), codebook.width, len(codebook.weights)
+    shared, width, size = sent or _share(rows, codebook), codebook.width, len(codebook.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, errors, sums = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, width))
@@ -265,11 +272,13 @@ def run_epoch(
     rows: DataFrame, codebook: Codebook, params: SomParams, it: int, dist: np.ndarray, id_col: str = "doc_id"
 ) -> Epoch:
     size = params.n_nodes
-    # one map-sized fetch
-    packed = epoch_sums(rows, codebook, id_col).select(
-        "node", F.concat(F.array(F.col("n").cast("double"), "qe"), "vec").alias("vec")
-    )
-    found = mx.collect_matrix(packed, (size, codebook.width + 2), "node")
+    _check_size(codebook)
+    with mx.shared(rows.sparkSession, codebook.weights) as sent:
+        # one map-sized fetch
+        packed = epoch_sums(rows, codebook, id_col, sent=sent).select(
+            "node", F.concat(F.array(F.col("n").cast("double"), "qe"), "vec").alias("vec")
+        )
+        found = mx.collect_matrix(packed, (size, codebook.width + 2), "node")
     counts, errors, sums = found[:, 0], found[:, 1].sum(), found[:, 2:]
     strength = grid.influence_matrix(dist, params, it)
     strength = np.where(strength > params.min_influence, strength, 0.0)

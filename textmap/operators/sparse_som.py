@@ -97,11 +97,11 @@ def run_epoch(
     for row in assigned.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("qe").alias("qe")).collect():
         counts[row["node"]] = row["n"]
         errors += row["qe"]
-    cells = rows.select(id_col, F.inline(F.arrays_zip("indices", "values"))).toDF(id_col, "feature", "v")
+    placed = rows.join(assigned.select(id_col, "node"), id_col)
+    cells = placed.select("node", F.inline(F.arrays_zip("indices", "values"))).toDF("node", "feature", "v")
     # summed per (node, feature) before anything is gathered; then at most one entry per node and feature
     sums = (
-        cells.join(assigned.select(id_col, "node"), id_col)
-        .groupBy("feature", "node")
+        cells.groupBy("feature", "node")
         .agg(F.sum("v").alias("s"))
         .groupBy("feature")
         .agg(F.map_from_entries(F.collect_list(F.struct("node", "s"))).alias("by_node"))

@@ -20,6 +20,8 @@ from textmap.params import SomParams
 from textmap.session import few_tasks
 
 PAGE_SIZE = 10_000
+# Asked documents, one vector each, that are sent to every executor.
+BROADCAST_ASKED = 1_000
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -37,13 +39,22 @@ def by_weight(tie: str) -> list[Column]:
     return [F.desc(F.round("weight", som.TIE_DIGITS)), F.asc(tie)]
 
 
-def group_centres(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def group_sums(rows: DataFrame, groups: DataFrame, group: str = "topic_id") -> DataFrame:
+    """(group, term_id, s): summed weights of the sparse rows of each group of documents.
+
+    The rows are joined whole and opened afterwards, so a document moves once, not once per cell.
+    """
+    opened = rows.join(groups, "doc_id").select(group, F.inline(F.arrays_zip("indices", "values")))
+    return opened.toDF(group, "term_id", "v").groupBy(group, "term_id").agg(F.sum("v").alias("s"))
+
+
+def group_centres(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """(topic_id, term_id, weight): the mean sparse row of each group.
 
     ``groups`` is (doc_id, topic_id); documents without a cell count in the mean.
     """
     sizes = groups.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = cells.join(groups, "doc_id").groupBy("topic_id", "term_id").agg(F.sum("v").alias("s"))
+    sums = group_sums(rows, groups)
     return sums.join(sizes, "topic_id").select("topic_id", "term_id", (F.col("s") / F.col("n")).alias("weight"))
 
 
@@ -152,7 +163,7 @@ def similar_documents(
     """(doc_id, other_id, node, similarity, rank): documents on the same node as each asked document.
 
     Only the asked documents are paired with others, so the work grows with the corpus, not with its
-    square.
+    square. A short list of asked documents is sent to the rows, which then stay where they are.
     """
     asked = (
         assigned.where(F.col("doc_id").isin(doc_ids)).select("doc_id", "node").join(
@@ -160,7 +171,11 @@ def similar_documents(
             "doc_id",
         )
     )
-    others = assigned.select(F.col("doc_id").alias("other_id"), "node").join(
+    # one row per asked id, so the length of the list bounds the size
+    if len(doc_ids) <= BROADCAST_ASKED:
+        asked = F.broadcast(asked)
+    on_nodes = assigned.select(F.col("doc_id").alias("other_id"), "node").join(asked.select("node").distinct(), "node", "left_semi")
+    others = on_nodes.join(
         vectors.select(F.col("doc_id").alias("other_id"), vx.unit(vx.doubles(F.col("vec"))).alias("other_vec")), "other_id"
     )
     pairs = others.join(asked, "node").where(F.col("doc_id") != F.col("other_id")).select(

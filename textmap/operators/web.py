@@ -2,10 +2,14 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmap.functions.common import let
+
 # Tags that stay in a cleaned body.
 KEPT_TAGS = ("h2", "p", "em", "strong")
 # Links that lead to an article: a dated path.
@@ -31,7 +35,7 @@ ARTICLE_TAG = FieldPatterns(title=r"(?is)<h1[^>]*>(.*?)</h1>", body=r"(?is)<arti
 def field(html: Column, pattern: str) -> Column:
     """Stripped hits joined by a space; null when there is no hit."""
     found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda hit: F.trim(hit))
-    return F.when(F.size(found) > 0, F.array_join(found, " "))
+    return let(found, lambda hits: F.when(F.size(hits) > 0, F.array_join(hits, " ")))
 
 
 def sanitize(html: Column, tags: Sequence[str] = KEPT_TAGS) -> Column:
@@ -48,21 +52,29 @@ def strip_zone(timestamp: Column) -> Column:
     return F.try_to_timestamp(F.substring_index(timestamp, "+", 1))
 
 
-def extract_fields(pages: DataFrame, patterns: FieldPatterns = ARTICLE_TAG) -> DataFrame:
+def _fields(patterns: FieldPatterns) -> list[Column]:
     html = F.col("html")
-    return pages.select(
+    return [
         F.col("page_id").alias("doc_id"),
-        "url",
+        F.col("url"),
         field(html, patterns.title).alias("title"),
         field(html, patterns.timestamp).alias("timestamp"),
         field(html, patterns.body).alias("body"),
-    )
+    ]
+
+
+def extract_fields(pages: DataFrame, patterns: FieldPatterns = ARTICLE_TAG) -> DataFrame:
+    return pages.select(*_fields(patterns))
+
+
+def is_blank(value: Column) -> Column:
+    return F.length(F.trim(F.coalesce(value.cast("string"), F.lit("")))) == 0
 
 
 def missing_fields(required: Sequence[str]) -> Column:
     """Names of the required columns that are null or blank."""
     return F.filter(
-        F.array(*[F.when(F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) == 0, F.lit(c)) for c in required]),
+        F.array(*[F.when(is_blank(F.col(c)), F.lit(c)) for c in required]),
         lambda name: name.isNotNull(),
     )
 
@@ -129,16 +141,28 @@ def frontier(pages: DataFrame, allow: str = ARTICLE_LINK, domains: Sequence[str]
     if domains is not None:
         found = allowed_domains(found, domains)
     wanted = found.select(canonical(F.col("url")).alias("url")).distinct()
-    return wanted.join(pages.select(canonical(F.col("url")).alias("url")), "url", "left_anti")
+    # made distinct first: many copies of one page then meet as one row
+    known = pages.select(canonical(F.col("url")).alias("url")).distinct()
+    return wanted.join(known, "url", "left_anti")
 
 
 def articles(
     pages: DataFrame, patterns: FieldPatterns = ARTICLE_TAG, required: Sequence[str] = ("title", "body"),
     tags: Sequence[str] = KEPT_TAGS,
 ) -> DataFrame:
-    """(doc_id, url, title, timestamp, body): the whole article job, one narrow plan for tables and streams."""
-    fields = extract_fields(pages, patterns)
-    cleaned = fields.withColumn("timestamp", strip_zone(F.col("timestamp"))).withColumn(
-        "body", sanitize(F.col("body"), tags)
-    )
-    return split_complete(cleaned, required)[0]
+    """(doc_id, url, title, timestamp, body): the whole article job, one narrow plan for tables and streams.
+
+    A page becomes an array of one item or none, so that no pattern runs again for the check.
+    """
+
+    def clean(item: Column) -> Column:
+        return F.struct(
+            item["doc_id"].alias("doc_id"), item["url"].alias("url"), item["title"].alias("title"),
+            strip_zone(item["timestamp"]).alias("timestamp"), sanitize(item["body"], tags).alias("body"),
+        )
+
+    def complete(item: Column) -> Column:
+        return reduce(and_, [~is_blank(item[c]) for c in required], F.lit(True))
+
+    items = F.filter(F.transform(F.array(F.struct(*_fields(patterns))), clean), complete)
+    return pages.select(F.inline(items))

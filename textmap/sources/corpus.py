@@ -76,7 +76,7 @@ def rows_with(df: DataFrame, column: str, value: object) -> DataFrame:
 def rows_in(df: DataFrame, column: str, ids: DataFrame | Iterable[int]) -> DataFrame:
     """Rows whose ``column`` is in a list of ids, or in the one column of a table of ids."""
     if isinstance(ids, DataFrame):
-        wanted = ids.toDF(column)
+        wanted = ids.toDF(column).distinct()
     else:
         kind = df.schema[column].dataType.simpleString()
         wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"{column} {kind}")
