@@ -147,7 +147,7 @@ def m10_fit_full(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
     model = som.fit(rows, MAP)
     u = som.u_matrix(model.codebook.to_df(spark), MAP.kshape)
-    return som.hits(som.predict(rows, model.codebook), MAP.kshape).join(u, "node")
+    return som.hits(som.predict(rows, model.codebook), MAP.kshape).join(u, "node").withColumn("u", rounded(F.col("u"), 5))
 
 
 def m11_trace(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,6 +285,9 @@ def _density_sql(params: SomParams) -> str:
 
 _HITS = """SELECT grid.node, coalesce(n, 0) AS hits FROM grid
     LEFT JOIN (SELECT node, count(*) AS n FROM aa GROUP BY node) c ON c.node = grid.node"""
+_U_MATRIX = f"""SELECT a.node, avg(list_dot_product({q.UNIT.format('k.vec')}, {q.UNIT.format('m.vec')})) AS u
+    FROM grid a JOIN grid b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.node <> b.node
+    JOIN kk k ON k.node = a.node JOIN kk m ON m.node = b.node GROUP BY a.node"""
 _NEAR = """near AS MATERIALIZED (SELECT doc_id, node, d, row_number() OVER (PARTITION BY doc_id ORDER BY round(d, 12), node) AS rn
     FROM (SELECT doc_id, node, list_sum([(a[1] - a[2]) * (a[1] - a[2]) for a in list_zip(x.vec, k.vec)]) AS d FROM x, kk k))"""
 _HX, _HY = "(i - sign(j) * floor(abs(j) / 2.0))", "(i + sign(j) * ceil(abs(j) / 2.0))"
@@ -337,11 +340,10 @@ ORACLES = {
     "m11_trace": _trace_sql(),
     "m12_predict": q.with_(*_final()) + "SELECT doc_id, node FROM aa",
     "m13_codebook": q.with_(*_final()) + _entries("kk"),
-    "m14_u_matrix": q.with_(*_final())
-    + f"""SELECT a.node, round(avg(list_dot_product({q.UNIT.format('k.vec')}, {q.UNIT.format('m.vec')})), 6) AS u
-        FROM grid a JOIN grid b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.node <> b.node
-        JOIN kk k ON k.node = a.node JOIN kk m ON m.node = b.node GROUP BY a.node""",
+    "m14_u_matrix": q.with_(*_final()) + f"SELECT node, round(u, 6) AS u FROM ({_U_MATRIX})",
     "m15_hits": q.with_(*_final()) + _HITS,
+    "m10_fit_full": q.with_(*_final(MAP, MAP.n_iter), f"hits AS ({_HITS})", f"un AS ({_U_MATRIX})")
+    + "SELECT node, hits, round(u, 5) AS u FROM hits JOIN un USING (node)",
     "m16_projection": q.with_(*_final())
     + f"""SELECT node, round(avg(v), 6) + 0.0 AS p FROM (SELECT node, unnest({q.UNIT.format('vec')}) AS v,
         generate_subscripts(vec, 1) - 1 AS f FROM kk) WHERE f IN ({', '.join(map(str, FEATURES))}) AND v <> 0 GROUP BY node""",

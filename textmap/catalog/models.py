@@ -18,6 +18,7 @@ from textmap.session import stage
 
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
+NMF_STEPS = 2
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=8)
 TERM_MAP = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, decay="sparse", min_influence=0.001, seed=5)
 
@@ -54,6 +55,14 @@ def r1_lsa_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.vectors.select("doc_id", F.posexplode("vec").alias("topic_id", "weight"))
 
 
+def r2_nmf_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Topics after one pass from given topics: weights fitted, sums taken, topics moved."""
+    rows, vocab = weighted(spark, folder)
+    start = np.array([[som.random_value(SEED, t, j) for j in range(WIDTH)] for t in range(vocab.n_terms)])
+    moved = rd.update_topics(start, *rd.nmf_sums(rows, start, NMF_STEPS), NMF_STEPS)
+    return rd.components_of(spark, moved).withColumn("weight", rounded(F.col("weight")))
+
+
 def r2_nmf(spark: SparkSession, folder: str) -> DataFrame:
     rows, vocab = stored(spark, folder)
     found = rd.nmf(rows, vocab.n_docs, vocab.n_terms, NmfParams(n_components=10, max_steps=8))
@@ -110,12 +119,42 @@ def m9_terms_epoch(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        m3_terms_best_unit, m9_terms_epoch, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf, r3_lda, r4_nmf_map, text_map,
+        m3_terms_best_unit, m9_terms_epoch, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
 
 
+_BASIS = f"""b AS MATERIALIZED (SELECT term_id, CAST(j AS INTEGER) AS j,
+    ('0x' || md5('{SEED}:' || term_id || ':' || j)[1:8])::BIGINT / 4294967296.0::DOUBLE AS w
+    FROM voc, range({WIDTH}) t(j))"""
+
+
+def _nmf_step_sql() -> str:
+    """Multiplicative steps on weights (doc_id, j), then on topics (term_id, j)."""
+    ctes = [
+        *q.tfidf_ctes(), _BASIS,
+        "sq AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM b l JOIN b r USING (term_id) GROUP BY ALL)",
+        "p AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS p FROM cells JOIN b USING (term_id) GROUP BY ALL)",
+        "w0 AS MATERIALIZED (SELECT doc_id, p.j AS j, p / (s + 1e-12::DOUBLE) AS w FROM p JOIN sq ON sq.i = p.j AND sq.j = p.j)",
+    ]
+    for step in range(1, NMF_STEPS + 1):
+        ctes.append(f"""w{step} AS MATERIALIZED (SELECT o.doc_id, o.j, max(o.w) * max(p) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
+            FROM w{step - 1} o JOIN w{step - 1} n USING (doc_id) JOIN sq ON sq.i = n.j AND sq.j = o.j
+            JOIN p ON p.doc_id = o.doc_id AND p.j = o.j GROUP BY o.doc_id, o.j)""")
+    last = f"w{NMF_STEPS}"
+    ctes += [
+        f"a AS MATERIALIZED (SELECT term_id, j, sum(v * w) AS a FROM cells JOIN {last} USING (doc_id) GROUP BY ALL)",
+        f"ww AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM {last} l JOIN {last} r USING (doc_id) GROUP BY ALL)",
+        "h0 AS (SELECT * FROM b)",
+    ]
+    for step in range(1, NMF_STEPS + 1):
+        ctes.append(f"""h{step} AS MATERIALIZED (SELECT o.term_id, o.j, max(o.w) * max(a) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
+            FROM h{step - 1} o JOIN h{step - 1} n USING (term_id) JOIN ww ON ww.i = n.j AND ww.j = o.j
+            JOIN a ON a.term_id = o.term_id AND a.j = o.j GROUP BY o.term_id, o.j)""")
+    return q.with_(*ctes) + f"SELECT j AS topic_id, term_id, round(w, 6) AS weight FROM h{NMF_STEPS}"
+
+
 def _first_component_sql() -> str:
     ctes = [*q.tfidf_ctes(), "v0 AS (SELECT term_id, 1.0::DOUBLE AS w FROM voc)"]
     for step in range(1, POWER_STEPS + 1):
@@ -153,11 +192,10 @@ ORACLES = {
         FROM k0 JOIN mass ON mass.j = k0.node LEFT JOIN pull ON pull.j = k0.node AND pull.term_id = k0.term_id""",
     "r1_power_step": q.with_(
         *q.tfidf_ctes(),
-        f"""b AS MATERIALIZED (SELECT term_id, CAST(j AS INTEGER) AS j,
-            ('0x' || md5('{SEED}:' || term_id || ':' || j)[1:8])::BIGINT / 4294967296.0::DOUBLE AS w
-            FROM voc, range({WIDTH}) t(j))""",
+        _BASIS,
         "y AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
     ) + "SELECT term_id, j, round(sum(v * y), 5) + 0.0 AS z FROM cells JOIN y USING (doc_id) GROUP BY term_id, j",
+    "r2_nmf_step": _nmf_step_sql(),
     "r1_first_component": _first_component_sql(),
     "u1_custom_tokenizer": """SELECT term, count(DISTINCT doc_id) AS df FROM (
         SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents) GROUP BY term""",

@@ -95,7 +95,7 @@ def kernel(params: SomParams, it: int, name: str, cut: bool = True) -> str:
         rate = f"({params.learning_rate}::DOUBLE * pow(0.05::DOUBLE, {part}))"
         sigma = f"({math.sqrt(params.n_nodes)!r}::DOUBLE * pow(0.2::DOUBLE / {math.sqrt(params.n_nodes)!r}::DOUBLE, {part}))"
         shape = f"exp(-d * d / ({sigma} * {sigma}))"
-    value = f"CASE WHEN d <= {radius} THEN {rate} * {shape} ELSE 0.0 END"
+    value = f"CASE WHEN d <= {radius} + 1e-9::DOUBLE THEN {rate} * {shape} ELSE 0.0 END"
     kept = f"CASE WHEN h > {params.min_influence!r}::DOUBLE THEN h ELSE 0.0 END" if cut else "h"
     return f"""{name} AS MATERIALIZED (SELECT b, j, d, {kept} AS h FROM (SELECT b, j, d, {value} AS h
         FROM (SELECT a.node AS b, b.node AS j, {distance(params)} AS d FROM grid a, grid b)))"""

@@ -138,6 +138,12 @@ def t10_fixed_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return tf.cells(tf.tfidf(terms, vocab)).withColumn("v", rounded(F.col("v")))
 
 
+def j3_term_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows, vocab = weighted(spark, folder)
+    named = vo.with_terms(tf.cells(rows), vocab.terms)
+    return named.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), rounded(F.sum("v"), 5).alias("weight"))
+
+
 def top_terms_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Ten terms of largest summed TF-IDF weight per source."""
     rows, vocab = weighted(spark, folder)
@@ -155,7 +161,7 @@ QUERIES = {
         s1_read_articles, s2_read_limited, s3_read_json, s3_read_orc, p1_project, p2_drop_duplicates,
         p3_drop_incomplete, p5_rows_with, p6_get_document, p7_rows_in, p11_fill_numbers, t1_fold, t2_tokens,
         t3_stems, t4_ngrams, t5_vocabulary, t6_lookup, t7_tfidf, t8_unit_rows, t9_shape, t10_fixed_vocabulary,
-        top_terms_by_source,
+        j3_term_names, top_terms_by_source,
     )
 }
 
@@ -200,6 +206,8 @@ ORACLES = {
             FROM given LEFT JOIN freq USING (term))""",
         q.RAW_CELLS, q.UNIT_CELLS,
     ) + "SELECT doc_id, term_id, round(v, 6) AS v FROM cells",
+    "j3_term_names": q.with_(*q.tfidf_ctes())
+    + "SELECT term, count(*) AS docs, round(sum(v), 5) AS weight FROM cells JOIN voc USING (term_id) GROUP BY term",
     "top_terms_by_source": q.with_(*q.tfidf_ctes())
     + """SELECT source, CAST(rn - 1 AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM (
         SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(weight, 12) DESC, term) AS rn FROM (

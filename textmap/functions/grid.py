@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from textmap.params import SomParams
 
 
+# The last radius is one cell by design; rounding must not decide whether that cell is inside.
+EDGE = 1e-9
+
+
 def node_x(node: Column, n_cols: int) -> Column:
     return F.floor(node / F.lit(n_cols)).cast("int")
 
@@ -129,9 +133,9 @@ def schedule(params: SomParams, it: int) -> tuple[float, float, float, int]:
 def influence(dist: Column, params: SomParams, it: int) -> Column:
     radius, rate, width, power = schedule(params, it)
     value = F.lit(rate) * F.exp(-F.pow(dist, F.lit(float(power))) / F.lit(width))
-    return F.when(dist <= F.lit(radius), value).otherwise(F.lit(0.0))
+    return F.when(dist <= F.lit(radius + EDGE), value).otherwise(F.lit(0.0))
 
 
 def influence_matrix(dist: np.ndarray, params: SomParams, it: int) -> np.ndarray:
     radius, rate, width, power = schedule(params, it)
-    return np.where(dist <= radius, rate * np.exp(-(dist**power) / width), 0.0)
+    return np.where(dist <= radius + EDGE, rate * np.exp(-(dist**power) / width), 0.0)

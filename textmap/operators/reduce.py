@@ -200,13 +200,22 @@ def fit_weights(product: np.ndarray, square: np.ndarray, steps: int) -> np.ndarr
     return weights
 
 
-def _update_topics(by_term: np.ndarray, pulled: np.ndarray, square: np.ndarray, steps: int) -> np.ndarray:
+def update_topics(by_term: np.ndarray, pulled: np.ndarray, square: np.ndarray, steps: int) -> np.ndarray:
     """H' after multiplicative steps with fixed W: rows are terms, so each row moves by itself."""
     for _ in range(steps):
         by_term = by_term * pulled / (by_term @ square + _TINY)
     return by_term
 
 
+def nmf_sums(rows: DataFrame, by_term: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """transpose(X) W and transpose(W) W, with W fitted to the given topics, in one pass over the rows."""
+    n_terms, k = by_term.shape
+    shape = (n_terms + k, k)
+    with mx.shared(rows.sparkSession, by_term) as sent:
+        found = mx.collect_matrix(mx.sum_rows(rows, n_terms, shape, _nmf_work(sent, steps)), shape)
+    return found[:n_terms], found[n_terms:]
+
+
 def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParams()) -> Reduction:
     """X ~ W H with non-negative factors; ``vectors`` is W, not scaled. One pass over ``rows`` per step."""
     k = component_count(params.n_components, n_docs, n_terms)
@@ -221,14 +230,11 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     by_term = scale * np.random.default_rng(params.seed).random((n_terms, k))
     trace: list[float] = []
     for _ in range(params.max_steps):
-        shape = (n_terms + k, k)
-        with mx.shared(spark, by_term) as sent:
-            found = mx.collect_matrix(mx.sum_rows(rows, n_terms, shape, _nmf_work(sent, steps)), shape)
-        pulled, square = found[:n_terms], found[n_terms:]
+        pulled, square = nmf_sums(rows, by_term, steps)
         trace.append(float(total - 2 * (pulled * by_term).sum() + (square * (by_term.T @ by_term)).sum()))
         if _settled(trace, params.tolerance, total):
             break
-        by_term = _update_topics(by_term, pulled, square, steps)
+        by_term = update_topics(by_term, pulled, square, steps)
     final = spark.sparkContext.broadcast(by_term)
 
     def weigh(block: np.ndarray) -> np.ndarray:
@@ -290,7 +296,7 @@ def _nmf_tables(
         if _settled(trace, params.tolerance, total):
             break
         moved = mx.map_rows(
-            pair, 2 * k, lambda b: _update_topics(b[:, :k], b[:, k:], square, steps), "row"
+            pair, 2 * k, lambda b: update_topics(b[:, :k], b[:, k:], square, steps), "row"
         ).select(F.col("row").cast("int").alias("row"), "vec")
         topics = stage(moved, "nmf-topics")
     attributes: dict[str, float | str] = {"n_topics": k, "n_iter": len(trace)}

@@ -90,15 +90,23 @@ def top_documents(vectors: DataFrame, n_topics: int, n_articles: int, id_col: st
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights = np.zeros((n_topics, 0), np.int64), np.zeros((n_topics, 0))
+        ids = [np.zeros(0, np.int64)] * n_topics
+        weights = [np.zeros(0)] * n_topics
         for numbers, block in mx.blocks(batches, n_topics):
-            ids = np.concatenate([ids, np.broadcast_to(numbers, (n_topics, len(numbers)))], axis=1)
-            weights = np.concatenate([weights, block.T], axis=1)
-            keep = np.lexsort((ids, -np.round(weights, som.TIE_DIGITS)), axis=1)[:, :n_articles]
-            ids, weights = np.take_along_axis(ids, keep, 1), np.take_along_axis(weights, keep, 1)
-        topic = np.repeat(np.arange(n_topics, dtype=np.int32), ids.shape[1])
+            ranked = np.round(block, som.TIE_DIGITS)
+            nth = max(len(block) - n_articles, 0)
+            least = np.partition(ranked, nth, axis=0)[nth]
+            for topic in range(n_topics):
+                # every row that can be among the first n of this block, ties included
+                found = np.flatnonzero(ranked[:, topic] >= least[topic])
+                number = np.concatenate([ids[topic], numbers[found]])
+                weight = np.concatenate([weights[topic], block[found, topic]])
+                keep = np.lexsort((number, -np.round(weight, som.TIE_DIGITS)))[:n_articles]
+                ids[topic], weights[topic] = number[keep], weight[keep]
+        topics = np.repeat(np.arange(n_topics, dtype=np.int32), [len(i) for i in ids])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(topic), pa.array(ids.ravel()), pa.array(weights.ravel())], ["topic_id", id_col, "weight"]
+            [pa.array(topics), pa.array(np.concatenate(ids)), pa.array(np.concatenate(weights))],
+            ["topic_id", id_col, "weight"],
         )
 
     rows = few_tasks(mx.row_columns(vectors, id_col))
