@@ -1,6 +1,6 @@
 """Queries on the self-organizing map, trained on the whole vector table."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.catalog import sql as q
@@ -54,13 +54,11 @@ def m1_random_codebook(spark: SparkSession, folder: str) -> DataFrame:
 
 def m2_warm_start(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
-    order = F.dense_rank().over(Window.orderBy("label")) - 1
-    labels = rows.select("label").distinct().select("label", order.cast("int").alias("node"))
     means = rows.select("label", F.posexplode("vec").alias("f", "v")).groupBy("label", "f").agg(F.avg("v").alias("m"))
-    start = means.groupBy("label").agg(
+    # one node per label: the labels are the numbers 0 to 9
+    k_init = means.groupBy(F.col("label").alias("node")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda e: e["m"]).alias("vec")
     )
-    k_init = labels.join(start, "label").select("node", "vec")
     codebook = som.initial_codebook(rows, som.mx.width_of(rows), LABEL_MAP, k_init)
     dist = grid.distance_matrix(LABEL_MAP.kshape, LABEL_MAP.topology)
     return entries(som.run_epoch(rows, codebook, LABEL_MAP, 1, dist).codebook.to_df(spark))
@@ -293,7 +291,7 @@ _NEAR = """near AS MATERIALIZED (SELECT doc_id, node, d, row_number() OVER (PART
 _HX, _HY = "(i - sign(j) * floor(abs(j) / 2.0))", "(i + sign(j) * ceil(abs(j) / 2.0))"
 _POINTS = "SELECT event_id, user_id - 25 AS i, floor(value) - 10 AS j FROM events"
 _LABELS = """k0 AS MATERIALIZED (SELECT node, list(m ORDER BY f) AS vec FROM (
-    SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS node, f, m FROM (
+    SELECT label AS node, f, m FROM (
     SELECT label, f, avg(v) AS m FROM (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS f FROM x)
     GROUP BY ALL)) GROUP BY node)"""
 _ONE = SomParams(kshape=MAP.kshape, n_iter=3, learning_rate=MAP.learning_rate, init="first")

@@ -26,9 +26,7 @@ NODE = 3
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as posts: kind by language, time from the event of the same number, one comment each."""
     kinds = F.create_map(*[F.lit(v) for v in ("en", "BlogPost", "fr", "Quote", "de", "Video", "es", "Image")])
-    times = table(spark, folder, "events").select(
-        F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("created_at")
-    )
+    times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
     title = tx.title_of(F.col("text"))
     return documents(spark, folder).join(times, "doc_id", "left").select(
         "doc_id", F.try_element_at(kinds, F.col("lang")).alias("post_type"), "created_at", title.alias("title"),

@@ -48,8 +48,8 @@ def sanitize(html: Column, tags: Sequence[str] = KEPT_TAGS) -> Column:
 
 
 def strip_zone(timestamp: Column) -> Column:
-    """A time text cut at its "+hh:mm" suffix, as a timestamp; null if it is none."""
-    return F.try_to_timestamp(F.substring_index(timestamp, "+", 1))
+    """A time text cut at its "+hh:mm" suffix, hence a time without a zone; null if it is none."""
+    return F.substring_index(timestamp, "+", 1).try_cast("timestamp_ntz")
 
 
 def _fields(patterns: FieldPatterns) -> list[Column]:
