@@ -17,7 +17,7 @@ from textmap.operators import matrix as mx
 from textmap.operators import som
 from textmap.operators.regions import with_coordinates
 from textmap.params import SomParams
-from textmap.session import few_tasks
+from textmap.session import few_tasks, stage
 
 PAGE_SIZE = 10_000
 # Asked documents, one vector each, that are sent to every executor.
@@ -275,9 +275,13 @@ def corpus_table(
     corpus: DataFrame, assigned: DataFrame, node_clusters: DataFrame, codebook: DataFrame, components: DataFrame,
     terms: DataFrame, kshape: tuple[int, int], n_topics: int = 3, n_features: int = 5,
 ) -> DataFrame:
-    """(doc_id, title, node, x, y, cluster, topics): one row per document, described by its node."""
+    """(doc_id, title, node, x, y, cluster, topics): one row per document, described by its node.
+
+    The node descriptions are stored first: Spark then knows that they are map-sized and leaves the
+    documents where they are, instead of gathering them by node.
+    """
     topics = nested_topics(node_topics(codebook, components, terms, n_topics, n_features))
-    per_node = with_coordinates(node_clusters, kshape).join(topics, "node", "left")
+    per_node = stage(with_coordinates(node_clusters, kshape).join(topics, "node", "left"), "nodes")
     return (
         corpus.select("doc_id", "title")
         .join(assigned.select("doc_id", "node"), "doc_id")
@@ -290,8 +294,9 @@ def article_pages(assigned: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """(node, page, articles): document ids of each node in pages of about ``page_size``.
 
     The number of pages follows the hits of the node, so no row and no group holds a whole hot node.
+    The page counts are stored first, so that joining them does not gather the documents by node.
     """
-    pages = assigned.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).alias("pages"))
+    pages = stage(assigned.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).alias("pages")), "pages")
     spread = assigned.select("node", "doc_id").join(pages, "node")
     page = F.pmod(F.xxhash64("doc_id"), F.col("pages")).cast("int")
     return spread.groupBy("node", page.alias("page")).agg(F.array_sort(F.collect_list("doc_id")).alias("articles"))
