@@ -5,20 +5,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.catalog import sql as q
+from textmap.catalog import summaries as cs
+from textmap.catalog.maps import _HITS
 from textmap.catalog.tables import articles
-from textmap.catalog.text import tokenized, weighted
+from textmap.catalog.text import ARTICLES_SQL, tokenized, weighted
 from textmap.functions.vectors import rounded
+from textmap.operators import matrix as mx
 from textmap.operators import reduce as rd
 from textmap.operators import som, sparse_som
 from textmap.operators import summaries as sm
 from textmap.operators import vocabulary as vo
-from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams
+from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, WardParams
 from textmap.plans.analysis import Analysis, run_analysis
 from textmap.session import stage
 
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
 NMF_STEPS = 2
+PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=2, learning_rate=0.1, init="first")
+PROJECTED_REGIONS = 4
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=8)
 TERM_MAP = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, decay="sparse", min_influence=0.001, seed=5)
 
@@ -31,8 +36,7 @@ def stored(spark: SparkSession, folder: str) -> tuple[DataFrame, vo.Vocabulary]:
 
 def r1_power_step(spark: SparkSession, folder: str) -> DataFrame:
     rows, vocab = weighted(spark, folder)
-    basis = np.array([[som.random_value(SEED, t, j) for j in range(WIDTH)] for t in range(vocab.n_terms)])
-    step = rd.power_step(rows, basis).select(F.col("row").alias("term_id"), F.posexplode("vec").alias("j", "z"))
+    step = rd.power_step(rows, _basis(vocab.n_terms)).select(F.col("row").alias("term_id"), F.posexplode("vec").alias("j", "z"))
     return step.withColumn("z", rounded(F.col("z"), 5))
 
 
@@ -58,7 +62,7 @@ def r1_lsa_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def r2_nmf_step(spark: SparkSession, folder: str) -> DataFrame:
     """Topics after one pass from given topics: weights fitted, sums taken, topics moved."""
     rows, vocab = weighted(spark, folder)
-    start = np.array([[som.random_value(SEED, t, j) for j in range(WIDTH)] for t in range(vocab.n_terms)])
+    start = _basis(vocab.n_terms)
     moved = rd.update_topics(start, *rd.nmf_sums(rows, start, NMF_STEPS), NMF_STEPS)
     return rd.components_of(spark, moved).withColumn("weight", rounded(F.col("weight")))
 
@@ -90,6 +94,29 @@ def text_map(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("topics", sm.topics_text(F.col("topics")))
 
 
+def _basis(n_terms: int) -> np.ndarray:
+    return np.array([[som.random_value(SEED, t, j) for j in range(WIDTH)] for t in range(n_terms)]).reshape(-1, WIDTH)
+
+
+def r1_project(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in the space of given components, scaled to length one."""
+    rows, vocab = weighted(spark, folder)
+    placed = mx.multiply(rows, _basis(vocab.n_terms) - 0.5, unit=True)
+    return placed.select("doc_id", F.posexplode("vec").alias("topic_id", "w")).withColumn("w", rounded(F.col("w")))
+
+
+def u4_projected_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole analysis with the caller's own reducer: given components instead of fitted ones."""
+
+    def project(rows: DataFrame, tokenized: DataFrame, vocab: vo.Vocabulary) -> rd.Reduction:
+        by_term = _basis(vocab.n_terms) - 0.5
+        return rd.Reduction(mx.multiply(rows, by_term, unit=True), rd.components_of(spark, by_term), WIDTH, {})
+
+    params = AnalysisParams(som=PROJECTED_MAP, ward=WardParams(PROJECTED_REGIONS))
+    table = run_analysis(articles(spark, folder), params, reducer=project).map_table(2, 3)
+    return table.withColumn("topics", sm.topics_text(F.col("topics")))
+
+
 def r4_nmf_map(spark: SparkSession, folder: str) -> DataFrame:
     table = analyse(spark, folder, "nmf").map_table()
     return table.withColumn("topics", sm.topics_text(F.col("topics")))
@@ -119,7 +146,7 @@ def m9_terms_epoch(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        m3_terms_best_unit, m9_terms_epoch, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
+        m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
@@ -166,7 +193,23 @@ def _first_component_sql() -> str:
     return q.with_(*ctes) + f"SELECT term_id, round(w, 5) + 0.0 AS weight FROM v{POWER_STEPS}"
 
 
-_TERM_ROWS, _TERM_COLS = TERM_MAP.kshape
+# Document vectors x(doc_id, vec) in the space of the given components, zero where no term is known.
+_PLACED = [
+    "y AS MATERIALIZED (SELECT doc_id, j, sum(v * (w - 0.5)) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
+    """yl AS MATERIALIZED (SELECT doc_id, list(y / l ORDER BY j) AS vec FROM y JOIN (
+        SELECT doc_id, sqrt(sum(y * y)) AS l FROM y GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)""",
+    f"""x AS MATERIALIZED (SELECT tok.doc_id, coalesce(vec, [0.0::DOUBLE for i in range({WIDTH})]) AS vec
+        FROM tok LEFT JOIN yl ON yl.doc_id = tok.doc_id)""",
+]
+_PROJECTED = [
+    f"dedup AS MATERIALIZED (SELECT min(doc_id) AS doc_id, body FROM ({ARTICLES_SQL}) GROUP BY title, body)",
+    q.tokens_of("dedup", "doc_id", "body"), *q.tfidf_ctes()[1:], _BASIS, *_PLACED, q.XU, q.grid(PROJECTED_MAP),
+    q.first_rows(PROJECTED_MAP.n_nodes), *q.epoch(PROJECTED_MAP, 1), *q.epoch(PROJECTED_MAP, 2),
+    "kk AS (SELECT * FROM k2)", q.assign("kk", "aa"), *q.ward("kk", PROJECTED_MAP, PROJECTED_REGIONS),
+    "comp AS MATERIALIZED (SELECT j AS topic_id, term_id, term AS name, w - 0.5 AS weight FROM b JOIN voc USING (term_id))",
+    cs.NODE_WEIGHTS, cs.node_words(2, 3), cs.TOPICS_TEXT, f"hits AS ({_HITS})",
+]
+
 _TERM_UNITS = [
     *q.tfidf_ctes(),
     f"""k0 AS MATERIALIZED (SELECT CAST(n AS INTEGER) AS node, term_id,
@@ -181,6 +224,11 @@ _TERM_UNITS = [
 ]
 
 ORACLES = {
+    "r1_project": q.with_(*q.tfidf_ctes(), _BASIS, *_PLACED)
+    + f"""SELECT doc_id, CAST(j AS INTEGER) AS topic_id, round(vec[j + 1], 6) + 0.0 AS w FROM x, range({WIDTH}) t(j)""",
+    "u4_projected_map": q.with_(*_PROJECTED)
+    + """SELECT grid.node, gx AS x, gy AS y, cluster, hits, topics FROM grid
+        JOIN node_clusters USING (node) JOIN hits USING (node) JOIN tt USING (node)""",
     "m3_terms_best_unit": q.with_(*_TERM_UNITS) + "SELECT doc_id, node FROM aa",
     "m9_terms_epoch": q.with_(
         *_TERM_UNITS, q.grid(TERM_MAP), q.kernel(TERM_MAP, 1, "hh"),
