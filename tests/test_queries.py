@@ -38,3 +38,11 @@ def test_every_oracle_has_a_query():
 
 def test_entry_gives_the_map(spark):
     assert entry.entry(spark).count() == 30
+
+
+def test_staging_uses_the_folder_the_session_names(spark):
+    from textmap.session import staging_path
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    one, two = staging_path(spark, "t"), staging_path(spark, "t")
+    assert one.startswith(named.rstrip("/")) and one != two
