@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm import mixing, sharding
+from textmap.llm import mixing, neardup, sharding, tokenbin
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_pfor_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokenbin.write_token_files(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    return tokenbin.read_token_files(files)
+
+
 def op4_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select(
@@ -27,6 +36,10 @@ def op5_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_fast_sketch_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"), 85)
+
+
 # CRC-32 by half bytes: the table of the reflected polynomial follows from four shift steps.
 _CRC = """
 list_reduce(
@@ -62,8 +75,10 @@ FROM cut
 
 def queries() -> dict:
     return {
+        "op2_pfor_tokens": op2_pfor_tokens,
         "op4_entropy_balancing": op4_entropy_balancing,
         "op5_byte_shards": op5_byte_shards,
+        "op9_fast_sketch_near_duplicates": op9_fast_sketch_near_duplicates,
     }
 
 
