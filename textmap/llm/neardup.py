@@ -18,6 +18,9 @@ BANDS, ROWS = 30, 6  # a pair at 0.85 shares no band with a probability of 7e-7
 COORDINATES = BANDS * ROWS
 CACHED_WORDS = 1_000_000
 BATCH_SHINGLES = 400_000
+CROWD = 16  # classes left in a band that are compared pair by pair; more are compared in blocks
+BLOCK = 128
+COLUMNS = 4096
 
 
 class _WordHashes(dict):
@@ -143,17 +146,91 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """``pairs`` (a, b) of nodes with the sizes of intersection and union of their full sets."""
-    pairs = stage(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _shingle_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(node, shingles) of the ``wanted`` nodes, made again from the text of one document of each class."""
     wanted = stage(
         classes.join(wanted, "node").select(F.col("first_doc").alias("wanted_doc"), "node", "d1", "d2"), f"{name}-wanted"
     )
     if fits_broadcast(wanted.count() * 32):
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_doc"))).select("text", "node", "d1", "d2")
-    sets = stage(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), f"{name}-sets")
+    return stage(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), f"{name}-sets")
+
+
+def _block_links(percent: int):
+    """Compares two blocks of classes at once; gives as many links as connect what belongs together."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, apart, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        lists = table.column("shingles").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        owner = np.repeat(np.arange(len(nodes)), lengths)
+        values, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        by_column = np.argsort(column, kind="stable")
+        owner, column = owner[by_column], column[by_column]
+        common = np.zeros((len(nodes), len(nodes)), np.float32)
+        n_columns = int(column[-1]) + 1 if len(column) else 0
+        for start in range(0, n_columns, COLUMNS):
+            part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+            held = np.zeros((len(nodes), COLUMNS), np.float32)
+            held[owner[part], column[part] - start] = 1
+            common += held @ held.T
+        union = lengths[:, None] + lengths[None, :] - common
+        first, last = block.min(), block.max()
+        asked = (nodes[:, None] < nodes[None, :]) & (apart[:, None] != apart[None, :])
+        if first != last:
+            asked &= block[:, None] != block[None, :]
+        left, right = np.nonzero(asked & (common * 100 >= union * percent))
+        parent = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        links = []
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = root(apart[a]), root(apart[b])
+            if x != y:
+                parent[x] = y
+                links.append((nodes[a], nodes[b]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
+
+
+def _crowd_links(crowd: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links within crowds: (node, component, first) says which nodes share a full band.
+
+    Crowds that share nodes are one group. A group is cut into blocks of about ``BLOCK`` nodes by hash, and
+    every two blocks meet in one task, so no row is made per pair.
+    """
+    groups = stage(components(crowd.select(F.col("node").alias("a"), F.col("first").alias("b")), "near-crowds"), "near-crowd")
+    if groups.isEmpty():
+        return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = _shingle_sets(groups.select("node"), classes, docs, "near-crowd")
+    placed = (
+        groups.join(sizes, "component").withColumnRenamed("component", "crowd")
+        .join(crowd.select("node", "component").distinct(), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component"
+    )
+    return met.join(sets, "node").groupBy("crowd", "low", "high").applyInArrow(_block_links(percent), "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (a, b) of nodes with the sizes of intersection and union of their full sets."""
+    pairs = stage(pairs, f"{name}-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _shingle_sets(wanted, classes, docs, name)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a")
@@ -173,8 +250,9 @@ def near_duplicates(
     Equal sets form one class and are handled once. Classes that share a band are candidates. In each band every
     class is first compared with the smallest one; links found so connect almost all. Then any two classes
     of a band that are still apart are compared, unless their distances to the smallest one already show,
-    by the triangle inequality of the Jaccard distance, that they can't be linked. So no pair of a band is
-    left undecided and no group is opened into all its pairs. All links are confirmed on full sets.
+    by the triangle inequality of the Jaccard distance, that they can't be linked; where more than 16 are
+    apart in a band, whole blocks of classes are compared at once. So no pair of a band is left undecided
+    and no group is opened into all its pairs. All links are confirmed on full sets.
 
     Null or empty texts have empty sets and stay alone. Rows with a null id can link others; they get
     the smallest other id of their component, or null and are kept. Rows of one id count as one document each.
@@ -207,6 +285,10 @@ def near_duplicates(
     )
     mixed = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     rest = stage(rest.join(mixed.where("low <> high").select("band"), "band", "left_semi"), "near-rest")
+    sizes = rest.groupBy("band").agg(F.count("*").alias("left"), F.min("node").alias("first"))
+    rest = rest.join(sizes, "band")
+    crowded = _crowd_links(rest.where(F.col("left") > CROWD), classes, docs, percent)
+    rest = rest.where(F.col("left") <= CROWD)
     other = rest.select("band", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "near", "component")])
     apart = rest.join(
         other,
@@ -217,7 +299,7 @@ def near_duplicates(
         & (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent),
     )
     second = _verified(apart.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct(), classes, docs, "near-second")
-    more = second.where(linked).select("a", "b")
+    more = stage(second.where(linked).select("a", "b").unionByName(crowded), "near-more")
     if more.isEmpty():
         final = found
     else:
