@@ -213,6 +213,7 @@ class ChunkEncoder:
     """
 
     odd = re.compile(r" \s|\s ")
+    lines = re.compile(r"\S+(\n\S+)+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -221,28 +222,63 @@ class ChunkEncoder:
         self.library.encode_special_tokens = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
+        self.line_end = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _learn(self, wanted: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Encode stretches not ``known`` yet; a mark at the end of a word is a piece of its own."""
+        plain, marked = set(), []
+        for s in wanted:
+            if s[-1:] in self.marks and s[-2:-1].isalpha():
+                marked.append(s)
+                plain.add(s[:-1])
+            else:
+                plain.add(s)
+        new = [s for s in plain if s not in known]
+        known.update(zip(new, self._library([lead + s for s in new]), strict=True))
+        for s in marked:
+            known[s] = known[s[:-1]] + self.marks[s[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if self.odd.search(t) else t.split(" ") for t in texts]
         if len(self.later) > CACHED_CHUNKS:
             self.later.clear()
         if len(self.first) > CACHED_CHUNKS:
             self.first.clear()
-        firsts = {s[0] for s in split if s} - self.first.keys()
-        laters = set().union(*(s[1:] for s in split if s)) - self.later.keys()
-        firsts, laters = list(firsts), list(laters)
-        self.first.update(zip(firsts, self._library(firsts), strict=True))
-        self.later.update(zip(laters, self._library([f" {s}" for s in laters]), strict=True))
+        firsts = {s[0] for s in split if s and s[0] not in self.first}
+        laters = set()
+        for s in split:
+            if s:
+                laters.update(s[1:])
+        laters = {s for s in laters if s not in self.later}
+        # a single line end between words is a piece of its own, too
+        lines = {s: s.split("\n") for s in firsts | laters if "\n" in s and self.lines.fullmatch(s)}
+        firsts_of_lines = {x for parts in lines.values() for x in parts[1:]}
+        self._learn(
+            {s for s in firsts if s not in lines}
+            | {parts[0] for s, parts in lines.items() if s in firsts}
+            | {s for s in firsts_of_lines if s not in self.first},
+            self.first, "",
+        )
+        self._learn(
+            {s for s in laters if s not in lines} | {parts[0] for s, parts in lines.items() if s in laters}, self.later, " "
+        )
+        for s, parts in lines.items():
+            tail = b"".join(self.line_end + self.first[x] for x in parts[1:])
+            if s in firsts:
+                self.first[s] = self.first[parts[0]] + tail
+            if s in laters:
+                self.later[s] = self.later[parts[0]] + tail
         whole = iter(self._library([t for t, s in zip(texts, split, strict=True) if s is None]))
         get = self.later.__getitem__
         return [next(whole) if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
 
 
-TEXTS_AT_ONCE = 200
+TEXTS_AT_ONCE = 400
 
 
 def _writer(folder: str, tokenizer: str, percentile: float):
