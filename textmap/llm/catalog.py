@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm import mixing, neardup, sharding, tokenbin
+from textmap.llm import annsearch, mixing, neardup, neargraph, sharding, tokenbin
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,10 @@ def op2_pfor_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokenbin.read_token_files(files)
 
 
+def op3_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return annsearch.nearest(_table(spark, folder, "embeddings"), every=50, k=5)
+
+
 def op4_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select(
@@ -40,6 +44,10 @@ def op9_fast_sketch_near_duplicates(spark: SparkSession, folder: str) -> DataFra
     return neardup.near_duplicates(_table(spark, folder, "documents"), 85)
 
 
+def op10_nn_descent_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neargraph.near_vectors(_table(spark, folder, "embeddings"), 0.95)
+
+
 # CRC-32 by half bytes: the table of the reflected polynomial follows from four shift steps.
 _CRC = """
 list_reduce(
@@ -76,9 +84,11 @@ FROM cut
 def queries() -> dict:
     return {
         "op2_pfor_tokens": op2_pfor_tokens,
+        "op3_multiprobe_neighbours": op3_multiprobe_neighbours,
         "op4_entropy_balancing": op4_entropy_balancing,
         "op5_byte_shards": op5_byte_shards,
         "op9_fast_sketch_near_duplicates": op9_fast_sketch_near_duplicates,
+        "op10_nn_descent_near_vectors": op10_nn_descent_near_vectors,
     }
 
 
