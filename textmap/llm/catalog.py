@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm import annsearch, mixing, neardup, neargraph, sharding, tokenbin
+from textmap.llm import annsearch, langid, mixing, neardup, neargraph, quality, sharding, tokenbin
+from textmap.llm.folds import fold
+from textmap.session import stage
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +50,31 @@ def op10_nn_descent_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neargraph.near_vectors(_table(spark, folder, "embeddings"), 0.95)
 
 
+def language_net(documents: DataFrame):
+    """The network learnt from documents outside fold 0."""
+    return langid.train(documents.where(fold() != 0), F.col("doc_id"))
+
+
+def op6_byte_network_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    told = langid.identify(documents, language_net(documents))
+    return told.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(measured: DataFrame, labels: DataFrame):
+    """The model learnt from labels outside fold 0."""
+    return quality.train(measured.where(fold() != 0), labels, F.col("doc_id"))
+
+
+def op8_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    measured = stage(quality.measure(_table(spark, folder, "documents")), "quality-features")
+    model = quality_model(measured, _table(spark, folder, "labels"))
+    scored = quality.score(measured, model)
+    return scored.select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 # CRC-32 by half bytes: the table of the reflected polynomial follows from four shift steps.
 _CRC = """
 list_reduce(
@@ -87,6 +114,8 @@ def queries() -> dict:
         "op3_multiprobe_neighbours": op3_multiprobe_neighbours,
         "op4_entropy_balancing": op4_entropy_balancing,
         "op5_byte_shards": op5_byte_shards,
+        "op6_byte_network_language": op6_byte_network_language,
+        "op8_additive_quality": op8_additive_quality,
         "op9_fast_sketch_near_duplicates": op9_fast_sketch_near_duplicates,
         "op10_nn_descent_near_vectors": op10_nn_descent_near_vectors,
     }
