@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm import annsearch, langid, mixing, neardup, neargraph, quality, sharding, tokenbin
+from textmap.llm import annsearch, langid, mixing, neardup, neargraph, pieces, quality, sharding, tokenbin
 from textmap.llm.folds import fold
 from textmap.session import stage
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +76,12 @@ def op8_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_lattice_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digest(pieces.encode(_table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL)))
+
+
 # CRC-32 by half bytes: the table of the reflected polynomial follows from four shift steps.
 _CRC = """
 list_reduce(
@@ -115,6 +122,7 @@ def queries() -> dict:
         "op4_entropy_balancing": op4_entropy_balancing,
         "op5_byte_shards": op5_byte_shards,
         "op6_byte_network_language": op6_byte_network_language,
+        "op7_lattice_pieces": op7_lattice_pieces,
         "op8_additive_quality": op8_additive_quality,
         "op9_fast_sketch_near_duplicates": op9_fast_sketch_near_duplicates,
         "op10_nn_descent_near_vectors": op10_nn_descent_near_vectors,

@@ -139,7 +139,10 @@ def train(labelled: DataFrame, key: Column, text_col: str = "text", label_col: s
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         (F.xxhash64(key) % F.lit(1 << 30)).alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")
     )
-    sample = rows.mapInArrow(_samples, "key long, label string, bytes binary")
+    # every row gives a window at least, so a share of the rows by hash is enough
+    share = min(1.0, 2 * TRAIN_WINDOWS / max(1, rows.select("key").count()))
+    near = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    sample = rows.where(near).mapInArrow(_samples, "key long, label string, bytes binary")
     sample = sample.orderBy(F.xxhash64("key"), "bytes", "label").limit(TRAIN_WINDOWS).collect()
     if not sample:
         return None

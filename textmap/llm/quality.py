@@ -188,7 +188,9 @@ class AdditiveModel:
 def train(measured: DataFrame, labels: DataFrame, key: Column, label_col: str = "quality") -> AdditiveModel | None:
     """A model fitted on at most ``TRAIN_ROWS`` labelled rows, the smallest by hash of ``key``; none without a row."""
     marks = labels.where(F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("double").alias("label__"))
-    rows = measured.join(marks, "doc_id").orderBy(F.xxhash64(key), "label__").limit(TRAIN_ROWS)
+    share = min(1.0, 2 * TRAIN_ROWS / max(1, marks.count()))
+    near = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    rows = measured.where(near).join(marks, "doc_id").orderBy(F.xxhash64(key), "label__").limit(TRAIN_ROWS)
     sample = rows.select("features", "label__").toPandas()
     if not len(sample):
         return None
