@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm import annsearch, langid, mixing, neardup, neargraph, pieces, quality, sharding, tokenbin
+from textmap.llm import annsearch, brown, langid, mixing, neardup, neargraph, pieces, quality, sharding, tokenbin
 from textmap.llm.folds import fold
 from textmap.session import stage
 
@@ -17,6 +17,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_brown_classes(spark: SparkSession, folder: str) -> DataFrame:
+    scored = brown.score_texts(_table(spark, folder, "documents"), fold() != 1)
+    return scored.withColumn("held_out", ~F.col("learnt")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_pfor_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -117,6 +124,7 @@ FROM cut
 
 def queries() -> dict:
     return {
+        "op1_brown_classes": op1_brown_classes,
         "op2_pfor_tokens": op2_pfor_tokens,
         "op3_multiprobe_neighbours": op3_multiprobe_neighbours,
         "op4_entropy_balancing": op4_entropy_balancing,

@@ -35,13 +35,15 @@ def as_dict(rows: DataFrame, value: str) -> dict:
 
 
 def with_values(
-    docs: DataFrame, words: DataFrame, head: Broadcast, split: Callable[[str | None], list[str]]
+    docs: DataFrame, words: DataFrame, head: Broadcast, split: Callable[[str | None], list]
 ) -> DataFrame:
     """``docs`` (row, doc_id, text) with the texts packed and the words that ``head`` lacks.
 
     Columns: row, doc_id, packed (zstd of the text, null stays), rest (array of word, value). ``words`` has
-    word and value (binary). Documents without other words get a null rest.
+    word (string or binary, as ``split`` gives them) and value. Documents without other words get a null rest.
     """
+    kind = words.schema["word"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.binary()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
@@ -51,7 +53,7 @@ def with_values(
                 rest = {w for w in split(text.as_py()) if w not in known}
                 found.extend(rest)
                 rows.extend([row] * len(rest))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string())], ["row", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, arrow)], ["row", "word"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -62,7 +64,7 @@ def with_values(
             packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["row", "doc_id", "packed"])
 
-    asked = docs.select("row", "text").mapInArrow(others, "row long, word string")
+    asked = docs.select("row", "text").mapInArrow(others, f"row long, word {kind}")
     valued = asked.join(words.select("word", "value"), "word", "left")
     per_row = valued.groupBy("row").agg(F.collect_list(F.struct("word", "value")).alias("rest"))
     whole = docs.select("row", "doc_id", "text").mapInArrow(pack, "row long, doc_id long, packed binary")
