@@ -1,7 +1,7 @@
 """Texts as pieces of a SentencePiece vocabulary: a relational lattice and a Viterbi fold.
 
-A text gets a blank in front and is cut into words: blanks and what follows them up to the next blank, line end or
-48 characters. Each distinct word becomes a lattice: its substrings of bounded length are joined to the piece
+A text gets a blank in front and is cut into words: blanks and the run of common marks, or of other characters,
+that follows them, up to a blank, a line end or 48 characters. Each distinct word becomes a lattice: its substrings of bounded length are joined to the piece
 table, the matches are its edges, and Spark's ``aggregate`` folds the best path from left to right. The best path
 has the largest sum of piece values; of equal sums the one whose last piece starts later. A character that no
 piece holds is spelled in bytes. Pieces of a unigram model count by their log-probability; pieces of a model
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from textmap.llm.lookup import as_dict, common_words, unpacked, with_values
 from textmap.session import fits_broadcast, stage
 
-WORD = r" {0,16}[^ \n]{1,48}| {1,16}|\n"
+WORD = r" {0,16}(?:[^ \n.,;:!?]{1,48}|[.,;:!?]{1,48})| {1,16}|\n"
 SPACE = "▁"
 SPELLED = -30.0  # value of a byte; below every piece
 _word = re.compile(WORD)
