@@ -16,7 +16,7 @@ from textmap.session import fits_broadcast, stage
 SHINGLE = 5
 BANDS, ROWS = 30, 6  # a pair at 0.85 shares no band with a probability of 7e-7
 COORDINATES = BANDS * ROWS
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 BATCH_SHINGLES = 400_000
 CROWD = 16  # classes left in a band that are compared pair by pair; more are compared in blocks
 BLOCK = 128

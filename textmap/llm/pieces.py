@@ -24,6 +24,7 @@ from textmap.session import fits_broadcast, stage
 
 WORD = r" {0,16}(?:[^ \n.,;:!?]{1,48}|[.,;:!?]{1,48})| {1,16}|\n"
 SPACE = "▁"
+SPREAD = 4
 SPELLED = -30.0  # value of a byte; below every piece
 _word = re.compile(WORD)
 
@@ -69,7 +70,10 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``words`` (word, n) with ids, the pieces of the best path. Words stay where they were grouped."""
-    table = F.broadcast(pieces.table(words.sparkSession))  # the fixed vocabulary of the model, checked
+    spark = words.sparkSession
+    table = F.broadcast(pieces.table(spark))  # the fixed vocabulary of the model, checked
+    # a word opens into some sixty rows, so tasks take few words
+    words = words.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     # blanks are the marks of the pieces; a mark in the text itself matches no piece
     shape = F.translate("word", f" {SPACE}", f"{SPACE}\uffff")
     length = F.length("word")
