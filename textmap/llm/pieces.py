@@ -174,9 +174,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sums = [None if x.as_py() is None else zlib.crc32(np.array(x.as_py(), "<u4").tobytes()) for x in batch.column(2)]
-        sizes = [None if x.as_py() is None else len(x.as_py()) for x in batch.column(2)]
-        texts = [None if x.as_py() is None else zlib.crc32(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(3)]
+        lists = batch.column(2)
+        held = lists.is_valid().to_pylist()
+        bounds = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False)
+        cut = [values[a:b] if ok else None for ok, a, b in zip(held, bounds[:-1], bounds[1:], strict=True)]
+        sizes = [None if c is None else len(c) for c in cut]
+        sums = [None if c is None else zlib.crc32(np.ascontiguousarray(c, "<u4")) for c in cut]
+        texts = [None if x is None else zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (t.as_py() for t in batch.column(3))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (sizes, sums, texts)]],
             ["doc_id", "n_words", "n_pieces", "ids_crc32", "text_crc32"],
