@@ -122,7 +122,7 @@ def c4_centre_top_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def a1_node_hits(spark: SparkSession, folder: str) -> DataFrame:
     fitted = fit(spark, folder)
-    return som.hits(fitted.assigned, MAP.kshape).where("hits > 0")
+    return som.hits(fitted.assigned, MAP.kshape)
 
 
 def a2_cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,20 +245,21 @@ ORACLES = {
             JOIN documents USING (doc_id) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)
             GROUP BY ALL)""",
     ) + f"SELECT lang, rank, name, round(weight, 6) AS weight FROM {top('centre', 'lang', 'name', 9)}",
-    "a1_node_hits": q.with_(*FINAL) + "SELECT node, count(*) AS hits FROM aa GROUP BY node",
+    "a1_node_hits": q.with_(*FINAL) + "SELECT grid.node, count(aa.node) AS hits FROM grid LEFT JOIN aa USING (node) GROUP BY grid.node",
     "a2_cluster_sizes": q.with_(*FINAL, *WARD)
     + "SELECT cluster, count(*) AS articles FROM aa JOIN node_clusters USING (node) GROUP BY cluster",
     "a3_hits_histogram": q.with_(
         *FINAL, "per AS (SELECT count(*) AS h FROM aa GROUP BY node)",
         "span AS (SELECT min(h) AS lo, max(h) AS hi, (max(h) - min(h)) / 10.0::DOUBLE AS w FROM per)",
-    ) + """SELECT CAST(bin AS INTEGER) AS bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(*) AS nodes
-        FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((h - lo) / w), 9) END AS bin, lo, w FROM per, span) GROUP BY ALL""",
+    ) + """SELECT CAST(bin AS INTEGER) AS bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(h) AS nodes
+        FROM (SELECT lo, hi, w, unnest(CASE WHEN hi = lo THEN [0] ELSE range(10) END) AS bin FROM span)
+        LEFT JOIN per ON bin = CASE WHEN hi = lo THEN 0 ELSE least(floor((h - lo) / w), 9) END GROUP BY ALL""",
     "a4_map_table": q.with_(*FINAL, *WARD, *COMPONENTS, NODE_WEIGHTS, node_words(2, 5), TOPICS_TEXT, HITS)
     + """SELECT grid.node, gx AS x, gy AS y, cluster, hits, topics FROM grid
         JOIN node_clusters USING (node) JOIN hits USING (node) JOIN tt USING (node)""",
     "a5_corpus_table": q.with_(*FINAL, *WARD, *COMPONENTS, NODE_WEIGHTS, node_words(3, 5), TOPICS_TEXT)
     + f"""SELECT doc_id, title, grid.node, gx AS x, gy AS y, cluster, topics FROM (SELECT doc_id, {q.TITLE} AS title FROM documents)
-        JOIN aa USING (doc_id) JOIN grid USING (node) JOIN node_clusters USING (node) JOIN tt USING (node)""",
+        LEFT JOIN aa USING (doc_id) LEFT JOIN grid USING (node) LEFT JOIN node_clusters USING (node) LEFT JOIN tt USING (node)""",
     "v1_colours": q.with_(*FINAL, *WARD)
     + f"""SELECT node, cluster, printf('#%02x%02x%02x', CAST(floor(250.0 * (cluster / {N_CLUSTERS}.0::DOUBLE)) AS INTEGER), 100, 100)
         AS color FROM node_clusters""",
@@ -268,7 +269,14 @@ ORACLES = {
     + """SELECT node, ws[1] AS word_1, ws[2] AS word_2, ws[3] AS word_3 FROM (
         SELECT node, list(name ORDER BY p) AS ws FROM (SELECT node, name, min(topic_rank * 100 + token_rank) AS p FROM nt
         GROUP BY ALL) GROUP BY node)""",
-    "v4_hex_bins": """SELECT CAST(i - sign(j) * floor(abs(j) / 2.0) AS INTEGER) AS hex_x,
-        CAST(i + sign(j) * ceil(abs(j) / 2.0) AS INTEGER) AS hex_y, count(*) AS n
-        FROM (SELECT floor(user_id / 5.0) AS i, floor(value / 5.0::DOUBLE) AS j FROM events) GROUP BY ALL""",
+    # the nearest centre among the candidate cells around each point
+    "v4_hex_bins": """WITH p AS (SELECT event_id, user_id::DOUBLE AS x, value::DOUBLE AS y FROM events),
+        base AS (SELECT *, CAST(floor(y / 7.5::DOUBLE) AS INTEGER) AS r0 FROM p),
+        rows_ AS (SELECT *, r0 + d AS r FROM base, (VALUES (-1), (0), (1), (2)) v(d)),
+        cells AS (SELECT *, CAST(floor(x / (5.0::DOUBLE * sqrt(3.0)) - r / 2.0::DOUBLE) AS INTEGER) + e AS q
+            FROM rows_, (VALUES (0), (1)) w(e)),
+        away AS (SELECT event_id, q, r, pow(x - 5.0::DOUBLE * sqrt(3.0) * (q + r / 2.0::DOUBLE), 2) + pow(y - 7.5::DOUBLE * r, 2) AS d
+            FROM cells),
+        best AS (SELECT event_id, arg_min(struct_pack(q := q, r := r), struct_pack(d := round(d, 6), q := -q)) AS c FROM away GROUP BY event_id)
+        SELECT c.q AS hex_x, c.r AS hex_y, count(*) AS n FROM best GROUP BY ALL""",
 }

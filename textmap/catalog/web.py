@@ -83,7 +83,7 @@ _CANONICAL = (
 
 
 def _field(pattern: str) -> str:
-    hits = f"[trim(h) for h in regexp_extract_all(html, '{pattern}', 1)]"
+    hits = f"[regexp_replace(h, '^\\s+|\\s+$', '', 'g') for h in regexp_extract_all(html, '{pattern}', 1)]"
     return f"CASE WHEN len({hits}) > 0 THEN array_to_string({hits}, ' ') END"
 
 
@@ -102,7 +102,7 @@ def sanitize_sql(column: str) -> str:
 
 ARTICLES_SQL = f"""SELECT doc_id, url, title, TRY_CAST(split_part("timestamp", '+', 1) AS TIMESTAMP) AS "timestamp",
     {sanitize_sql('body')} AS body FROM ({FIELDS_SQL})
-    WHERE length(trim(coalesce(title, ''))) > 0 AND length(trim(coalesce({sanitize_sql('body')}, ''))) > 0"""
+    WHERE length(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')) > 0 AND length(regexp_replace(coalesce({sanitize_sql('body')}, ''), '^\\s+|\\s+$', '', 'g')) > 0"""
 
 ORACLES = {
     "s4_scan_pages": "SELECT page_id, url, html FROM pages",
@@ -116,7 +116,7 @@ ORACLES = {
     "w4_sanitize": f"SELECT page_id, {sanitize_sql('html')} AS body FROM pages",
     "w5_strip_zone": "SELECT event_id, date_trunc('second', ts) AS \"timestamp\" FROM events",
     "w6_articles": ARTICLES_SQL,
-    "p4_rejects": f"""SELECT doc_id, concat_ws(',', CASE WHEN trim(coalesce(title, '')) = '' THEN 'title' END,
-        CASE WHEN trim(coalesce("timestamp", '')) = '' THEN 'timestamp' END,
-        CASE WHEN trim(coalesce(body, '')) = '' THEN 'body' END) AS missing FROM ({FIELDS_SQL})""",
+    "p4_rejects": f"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'title' END,
+        CASE WHEN regexp_replace(coalesce("timestamp", ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'timestamp' END,
+        CASE WHEN regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'body' END) AS missing FROM ({FIELDS_SQL})""",
 }

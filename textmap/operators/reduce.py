@@ -227,7 +227,9 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     total, steps = sums["q"] or 0.0, params.inner_steps
     if not fits_broadcast(n_terms * k * 8):
         return _nmf_tables(rows, n_terms, k, scale, total, params)
-    by_term = scale * np.random.default_rng(params.seed).random((n_terms, k))
+    start = _nmf_start(spark, n_terms, k, scale, params.seed).toArrow()
+    by_term = np.zeros((n_terms, k))
+    by_term[start.column(0).to_numpy()] = np.array(start.column(1).to_pylist(), np.float64).reshape(-1, k)
     trace: list[float] = []
     for _ in range(params.max_steps):
         pulled, square = nmf_sums(rows, by_term, steps)
@@ -261,16 +263,21 @@ def _settled(trace: list[float], tolerance: float, total: float) -> bool:
     return len(trace) > 1 and abs(trace[-2] - trace[-1]) <= tolerance * max(total, _TINY)
 
 
+def _nmf_start(spark: SparkSession, n_terms: int, k: int, scale: float, seed: int) -> DataFrame:
+    """(row, vec): the first topics, the same numbers however the steps are run."""
+    start = F.array(*[
+        F.lit(float(scale)) * F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(j)), F.lit(1 << 32)) / F.lit(2.0**32)
+        for j in range(k)
+    ])
+    return spark.range(n_terms).select(F.col("id").cast("int").alias("row"), start.alias("vec"))
+
+
 def _nmf_tables(
     rows: DataFrame, n_terms: int, k: int, scale: float, total: float, params: NmfParams
 ) -> Reduction:
     """The same steps with H as a stored table, for term lists too long to broadcast."""
     spark, steps = rows.sparkSession, params.inner_steps
-    start = F.array(*[
-        F.lit(float(scale)) * F.pmod(F.xxhash64(F.lit(params.seed), "id", F.lit(j)), F.lit(1 << 32)) / F.lit(2.0**32)
-        for j in range(k)
-    ])
-    topics = stage(spark.range(n_terms).select(F.col("id").cast("int").alias("row"), start.alias("vec")), "nmf-topics")
+    topics = stage(_nmf_start(spark, n_terms, k, scale, params.seed), "nmf-topics")
     small, trace = (k, k), []
 
     def square_of(table: DataFrame, key: str) -> np.ndarray:
@@ -307,7 +314,9 @@ def _nmf_tables(
 def lda(tokenized: DataFrame, vocabulary: Vocabulary, params: LdaParams = LdaParams()) -> Reduction:
     """Topic shares per document and term weights per topic, by Spark's online variational LDA on counts."""
     counts = term_counts(tokenized, vocabulary)
-    model = LDA(k=params.n_topics, maxIter=params.n_iter, seed=params.seed, featuresCol="counts").fit(counts)
+    # every pass takes all documents; Spark's own share is a twentieth
+    fit = LDA(k=params.n_topics, maxIter=params.n_iter, seed=params.seed, featuresCol="counts", subsamplingRate=1.0)
+    model = fit.fit(counts)
     vectors = model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("vec"))
     components = components_of(tokenized.sparkSession, model.topicsMatrix().toArray())
     return Reduction(vectors, components, params.n_topics, {"n_topics": params.n_topics, "n_iter": params.n_iter})

@@ -233,7 +233,7 @@ def cluster_sizes(assigned: DataFrame, node_clusters: DataFrame) -> DataFrame:
 
 
 def hits_histogram(assigned: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, low, high, nodes): equal-width bins over the documents per occupied node."""
+    """(bin, low, high, nodes): equal-width bins over the documents per occupied node, empty bins included."""
     per_node = assigned.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
     every = Window.partitionBy(F.lit(0))
     # one row per node: the span of the counts is read over a map-sized table
@@ -242,10 +242,16 @@ def hits_histogram(assigned: DataFrame, bins: int = 10) -> DataFrame:
     number = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.floor((F.col("hits") - F.col("lo")) / width), F.lit(bins - 1))
     )
-    return (
+    counted = (
         spanned.select(number.cast("int").alias("bin"), "lo", width.alias("width"))
         .groupBy("bin", "lo", "width")
         .agg(F.count(F.lit(1)).alias("nodes"))
+    )
+    span = counted.groupBy("lo", "width").agg(F.map_from_entries(F.collect_list(F.struct("bin", "nodes"))).alias("held"))
+    all_bins = F.when(F.col("width") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))
+    every_bin = span.select("lo", "width", "held", F.explode(all_bins).alias("bin"))
+    return (
+        every_bin.withColumn("nodes", F.coalesce(F.try_element_at("held", F.col("bin")), F.lit(0).cast("long")))
         .select(
             "bin",
             (F.col("lo") + F.col("bin") * F.col("width")).alias("low"),
@@ -266,7 +272,7 @@ def map_table(
         .join(node_clusters, "node", "left")
         .join(som.hits(assigned, kshape), "node", "left")
         .join(topics, "node", "left")
-        .na.fill(0, ["cluster", "hits"])
+        .na.fill(0, ["hits"])
         .select("node", "x", "y", "cluster", "hits", "topics")
     )
 
@@ -275,7 +281,7 @@ def corpus_table(
     corpus: DataFrame, assigned: DataFrame, node_clusters: DataFrame, codebook: DataFrame, components: DataFrame,
     terms: DataFrame, kshape: tuple[int, int], n_topics: int = 3, n_features: int = 5,
 ) -> DataFrame:
-    """(doc_id, title, node, x, y, cluster, topics): one row per document, described by its node.
+    """(doc_id, title, node, x, y, cluster, topics): one row per document, described by its node if it has one.
 
     The node descriptions are stored first: Spark then knows that they are map-sized and leaves the
     documents where they are, instead of gathering them by node.
@@ -284,7 +290,7 @@ def corpus_table(
     per_node = stage(with_coordinates(node_clusters, kshape).join(topics, "node", "left"), "nodes")
     return (
         corpus.select("doc_id", "title")
-        .join(assigned.select("doc_id", "node"), "doc_id")
+        .join(assigned.select("doc_id", "node"), "doc_id", "left")
         .join(per_node, "node", "left")
         .select("doc_id", "title", "node", "x", "y", "cluster", "topics")
     )
@@ -324,10 +330,25 @@ def node_matrix(values: DataFrame, kshape: tuple[int, int], column: str) -> Data
 
 
 def hex_bins(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """(hex_x, hex_y, n): points counted per hexagonal cell of an array of ``size`` wide cells."""
-    i, j = F.floor(F.col(x) / F.lit(size)), F.floor(F.col(y) / F.lit(size))
-    hx, hy = grid.to_hex(i, j)
-    return points.groupBy(hx.alias("hex_x"), hy.alias("hex_y")).agg(F.count(F.lit(1)).alias("n"))
+    """(hex_x, hex_y, n): points counted per hexagon whose corners lie ``size`` from its centre.
+
+    The cells are regular hexagons with a corner at the top, in axial coordinates; a point belongs to the nearest
+    centre, on an edge to the one with the larger ``hex_x``. Its cube coordinates are rounded and the one
+    moved most follows from the other two.
+    """
+    q = (F.sqrt(F.lit(3.0)) / 3.0 * F.col(x) - F.col(y) / 3.0) / F.lit(float(size))
+    r = (F.col(y) * 2.0 / 3.0) / F.lit(float(size))
+    cells = points.select(q.alias("q"), r.alias("r"), (-q - r).alias("s"))
+    near = cells.select("q", "r", "s", *[F.floor(F.round(c, 9) + 0.5).alias(f"{c}0") for c in ("q", "r", "s")])
+    off = {c: F.abs(F.col(f"{c}0") - F.col(c)) for c in ("q", "r", "s")}
+    edge = F.lit(1e-9)
+    fix_q = off["q"] > F.greatest(off["r"], off["s"]) + edge
+    fix_r = ~fix_q & (off["r"] > off["s"] + edge)
+    other = -F.col("r0") - F.col("s0")
+    even = (F.abs(off["q"] - off["s"]) <= edge) & (off["q"] > off["r"] + edge)
+    hx = F.when(fix_q, other).when(even, F.greatest("q0", other)).otherwise(F.col("q0")).cast("int")
+    hy = F.when(fix_r, -F.col("q0") - F.col("s0")).otherwise(F.col("r0")).cast("int")
+    return near.groupBy(hx.alias("hex_x"), hy.alias("hex_y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latest_run(runs: DataFrame, time: str = "timestamp") -> DataFrame:

@@ -29,8 +29,9 @@ class Vocabulary:
 
 
 def tokenize(corpus: DataFrame, params: TextParams = TextParams(), column: str = "body") -> DataFrame:
-    """(doc_id, terms): every document with its terms in text order, repeated as they occur."""
-    return corpus.select("doc_id", tx.terms(F.col(column), params.accents, params.ngram_range).alias("terms"))
+    """(doc_id, terms): every document with its terms in text order, repeated as they occur; none for a null text."""
+    terms = tx.terms(F.coalesce(F.col(column), F.lit("")), params.accents, params.ngram_range)
+    return corpus.select("doc_id", terms.alias("terms"))
 
 
 def normalize_tokens(tokenized: DataFrame, stems: DataFrame) -> DataFrame:

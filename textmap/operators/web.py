@@ -32,9 +32,14 @@ class FieldPatterns:
 ARTICLE_TAG = FieldPatterns(title=r"(?is)<h1[^>]*>(.*?)</h1>", body=r"(?is)<article[^>]*>(.*?)</article>")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def field(html: Column, pattern: str) -> Column:
     """Stripped hits joined by a space; null when there is no hit."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda hit: F.trim(hit))
+    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), strip)
     return let(found, lambda hits: F.when(F.size(hits) > 0, F.array_join(hits, " ")))
 
 
@@ -68,7 +73,7 @@ def extract_fields(pages: DataFrame, patterns: FieldPatterns = ARTICLE_TAG) -> D
 
 
 def is_blank(value: Column) -> Column:
-    return F.length(F.trim(F.coalesce(value.cast("string"), F.lit("")))) == 0
+    return F.length(strip(F.coalesce(value.cast("string"), F.lit("")))) == 0
 
 
 def missing_fields(required: Sequence[str]) -> Column:
@@ -108,6 +113,29 @@ def absolute(url: Column, base: Column) -> Column:
     )
 
 
+def plain_entities(text: Column) -> Column:
+    """The entities that occur in addresses, read once."""
+    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def without_dots(url: Column) -> Column:
+    """The address with "." and ".." steps of its path resolved."""
+    site = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    rest = F.regexp_extract(url, r"([?#].*)$", 1)
+    steps = F.aggregate(
+        F.split(path, "/"),
+        F.expr("cast(array() as array<string>)"),
+        lambda done, step: F.when(step == ".", done)
+        .when(step == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(site, F.array_join(steps, "/"), ends, rest)).otherwise(url)
+
+
 def canonical(url: Column) -> Column:
     """Without fragment, campaign parameters and a closing slash; one form per page."""
     no_fragment = F.regexp_replace(url, r"#.*$", "")
@@ -117,9 +145,10 @@ def canonical(url: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, url): the absolute links of each page, each once per page, made distinct in the row."""
+    """(page_id, url): the absolute web links of each page, each once per page, made distinct in the row."""
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))
-    targets = F.array_distinct(F.transform(hrefs, lambda h: absolute(h, F.col("url"))))
+    targets = F.array_distinct(F.transform(hrefs, lambda h: without_dots(absolute(plain_entities(h), F.col("url")))))
+    targets = F.filter(targets, lambda u: u.rlike("(?i)^https?://"))
     return pages.select("page_id", F.explode(targets).alias("url"))
 
 
