@@ -205,8 +205,6 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 def with_known_language(docs: DataFrame, net: ByteNet | None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of at least ``least``."""
     fields = docs.schema.fields
-    if any(f.name in ("lang_pred", "score") for f in fields):
-        raise ValueError("rename columns lang_pred and score")
     others = [f.name for f in fields if f.name != "text"]
     packed = docs.select(F.struct(*others).alias("rest"), F.col("text"), F.col("text").alias("body"))
     kind = f"rest {packed.schema['rest'].dataType.simpleString()}, lang_pred string, score double, body string"
