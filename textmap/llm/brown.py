@@ -129,18 +129,36 @@ def _moves(classes: np.ndarray, matrix: np.ndarray, turn: int):
     return move
 
 
+def _after(classes: np.ndarray):
+    """The class matrix of the counts that ``_sides`` gave."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((K, K))
+        for batch in batches:
+            if batch.num_rows:
+                own = classes[batch.column(0).to_numpy()]
+                sides = _vectors(batch.column(1).to_pylist(), batch.column(2).to_pylist())[:, :K]
+                np.add.at(total, own[own >= 0], sides[own >= 0])
+        flat = total.reshape(-1)
+        at = np.nonzero(flat)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at].astype(np.int64))], ["cell", "n"])
+
+    return count
+
+
 def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
     """Classes of the ``n_words`` commonest words (by rank) and, last, of the end."""
     classes = np.full(n_words + 1, -1, np.int64)
     classes[: min(CLASSES, n_words)] = np.arange(min(CLASSES, n_words))
     classes[n_words] = END
     for turn in range(ROUNDS):
-        matrix = class_matrix(pairs, classes)
         sides = pairs.mapInArrow(_sides(classes), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-        per_word = sides.where(F.col("word") < n_words).groupBy("word").agg(
-            F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")
+        per_word = stage(
+            sides.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")), "brown-sides"
         )
-        found = per_word.mapInArrow(_moves(classes, matrix, turn), "word int, class int").toArrow()  # one row per exchanged word
+        matrix = _matrix(per_word.mapInArrow(_after(classes), "cell int, n long"), K * K).reshape(K, K)
+        moves = per_word.where(F.col("word") < n_words).mapInArrow(_moves(classes, matrix, turn), "word int, class int")
+        found = moves.toArrow()  # one row per exchanged word
         changed = classes.copy()
         changed[found.column(0).to_numpy()] = found.column(1).to_numpy()
         if (changed == classes).all():
