@@ -197,3 +197,25 @@ def test_stream_keeps_running_hits(spark, tmp_path):
         table = st.latest_map(spark, out)
         assert table.count() == 2
     assert sum(r["hits"] for r in table.collect()) == 3 and len(set(seen)) == len(seen) == 2
+
+
+def test_links_resolve_steps_entities_and_schemes(spark):
+    from textmap.operators import web
+
+    html = (
+        '<a href="../q">a</a><a href="./r?x=1&amp;y=2">b</a><a href="mailto:a@b.c">c</a>'
+        '<a href="javascript:void(0)">d</a><a href="/z/../..">e</a>'
+    )
+    pages = spark.createDataFrame([(1, "http://a.com/x/y/p", html)], "page_id long, url string, html string")
+    assert {r["url"] for r in web.links(pages).collect()} == {
+        "http://a.com/x/q", "http://a.com/x/y/r?x=1&y=2", "http://a.com/",
+    }
+
+
+def test_blank_is_any_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from textmap.operators import web
+
+    rows = spark.createDataFrame([("\n\t\n",), (" a ",), (None,)], "t string")
+    assert [r[0] for r in rows.select(web.is_blank(F.col("t"))).collect()] == [True, False, True]
