@@ -25,6 +25,7 @@ from textmap.session import fits_broadcast, stage
 WORD = r" {0,16}(?:[^ \n.,;:!?]{1,48}|[.,;:!?]{1,48})| {1,16}|\n"
 SPACE = "▁"
 SPREAD = 4
+PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
 SPELLED = -30.0  # value of a byte; below every piece
 _word = re.compile(WORD)
 
@@ -60,6 +61,16 @@ class Pieces:
             raise ValueError("a piece table is expected to fit into memory")
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
+    def sizes(self, spark: SparkSession) -> DataFrame:
+        """(prefix, sizes): the sizes above 1 of all pieces that can start where ``prefix`` stands."""
+        held = {piece for piece, _, _ in self.rows}
+        found: dict[str, set[int]] = {}
+        for piece in held:
+            if len(piece) >= PREFIX:
+                found.setdefault(piece[:PREFIX], set()).add(len(piece))
+        rows = [(q, sorted(sizes.union(k for k in range(2, PREFIX) if q[:k] in held))) for q, sizes in sorted(found.items())]
+        return spark.createDataFrame(rows, "prefix string, sizes array<int>")
+
 
 def words_of(docs: DataFrame) -> DataFrame:
     """(word, n): the distinct words of all texts and their uses."""
@@ -76,12 +87,12 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     words = words.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     # blanks are the marks of the pieces; a mark in the text itself matches no piece
     shape = F.translate("word", f" {SPACE}", f"{SPACE}\uffff")
-    length = F.length("word")
-    starts = words.select("word", "n", shape.alias("shape"), F.explode(F.sequence(F.lit(1), length)).alias("start"))
-    spans = starts.select(
-        "word", "n", "start", "shape",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("shape") - F.col("start") + 1))).alias("size"),
-    )
+    starts = words.select("word", "n", shape.alias("shape"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    # no more prefixes than pieces, whose table has been checked
+    near = starts.withColumn("prefix", F.substring("shape", F.col("start"), F.lit(PREFIX))).join(F.broadcast(pieces.sizes(spark)), "prefix", "left")
+    short = F.array(*[F.lit(k) for k in range(2, PREFIX)])
+    tried = F.concat(F.array(F.lit(1)), F.coalesce("sizes", short))
+    spans = near.select("word", "n", "start", "shape", F.explode(tried).alias("size")).where("start + size - 1 <= length(shape)")
     parts = spans.select("word", "n", "start", "size", F.substring("shape", F.col("start"), F.col("size")).alias("piece"))
     edges = parts.join(table, "piece", "left").where("id is not null or size = 1")
     character = F.hex(F.encode(F.substring("word", F.col("start"), F.lit(1)), "UTF-8"))
