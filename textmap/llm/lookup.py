@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmap.llm.workers import release_caches
+
 HEAD = 400_000
 HEAD_BYTES = 64  # longer words are never broadcast
 
@@ -46,6 +48,7 @@ def with_values(
     arrow = pa.string() if kind == "string" else pa.binary()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         known = head.value
         for batch in batches:
             rows, found = [], []
@@ -58,6 +61,7 @@ def with_values(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release_caches()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = (t.as_py() for t in batch.column(2))

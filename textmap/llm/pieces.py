@@ -25,6 +25,8 @@ from textmap.session import fits_broadcast, stage
 WORD = r" {0,16}(?:[^ \n.,;:!?]{1,48}|[.,;:!?]{1,48})| {1,16}|\n"
 SPACE = "▁"
 SPREAD = 4
+HEAD = 200_000  # so many of the commonest words go to all tasks
+FLUSH = 4_000_000  # characters of text in a batch of results
 PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
 SPELLED = -30.0  # value of a byte; below every piece
 _word = re.compile(WORD)
@@ -151,32 +153,42 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = segment(words_of(rows), pieces).mapInArrow(_bytes_of_ids, "word string, n long, value binary")
     words = stage(cut, "piece-words")
-    common = common_words(words) if head is None else common_words(words, head)
-    known = spark.sparkContext.broadcast(as_dict(common, "value"))  # at most HEAD short words
+    common = common_words(words, HEAD if head is None else head)
+    known = spark.sparkContext.broadcast(as_dict(common, "value"))  # short words, a bounded number
     spelled = pieces.bytes
 
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = known.value
+        columns: list[list] = [[] for _ in kinds]
+        held = 0
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "ids", "decoded"])
+
         for batch in batches:
-            counts, ids, decoded = [], [], []
-            for packed, rest in zip(batch.column(1), batch.column(2), strict=True):
+            for doc_id, packed, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = unpacked(packed.as_py())
-                if text is None:
-                    counts.append(0), ids.append(None), decoded.append(None)
-                    continue
-                own = {r["word"]: r["value"] for r in rest.as_py() or ()}
-                found = split(text)
-                try:
-                    raw = b"".join([values[w] if w in values else own[w] for w in found])
-                except KeyError as error:
-                    raise RuntimeError(f"no pieces for {error}; the input changed between two scans") from error
-                codes = np.frombuffer(raw, "<u4")
-                counts.append(len(found)), ids.append(codes.astype(np.int32))
-                decoded.append(b"".join(map(spelled.__getitem__, codes.tolist()))[1:].decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                ["doc_id", "n_words", "ids", "decoded"],
-            )
+                row = (doc_id, 0, None, None)
+                if text is not None:
+                    own = {r["word"]: r["value"] for r in rest.as_py() or ()}
+                    found = split(text)
+                    try:
+                        raw = b"".join([values[w] if w in values else own[w] for w in found])
+                    except KeyError as error:
+                        raise RuntimeError(f"no pieces for {error}; the input changed between two scans") from error
+                    codes = np.frombuffer(raw, "<u4").astype(np.int32)
+                    decoded = b"".join(map(spelled.__getitem__, codes.tolist()))[1:].decode("utf-8", "surrogatepass")
+                    row = (doc_id, len(found), codes, decoded)
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+                held += len(text or "")
+                if held >= FLUSH:
+                    yield batch_of()
+                    columns, held = [[] for _ in kinds], 0
+        if columns[0]:
+            yield batch_of()
 
     valued = with_values(rows, words, known, split)
     found = valued.select("doc_id", "packed", "rest").mapInArrow(assemble, "doc_id long, n_words long, ids array<int>, decoded string")

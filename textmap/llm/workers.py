@@ -14,6 +14,13 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def release_caches() -> None:
+    """Empty the caches that earlier stages left in this Python worker."""
+    for cache in sys.modules.get("textmap_worker_cache", types.ModuleType("none")).__dict__.values():
+        if isinstance(cache, dict):
+            cache.clear()
+
+
 def mixed64(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit numbers (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
