@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textmap.llm import annsearch, brown, catalog, langid, mixing, neardup, neargraph, pieces, quality, sharding, tokenbin
+from textmap.llm import annsearch, brown, catalog, langid, mixing, neardup, neargraph, pieces, quality, sharding, tokenbin, workers
 from textmap.llm.components import components
 from textmap.session import stage
 
@@ -207,6 +207,31 @@ def test_pieces(spark, odd, none):
         assert math.isclose(sum(value[names[i]] if i in names else pieces.SPELLED for i in r["ids"]), best[-1])
 
 
+def test_pieces_in_small_batches(spark, odd, monkeypatch):
+    model = public_tokenizers.path(catalog.PIECE_MODEL)
+    monkeypatch.setattr(pieces, "FLUSH", 20)
+    found = pieces.encode(odd, model).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in found) == Counter((i, t) for i, t, _, _ in ODD)
+    assert all((r["ids"] is None) == (r["decoded"] is None) for r in found)
+
+
+def test_sizes_that_a_prefix_allows(spark):
+    table = pieces.Pieces(public_tokenizers.path(catalog.PIECE_MODEL))
+    allowed = {r["prefix"]: r["sizes"] for r in table.sizes(spark).collect()}
+    for piece, _, _ in table.rows:
+        if len(piece) >= pieces.PREFIX:
+            assert len(piece) in allowed[piece[: pieces.PREFIX]]
+    held = {piece for piece, _, _ in table.rows}
+    for prefix, sizes in allowed.items():
+        assert [k for k in sizes if k < pieces.PREFIX] == [k for k in range(2, pieces.PREFIX) if prefix[:k] in held]
+
+
+def test_caches_are_released():
+    workers.worker_cache("tested")["kept"] = 1
+    workers.release_caches()
+    assert workers.worker_cache("tested") == {}
+
+
 def vectors(spark, rows):
     return stage(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, row long"), "vectors")
 
