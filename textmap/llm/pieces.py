@@ -82,57 +82,71 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` (word, n) with ids, the pieces of the best path. Words stay where they were grouped."""
+    """``words`` (word, n) with ids, the pieces of the best path. ``words`` must be a scan of stored files."""
     spark = words.sparkSession
     table = F.broadcast(pieces.table(spark))  # the fixed vocabulary of the model, checked
-    # a word opens into some sixty rows, so tasks take few words
-    words = words.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     # blanks are the marks of the pieces; a mark in the text itself matches no piece
     shape = F.translate("word", f" {SPACE}", f"{SPACE}\uffff")
-    starts = words.select("word", "n", shape.alias("shape"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    numbered = words.select(F.monotonically_increasing_id().alias("at"), "word", "n", shape.alias("shape"))
+    # a word opens into some sixty rows, so tasks take few words; rows meet again by number, which sorts faster than text
+    spread = numbered.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "at")
+    starts = spread.select("at", "word", "n", "shape", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     # no more prefixes than pieces, whose table has been checked
     near = starts.withColumn("prefix", F.substring("shape", F.col("start"), F.lit(PREFIX))).join(F.broadcast(pieces.sizes(spark)), "prefix", "left")
     short = F.array(*[F.lit(k) for k in range(2, PREFIX)])
     tried = F.concat(F.array(F.lit(1)), F.coalesce("sizes", short))
-    spans = near.select("word", "n", "start", "shape", F.explode(tried).alias("size")).where("start + size - 1 <= length(shape)")
-    parts = spans.select("word", "n", "start", "size", F.substring("shape", F.col("start"), F.col("size")).alias("piece"))
+    spans = near.select("at", "word", "n", "start", "shape", F.explode(tried).alias("size")).where("start + size - 1 <= length(shape)")
+    parts = spans.select("at", "word", "n", "start", "size", F.substring("shape", F.col("start"), F.col("size")).alias("piece"))
     edges = parts.join(table, "piece", "left").where("id is not null or size = 1")
+    # a character without a piece: the number that its bytes make, below zero
     character = F.hex(F.encode(F.substring("word", F.col("start"), F.lit(1)), "UTF-8"))
-    spelled = F.transform(
-        F.sequence(F.lit(1), F.length(character), F.lit(2)),
-        lambda i: F.conv(F.substring(character, i, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte),
-    )
-    ids = F.when(F.col("id").isNull(), spelled).otherwise(F.array("id"))
+    code = F.when(F.col("id").isNull(), -1 - F.conv(character, 16, 10).cast("long")).otherwise(F.col("id").cast("long"))
     value = F.when(F.col("id").isNull(), F.lit(SPELLED) * F.length(character) / 2).otherwise(F.col("score"))
-    way = F.struct((F.col("start") - 1).alias("from"), value.alias("value"), ids.alias("ids"))
-    ends = (
-        edges.select("word", "n", (F.col("start") + F.col("size") - 1).alias("to"), way.alias("way"))
-        .groupBy("word", "n", "to").agg(F.collect_list("way").alias("ways"))
+    first = (F.col("start") == 1) & (F.col("size") == 1)
+    way = F.struct(
+        (F.col("start") + F.col("size") - 1).alias("to"), (F.col("start") - 1).alias("from"), value.alias("value"), code.alias("code")
     )
-    # every character ends at least one edge, so the sorted ends are all places of the word
-    lattice = ends.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("to", "ways"))).alias("ends"))
-    nothing = F.expr("array(named_struct('total', 0D, 'from', 0, 'ids', array(0)))")
-
-    def step(best, end):
-        ways = F.transform(
-            end["ways"],
-            lambda e: F.struct(
-                (F.element_at(best, e["from"] + 1)["total"] + e["value"]).alias("total"), e["from"].alias("from"), e["ids"].alias("ids")
-            ),
-        )
-        return F.concat(best, F.array(F.array_max(ways)))
-
-    folded = lattice.select("word", "n", F.aggregate("ends", nothing, step).alias("best"))
-    end = F.struct(F.length("word").alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-
-    def back(state, at):
-        last = F.element_at(F.col("best"), at + 1)
+    lattice = (
+        edges.select("at", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("n")).alias("n"), way.alias("way"))
+        .groupBy("at").agg(F.max("word").alias("word"), F.max("n").alias("n"), F.sort_array(F.collect_list("way")).alias("ways"))
+    )
+    # best holds the best arrivals at all places before the one that top arrives at
+    arrival = "struct<total: double, from: int, code: bigint>"
+    nothing = F.expr(f"cast(struct(array(), struct(0D, 0, 0L)) as struct<best: array<{arrival}>, top: {arrival}>)")
+
+    def step(state, way):
+        place = F.size(state["best"])
+        before = F.when(way["from"] == place, state["top"]["total"]).otherwise(F.element_at(state["best"], way["from"] + 1)["total"])
+        arrived = F.struct((before + way["value"]).alias("total"), way["from"].alias("from"), way["code"].alias("code"))
         return F.when(
-            state["at"] == at, F.struct(last["from"].alias("at"), F.concat(last["ids"], state["ids"]).alias("ids"))
-        ).otherwise(state)
+            way["to"] > place, F.struct(F.concat(state["best"], F.array(state["top"])).alias("best"), arrived.alias("top"))
+        ).otherwise(F.struct(state["best"].alias("best"), F.greatest(state["top"], arrived).alias("top")))
+
+    def walk(state):
+        """The codes from the last place back to the first; inside the fold, so that it is folded once."""
+        last_place = F.size(state["best"])
+        end = F.struct(last_place.alias("place"), F.expr("cast(array() as array<bigint>)").alias("codes"))
+
+        def back(found, place):
+            last = F.when(place == last_place, state["top"]).otherwise(F.element_at(state["best"], place + 1))
+            return F.when(
+                found["place"] == place, F.struct(last["from"].alias("place"), F.concat(F.array(last["code"]), found["codes"]).alias("codes"))
+            ).otherwise(found)
+
+        return F.aggregate(F.sequence(last_place, F.lit(1), F.lit(-1)), end, back, lambda found: found["codes"])
+
+    folded = lattice.select("word", "n", F.aggregate("ways", nothing, step, walk).alias("codes"))
+
+    def spelled(code):
+        text = F.hex(-1 - code)
+        even = F.when(F.length(text) % 2 == 1, F.concat(F.lit("0"), text)).otherwise(text)
+        return F.transform(
+            F.sequence(F.lit(1), F.length(even), F.lit(2)),
+            lambda i: F.conv(F.substring(even, i, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte),
+        )
 
-    path = F.aggregate(F.sequence(F.length("word"), F.lit(1), F.lit(-1)), end, back, lambda s: s["ids"])
-    return folded.select("word", "n", path.alias("ids"))
+    ids = F.flatten(F.transform("codes", lambda c: F.when(c < 0, spelled(c)).otherwise(F.array(c.cast("int")))))
+    return folded.select("word", "n", ids.alias("ids"))
 
 
 def _bytes_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +165,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     pieces = Pieces(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = segment(words_of(rows), pieces).mapInArrow(_bytes_of_ids, "word string, n long, value binary")
+    found = stage(words_of(rows), "piece-found")
+    cut = segment(found, pieces).mapInArrow(_bytes_of_ids, "word string, n long, value binary")
     words = stage(cut, "piece-words")
     common = common_words(words, HEAD if head is None else head)
     known = spark.sparkContext.broadcast(as_dict(common, "value"))  # short words, a bounded number
