@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ SPACE = "▁"
 SPREAD = 4
 HEAD = 200_000  # so many of the commonest words go to all tasks
 FLUSH = 4_000_000  # characters of text in a batch of results
+DECODED = 100_000  # so many ids become text at once, for small buffers
 PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
 SPELLED = -30.0  # value of a byte; below every piece
 _word = re.compile(WORD)
@@ -58,6 +59,25 @@ class Pieces:
         for b in range(256):
             self.bytes[self.first_byte + b] = bytes([b])
 
+    def decoder(self) -> Callable[[np.ndarray], str]:
+        """A function from ids to the text that they spell, without the blank in front."""
+        sizes = np.array([len(b) for b in self.bytes], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        joined = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+        def bytes_of(ids: np.ndarray) -> bytes:
+            size = sizes[ids]
+            ends = np.cumsum(size)
+            at = np.repeat(starts[ids] - (ends - size), size)
+            at += np.arange(len(at))
+            return joined[at].tobytes()
+
+        def text_of(ids: np.ndarray) -> str:
+            raw = b"".join(bytes_of(ids[i : i + DECODED]) for i in range(0, len(ids), DECODED))
+            return raw[1:].decode("utf-8", "surrogatepass")
+
+        return text_of
+
     def table(self, spark: SparkSession) -> DataFrame:
         if not fits_broadcast(sum(len(p) * 4 + 12 for p, _, _ in self.rows)):
             raise ValueError("a piece table is expected to fit into memory")
@@ -170,7 +190,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     words = stage(cut, "piece-words")
     common = common_words(words, HEAD if head is None else head)
     known = spark.sparkContext.broadcast(as_dict(common, "value"))  # short words, a bounded number
-    spelled = pieces.bytes
+    text_of = pieces.decoder()
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
 
@@ -187,14 +207,16 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 text = unpacked(packed.as_py())
                 row = (doc_id, 0, None, None)
                 if text is not None:
-                    own = {r["word"]: r["value"] for r in rest.as_py() or ()}
                     found = split(text)
-                    try:
-                        raw = b"".join([values[w] if w in values else own[w] for w in found])
-                    except KeyError as error:
-                        raise RuntimeError(f"no pieces for {error}; the input changed between two scans") from error
-                    codes = np.frombuffer(raw, "<u4").astype(np.int32)
-                    decoded = b"".join(map(spelled.__getitem__, codes.tolist()))[1:].decode("utf-8", "surrogatepass")
+                    held_values = list(map(values.get, found))
+                    if None in held_values:
+                        own = {r["word"]: r["value"] for r in rest.as_py() or ()}
+                        try:
+                            held_values = [own[w] if v is None else v for w, v in zip(found, held_values, strict=True)]
+                        except KeyError as error:
+                            raise RuntimeError(f"no pieces for {error}; the input changed between two scans") from error
+                    codes = np.frombuffer(b"".join(held_values), "<u4").astype(np.int32)
+                    decoded = text_of(codes)
                     row = (doc_id, len(found), codes, decoded)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
