@@ -357,3 +357,27 @@ def test_pipeline(spark, small):
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
             assert {r["doc_id"] for r in after.collect()} == {b for b in brute_groups(rows)[1]}
         before = after
+
+
+def test_characters_without_pieces_are_spelled(spark):
+    """Byte values below 16 and zero, marks, text outside the basic plane; pieces decode in steps of any size."""
+    table = pieces.Pieces(public_tokenizers.path(catalog.PIECE_MODEL))
+    words = ["\x00", "\x01a\x0b", " ▁x", "￿", "\U0001f9ff\U000e0001", "a\x00\x00b", "ँ࿰"]
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n long")
+    found = {r["n"]: r for r in pieces.segment(rows, table).collect()}
+    text_of = table.decoder()
+    assert len(found) == len(words)
+    for i, word in enumerate(words):
+        assert found[i]["word"] == word
+        assert text_of(np.array([table.first_byte, *found[i]["ids"]])) == word
+    zero = table.first_byte
+    assert found[0]["ids"] == [zero]
+    assert found[5]["ids"][1:3] == [zero, zero]
+
+
+def test_ids_become_text_in_steps(monkeypatch):
+    table = pieces.Pieces(public_tokenizers.path(catalog.PIECE_MODEL))
+    ids = np.array([table.first_byte + b for b in " é\U0001f9ff".encode()])
+    monkeypatch.setattr(pieces, "DECODED", 2)
+    assert table.decoder()(ids) == "é\U0001f9ff"
+    assert table.decoder()(ids[:0]) == ""
