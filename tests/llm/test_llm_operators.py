@@ -381,3 +381,37 @@ def test_ids_become_text_in_steps(monkeypatch):
     monkeypatch.setattr(pieces, "DECODED", 2)
     assert table.decoder()(ids) == "é\U0001f9ff"
     assert table.decoder()(ids[:0]) == ""
+
+
+def test_whole_texts_take_the_best_path(spark):
+    """Words of marks, runs over 48 characters and random pieces in a row, against Viterbi over the whole text."""
+    model = public_tokenizers.path(catalog.PIECE_MODEL)
+    table = pieces.Pieces(model)
+    value = {p: s for p, _, s in table.rows}
+    names = {i: p for p, i, _ in table.rows}
+    rng = np.random.default_rng(5)
+    crossing = [p for p in value if any(c in ".,;:!?" for c in p) and not all(c in ".,;:!?" for c in p)]
+    texts = [
+        '"yes."', "../a/b", "a://b ).x", "x  !=y", "-" * 200, "日本語" * 50, "https://a.b/" + "word" * 40, " " * 70 + "x\n\n  \n", "a\r\nb▁c",
+        *["".join(rng.choice(list(value), 30)).replace(pieces.SPACE, " ") for _ in range(30)],
+        *["".join(rng.choice(crossing, 30)).replace(pieces.SPACE, rng.choice([" ", "e"])) for _ in range(30)],
+    ]
+    docs = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "crossing")
+    for r in pieces.encode(docs, model).collect():
+        text = f" {texts[r['doc_id']]}"
+        shape = text.replace(pieces.SPACE, "\uffff").replace(" ", pieces.SPACE)
+        best = [0.0] + [-math.inf] * len(shape)
+        for end in range(1, len(shape) + 1):
+            for start in range(max(0, end - table.longest), end):
+                spelled = pieces.SPELLED * len(text[start].encode()) if end - start == 1 else -math.inf
+                best[end] = max(best[end], best[start] + value.get(shape[start:end], spelled))
+        assert r["decoded"] == text[1:]
+        assert math.isclose(sum(value[names[i]] if i in names else pieces.SPELLED for i in r["ids"]), best[-1])
+
+
+def test_long_and_short_words_are_folded_alike(spark):
+    table = pieces.Pieces(public_tokenizers.path(catalog.PIECE_MODEL))
+    fold_of = pieces.folder(table.rows, table.prefixes(), table.first_byte)
+    words = [" representation", " Thndtiones", "日x", "\x00é\U0001f9ff", ' ("yes."', "aaaaaaaaaa", "-------"]
+    for r in pieces.segment(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), table).collect():
+        assert np.frombuffer(fold_of(r["word"]), "<u4").tolist() == r["ids"]

@@ -1,17 +1,22 @@
 """Texts as pieces of a SentencePiece vocabulary: a relational lattice and a Viterbi fold.
 
-A text gets a blank in front and is cut into words: blanks and the run of common marks, or of other characters,
-that follows them, up to a blank, a line end or 48 characters. Each distinct word becomes a lattice: its substrings of bounded length are joined to the piece
+A text gets a blank in front and is cut into words where no piece of the model can cross: before a blank, around a
+line end, between an ASCII mark and a character that touches no such mark in any piece. Each distinct word
+of up to 48 characters becomes a lattice: its substrings of bounded length are joined to the piece
 table, the matches are its edges, and Spark's ``aggregate`` folds the best path from left to right. The best path
 has the largest sum of piece values; of equal sums the one whose last piece starts later. A character that no
 piece holds is spelled in bytes. Pieces of a unigram model count by their log-probability; pieces of a model
-of merges, whose scores are ranks, by minus the logarithm of the rank.
+of merges, whose scores are ranks, by minus the logarithm of the rank. Longer words (texts without blanks,
+addresses, divider lines) are folded whole where their text lies, by the same rule, in time linear in their length.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,19 +27,32 @@ from pyspark.sql import functions as F
 from textmap.llm.lookup import as_dict, common_words, unpacked, with_values
 from textmap.session import fits_broadcast, stage
 
-WORD = r" {0,16}(?:[^ \n.,;:!?]{1,48}|[.,;:!?]{1,48})| {1,16}|\n"
 SPACE = "▁"
+LONG = 48  # characters of a word that becomes a lattice of rows
 SPREAD = 4
 HEAD = 200_000  # so many of the commonest words go to all tasks
 FLUSH = 4_000_000  # characters of text in a batch of results
+COUNTED = 200_000  # words counted before they leave a task
 DECODED = 100_000  # so many ids become text at once, for small buffers
 PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
 SPELLED = -30.0  # value of a byte; below every piece
-_word = re.compile(WORD)
 
 
-def split(text: str | None) -> list[str]:
-    return _word.findall(f" {text}") if text else []
+def cuts(held: list[str]) -> str:
+    """The pattern of the words of a text. No piece of ``held`` reaches over the end of a match."""
+    if any("\n" in p or " " in p.replace(SPACE, " ").lstrip(" ") for p in held):
+        return r"(?s).+"  # pieces of several words
+    marks = set(string.punctuation)
+    touching = {x for p in held for a, b in zip(p, p[1:]) for x, y in ((a, b), (b, a)) if y in marks} - marks - {SPACE}
+    mark = re.escape(string.punctuation)
+    plain = f"[^ \\n{SPACE}{mark}{re.escape(''.join(sorted(touching)))}]"
+    turn = rf"(?<={plain})(?=[{mark}])|(?<=[{mark}])(?={plain})"
+    return rf" *(?:{plain}+(?=[ \n{mark}]|\Z)|[{mark}]+(?=[ \n]|{plain}|\Z)|[^ \n]+?(?:{turn}|(?=[ \n])|\Z))| +|\n"
+
+
+def splitter(pattern: str) -> Callable[[str | None], list[str]]:
+    """A function that cuts a text into words."""
+    return lambda text: re.findall(pattern, f" {text}") if text else []
 
 
 class Pieces:
@@ -53,6 +71,7 @@ class Pieces:
         ]
         self.first_byte = next(i for i in range(n) if library.is_byte(i))
         self.longest = max(len(p) for p, _, _ in self.rows)
+        self.cuts = cuts([p for p, _, _ in self.rows])
         self.bytes = [b""] * n
         for piece, i, _ in self.rows:
             self.bytes[i] = piece.replace(SPACE, " ").encode()
@@ -83,22 +102,71 @@ class Pieces:
             raise ValueError("a piece table is expected to fit into memory")
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
-    def sizes(self, spark: SparkSession) -> DataFrame:
-        """(prefix, sizes): the sizes above 1 of all pieces that can start where ``prefix`` stands."""
+    def prefixes(self) -> dict[str, list[int]]:
+        """prefix -> the sizes above 1 of all pieces that can start where it stands."""
         held = {piece for piece, _, _ in self.rows}
         found: dict[str, set[int]] = {}
         for piece in held:
             if len(piece) >= PREFIX:
                 found.setdefault(piece[:PREFIX], set()).add(len(piece))
-        rows = [(q, sorted(sizes.union(k for k in range(2, PREFIX) if q[:k] in held))) for q, sizes in sorted(found.items())]
-        return spark.createDataFrame(rows, "prefix string, sizes array<int>")
+        return {q: sorted(sizes.union(k for k in range(2, PREFIX) if q[:k] in held)) for q, sizes in sorted(found.items())}
 
+    def sizes(self, spark: SparkSession) -> DataFrame:
+        """``prefixes`` as rows (prefix, sizes)."""
+        return spark.createDataFrame(list(self.prefixes().items()), "prefix string, sizes array<int>")
+
+
+def folder(rows: list[tuple[str, int, float]], sizes: dict[str, list[int]], first_byte: int) -> Callable[[str], bytes]:
+    """A function from a word of any length to the ids of its best path, as ``segment`` finds it."""
+    known = {piece: (i, value) for piece, i, value in rows}
+    short = range(2, PREFIX)
+
+    def ids_of(word: str) -> bytes:
+        shape = word.translate({ord(" "): SPACE, ord(SPACE): "\uffff"})
+        n = len(shape)
+        total, before, code = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("q", [0]) * (n + 1)
+        total[0] = 0.0
+        for start in range(n):
+            here = total[start]
+            i, value = known.get(shape[start]) or (-1, SPELLED * len(word[start].encode("utf-8", "surrogatepass")))
+            if here + value >= total[start + 1]:  # of equal sums the later start
+                total[start + 1], before[start + 1], code[start + 1] = here + value, start, i
+            for size in sizes.get(shape[start : start + PREFIX], short):
+                piece = known.get(shape[start : start + size]) if start + size <= n else None
+                if piece and here + piece[1] >= total[start + size]:
+                    total[start + size], before[start + size], code[start + size] = here + piece[1], start, piece[0]
+        found, place = array("I"), n
+        while place:
+            if code[place] < 0:
+                spelled = word[before[place]].encode("utf-8", "surrogatepass")
+                found.extend(first_byte + b for b in reversed(spelled))
+            else:
+                found.append(code[place])
+            place = before[place]
+        return np.array(found, "<u4")[::-1].tobytes()
+
+    return ids_of
+
+
+def words_of(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, n): the distinct words of all texts and their uses, without the long ones."""
+    split = splitter(pattern)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.update(w for w in split(text.as_py()) if len(w) <= LONG)
+                if len(held) >= COUNTED:
+                    yield counted()
+                    held.clear()
+        yield counted()
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(word, n): the distinct words of all texts and their uses."""
-    lead = F.concat(F.lit(" "), F.col("text"))
-    found = docs.where(F.length("text") > 0).select(F.explode(F.regexp_extract_all(lead, F.lit(WORD), F.lit(0))).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -185,17 +253,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     pieces = Pieces(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stage(words_of(rows), "piece-found")
+    split = splitter(pieces.cuts)
+    found = stage(words_of(rows, pieces.cuts), "piece-found")
     cut = segment(found, pieces).mapInArrow(_bytes_of_ids, "word string, n long, value binary")
     words = stage(cut, "piece-words")
     common = common_words(words, HEAD if head is None else head)
     known = spark.sparkContext.broadcast(as_dict(common, "value"))  # short words, a bounded number
     text_of = pieces.decoder()
+    table = spark.sparkContext.broadcast((pieces.rows, pieces.prefixes(), pieces.first_byte))
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = known.value
+        ids_of = folder(*table.value)
+        folded: dict[str, bytes] = {}  # long words, for texts that repeat them
         columns: list[list] = [[] for _ in kinds]
         held = 0
 
@@ -211,6 +283,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     held_values = list(map(values.get, found))
                     if None in held_values:
                         own = {r["word"]: r["value"] for r in rest.as_py() or ()}
+                        for word in {w for w in found if len(w) > LONG}:
+                            if word not in folded:
+                                if sum(map(len, folded)) + len(word) > FLUSH:
+                                    folded.clear()
+                                folded[word] = ids_of(word)
+                            own[word] = folded[word]
                         try:
                             held_values = [own[w] if v is None else v for w, v in zip(found, held_values, strict=True)]
                         except KeyError as error:
@@ -227,7 +305,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         if columns[0]:
             yield batch_of()
 
-    valued = with_values(rows, words, known, split)
+    valued = with_values(rows, words, known, lambda text: [w for w in split(text) if len(w) <= LONG])
     found = valued.select("doc_id", "packed", "rest").mapInArrow(assemble, "doc_id long, n_words long, ids array<int>, decoded string")
     return found.withColumnRenamed("doc_id", id_col)
 
