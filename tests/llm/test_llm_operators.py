@@ -415,3 +415,22 @@ def test_long_and_short_words_are_folded_alike(spark):
     words = [" representation", " Thndtiones", "日x", "\x00é\U0001f9ff", ' ("yes."', "aaaaaaaaaa", "-------"]
     for r in pieces.segment(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), table).collect():
         assert np.frombuffer(fold_of(r["word"]), "<u4").tolist() == r["ids"]
+
+
+def test_bands_follow_the_limit(spark):
+    """Pairs just above a limit of 80 or 50 are found; bands are as fine as the limit asks."""
+    rng = np.random.default_rng(8)
+    for percent, changes in ((80, 4), (50, 13)):
+        rows = []
+        for i in range(40):
+            words = [f"t{i}x{j}" for j in range(204)]
+            rows.append((2 * i, " ".join(words)))
+            at = 5 + 15 * np.arange(changes) + rng.integers(0, 5, changes)  # five of 200 shingles go with each
+            rows.append((2 * i + 1, " ".join(f"c{i}x{j}" if j in at else w for j, w in enumerate(words))))
+        groups = brute_groups(rows, percent)[1]
+        assert len(set(groups)) == 40
+        docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "limit")
+        assert {r["doc_id"] for r in neardup.without_near_duplicates(docs, percent).collect()} == set(groups)
+    for percent in (50, 70, 75, 80, 85, 90, 95):
+        size = neardup.rows_of_band(percent)
+        assert (1 - (percent / 100) ** size) ** (neardup.COORDINATES // size) <= neardup.MISSED

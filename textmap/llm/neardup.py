@@ -14,8 +14,8 @@ from textmap.llm.workers import mixed64, worker_cache
 from textmap.session import fits_broadcast, stage
 
 SHINGLE = 5
-BANDS, ROWS = 30, 6  # a pair at 0.85 shares no band with a probability of 7e-7
-COORDINATES = BANDS * ROWS
+COORDINATES = 180
+MISSED = 1e-6  # probability that a pair on the limit shares no band
 CACHED_WORDS = 200_000
 BATCH_SHINGLES = 400_000
 CROWD = 16  # classes left in a band that are compared pair by pair; more are compared in blocks
@@ -81,10 +81,17 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return kept.reshape(-1, t)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    parts = sketches.reshape(len(sketches), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
-    for i in range(ROWS):
+def rows_of_band(percent: int) -> int:
+    """The most coordinates that a band may have: at 85 six (7e-7), at 80 five (6e-7)."""
+    fitting = [r for r in range(1, COORDINATES + 1) if COORDINATES % r == 0 and (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISSED]
+    return max(fitting, default=1)
+
+
+def band_keys(sketches: np.ndarray, size: int) -> np.ndarray:
+    bands = COORDINATES // size
+    parts = sketches.reshape(len(sketches), bands, size)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
+    for i in range(size):
         keys = mixed64(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
     return keys.view(np.int64) if keys.flags.c_contiguous else np.ascontiguousarray(keys).view(np.int64)
 
@@ -100,38 +107,43 @@ def digest(values: np.ndarray) -> tuple[int, int]:
 SIGNATURE = "doc_id long, row long, n long, d1 long, d2 long, bands array<long>"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = worker_cache("near").setdefault("words", _WordHashes())
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-    names = ["doc_id", "row", "n", "d1", "d2", "bands"]
-
-    def flushed(ids, rows, sets):
-        full = [s for s in sets if len(s)]
-        keys = iter(band_keys(sketch(full))) if full else iter(())
-        digests = [digest(s) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(column, kind)
-                for column, kind in zip(
-                    (ids, rows, [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests],
-                     [next(keys) if len(s) else None for s in sets]),
-                    types, strict=True,
-                )
-            ],
-            names,
-        )
-
-    for batch in batches:
-        ids, rows, sets, held = [], [], [], 0
-        for doc_id, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-            shingles = shingle_set(text.as_py(), hashes)
-            ids.append(doc_id.as_py()), rows.append(row.as_py()), sets.append(shingles)
-            held += len(shingles)
-            if held >= BATCH_SHINGLES:
+def _signatures(size: int):
+    """Sizes, digests and band keys of texts; a band has ``size`` coordinates."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_cache("near").setdefault("words", _WordHashes())
+        types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+        names = ["doc_id", "row", "n", "d1", "d2", "bands"]
+
+        def flushed(ids, rows, sets):
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(sketch(full), size)) if full else iter(())
+            digests = [digest(s) for s in sets]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(column, kind)
+                    for column, kind in zip(
+                        (ids, rows, [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests],
+                         [next(keys) if len(s) else None for s in sets]),
+                        types, strict=True,
+                    )
+                ],
+                names,
+            )
+
+        for batch in batches:
+            ids, rows, sets, held = [], [], [], 0
+            for doc_id, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                shingles = shingle_set(text.as_py(), hashes)
+                ids.append(doc_id.as_py()), rows.append(row.as_py()), sets.append(shingles)
+                held += len(shingles)
+                if held >= BATCH_SHINGLES:
+                    yield flushed(ids, rows, sets)
+                    ids, rows, sets, held = [], [], [], 0
+            if ids:
                 yield flushed(ids, rows, sets)
-                ids, rows, sets, held = [], [], [], 0
-        if ids:
-            yield flushed(ids, rows, sets)
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +272,7 @@ def near_duplicates(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    signed = stage(numbered.mapInArrow(_signatures, SIGNATURE), "near-signed")
+    signed = stage(numbered.mapInArrow(_signatures(rows_of_band(percent)), SIGNATURE), "near-signed")
     classes = stage(
         signed.where("n > 0").groupBy("n", "d1", "d2").agg(
             F.min("row").alias("node"), F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands")
