@@ -434,3 +434,14 @@ def test_bands_follow_the_limit(spark):
     for percent in (50, 70, 75, 80, 85, 90, 95):
         size = neardup.rows_of_band(percent)
         assert (1 - (percent / 100) ** size) ** (neardup.COORDINATES // size) <= neardup.MISSED
+
+
+def test_dense_groups_with_weak_cross_links(spark):
+    """Links between two groups are weaker than the 40 nearest of every node, and still join the groups."""
+    rng = np.random.default_rng(11)
+    middle = np.zeros((3, 16))
+    middle[0, 0], middle[1, :2], middle[2, 5] = 1, (0.965, math.sqrt(1 - 0.965**2)), 1
+    x = np.repeat(middle, 60, axis=0) + 0.002 * rng.standard_normal((180, 16))
+    table = vectors(spark, [(i, v, 0, 1) for i, v in enumerate(x.tolist())])
+    found = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neargraph.near_vectors(table).collect()}
+    assert found == {i: (0, 119) if i < 120 else (120, 59) for i in range(180)}

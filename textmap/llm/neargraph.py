@@ -152,6 +152,85 @@ def _block_counts(threshold: float):
     return count
 
 
+BALL = "component long, block int, centre array<double>, radius double"
+
+
+def _ball(table: pa.Table) -> pa.Table:
+    """The middle of a block and the largest angle between it and a member."""
+    unit = units(matrix(table.column("vector")))
+    centre = unit.mean(axis=0)
+    size = np.linalg.norm(centre)
+    centre = centre / size if size > 1e-9 else unit[0]
+    radius = float(np.arccos(np.clip(unit @ centre, -1, 1).min()))
+    kinds = pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64()
+    first = table.column("component")[0].as_py(), table.column("block")[0].as_py()
+    return pa.table([pa.array([x], k) for x, k in zip((*first, centre, radius), kinds, strict=True)], ["component", "block", "centre", "radius"])
+
+
+def _near_balls(threshold: float):
+    """Pairs of balls of two components that can hold a link: angles obey the triangle inequality."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        component, block, chunk, radius = (table.column(c).to_numpy() for c in ("component", "block", "chunk", "radius"))
+        centre = matrix(table.column("centre"))
+        reach = radius[:, None] + radius[None, :] + np.arccos(threshold) + 1e-6
+        asked = (component[:, None] < component[None, :]) & (np.arccos(np.clip(centre @ centre.T, -1, 1)) <= reach)
+        if chunk.min() != chunk.max():
+            asked &= chunk[:, None] != chunk[None, :]
+        i, j = np.nonzero(asked)
+        return pa.table({"component": component[i], "block": block[i], "component_2": component[j], "block_2": block[j]})
+
+    return compare
+
+
+def _nearest_link(threshold: float):
+    def compare(table: pa.Table) -> pa.Table:
+        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+        unit = units(matrix(table.column("vector")))
+        near = unit[side == 0] @ unit[side == 1].T
+        i, j = np.unravel_index(near.argmax(), near.shape)
+        found = near[i, j] >= threshold
+        ends = ([node[side == 0][i]], [node[side == 1][j]]) if found else ([], [])
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return compare
+
+
+def _crossed(dense: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) that connect all components of ``dense`` (node, component) which any link between its nodes joins.
+
+    Exact: the nodes of a component are cut into blocks, and any two blocks of different components that are not too
+    far apart for a link are compared. Each two blocks give one link at most.
+    """
+    dense = stage(dense, "nnd-dense")
+    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    if sizes.limit(2).count() < 2:
+        return None
+    cut = dense.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = stage(cut.join(nodes.select("node", "vector"), "node").select("component", "block", "node", "vector"), "nnd-blocks")
+    balls = stage(held.groupBy("component", "block").applyInArrow(_ball, BALL), "nnd-balls")
+    chunks = -(-balls.count() // BLOCK)
+    placed = balls.withColumn("chunk", F.pmod(F.xxhash64("component", "block"), F.lit(chunks)).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn(
+        "low", F.least("chunk", "other")
+    ).withColumn("high", F.greatest("chunk", "other"))
+    near = met.groupBy("low", "high").applyInArrow(_near_balls(threshold), "component long, block int, component_2 long, block_2 int")
+    near = stage(near, "nnd-near")
+    key = ["component", "block", "component_2", "block_2"]
+    left = near.join(held, ["component", "block"]).select(*key, "node", "vector", F.lit(0).alias("side"))
+    other = held.select(F.col("component").alias("component_2"), F.col("block").alias("block_2"), "node", "vector")
+    right = near.join(other, ["component_2", "block_2"]).select(*key, "node", "vector", F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy(*key).applyInArrow(_nearest_link(threshold), "a long, b long")
+
+
+def _merged(found: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``found`` (node, component) with further links."""
+    if links is None:
+        return found
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return stage(components(edges, "nnd-merged"), "nnd-found")
+
+
 def near_vectors(
     embeddings: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -162,7 +241,8 @@ def near_vectors(
     entries. Nodes whose list is full of links get lists of twice, then four times the room. Entries near the
     threshold are confirmed in double precision; they span the components. Last, lists are enlarged to the
     whole component: its blocks are compared with one another, so that every link within a component counts and no
-    pair becomes a row. The links of a bounded sample of nodes are found by brute force; while fewer than 95 % of
+    pair becomes a row. Components with lists that are still full are compared with one another in blocks, exactly,
+    unless the angles between the blocks exclude a link. The links of a bounded sample of nodes are found by brute force; while fewer than 95 % of
     them lie within components, the descent runs again from more trees, at most three times. The last share is
     ``audit_recall`` (1 without any link).
 
@@ -193,7 +273,7 @@ def near_vectors(
     lists = found = None
     recall = 1.0
     for attempt in range(3 if n > 1 else 0):
-        lists = _graph(codes, lists, length, n, n_groups, threshold, attempt)
+        lists, full = _graph(codes, lists, length, n, n_groups, threshold, attempt)
         pairs = lists.where(F.col("near") >= threshold - ROUGH).select(
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
         ).distinct()
@@ -202,6 +282,8 @@ def near_vectors(
         )
         links = both.select("a", "b", "va", "vb").mapInArrow(_confirmed(threshold), "a long, b long")
         found = stage(components(links, "nnd"), "nnd-found")
+        # a full list can lack links to another dense component
+        found = _merged(found, _crossed(found.join(full, "node").select("node", "component"), nodes, threshold))
         named_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         named_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
         met = F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).cast("double")
@@ -232,8 +314,8 @@ def near_vectors(
     )
 
 
-def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_groups: int, threshold: float, attempt: int) -> DataFrame:
-    """Neighbour lists from random trees, refined by descent, enlarged where full of links."""
+def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_groups: int, threshold: float, attempt: int):
+    """Neighbour lists from random trees, refined by descent, enlarged where full of links; the nodes still full."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
     planes = np.random.default_rng(7 + attempt).standard_normal((TREES, bits, length)).astype(np.float32)
 
@@ -247,7 +329,7 @@ def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_gro
 
     placed = stage(codes.mapInArrow(leaves, "node long, code binary, leaf long"), "nnd-leaves")
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (4 * LEAF)).alias("parts"))
-    split = placed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    split = placed.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("node", "leaf", F.lit(attempt)), F.col("parts")))
     start = split.groupBy("leaf", "part").applyInArrow(_leaf_edges, EDGE)
     lists = _lists(start if lists is None else lists.unionByName(start), None, "nnd-lists")
     for _ in range(ROUNDS):
@@ -257,8 +339,8 @@ def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_gro
         if changed <= SETTLED * NEIGHBOURS * n:
             break
     room, size = None, NEIGHBOURS
+    linked = F.count(F.when(F.col("near") >= threshold - ROUGH, 1))
     for _ in range(ENLARGED):
-        linked = F.count(F.when(F.col("near") >= threshold - ROUGH, 1))
         full = lists.groupBy("node").agg(linked.alias("n")).where(F.col("n") >= size).select("node")
         full = stage(full, "nnd-full")
         if full.isEmpty():
@@ -268,7 +350,10 @@ def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_gro
         room = grown if room is None else grown.unionByName(room).groupBy("node").agg(F.max("room").alias("room"))
         room = stage(room, "nnd-room")
         lists = _lists(lists.unionByName(_descend(lists, codes, room, full, n_groups)), room, "nnd-lists")
-    return lists
+    held = lists.groupBy("node").agg(linked.alias("n"))
+    if room is None:
+        return lists, held.where(F.col("n") >= NEIGHBOURS).select("node")
+    return lists, held.join(room, "node", "left").where(F.col("n") >= F.coalesce("room", F.lit(NEIGHBOURS))).select("node")
 
 
 def _counted(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
