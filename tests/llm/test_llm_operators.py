@@ -445,3 +445,32 @@ def test_dense_groups_with_weak_cross_links(spark):
     table = vectors(spark, [(i, v, 0, 1) for i, v in enumerate(x.tolist())])
     found = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neargraph.near_vectors(table).collect()}
     assert found == {i: (0, 119) if i < 120 else (120, 59) for i in range(180)}
+
+
+def test_audit_sees_small_groups():
+    """A hot group does not outweigh small ones that were lost; without links there is no share."""
+    hot = [(2, 5000, 5000)] * 64
+    assert neargraph._recall(hot + [(1, 2, 2)] * 3 + [(0, 1, 0)], {0: 1, 1: 3, 2: 5000}) == 0.75
+    assert neargraph._recall(hot + [(1, 4, 1), (0, 0, 0)], {0: 900, 1: 1, 2: 5000}) == 0.25
+    assert neargraph._recall([(0, 0, 0)] * 5, {0: 5}) is None
+
+
+def test_audit_without_links_is_null(spark):
+    far = vectors(spark, [(i, [float(i == j) for j in range(8)], 0, 1) for i in range(8)])
+    assert [(r["n_links"], r["audit_recall"]) for r in neargraph.near_vectors(far).collect()] == [(0, None)] * 8
+
+
+def test_lost_links_are_found_in_blocks(spark, cloud, monkeypatch):
+    """A descent that finds nothing does not end the work: the audit tells, and all blocks are compared."""
+    nothing = spark.createDataFrame([], neargraph.EDGE), spark.createDataFrame([], "node long")
+    monkeypatch.setattr(neargraph, "_graph", lambda *_: nothing)
+    monkeypatch.setattr(neargraph, "ATTEMPTS", 1)
+    monkeypatch.setattr(neargraph, "BLOCK", 32)
+    rows, _ = cloud
+    found = {r["vec_id"]: r for r in neargraph.near_vectors(vectors(spark, rows)).collect()}
+    x = np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert [found[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert {r["audit_recall"] for r in found.values()} == {1.0}
