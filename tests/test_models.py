@@ -204,3 +204,24 @@ def test_analysis_takes_custom_steps(spark, articles):
         from dataclasses import replace
 
         run_analysis(articles, replace(PARAMS, reducer="none"))
+
+
+def test_fits_of_queries_are_not_cut_short(spark, small, monkeypatch):
+    """K-means runs all restarts and steps, NMF until it settles."""
+    from textmap.catalog import maps, models
+
+    asked = []
+
+    def restarts(table, n_clusters=6, id_col="node", max_iter=100, restarts=10, seed=0):
+        asked.append((max_iter, restarts))
+        return [table.selectExpr(f"{id_col} % 6 as cluster")] * 3
+
+    monkeypatch.setattr(maps.regions, "kmeans", restarts)
+    maps.c1_kmeans(spark, small), maps.c1_kmeans_documents(spark, small)
+    assert asked == [(100, 10), (100, 10)]
+    found = []
+    fit = models.rd.nmf
+    monkeypatch.setattr(models.rd, "nmf", lambda *a: found.append(fit(*a)) or found[-1])
+    models.r2_nmf(spark, small)
+    trace = [found[0].attributes[f"error_{i}"] for i in range(found[0].attributes["n_iter"])]
+    assert len(trace) > 8

@@ -233,11 +233,11 @@ def a8_mean_error(spark: SparkSession, folder: str) -> DataFrame:
 
 def c1_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     _, codebook, _ = fitted(spark, folder)
-    return regions.kmeans(codebook.to_df(spark), N_CLUSTERS, restarts=3)[0]
+    return regions.kmeans(codebook.to_df(spark), N_CLUSTERS)[0]
 
 
 def c1_kmeans_documents(spark: SparkSession, folder: str) -> DataFrame:
-    labels, _, _ = regions.kmeans(vectors(spark, folder), N_CLUSTERS, "doc_id", max_iter=20, restarts=2)
+    labels, _, _ = regions.kmeans(vectors(spark, folder), N_CLUSTERS, "doc_id")
     return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("articles"))
 
 

@@ -69,7 +69,7 @@ def r2_nmf_step(spark: SparkSession, folder: str) -> DataFrame:
 
 def r2_nmf(spark: SparkSession, folder: str) -> DataFrame:
     rows, vocab = stored(spark, folder)
-    found = rd.nmf(rows, vocab.n_docs, vocab.n_terms, NmfParams(n_components=10, max_steps=8))
+    found = rd.nmf(rows, vocab.n_docs, vocab.n_terms, NmfParams(n_components=10))
     return sm.top_terms(found.components, vocab.terms, 10)
 
 
@@ -82,7 +82,7 @@ def r3_lda(spark: SparkSession, folder: str) -> DataFrame:
 
 def analyse(spark: SparkSession, folder: str, reducer: str = "lsa") -> Analysis:
     params = AnalysisParams(
-        lsa=LsaParams(n_components=20), nmf=NmfParams(n_components=10, max_steps=6),
+        lsa=LsaParams(n_components=20), nmf=NmfParams(n_components=10),
         lda=LdaParams(n_topics=8, n_iter=2), som=SMALL_MAP, reducer=reducer,
     )
     return run_analysis(articles(spark, folder), params)
