@@ -7,12 +7,13 @@ from textmap.operators import posts as po
 from textmap.operators import som
 from textmap.operators import summaries as sm
 from textmap.operators import web
+from textmap.operators.html import elements
 from textmap.sources import sinks
 from textmap.streaming import streams as st
 
 PAGES = [
     (1, "http://news.example.org/a/article/2015/07/23/one.html",
-     '<article><h1> One </h1><p class="bloc_signature"><time itemprop="datePublished" datetime="2015-07-23T10:00:00+02:00">x</time></p>'
+     '<article><h1> One </h1><p class="sign"><time itemprop="datePublished" datetime="2015-07-23T10:00:00+02:00">x</time></p>'
      '<div id="articleBody"><p class="z">Hi <a href="/b">there</a><!-- no --></p><script>x()</script><H2>Sub</H2></div></article>'),
     (2, "http://news.example.org/two", '<article><h1>Two</h1><div id="articleBody"><p>b</p></div></article>'),
     (3, "http://news.example.org/three", '<article><h1>A</h1><h1>B</h1><div id="articleBody"><p>b</p></div></article>'),
@@ -31,9 +32,52 @@ def test_article_fields(spark):
     assert sorted(got) == [1, 2, 3]
     assert got[1]["title"] == "One"
     assert got[1]["timestamp"] == datetime(2015, 7, 23, 10)
-    assert got[1]["body"] == "<p>Hi there</p>x()<H2>Sub</H2>"
+    assert got[1]["body"] == "<p>Hi there</p> x() <H2>Sub</H2>"  # children are hits of their own
     assert got[2]["timestamp"] is None
-    assert got[3]["title"] == "A"
+    assert got[3]["title"] == "A B"
+
+
+DIV = web.Path((web.Step("div", (("id", "articleBody"),)),), "children")
+
+
+@pytest.mark.parametrize("html, path, expected", [
+    # children end where their own end tag stands; own text of the body is none of them
+    ('<div id="articleBody">x<p>one</p><div>two <div>in</div></div><p>three</p></div><p>no</p>', DIV,
+     ["<p>one</p>", "<div>two <div>in</div></div>", "<p>three</p>"]),
+    # a block ends an open paragraph, an end tag ends what is open inside it, the page ends the rest
+    ("<div class=z id='articleBody'><p>a<p>b <b>c</p><ul><li>d</ul>e</div>", DIV, ["<p>a", "<p>b <b>c</p>", "<ul><li>d</ul>"]),
+    ("<div id=articleBody><section><p>x", DIV, ["<section><p>x"]),
+    ("<div id=articleBody></b><br><img alt='a>b'/><i/></div>", DIV, ["<br>", "<img alt='a>b'/>", "<i/>"]),
+    ('<div id="other"><p>x</p></div><div data-id="articleBody" title="id=articleBody"><p>y</p></div>', DIV, []),
+    # own text of each h1 right below an article
+    ("<article><h1>A</h1><h1><em>B</em></h1><div><h1>C</h1></div><H1 class=x> D <i>i</i>E</H1></article><h1>F</h1>",
+     web.FieldPatterns().title, ["A", " D ", "E"]),
+    ("<article><!-- <h1>no</h1> --><script>'<h1>no</h1>'</script><h1>1 < 2 &amp;&lt; 3</h1></article>",
+     web.FieldPatterns().title, ["1 < 2 &< 3"]),
+    # attributes in any order and quoting
+    ("<time datetime='2015' class=\"a>b\" itemprop=datePublished>x</time><time itemprop='other' datetime='2016'></time>"
+     "<TIME itemprop=\"datePublished\">y</TIME><time itemprop='datePublished' DATETIME=2017 />",
+     web.FieldPatterns().timestamp, ["2015", "2017"]),
+    ("", DIV, []), ("<", DIV, []), ("<p <p> <", DIV, []), (None, DIV, None),
+])
+def test_elements_by_nesting(spark, html, path, expected):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(elements(F.col("html"), [path])[0]).first()[0] == expected
+
+
+def test_elements_of_nested_hits_keep_their_order(spark):
+    html = "<div id='articleBody'><div id='articleBody'><p>a</p></div><p>b</p></div>"
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(elements(F.col("html"), [DIV])[0]).first()[0] == ["<div id='articleBody'><p>a</p></div>", "<p>a</p>", "<p>b</p>"]
+
+
+def test_elements_of_long_and_deep_pages(spark):
+    deep = "<div id=articleBody>" + "<b>" * 800 + "x" + "</b>" * 800 + "<p>y</p>" * 500 + "</div>"
+    odd = "<div id=articleBody><p title='" + "q" * 200_000 + "'>" + "a < b " * 20_000 + "</p></div>"
+    df = spark.createDataFrame([(1, deep), (2, odd)], "k int, html string")
+    found = {r[0]: r[1] for r in df.select("k", elements(F.col("html"), [DIV])[0]).collect()}
+    assert len(found[1]) == 501 and found[1][0].count("</b>") == 800
+    assert found[2] == [odd.removeprefix("<div id=articleBody>").removesuffix("</div>")]
 
 
 def test_several_hits_are_joined(spark):
@@ -212,6 +256,17 @@ def test_links_resolve_steps_entities_and_schemes(spark):
     }
 
 
+def test_links_skip_comments_and_keep_quoted_blanks(spark):
+    html = (
+        '<a href="a b.html">a</a><!-- <a href="/no">n</a> --><script>"<a href=/no2>"</script><a title="href=/no3" HREF = \'/c\'>c</a>'
+        '<abbr href="/no4">x</abbr><a\nclass=x href=/d>d</a><a title="x>y" href="/e?q=1&amp;r=2">e</a><a name=top>t</a><a href=" /f ">f</a>'
+    )
+    table = pages(spark, [(1, "http://a.com/x/p", html), (2, "http://a.com/", None), (3, None, '<a href="/x">x</a>')])
+    assert sorted(r["url"] for r in web.links(table).collect()) == [
+        "http://a.com/c", "http://a.com/d", "http://a.com/e?q=1&r=2", "http://a.com/f", "http://a.com/x/a%20b.html",
+    ]
+
+
 def test_blank_is_any_white_space(spark):
     from pyspark.sql import functions as F
 

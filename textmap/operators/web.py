@@ -9,27 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmap.functions.common import let
+from textmap.operators.html import Path, Step, anchors, attribute, elements
 
-# Tags that stay in a cleaned body.
+# Fixed: the tags that stay in a cleaned body.
 KEPT_TAGS = ("h2", "p", "em", "strong")
-# Links that lead to an article: a dated path.
+# Fixed: links that lead to an article, a dated path.
 ARTICLE_LINK = r"article/\d{4}/\d{2}/\d{2}/.+"
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 # Markers for kept tags while the others are deleted; both are control characters, absent from HTML text.
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
 @dataclass(frozen=True)
 class FieldPatterns:
-    """One pattern per article field; the first group is the value, every match is one hit."""
+    """Where the fields of an article stand in its page; every element there is one hit.
 
-    title: str = r"(?is)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>"
-    timestamp: str = r"""(?is)<time[^>]*itemprop=["']datePublished["'][^>]*datetime=["']([^"']*)["']"""
-    body: str = r"""(?is)<div[^>]*id=["']articleBody["'][^>]*>(.*?)</div>"""
+    The tag and attribute names of the defaults are fixed values.
+    """
+
+    title: Path = Path((Step("article"), Step("h1")))
+    timestamp: Path = Path((Step("time", (("itemprop", "datePublished"),)),), "@datetime")
+    body: Path = Path((Step("div", (("id", "articleBody"),)),), "children")
 
 
 # Pages that keep the whole article in <article>.
-ARTICLE_TAG = FieldPatterns(title=r"(?is)<h1[^>]*>(.*?)</h1>", body=r"(?is)<article[^>]*>(.*?)</article>")
+ARTICLE_TAG = FieldPatterns(body=Path((Step("article"),), "children"))
 
 
 def strip(text: Column) -> Column:
@@ -37,10 +40,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def field(html: Column, pattern: str) -> Column:
+def joined(found: Column) -> Column:
     """Stripped hits joined by a space; null when there is no hit."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), strip)
-    return let(found, lambda hits: F.when(F.size(hits) > 0, F.array_join(hits, " ")))
+    return let(F.transform(found, strip), lambda hits: F.when(F.size(hits) > 0, F.array_join(hits, " ")))
+
+
+def field(html: Column, pattern: str) -> Column:
+    """What a pattern's first group finds in a page, for fields that are no elements."""
+    return joined(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))
 
 
 def sanitize(html: Column, tags: Sequence[str] = KEPT_TAGS) -> Column:
@@ -58,13 +65,13 @@ def strip_zone(timestamp: Column) -> Column:
 
 
 def _fields(patterns: FieldPatterns) -> list[Column]:
-    html = F.col("html")
+    title, timestamp, body = elements(F.col("html"), [patterns.title, patterns.timestamp, patterns.body])
     return [
         F.col("page_id").alias("doc_id"),
         F.col("url"),
-        field(html, patterns.title).alias("title"),
-        field(html, patterns.timestamp).alias("timestamp"),
-        field(html, patterns.body).alias("body"),
+        joined(title).alias("title"),
+        joined(timestamp).alias("timestamp"),
+        joined(body).alias("body"),
     ]
 
 
@@ -95,45 +102,58 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def absolute(url: Column, base: Column) -> Column:
-    """A link target made absolute against the page it was found on."""
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    # the folder of the page: its path up to the last slash
+def _parts(base: Column) -> Column:
+    """(scheme, site, folder, page) of an address; the folder is its path up to the last slash."""
     folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+(?:/.*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    page = F.regexp_replace(base, r"#.*$", "")
+    return F.struct(
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1).alias("scheme"),
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1).alias("site"),
+        let(folder, lambda f: F.when(f.endswith("/"), f).otherwise(F.concat(f, F.lit("/")))).alias("folder"),
+        F.regexp_replace(base, r"#.*$", "").alias("page"),
+    )
+
+
+def _resolved(url: Column, base: Column) -> Column:
     return (
-        F.when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), url)
-        .when(url.startswith("//"), F.concat(scheme, F.lit(":"), url))
-        .when(url.startswith("/"), F.concat(site, url))
-        .when(url.startswith("#"), F.concat(page, url))
-        .when(url.startswith("?"), F.concat(F.regexp_replace(page, r"\?.*$", ""), url))
-        .otherwise(F.concat(folder, url))
+        F.when(url.startswith("//"), F.concat(base["scheme"], F.lit(":"), url))
+        .when(url.startswith("/"), F.concat(base["site"], url))
+        .when(url.startswith("#"), F.concat(base["page"], url))
+        .when(url.startswith("?"), F.concat(F.regexp_replace(base["page"], r"\?.*$", ""), url))
+        .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), url)
+        .otherwise(F.concat(base["folder"], url))
     )
 
 
-def plain_entities(text: Column) -> Column:
-    """The entities that occur in addresses, read once."""
-    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+def absolute(url: Column, base: Column) -> Column:
+    """A link target made absolute against the page it was found on."""
+    return let(url, lambda u: let(_parts(base), lambda b: _resolved(u, b)))
 
 
 def without_dots(url: Column) -> Column:
     """The address with "." and ".." steps of its path resolved."""
-    site = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
-    rest = F.regexp_extract(url, r"([?#].*)$", 1)
-    steps = F.aggregate(
-        F.split(path, "/"),
-        F.expr("cast(array() as array<string>)"),
-        lambda done, step: F.when(step == ".", done)
-        .when(step == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
-        .otherwise(F.concat(done, F.array(step))),
-    )
-    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(site, F.array_join(steps, "/"), ends, rest)).otherwise(url)
+
+    def resolved(parts: Column) -> Column:
+        steps = F.aggregate(
+            F.split(parts["path"], "/"),
+            F.expr("cast(array() as array<string>)"),
+            lambda done, step: F.when(step == ".", done)
+            .when(step == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+            .otherwise(F.concat(done, F.array(step))),
+        )
+        ends = F.when(parts["path"].rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+        dotted = parts["path"].rlike(r"/\.{1,2}(/|$)")
+        return F.when(dotted, F.concat(parts["site"], F.array_join(steps, "/"), ends, parts["rest"])).otherwise(parts["whole"])
+
+    def of(whole: Column) -> Column:
+        parts = F.struct(
+            whole.alias("whole"),
+            F.regexp_extract(whole, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1).alias("site"),
+            F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)", 1).alias("path"),
+            F.regexp_extract(whole, r"([?#].*)$", 1).alias("rest"),
+        )
+        return F.when(whole.contains("/."), let(parts, resolved)).otherwise(whole)
+
+    return let(url, of)
 
 
 def canonical(url: Column) -> Column:
@@ -145,10 +165,17 @@ def canonical(url: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, url): the absolute web links of each page, each once per page, made distinct in the row."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(HREF), F.lit(1))
-    targets = F.array_distinct(F.transform(hrefs, lambda h: without_dots(absolute(plain_entities(h), F.col("url")))))
-    targets = F.filter(targets, lambda u: u.rlike("(?i)^https?://"))
+    """(page_id, url): the absolute web links of each page, each once per page, made distinct in the row.
+
+    Links inside comments, scripts and styles are none. A quoted address keeps its blanks, written as %20.
+    """
+
+    def target(tag: Column, base: Column) -> Column:
+        href = F.regexp_replace(strip(attribute(tag, "href")), r"\s", "%20")
+        return let(href, lambda h: without_dots(_resolved(h, base)))
+
+    found = let(_parts(F.col("url")), lambda base: F.transform(anchors(F.col("html")), lambda tag: target(tag, base)))
+    targets = F.array_distinct(F.filter(found, lambda u: u.rlike("(?i)^https?://")))
     return pages.select("page_id", F.explode(targets).alias("url"))
 
 
