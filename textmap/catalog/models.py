@@ -22,9 +22,9 @@ from textmap.session import stage
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
 NMF_STEPS = 2
-PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=2, learning_rate=0.1, init="first")
+PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=15, learning_rate=0.1, init="first")
 PROJECTED_REGIONS = 4
-SMALL_MAP = SomParams(kshape=(5, 6), n_iter=8)
+SMALL_MAP = SomParams(kshape=(5, 6), n_iter=15)
 TERM_MAP = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, decay="sparse", min_influence=0.001, seed=5)
 
 
@@ -204,8 +204,8 @@ _PLACED = [
 _PROJECTED = [
     f"dedup AS MATERIALIZED (SELECT min(doc_id) AS doc_id, body FROM ({ARTICLES_SQL}) GROUP BY title, body)",
     q.tokens_of("dedup", "doc_id", "body"), *q.tfidf_ctes()[1:], _BASIS, *_PLACED, q.XU, q.grid(PROJECTED_MAP),
-    q.first_rows(PROJECTED_MAP.n_nodes), *q.epoch(PROJECTED_MAP, 1), *q.epoch(PROJECTED_MAP, 2),
-    "kk AS (SELECT * FROM k2)", q.assign("kk", "aa"), *q.ward("kk", PROJECTED_MAP, PROJECTED_REGIONS),
+    q.first_rows(PROJECTED_MAP.n_nodes), *[part for it in range(1, PROJECTED_MAP.n_iter + 1) for part in q.epoch(PROJECTED_MAP, it)],
+    f"kk AS (SELECT * FROM k{PROJECTED_MAP.n_iter})", q.assign("kk", "aa"), *q.ward("kk", PROJECTED_MAP, PROJECTED_REGIONS),
     "comp AS MATERIALIZED (SELECT j AS topic_id, term_id, term AS name, w - 0.5 AS weight FROM b JOIN voc USING (term_id))",
     cs.NODE_WEIGHTS, cs.node_words(2, 3), cs.TOPICS_TEXT, f"hits AS ({_HITS})",
 ]

@@ -52,11 +52,11 @@ def s7_overwrite_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s8_upsert_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """The node table after one epoch, updated by the hits after two."""
+    """The node table after one epoch, updated by the hits after the whole schedule."""
     rows = maps.vectors(spark, folder)
     first = som.predict(rows, maps.trained(rows, MAP, 1))
     old = regions.with_coordinates(som.hits(first, MAP.kshape), MAP.kshape)
-    later = som.predict(rows, maps.trained(rows, MAP, 2))
+    later = som.predict(rows, maps.trained(rows, MAP))
     return sinks.upsert(old, later.groupBy("node").agg(F.count(F.lit(1)).alias("hits")), ["node"])
 
 
