@@ -7,7 +7,7 @@ from textmap.catalog import sql as q
 from textmap.catalog.tables import table, vectors
 from textmap.functions import grid
 from textmap.functions.vectors import rounded
-from textmap.operators import regions, som
+from textmap.operators import many_maps, regions, som
 from textmap.operators import summaries as sm
 from textmap.params import SomParams
 
@@ -18,7 +18,9 @@ SPARSE = SomParams(kshape=(5, 6), n_iter=15, learning_rate=0.1, init="first", de
 HEX = SomParams(kshape=(5, 6), n_iter=15, learning_rate=0.1, init="first", topology="hex")
 TORUS = SomParams(kshape=(5, 6), n_iter=15, learning_rate=0.1, init="first", topology="torus")
 LABEL_MAP = SomParams(kshape=(2, 5), n_iter=5, learning_rate=0.1)
+LABEL_MAPS = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, init="first")
 N_CLUSTERS = 6
+LABEL_REGIONS = 4
 FEATURES = [0, 3, 5, 7, 63]
 SEED = 7
 
@@ -264,6 +266,31 @@ def c2_ward_regions(spark: SparkSession, folder: str) -> DataFrame:
     return regions.ward_regions(codebook.to_df(spark), MAP.kshape, N_CLUSTERS)
 
 
+def label_maps(spark: SparkSession, folder: str) -> many_maps.Maps:
+    """One map for each label, all trained together."""
+    return many_maps.fit(vectors(spark, folder), "label", LABEL_MAPS)
+
+
+def m10_maps_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    codebooks = label_maps(spark, folder).codebooks
+    return codebooks.select("label", "node", F.posexplode("vec").alias("feature", "w")).withColumn("w", rounded(F.col("w")))
+
+
+def m11_traces_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    trace = label_maps(spark, folder).trace
+    return trace.select("label", "it", *[rounded(F.col(c), 4).alias(c) for c in trace.columns[2:]])
+
+
+def m12_predict_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    rows = vectors(spark, folder)
+    return many_maps.predict(rows, label_maps(spark, folder)).select("label", "doc_id", "node", rounded(F.col("qe"), 5).alias("qe"))
+
+
+def c2_regions_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    """The regions of every label's map; each map is clustered in a task of its own."""
+    return regions.ward_regions(label_maps(spark, folder).codebooks, LABEL_MAPS.kshape, LABEL_REGIONS, ["label"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -272,7 +299,7 @@ QUERIES = {
         m10_fit_hex, m10_fit_full, m11_trace, m12_predict, m13_codebook, m14_u_matrix, m15_hits, m16_projection,
         m17_coordinates, m18_neighbours, m19_hex_frame, m20_hex_distance, m20_kernel_hex, m21_kernel_torus,
         m22_distances, m23_subtract, m24_clip, a8_mean_error, c1_kmeans, c1_kmeans_documents, c1_lloyd_step,
-        c2_ward_regions,
+        c2_ward_regions, m10_maps_by_label, m11_traces_by_label, m12_predict_by_label, c2_regions_by_label,
     )
 }
 
@@ -305,6 +332,8 @@ _LABELS = """k0 AS MATERIALIZED (SELECT node, list(m ORDER BY f) AS vec FROM (
     SELECT label AS node, f, m FROM (
     SELECT label, f, avg(v) AS m FROM (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS f FROM x)
     GROUP BY ALL)) GROUP BY node)"""
+_OF_LABELS = q.trained_by("label", LABEL_MAPS)
+_LAST = f"k{LABEL_MAPS.n_iter}"
 _ONE = SomParams(kshape=MAP.kshape, n_iter=3, learning_rate=MAP.learning_rate, init="first")
 
 
@@ -378,5 +407,18 @@ ORACLES = {
     + """SELECT node AS cluster, count(*) AS n, feature, round(avg(v), 6) + 0.0 AS v FROM (
         SELECT node, unnest(vec) AS v, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS feature
         FROM near JOIN x USING (doc_id) WHERE rn = 1) GROUP BY node, feature""",
+    "m10_maps_by_label": q.with_(*_OF_LABELS) + f"""SELECT label, node, CAST(f - 1 AS INTEGER) AS feature, round(w, 6) + 0.0 AS w FROM (
+        SELECT label, node, unnest(vec) AS w, generate_subscripts(vec, 1) AS f FROM {_LAST})""",
+    "m11_traces_by_label": q.with_(*_OF_LABELS) + " UNION ALL ".join(
+        f"""SELECT label, {it} AS it, round(e, 4) AS quantization_error, round(gap, 4) AS unit_deltas_update, round(size, 4) AS codebook_norm
+        FROM (SELECT label, avg(qe) AS e FROM a{it} GROUP BY label) JOIN (
+            SELECT n.label, sqrt(sum(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(n.vec, o.vec)]))) AS gap,
+                sqrt(sum(list_sum([e * e for e in n.vec]))) AS size
+            FROM k{it} n JOIN k{it - 1} o ON n.label = o.label AND n.node = o.node GROUP BY n.label) USING (label)"""
+        for it in range(1, LABEL_MAPS.n_iter + 1)
+    ),
+    "m12_predict_by_label": q.with_(*_OF_LABELS, q.assign_by("label", _LAST, "aa"))
+    + "SELECT label, doc_id, node, round(qe, 5) + 0.0 AS qe FROM aa",
+    "c2_regions_by_label": q.with_(*_OF_LABELS, *q.ward_by("label", _LAST, LABEL_MAPS, LABEL_REGIONS)) + "SELECT label, node, cluster FROM node_clusters",
     "c2_ward_regions": q.with_(*_final(), *q.ward("kk", MAP, N_CLUSTERS)) + "SELECT node, cluster FROM node_clusters",
 }

@@ -153,3 +153,60 @@ def ward(codebook: str, params: SomParams, n_clusters: int) -> list[str]:
         f"node_clusters AS MATERIALIZED (SELECT node, CAST(dense_rank() OVER (ORDER BY region) - 1 AS INTEGER) AS cluster FROM g{merges})"
     )
     return parts
+
+
+def assign_by(key: str, codebook: str, name: str) -> str:
+    """As ``assign``, each row on the map of its own group."""
+    return f"""{name} AS MATERIALIZED (SELECT {key}, doc_id, node, 1.0 / (1e-4::DOUBLE + sim) - 1.0 AS qe FROM (
+        SELECT {key}, doc_id, node, sim, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 12) DESC, node) AS rn
+        FROM (SELECT r.{key}, doc_id, node, list_dot_product({UNIT.format('r.vec')}, k.u) AS sim
+              FROM x r JOIN (SELECT {key}, node, {UNIT.format('vec')} AS u FROM {codebook}) k ON r.{key} = k.{key})) WHERE rn = 1)"""
+
+
+def trained_by(key: str, params: SomParams) -> list[str]:
+    """k0 .. kn: codebooks (key, node, vec) of one map per value of ``key``, from its first rows in turn."""
+    parts = [
+        f"x AS MATERIALIZED (SELECT {key}, vec_id AS doc_id, [v::DOUBLE for v in embedding] AS vec FROM embeddings)",
+        grid(params),
+        f"placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY {key}) AS size FROM x)",
+        f"k0 AS MATERIALIZED (SELECT {key}, grid.node, vec FROM placed JOIN grid ON place = grid.node % size)",
+    ]
+    for it in range(1, params.n_iter + 1):
+        parts += [
+            assign_by(key, f"k{it - 1}", f"a{it}"),
+            f"""s{it} AS MATERIALIZED (SELECT {key}, node, f, sum(v) AS s, count(*) AS n FROM (
+                SELECT x.{key}, node, unnest(vec) AS v, generate_subscripts(vec, 1) AS f FROM a{it} JOIN x USING (doc_id)) GROUP BY ALL)""",
+            kernel(params, it, f"h{it}"),
+            f"""k{it} AS MATERIALIZED (SELECT {key}, node, list(w ORDER BY f) AS vec FROM (
+                SELECT o.{key}, o.node, o.f, CASE WHEN w > 0 THEN p / w ELSE old END AS w FROM
+                (SELECT {key}, node, unnest(vec) AS old, generate_subscripts(vec, 1) AS f FROM k{it - 1}) o
+                JOIN (SELECT {key}, j, f, sum(h * s) AS p, sum(h * n) AS w FROM h{it} JOIN s{it} ON b = node GROUP BY ALL) m
+                ON o.{key} = m.{key} AND o.node = m.j AND o.f = m.f) GROUP BY ALL)""",
+        ]
+    return parts
+
+
+def ward_by(key: str, codebook: str, params: SomParams, n_clusters: int) -> list[str]:
+    """As ``ward``, the cheapest merge of every map in each step."""
+    parts = [
+        "side AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM grid a, grid b WHERE abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1)",
+        f"g0 AS MATERIALIZED (SELECT {key}, node, node AS region, vec FROM {codebook})",
+    ]
+    merges = params.n_nodes - n_clusters
+    for step in range(merges):
+        g = f"g{step}"
+        parts += [
+            f"""c{step}_ AS MATERIALIZED (SELECT {key}, region, max(n) AS n, list(m ORDER BY f) AS m FROM (
+                SELECT {key}, region, f, avg(v) AS m, count(*) AS n FROM (
+                SELECT {key}, region, unnest(vec) AS v, generate_subscripts(vec, 1) AS f FROM {g}) GROUP BY ALL) GROUP BY ALL)""",
+            f"""b{step}_ AS MATERIALIZED (SELECT {key}, lo, hi FROM (SELECT t.{key}, lo, hi, row_number() OVER (PARTITION BY t.{key} ORDER BY
+                round(u.n * v.n / (u.n + v.n)::DOUBLE * pow(list_distance(u.m, v.m), 2), 12), lo, hi) AS rn FROM (
+                SELECT DISTINCT p.{key}, least(p.region, q.region) AS lo, greatest(p.region, q.region) AS hi
+                FROM side JOIN {g} p ON p.node = a JOIN {g} q ON q.node = b AND q.{key} = p.{key} WHERE p.region <> q.region) t
+                JOIN c{step}_ u ON u.region = lo AND u.{key} = t.{key} JOIN c{step}_ v ON v.region = hi AND v.{key} = t.{key}) WHERE rn = 1)""",
+            f"g{step + 1} AS MATERIALIZED (SELECT {g}.{key}, node, CASE WHEN region = hi THEN lo ELSE region END AS region, vec FROM {g} JOIN b{step}_ ON b{step}_.{key} = {g}.{key})",
+        ]
+    parts.append(
+        f"node_clusters AS MATERIALIZED (SELECT {key}, node, CAST(dense_rank() OVER (PARTITION BY {key} ORDER BY region) - 1 AS INTEGER) AS cluster FROM g{merges})"
+    )
+    return parts

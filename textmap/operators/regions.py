@@ -90,7 +90,9 @@ def ward_regions(
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["node int", "cluster int"])
     # without group columns there is one map, hence one group
     grouped = codebooks.select(F.lit(0).alias("_map"), *keys, F.col("node").cast("int").alias("node"), "vec")
-    return grouped.groupBy("_map", *keys).applyInPandas(cut, schema)
+    # an asked-for number of tasks, which small tables keep: each map's merges are work of their own
+    tasks = int(codebooks.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
+    return grouped.repartition(tasks, "_map", *keys).groupBy("_map", *keys).applyInPandas(cut, schema)
 
 
 def kmeans(
