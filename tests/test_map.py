@@ -249,10 +249,68 @@ def test_table_codebook_trains_like_the_dense_one(spark):
     assert dense_nodes == wide_nodes
 
 
-def test_large_codebook_is_refused_with_a_way_out(spark, monkeypatch):
+@pytest.mark.parametrize("sparse", [False, True])
+def test_large_codebook_is_used_in_blocks_of_nodes(spark, monkeypatch, sparse):
+    dense = np.round(np.abs(random_rows(80, 5, 3)), 1)
+    dense[9:12], dense[20] = dense[3], 0.0
+    rows = sparse_table(spark, dense) if sparse else vector_table(spark, dense)
+    params = SomParams(kshape=(3, 4), n_iter=3, seed=2)
+    # equal nodes in different blocks: the lowest wins
+    start = som.random_codebook((3, 4), 5, 2).weights
+    start[7], start[11] = start[1], start[1]
+    codebook = som.Codebook((3, 4), start)
+
+    def results():
+        model = som.fit(rows, params, width=5, k_init=codebook)
+        tables = [som.predict(rows, codebook), som.predict(rows, codebook, metric="euclid"), som.two_nearest(rows, codebook), som.node_distances(rows, codebook)]
+        return model, [[tuple(r) for r in t.orderBy("doc_id").collect()] for t in tables]
+
+    whole, expected = results()
     monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
-    with pytest.raises(ValueError, match="sparse_som"):
-        som.predict(vector_table(spark, [[1.0, 0.0]]), som.random_codebook((1, 2), 2))
+    monkeypatch.setattr(mx, "LEAST_ROWS", 5)
+    monkeypatch.setattr(mx, "BLOCK_ENTRIES", 60)
+    blocks, found = results()
+    assert np.allclose(blocks.codebook.weights, whole.codebook.weights) and np.allclose(blocks.trace, whole.trace)
+    for a, b in zip(found, expected, strict=True):
+        assert [r[:3] if len(r) > 4 else r[:2] if isinstance(r[1], int) else r[:1] for r in a] == [
+            r[:3] if len(r) > 4 else r[:2] if isinstance(r[1], int) else r[:1] for r in b]
+        assert np.allclose([np.hstack(r) for r in a], [np.hstack(r) for r in b])
+
+
+@pytest.mark.parametrize("start", ["random", "first"])
+def test_wide_map_keeps_start_tolerance_clipping_and_trace(spark, monkeypatch, start):
+    rng = np.random.default_rng(12)
+    dense = np.where(rng.random((50, 23)) < 0.3, rng.random((50, 23)), 0.0)
+    params = SomParams(kshape=(2, 3), n_iter=30, seed=4, tolerance=0.05, clip_below=0.02, init=start)
+    rows = sparse_table(spark, dense)
+    k_init = som.Codebook((2, 3), dense[:6]) if start == "first" else None
+    model = som.fit(rows, params, width=23, k_init=k_init)
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr(mx, "LEAST_ROWS", 6)
+    monkeypatch.setattr(sparse_som, "NODES_AT_ONCE", 4)
+    wide = sparse_som.train(rows, 23, params)
+    table = np.zeros((6, 23))
+    for r in sparse_som.entries(wide.codebook).collect():
+        table[r["node"], r["feature"]] = r["w"]
+    assert 1 < len(wide.trace) < 30 and np.allclose(wide.trace, model.trace)
+    assert np.allclose(table, model.codebook.weights)
+
+
+def test_products_leave_cells_in_their_rows(spark, monkeypatch):
+    """No exchange of cells: what moves is one product per row and block, or one sum per task and feature."""
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr(mx, "LEAST_ROWS", 4)
+    dense = np.where(np.random.default_rng(5).random((30, 12)) < 0.3, 2.0, 0.0)
+    by, rows = np.random.default_rng(6).normal(size=(12, 5)), sparse_table(spark, dense)
+    product = mx.multiply(rows, by)
+    plan = product._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    table = mx.multiply_by_blocks(rows, mx.matrix_table(spark, by), 12, 5)
+    for found in (product, table):
+        got = np.zeros((30, 5))
+        for r in found.collect():
+            got[r["doc_id"]] = r["vec"]
+        assert np.allclose(got, dense @ by)
 
 
 @pytest.mark.parametrize("limit", [BROADCAST_LIMIT_BYTES, 8])

@@ -95,13 +95,18 @@ def distance(
 
 def distance_matrix(kshape: tuple[int, int], topology: str) -> np.ndarray:
     """Node-by-node distances for the driver's codebook update; grid-sized."""
+    return distance_block(kshape, topology, 0, kshape[0] * kshape[1])
+
+
+def distance_block(kshape: tuple[int, int], topology: str, start: int, stop: int) -> np.ndarray:
+    """Distances of the nodes ``start`` to ``stop`` - 1 to all nodes."""
     x, y = np.divmod(np.arange(kshape[0] * kshape[1]), kshape[1])
     if topology == "hex":
         hx, hy = x - y // 2, x + (y + 1) // 2
-        dx, dy = hx[:, None] - hx, hy[:, None] - hy
+        dx, dy = hx[start:stop, None] - hx, hy[start:stop, None] - hy
         ax, ay = np.abs(dx), np.abs(dy)
         return np.where(dx * dy >= 0, np.maximum(ax, ay), ax + ay).astype(float)
-    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    dx, dy = np.abs(x[start:stop, None] - x), np.abs(y[start:stop, None] - y)
     if topology == "torus":
         dx, dy = np.minimum(dx, kshape[0] - dx), np.minimum(dy, kshape[1] - dy)
     elif topology != "rect":

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.functions.vectors import unit as unit_column
-from textmap.session import few_tasks, fits_broadcast
+from textmap.session import few_tasks, fits_broadcast, rows_in_broadcast, stage
 
 # Entries of one numpy block: 4 million doubles, 32 MB.
 BLOCK_ENTRIES = 4_000_000
 # Longest row piece that is shuffled; a batch of ten thousand pieces stays under 100 MB.
 PIECE_ENTRIES = 1_024
+# A matrix over the broadcast limit is cut into blocks of rows that fit, but of no fewer rows than these.
+LEAST_ROWS = 256
 
 
 def is_sparse(rows: DataFrame) -> bool:
@@ -185,12 +187,10 @@ def collect_matrix(df: DataFrame, shape: tuple[int, int], key: str = "row") -> n
 def multiply(rows: DataFrame, matrix: np.ndarray, id_col: str = "doc_id", unit: bool = False) -> DataFrame:
     """(id, vec) = rows x matrix; ``unit`` scales each result row to length one.
 
-    A matrix over the broadcast limit is joined as a table instead.
+    A matrix over the broadcast limit is sent in blocks.
     """
     if not fits_broadcast(matrix.nbytes):
-        if not is_sparse(rows):
-            rows = to_sparse(rows, id_col)
-        return multiply_by_join(rows, matrix_table(rows.sparkSession, matrix), matrix.shape[1], id_col, unit)
+        return multiply_by_blocks(rows, matrix, *matrix.shape, id_col, unit)
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix))
 
     def work(block: np.ndarray) -> np.ndarray:
@@ -228,18 +228,67 @@ def matrix_table(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     return table
 
 
-def multiply_by_join(
-    rows: DataFrame, weights: DataFrame, n_out: int, id_col: str = "doc_id", unit: bool = False
+def row_blocks(n_rows: int, width: int) -> list[tuple[int, int]]:
+    """Stretches (start, stop) of a matrix of that many rows, each small enough to be sent."""
+    step = max(LEAST_ROWS, rows_in_broadcast(width))
+    return [(start, min(start + step, n_rows)) for start in range(0, n_rows, step)]
+
+
+def _block_of(weights: DataFrame | np.ndarray, start: int, stop: int, width: int) -> np.ndarray:
+    if isinstance(weights, np.ndarray):
+        return weights[start:stop]
+    own = weights.where(F.col("feature").between(start, stop - 1))
+    return collect_matrix(own.select((F.col("feature") - start).alias("row"), F.col("weights").alias("vec")), (stop - start, width))
+
+
+def _cells(batch: pa.RecordBatch, start: int, stop: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, features less ``start``, values) of the cells within a block, some at a time, in row order."""
+    offsets = batch.column(1).offsets.to_numpy(zero_copy_only=False)
+    feature = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    value = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    number = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    own = np.flatnonzero((feature >= start) & (feature < stop))
+    step = max(1, BLOCK_ENTRIES // max(1, width))
+    for first in range(0, len(own), step):
+        some = own[first : first + step]
+        yield number[some], feature[some] - start, value[some]
+
+
+def multiply_by_blocks(
+    rows: DataFrame, weights: DataFrame | np.ndarray, n_features: int, n_out: int, id_col: str = "doc_id", unit: bool = False
 ) -> DataFrame:
-    """rows x matrix with the matrix as a (feature, weights) table; rows without a cell become zero rows."""
-    cells = rows.select(id_col, F.inline(F.arrays_zip("indices", "values"))).toDF(id_col, "feature", "v")
-    scaled = cells.join(weights, "feature").select(
-        id_col, F.transform("weights", lambda w: w * F.col("v")).alias("vec")
-    )
-    zero = F.array_repeat(F.lit(0.0), n_out)
-    whole = rows.select(id_col).join(sum_vectors(scaled, id_col), id_col, "left").select(
-        id_col, F.coalesce("vec", zero).alias("vec")
-    )
+    """(id, vec) = rows x matrix, the matrix as an array or a (feature, weights) table of any length.
+
+    Its blocks are sent in turn; each gives one narrow product per row that has cells in it, and the products of a
+    row are added. No cell leaves its row. Rows without a cell become zero rows.
+    """
+    spark, held = rows.sparkSession, row_columns(rows if is_sparse(rows) else to_sparse(rows, id_col), id_col)
+
+    def product_with(start: int, stop: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast(np.ascontiguousarray(_block_of(weights, start, stop, n_out)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                step = max(1, BLOCK_ENTRIES // max(1, n_out))
+                for first in range(0, whole.num_rows, step):
+                    batch = whole.slice(first, step)
+                    total = np.zeros((batch.num_rows, n_out))
+                    hit = np.full(batch.num_rows, start == 0)
+                    for number, feature, value in _cells(batch, start, stop, n_out):
+                        found, part = add_by_key(number, sent.value[feature] * value[:, None])
+                        total[found] += part
+                        hit[found] = True
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_array(total[hit])], [id_col, "vec"])
+
+        return held.mapInArrow(run, f"{id_col} long, vec array<double>")
+
+    parts = [product_with(start, stop) for start, stop in row_blocks(n_features, n_out) or [(0, 0)]]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    if len(parts) > 1:
+        whole = sum_vectors(whole, id_col)
     return whole.select(id_col, unit_column(F.col("vec")).alias("vec")) if unit else whole
 
 
@@ -249,12 +298,11 @@ def transpose_product(
     """(row, vec): transpose(rows) x vectors, where both tables share ``id_col``.
 
     The joined tables are multiplied block by block inside the tasks; while one partial matrix stays
-    under the limit it is kept dense per task, otherwise the cells are summed as table rows.
+    under the limit it is kept dense per task, otherwise stretches of its rows are summed in turn.
     """
     joined = rows.join(vectors, id_col).select("indices", "values", "vec")
     if not fits_broadcast(n_features * width * 8):
-        scaled = joined.select("vec", F.inline(F.arrays_zip("indices", "values"))).toDF("vec", "row", "v")
-        return sum_vectors(scaled.select("row", F.transform("vec", lambda q: q * F.col("v")).alias("vec")), "row")
+        return transpose_by_blocks(stage(joined, "joined"), n_features, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((n_features, width)), False
@@ -270,3 +318,34 @@ def transpose_product(
             yield pa.RecordBatch.from_arrays([pa.array(rows_out), list_array(total)], ["row", "vec"])
 
     return merge_partials(few_tasks(joined).mapInArrow(run, "row int, vec array<double>"), "row", width)
+
+
+def transpose_by_blocks(joined: DataFrame, n_features: int, width: int) -> DataFrame:
+    """(row, vec): transpose(rows) x vectors for a stored table (indices, values, vec), rows without a cell left out.
+
+    One pass for each stretch of features, whose sums a task holds dense; at most one row per task and feature moves.
+    """
+
+    def sums_of(start: int, stop: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, hit = np.zeros((stop - start, width)), np.zeros(stop - start, bool)
+            for batch in batches:
+                right = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                lists = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(0), batch.column(1)], ["id", "indices", "values"])
+                for number, feature, value in _cells(lists, start, stop, width):
+                    found, part = add_by_key(feature, right[number] * value[:, None])
+                    total[found] += part
+                    hit[found] = True
+            numbers = np.flatnonzero(hit)
+            step = max(1, BLOCK_ENTRIES // max(1, width))
+            for first in range(0, len(numbers), step):
+                some = numbers[first : first + step]
+                yield pa.RecordBatch.from_arrays([pa.array((start + some).astype(np.int32)), list_array(total[some])], ["row", "vec"])
+
+        return merge_partials(few_tasks(joined).mapInArrow(run, "row int, vec array<double>"), "row", width)
+
+    whole = None
+    for start, stop in row_blocks(n_features, width):
+        part = sums_of(start, stop)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole

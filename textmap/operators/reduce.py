@@ -127,7 +127,7 @@ def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -
         image = stage(image, "lsa-image")
         basis = stage(turned(image, _inverse_root(product(image))), "lsa-basis")
         weights = basis.select(F.col("row").alias("feature"), F.col("vec").alias("weights"))
-        projected = stage(mx.multiply_by_join(rows, weights, width), "lsa-projected")
+        projected = stage(mx.multiply_by_blocks(rows, weights, n_terms, width), "lsa-projected")
         image = stage(mx.transpose_product(rows, n_terms, projected, width), "lsa-image")
         pair = basis.select("row", F.col("vec").alias("q")).join(image, "row", "left").select(
             "row", F.concat("q", F.coalesce("vec", F.array_repeat(F.lit(0.0), width))).alias("vec")
@@ -182,7 +182,7 @@ def lsa(rows: DataFrame, n_docs: int, n_terms: int, params: LsaParams = LsaParam
         attributes |= {"algorithm": "subspace-tables", "n_iter": steps}
         attributes |= {f"singular_value_{i}": float(np.sqrt(max(v, 0.0))) for i, v in enumerate(values)}
         components = components_from_table(table)
-        return Reduction(mx.multiply_by_join(rows, weights, k, unit=True), components, k, attributes)
+        return Reduction(mx.multiply_by_blocks(rows, weights, n_terms, k, unit=True), components, k, attributes)
     by_term = fix_signs(by_term)
     attributes["n_iter"] = steps
     attributes |= {f"singular_value_{i}": float(np.sqrt(max(v, 0.0))) for i, v in enumerate(values)}
@@ -284,7 +284,8 @@ def _nmf_tables(
         return mx.collect_matrix(mx.sum_rows(table, k, small, lambda b: b.T @ b, key), small)
 
     def weights_for(topics: DataFrame, square: np.ndarray) -> DataFrame:
-        product = mx.multiply_by_join(rows, topics.select(F.col("row").alias("feature"), F.col("vec").alias("weights")), k)
+        by_feature = topics.select(F.col("row").alias("feature"), F.col("vec").alias("weights"))
+        product = mx.multiply_by_blocks(rows, by_feature, n_terms, k)
         return mx.map_rows(product, k, lambda b: fit_weights(b, square, steps))
 
     for _ in range(params.max_steps):

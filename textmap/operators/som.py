@@ -18,7 +18,7 @@ from textmap.functions import grid
 from textmap.functions import vectors as vx
 from textmap.operators import matrix as mx
 from textmap.params import SomParams
-from textmap.session import few_tasks, fits_broadcast
+from textmap.session import few_tasks, fits_broadcast, stage
 
 # Similarities equal to this many digits are ties; the lowest node wins.
 TIE_DIGITS = 12
@@ -137,65 +137,81 @@ def quantization_error(similarity: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0e-4 + similarity) - 1.0
 
 
-def _check_size(codebook: Codebook) -> None:
-    if not fits_broadcast(codebook.weights.nbytes):
-        raise ValueError(
-            "this codebook is too large to send to every executor: reduce the vectors first, "
-            "or train on sparse rows with textmap.operators.sparse_som"
-        )
+def _blocks(rows: DataFrame, codebook: Codebook) -> list[tuple[int, Broadcast]]:
+    """The nodes in blocks that are small enough to be sent: the first node of each and its block."""
+    context = rows.sparkSession.sparkContext
+    stretches = mx.row_blocks(len(codebook.weights), codebook.width)
+    if fits_broadcast(codebook.weights.nbytes):
+        stretches = [(0, len(codebook.weights))]
+    return [(start, context.broadcast(codebook.weights[start:stop])) for start, stop in stretches]
 
 
-def _share(rows: DataFrame, codebook: Codebook) -> Broadcast:
-    _check_size(codebook)
-    return rows.sparkSession.sparkContext.broadcast(codebook.weights)
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def predict(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id", metric: str = "cosine") -> DataFrame:
-    """(id, node, score, qe) per row. Narrow, so it also runs on a stream."""
-    check_metric(metric)
-    shared, width = _share(rows, codebook), codebook.width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in mx.blocks(batches, width):
-            node, score, error = best_units(block, shared.value, metric)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(node.astype(np.int32)),
-                    pa.array(score),
-                    pa.array(error),
-                ],
-                [id_col, "node", "score", "qe"],
-            )
+    """(id, node, score, qe) per row. Narrow while the codebook is small enough to be sent, so it also runs on a stream.
 
-    schema = f"{id_col} long, node int, score double, qe double"
-    return mx.row_columns(rows, id_col).mapInArrow(run, schema)
+    A larger codebook is sent in blocks of nodes; each gives every row's best node there, and the best of these stays.
+    """
+    check_metric(metric)
+    width = codebook.width
+
+    def of_block(start: int, sent: Broadcast, key: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, block in mx.blocks(batches, width):
+                node, score, error = best_units(block, sent.value, metric)
+                columns = [pa.array(ids, pa.int64()), pa.array((node + start).astype(np.int32)), pa.array(score), pa.array(error)]
+                names = [id_col, "node", "score", "qe"]
+                if key:
+                    rounded = np.round(score, TIE_DIGITS)
+                    columns, names = [*columns, pa.array(rounded if metric == "euclid" else -rounded)], [*names, "key"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        schema = f"{id_col} long, node int, score double, qe double" + (", key double" if key else "")
+        return mx.row_columns(rows, id_col).mapInArrow(run, schema)
+
+    parts = _blocks(rows, codebook)
+    found = _union([of_block(start, sent, len(parts) > 1) for start, sent in parts])
+    if len(parts) == 1:
+        return found
+    best = F.min(F.struct("key", "node", "score", "qe")).alias("best")
+    return found.groupBy(id_col).agg(best).select(id_col, "best.node", "best.score", "best.qe")
 
 
 def two_nearest(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> DataFrame:
     """(id, node, second, d1, d2): the two nodes nearest by squared distance, on raw vectors."""
-    shared, width = _share(rows, codebook), codebook.width
+    width = codebook.width
     if len(codebook.weights) < 2:
         raise ValueError("a map of one node has no second unit")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in mx.blocks(batches, width):
-            squared = squared_distances(block, shared.value)
-            order = np.argsort(np.round(squared, TIE_DIGITS), axis=1, kind="stable")[:, :2]
-            near = np.take_along_axis(squared, order, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(order[:, 0].astype(np.int32)),
-                    pa.array(order[:, 1].astype(np.int32)),
-                    pa.array(near[:, 0]),
-                    pa.array(near[:, 1]),
-                ],
-                [id_col, "node", "second", "d1", "d2"],
-            )
-
-    schema = f"{id_col} long, node int, second int, d1 double, d2 double"
-    return mx.row_columns(rows, id_col).mapInArrow(run, schema)
+    def of_block(start: int, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, block in mx.blocks(batches, width):
+                squared = squared_distances(block, sent.value)
+                order = np.argsort(np.round(squared, TIE_DIGITS), axis=1, kind="stable")[:, :2]
+                near = np.take_along_axis(squared, order, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), mx.list_array(order + start), mx.list_array(near)], [id_col, "nodes", "d"]
+                )
+
+        return mx.row_columns(rows, id_col).mapInArrow(run, f"{id_col} long, nodes array<double>, d array<double>")
+
+    parts = _blocks(rows, codebook)
+    found = _union([of_block(start, sent) for start, sent in parts])
+    if len(parts) > 1:
+        both = F.flatten(F.collect_list(F.arrays_zip("nodes", "d")))
+        rounded = F.transform(both, lambda e: F.struct(F.round(e["d"], TIE_DIGITS).alias("key"), e["nodes"].alias("nodes"), e["d"].alias("d")))
+        found = found.groupBy(id_col).agg(F.slice(F.array_sort(rounded), 1, 2).alias("two"))
+        found = found.select(id_col, F.col("two.nodes").alias("nodes"), F.col("two.d").alias("d"))
+    return found.select(
+        id_col, F.col("nodes")[0].cast("int").alias("node"), F.col("nodes")[1].cast("int").alias("second"),
+        F.col("d")[0].alias("d1"), F.col("d")[1].alias("d2"),
+    )
 
 
 def topographic_error(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> DataFrame:
@@ -209,10 +225,15 @@ def topographic_error(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id
 
 def node_distances(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> DataFrame:
     """(id, distances): squared distance of each row to every node, in node order."""
-    shared = _share(rows, codebook)
-    return mx.map_rows(
-        rows, codebook.width, lambda block: squared_distances(block, shared.value), id_col, "distances"
-    )
+    def of_block(sent: Broadcast) -> DataFrame:
+        return mx.map_rows(rows, codebook.width, lambda block: squared_distances(block, sent.value), id_col, "distances")
+
+    parts = _blocks(rows, codebook)
+    if len(parts) == 1:
+        return of_block(parts[0][1])
+    found = _union([of_block(sent).withColumn("_start", F.lit(start)) for start, sent in parts])
+    whole = F.array_sort(F.collect_list(F.struct("_start", "distances")))
+    return found.groupBy(id_col).agg(F.flatten(F.transform(whole, lambda e: e["distances"])).alias("distances"))
 
 
 def epoch_sums(
@@ -224,24 +245,30 @@ def epoch_sums(
     third of all rows costs no more than any other.
     """
     check_metric(metric)
-    shared, width, size = sent or _share(rows, codebook), codebook.width, len(codebook.weights)
+    width, size = codebook.width, len(codebook.weights)
+    if not fits_broadcast(codebook.weights.nbytes):
+        return _sums_by_blocks(rows, codebook, id_col, metric)
+    shared = sent or _blocks(rows, codebook)[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, errors, sums = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, width))
+        sums = np.zeros((size, width + 2))
         for _, block in mx.blocks(batches, width):
             node, _, error = best_units(block, shared.value, metric)
-            counts += np.bincount(node, minlength=size)
-            errors += np.bincount(node, weights=error, minlength=size)
-            found, part = mx.add_by_key(node, block)
-            sums[found] += part
-        hit = np.flatnonzero(counts)
-        # count and error travel as the first two entries of the sum
-        packed = np.column_stack([counts, errors, sums])[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), mx.list_array(packed)], ["node", "vec"])
-
-    partial = few_tasks(mx.row_columns(rows, id_col)).mapInArrow(run, "node int, vec array<double>")
-    merged = mx.merge_partials(partial, "node", width + 2)
-    return merged.select(
+            _add(sums, node, error, block)
+        hit = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), mx.list_array(sums[hit])], ["node", "vec"])
+
+    return _unpacked(few_tasks(mx.row_columns(rows, id_col)).mapInArrow(run, "node int, vec array<double>"), width)
+
+
+def _add(sums: np.ndarray, node: np.ndarray, error: np.ndarray, block: np.ndarray) -> None:
+    """Add rows to the sums of their nodes; count and error travel as the first two entries."""
+    found, part = mx.add_by_key(node, np.column_stack([np.ones(len(block)), error, block]))
+    sums[found] += part
+
+
+def _unpacked(partial: DataFrame, width: int) -> DataFrame:
+    return mx.merge_partials(partial, "node", width + 2).select(
         "node",
         F.element_at("vec", 1).cast("long").alias("n"),
         F.element_at("vec", 2).alias("qe"),
@@ -249,6 +276,31 @@ def epoch_sums(
     )
 
 
+def _sums_by_blocks(rows: DataFrame, codebook: Codebook, id_col: str, metric: str) -> DataFrame:
+    """The same for a codebook in blocks: each row is placed first, then each block of nodes adds up its own rows."""
+    width = codebook.width
+    placed = predict(rows, codebook, id_col, metric).select(id_col, "node", "qe")
+    vectors = ["indices", "values"] if mx.is_sparse(rows) else ["vec"]
+    joined = stage(rows.select(F.col(id_col).cast("long").alias(id_col), *vectors).join(placed, id_col), "placed")
+
+    def of_block(start: int, stop: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((stop - start, width + 2))
+            for batch in batches:
+                node, error = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+                places = pa.array(np.arange(batch.num_rows))
+                lists = pa.RecordBatch.from_arrays([places, *batch.columns[2:]], [str(i) for i in range(batch.num_columns - 1)])
+                for at, block in mx.blocks(iter([lists]), width):
+                    _add(sums, node[at] - start, error[at], block)
+            hit = np.flatnonzero(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array((start + hit).astype(np.int32)), mx.list_array(sums[hit])], ["node", "vec"])
+
+        own = joined.where(F.col("node").between(start, stop - 1)).select("node", "qe", *vectors)
+        return few_tasks(own).mapInArrow(run, "node int, vec array<double>")
+
+    return _unpacked(_union([of_block(start, stop) for start, stop in mx.row_blocks(len(codebook.weights), width)]), width)
+
+
 def apply_epoch(codebook: Codebook, influence: np.ndarray, counts: np.ndarray, sums: np.ndarray, update: str) -> Codebook:
     """The codebook after an epoch, from its per-node row counts and vector sums."""
     pull = influence.T @ sums
@@ -262,6 +314,23 @@ def apply_epoch(codebook: Codebook, influence: np.ndarray, counts: np.ndarray, s
     raise ValueError(f"unknown update: {update}")
 
 
+def _apply_by_blocks(
+    codebook: Codebook, params: SomParams, it: int, counts: np.ndarray, sums: np.ndarray, dist: np.ndarray | None
+) -> Codebook:
+    """``apply_epoch`` for some nodes at a time, so that node-by-node distances never stand whole beside a large map."""
+    size = len(codebook.weights)
+    step = size if dist is not None else max(1, mx.BLOCK_ENTRIES // size)
+    moved = codebook.weights.copy()
+    for start in range(0, size, step):
+        stop = min(start + step, size)
+        near = grid.distance_block(params.kshape, params.topology, start, stop) if dist is None else dist[start:stop]
+        strength = grid.influence_matrix(near, params, it).T
+        strength = np.where(strength > params.min_influence, strength, 0.0)
+        own = Codebook((stop - start, 1), codebook.weights[start:stop])
+        moved[start:stop] = apply_epoch(own, strength, counts, sums, params.update).weights
+    return Codebook(codebook.kshape, moved)
+
+
 @dataclass(frozen=True)
 class Epoch:
     codebook: Codebook
@@ -269,22 +338,33 @@ class Epoch:
 
 
 def run_epoch(
-    rows: DataFrame, codebook: Codebook, params: SomParams, it: int, dist: np.ndarray, id_col: str = "doc_id"
+    rows: DataFrame, codebook: Codebook, params: SomParams, it: int, dist: np.ndarray | None = None, id_col: str = "doc_id"
 ) -> Epoch:
+    """One epoch. ``dist`` is the whole node-by-node distance matrix, where it was formed."""
     size = params.n_nodes
-    _check_size(codebook)
-    with mx.shared(rows.sparkSession, codebook.weights) as sent:
+
+    def collected(sent: Broadcast | None) -> np.ndarray:
         # one map-sized fetch
         packed = epoch_sums(rows, codebook, id_col, sent=sent).select(
             "node", F.concat(F.array(F.col("n").cast("double"), "qe"), "vec").alias("vec")
         )
-        found = mx.collect_matrix(packed, (size, codebook.width + 2), "node")
+        return mx.collect_matrix(packed, (size, codebook.width + 2), "node")
+
+    if fits_broadcast(codebook.weights.nbytes):
+        with mx.shared(rows.sparkSession, codebook.weights) as sent:
+            found = collected(sent)
+    else:
+        found = collected(None)
     counts, errors, sums = found[:, 0], found[:, 1].sum(), found[:, 2:]
-    strength = grid.influence_matrix(dist, params, it)
-    strength = np.where(strength > params.min_influence, strength, 0.0)
     total = counts.sum()
-    after = apply_epoch(codebook, strength, counts, sums, params.update)
-    return Epoch(after, errors / total if total else float("nan"))
+    return Epoch(_apply_by_blocks(codebook, params, it, counts, sums, dist), errors / total if total else float("nan"))
+
+
+def distances(params: SomParams) -> np.ndarray | None:
+    """Node-by-node distances of a map, unless they are too many to hold; epochs then form them in stretches."""
+    if fits_broadcast(params.n_nodes**2 * 8):
+        return grid.distance_matrix(params.kshape, params.topology)
+    return None
 
 
 @dataclass(frozen=True)
@@ -315,7 +395,7 @@ def fit(
     """
     width = mx.width_of(rows) if width is None else width
     codebook = initial_codebook(rows, width, params, k_init, id_col)
-    dist = grid.distance_matrix(params.kshape, params.topology)
+    dist = distances(params)
     trace, last = [], None
     for it in range(1, params.n_iter + 1):
         epoch = run_epoch(rows, codebook, params, it, dist, id_col)

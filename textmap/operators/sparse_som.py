@@ -1,9 +1,8 @@
 """The map on raw sparse rows, with the codebook as a table.
 
-For feature lists too long to send a whole codebook to every executor: the codebook is stored as
-(feature, weights), one array over the nodes per feature, and joined to the cells by feature.
-Nothing larger than one node-sized array or matrix reaches the driver. Smaller codebooks are
-trained faster by ``textmap.operators.som``, which takes sparse rows too.
+For feature lists too long to keep a codebook in one place: it is stored as (feature, weights), one array over
+the nodes per feature, and sent in blocks of features. Each block gives narrow products, which are added per row; no
+cell leaves its row. Smaller codebooks are trained faster by ``textmap.operators.som``, which takes sparse rows too.
 """
 
 from collections.abc import Iterator
@@ -18,7 +17,10 @@ from textmap.functions import grid
 from textmap.operators import matrix as mx
 from textmap.operators import som
 from textmap.params import SomParams
-from textmap.session import stage
+from textmap.session import few_tasks, stage
+
+# Nodes whose products a row carries at once.
+NODES_AT_ONCE = 1_024
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,15 @@ class WideCodebook:
         return self.kshape[0] * self.kshape[1]
 
 
+@dataclass(frozen=True)
+class WideModel:
+    """A fitted map; ``trace`` has the columns of ``som.TRACE_SCHEMA``."""
+
+    params: SomParams
+    codebook: WideCodebook
+    trace: tuple[tuple, ...]
+
+
 def random_codebook(spark: SparkSession, kshape: tuple[int, int], n_features: int, seed: int = 0) -> WideCodebook:
     """The same values as the dense random codebook of that seed."""
 
@@ -46,6 +57,22 @@ def random_codebook(spark: SparkSession, kshape: tuple[int, int], n_features: in
     return WideCodebook(kshape, n_features, stage(weights, "codebook"))
 
 
+def first_rows_codebook(rows: DataFrame, kshape: tuple[int, int], n_features: int, id_col: str = "doc_id") -> WideCodebook:
+    """The rows with the smallest ids as nodes."""
+    size = kshape[0] * kshape[1]
+    first = rows.where(F.col("indices").isNotNull()).orderBy(id_col).limit(size).select("indices", "values")
+    held = first.toArrow()
+    if held.num_rows < size:
+        raise ValueError(f"{held.num_rows} rows cannot fill a map of {size} nodes")
+    spark = rows.sparkSession
+    nodes = spark.createDataFrame(held.append_column("node", pa.array(np.arange(size, dtype=np.int32))))
+    cells = nodes.select("node", F.inline(F.arrays_zip("indices", "values"))).toDF("node", "feature", "v")
+    by_node = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("node", "v"))).alias("by_node"))
+    every = spark.range(n_features).select(F.col("id").cast("int").alias("feature"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda n: F.coalesce(F.try_element_at(F.col("by_node"), n), F.lit(0.0)))
+    return WideCodebook(kshape, n_features, stage(every.join(by_node, "feature", "left").select("feature", spread.alias("weights")), "codebook"))
+
+
 def unit_rows(rows: DataFrame, id_col: str) -> DataFrame:
     length = F.sqrt(F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v))
     scaled = F.transform("values", lambda v: F.when(F.col("length") > 0, v / F.col("length")).otherwise(v))
@@ -63,55 +90,82 @@ def node_lengths(codebook: WideCodebook) -> np.ndarray:
 
 
 def predict(rows: DataFrame, codebook: WideCodebook, id_col: str = "doc_id") -> DataFrame:
-    """(id, node, score, qe), as the dense map gives it."""
+    """(id, node, score, qe), as the dense map gives it. A stretch of nodes at a time gives each row's best node there."""
     lengths = node_lengths(codebook)
     scale = np.where(lengths > 0, lengths, 1.0)
-    products = mx.multiply_by_join(unit_rows(rows, id_col), codebook.weights, codebook.n_nodes, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, block in mx.blocks(batches, len(scale)):
-            similarity = block / scale
-            node = np.argmax(np.round(similarity, som.TIE_DIGITS), axis=1)
-            score = similarity[np.arange(len(block)), node]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(node.astype(np.int32)),
-                    pa.array(score),
-                    pa.array(som.quantization_error(score)),
-                ],
-                [id_col, "node", "score", "qe"],
-            )
-
-    schema = f"{id_col} long, node int, score double, qe double"
-    return mx.row_columns(products, id_col).mapInArrow(run, schema)
-
-
-def run_epoch(
-    rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str = "doc_id"
-) -> tuple[WideCodebook, float]:
-    """The codebook after one epoch, and the mean error against the codebook before."""
+    units = unit_rows(rows, id_col)
+
+    def of_nodes(start: int, stop: int) -> DataFrame:
+        own = codebook.weights.select("feature", F.slice("weights", start + 1, stop - start).alias("weights"))
+        products = mx.multiply_by_blocks(units, own, codebook.n_features, stop - start, id_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, block in mx.blocks(batches, stop - start):
+                similarity = block / scale[start:stop]
+                rounded = np.round(similarity, som.TIE_DIGITS)
+                node = np.argmax(rounded, axis=1)
+                every = np.arange(len(block))
+                score = similarity[every, node]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array(-rounded[every, node]),
+                        pa.array((node + start).astype(np.int32)),
+                        pa.array(score),
+                        pa.array(som.quantization_error(score)),
+                    ],
+                    [id_col, "key", "node", "score", "qe"],
+                )
+
+        return mx.row_columns(products, id_col).mapInArrow(run, f"{id_col} long, key double, node int, score double, qe double")
+
+    size = codebook.n_nodes
+    parts = [of_nodes(start, min(start + NODES_AT_ONCE, size)) for start in range(0, size, NODES_AT_ONCE)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    if len(parts) > 1:
+        best = F.min(F.struct("key", "node", "score", "qe")).alias("best")
+        whole = whole.groupBy(id_col).agg(best).select(id_col, "best.*")
+    return whole.select(id_col, "node", "score", "qe")
+
+
+def _node_sums(placed: DataFrame, n_features: int, size: int) -> DataFrame:
+    """(feature, sums): the summed values of each feature by node, of stored rows (node, indices, values)."""
+
+    def of_block(start: int, stop: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((stop - start) * size)
+            for batch in batches:
+                node = batch.column(0).to_numpy(zero_copy_only=False)
+                for number, feature, value in mx._cells(batch, start, stop, 1):
+                    found, part = mx.add_by_key(feature.astype(np.int64) * size + node[number], value[:, None])
+                    total[found] += part[:, 0]
+            table = total.reshape(stop - start, size)
+            hit = np.flatnonzero(table.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array((start + hit).astype(np.int32)), mx.list_array(table[hit])], ["row", "vec"])
+
+        return mx.merge_partials(few_tasks(placed).mapInArrow(run, "row int, vec array<double>"), "row", size)
+
+    whole = None
+    for start, stop in mx.row_blocks(n_features, size):
+        part = of_block(start, stop)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.select(F.col("row").alias("feature"), F.col("vec").alias("sums"))
+
+
+def _epoch(rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str) -> tuple[WideCodebook, tuple]:
+    """The codebook after one epoch, and its line of the trace."""
     size = params.n_nodes
     assigned = stage(predict(rows, codebook, id_col), "assigned")
     counts, errors = np.zeros(size), 0.0
     for row in assigned.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("qe").alias("qe")).collect():
         counts[row["node"]] = row["n"]
         errors += row["qe"]
-    placed = rows.join(assigned.select(id_col, "node"), id_col)
-    cells = placed.select("node", F.inline(F.arrays_zip("indices", "values"))).toDF("node", "feature", "v")
-    # summed per (node, feature) before anything is gathered; then at most one entry per node and feature
-    sums = (
-        cells.groupBy("feature", "node")
-        .agg(F.sum("v").alias("s"))
-        .groupBy("feature")
-        .agg(F.map_from_entries(F.collect_list(F.struct("node", "s"))).alias("by_node"))
-    )
-    spread = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda n: F.coalesce(F.try_element_at(F.col("by_node"), n), F.lit(0.0)),
-    )
+    placed = stage(rows.join(assigned.select(id_col, "node"), id_col).select("node", "indices", "values"), "placed")
+    sums = _node_sums(placed, codebook.n_features, size)
     pair = codebook.weights.join(sums, "feature", "left").select(
-        F.col("feature").alias("id"), F.concat("weights", spread).alias("vec")
+        F.col("feature").alias("id"), F.concat("weights", F.coalesce("sums", F.array_repeat(F.lit(0.0), size))).alias("vec")
     )
     strength = grid.influence_matrix(grid.distance_matrix(params.kshape, params.topology), params, it)
     strength = np.where(strength > params.min_influence, strength, 0.0)
@@ -120,29 +174,63 @@ def run_epoch(
     def move(block: np.ndarray) -> np.ndarray:
         old, pull = block[:, :size], block[:, size:] @ strength
         if params.update == "sum":
-            return old + pull - weight * old
-        return np.where(weight > 0, pull / np.where(weight > 0, weight, 1.0), old)
+            new = old + pull - weight * old
+        else:
+            new = np.where(weight > 0, pull / np.where(weight > 0, weight, 1.0), old)
+        # the squares of the way and of the length travel behind the weights
+        return np.column_stack([new, ((new - old) ** 2).sum(axis=1), (new * new).sum(axis=1)])
 
-    moved = mx.map_rows(pair, 2 * size, move, "id", "weights")
-    weights = stage(moved.select(F.col("id").cast("int").alias("feature"), "weights"), "codebook")
-    total = counts.sum()
-    return WideCodebook(codebook.kshape, codebook.n_features, weights), errors / total if total else float("nan")
+    moved = stage(mx.map_rows(pair, 2 * size, move, "id", "vec"), "codebook")
+    norms = moved.agg(F.sqrt(F.sum(F.element_at("vec", size + 1))).alias("way"), F.sqrt(F.sum(F.element_at("vec", size + 2))).alias("length")).first()
+    weights = moved.select(F.col("id").cast("int").alias("feature"), F.slice("vec", 1, size).alias("weights"))
+    radius, rate, _, _ = grid.schedule(params, it)
+    error = float(errors / counts.sum()) if counts.sum() else float("nan")
+    line = (it, radius, rate, error, float(norms["way"] or 0.0), float(norms["length"] or 0.0))
+    return WideCodebook(codebook.kshape, codebook.n_features, weights), line
 
 
-def fit(
+def run_epoch(
+    rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str = "doc_id"
+) -> tuple[WideCodebook, float]:
+    """The codebook after one epoch, and the mean error against the codebook before."""
+    after, line = _epoch(rows, codebook, params, it, id_col)
+    return after, line[3]
+
+
+def train(
     rows: DataFrame, n_features: int, params: SomParams, k_init: WideCodebook | None = None, id_col: str = "doc_id"
-) -> tuple[WideCodebook, list[float]]:
-    """(codebook, error per epoch). ``rows`` should be a stored table."""
+) -> WideModel:
+    """As ``som.fit``, with its start, tolerance, clipping and trace. ``rows`` should be a stored table."""
     if params.update not in ("mean", "sum"):
         raise ValueError(f"unknown update: {params.update}")
-    codebook = k_init or random_codebook(rows.sparkSession, params.kshape, n_features, params.seed)
+    if k_init is not None:
+        codebook = k_init
+    elif params.init == "first":
+        codebook = first_rows_codebook(rows, params.kshape, n_features, id_col)
+    elif params.init == "random":
+        codebook = random_codebook(rows.sparkSession, params.kshape, n_features, params.seed)
+    else:
+        raise ValueError(f"unknown init: {params.init}")
     if codebook.kshape != params.kshape or codebook.n_features != n_features:
         raise ValueError(f"given map {codebook.kshape} x {codebook.n_features} does not fit {params.kshape} x {n_features}")
-    trace = []
+    trace: list[tuple] = []
     for it in range(1, params.n_iter + 1):
-        codebook, error = run_epoch(rows, codebook, params, it, id_col)
-        trace.append(error)
-    return codebook, trace
+        codebook, line = _epoch(rows, codebook, params, it, id_col)
+        trace.append(line)
+        if params.tolerance is not None and it > 1 and abs(trace[-2][3] - line[3]) <= params.tolerance * abs(trace[-2][3]):
+            break
+    if params.clip_below is not None:
+        clipped = F.transform("weights", lambda w: F.when(w < params.clip_below, F.lit(0.0)).otherwise(w))
+        codebook = WideCodebook(codebook.kshape, n_features, codebook.weights.select("feature", clipped.alias("weights")))
+    return WideModel(params, codebook, tuple(trace))
+
+
+def fit(
+    rows: DataFrame, n_features: int, params: SomParams, k_init: WideCodebook | None = None, id_col: str = "doc_id"
+) -> tuple[WideCodebook, list[float]]:
+    """(codebook, error per epoch) of ``train``."""
+    model = train(rows, n_features, params, k_init, id_col)
+    return model.codebook, [line[3] for line in model.trace]
 
 
 def entries(codebook: WideCodebook) -> DataFrame:

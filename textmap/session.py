@@ -51,6 +51,11 @@ def fits_broadcast(n_bytes: int) -> bool:
     return n_bytes <= BROADCAST_LIMIT_BYTES
 
 
+def rows_in_broadcast(row_entries: int) -> int:
+    """How many rows of that many doubles one broadcast variable may hold."""
+    return BROADCAST_LIMIT_BYTES // (8 * max(1, row_entries))
+
+
 def few_tasks(df: DataFrame) -> DataFrame:
     """Bound the task count by the cores, so that per-task partial matrices stay few.
 
