@@ -266,6 +266,27 @@ def c2_ward_regions(spark: SparkSession, folder: str) -> DataFrame:
     return regions.ward_regions(codebook.to_df(spark), MAP.kshape, N_CLUSTERS)
 
 
+def u2_start_function(spark: SparkSession, folder: str) -> DataFrame:
+    """A map whose start is a function of the data: the mean of all rows, moved a little for each node."""
+
+    def start(rows: DataFrame) -> DataFrame:
+        means = rows.select(F.posexplode("vec").alias("f", "v")).groupBy("f").agg(F.avg("v").alias("m"))
+        mean = F.transform(F.array_sort(F.collect_list(F.struct("f", "m"))), lambda e: e["m"]).alias("mean")
+        nodes = means.groupBy().agg(mean).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(MAP.n_nodes - 1))))
+        moved = F.transform("mean", lambda m, f: m + F.when((f % MAP.n_nodes) == F.col("node"), 0.1).otherwise(0.0))
+        return nodes.select("node", moved.alias("vec"))
+
+    return entries(som.fit(vectors(spark, folder), MAP, k_init=start).codebook.to_df(spark))
+
+
+def u3_fit_then_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """A model fitted on the first labels places the rows of the others; its last error stands beside them."""
+    rows = vectors(spark, folder)
+    model = som.fit(rows.where(F.col("label") < 5), MAP)
+    placed = som.predict(rows.where(F.col("label") >= 5), model.codebook)
+    return placed.select("doc_id", "node", rounded(F.lit(model.quantization_error), 5).alias("fit_error"))
+
+
 def label_maps(spark: SparkSession, folder: str) -> many_maps.Maps:
     """One map for each label, all trained together."""
     return many_maps.fit(vectors(spark, folder), "label", LABEL_MAPS)
@@ -299,7 +320,7 @@ QUERIES = {
         m10_fit_hex, m10_fit_full, m11_trace, m12_predict, m13_codebook, m14_u_matrix, m15_hits, m16_projection,
         m17_coordinates, m18_neighbours, m19_hex_frame, m20_hex_distance, m20_kernel_hex, m21_kernel_torus,
         m22_distances, m23_subtract, m24_clip, a8_mean_error, c1_kmeans, c1_kmeans_documents, c1_lloyd_step,
-        c2_ward_regions, m10_maps_by_label, m11_traces_by_label, m12_predict_by_label, c2_regions_by_label,
+        c2_ward_regions, u2_start_function, u3_fit_then_predict, m10_maps_by_label, m11_traces_by_label, m12_predict_by_label, c2_regions_by_label,
     )
 }
 
@@ -407,6 +428,14 @@ ORACLES = {
     + """SELECT node AS cluster, count(*) AS n, feature, round(avg(v), 6) + 0.0 AS v FROM (
         SELECT node, unnest(vec) AS v, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS feature
         FROM near JOIN x USING (doc_id) WHERE rn = 1) GROUP BY node, feature""",
+    "u2_start_function": q.with_(q.X, q.XU, q.grid(MAP), f"""k0 AS MATERIALIZED (SELECT node, list(m + CASE WHEN (f - 1) % {MAP.n_nodes} = node
+        THEN 0.1::DOUBLE ELSE 0.0 END ORDER BY f) AS vec FROM grid, (SELECT f, avg(v) AS m FROM (
+        SELECT unnest(vec) AS v, generate_subscripts(vec, 1) AS f FROM x) GROUP BY f) GROUP BY node)""",
+        *[part for it in range(1, MAP.n_iter + 1) for part in q.epoch(MAP, it)]) + _entries(f"k{MAP.n_iter}"),
+    "u3_fit_then_predict": q.with_(q.X.replace("x AS", "every AS", 1), "x AS MATERIALIZED (SELECT * FROM every WHERE label < 5)", q.XU, q.grid(MAP),
+        q.first_rows(MAP.n_nodes), *[part for it in range(1, MAP.n_iter + 1) for part in q.epoch(MAP, it)],
+        f"others AS MATERIALIZED (SELECT doc_id, {q.UNIT.format('vec')} AS u FROM every WHERE label >= 5)",
+        q.assign(f"k{MAP.n_iter}", "aa", "others")) + f"SELECT doc_id, node, (SELECT round(avg(qe), 5) FROM a{MAP.n_iter}) AS fit_error FROM aa",
     "m10_maps_by_label": q.with_(*_OF_LABELS) + f"""SELECT label, node, CAST(f - 1 AS INTEGER) AS feature, round(w, 6) + 0.0 AS w FROM (
         SELECT label, node, unnest(vec) AS w, generate_subscripts(vec, 1) AS f FROM {_LAST})""",
     "m11_traces_by_label": q.with_(*_OF_LABELS) + " UNION ALL ".join(

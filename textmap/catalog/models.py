@@ -15,7 +15,8 @@ from textmap.operators import reduce as rd
 from textmap.operators import som, sparse_som
 from textmap.operators import summaries as sm
 from textmap.operators import vocabulary as vo
-from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, WardParams
+from textmap.operators.tfidf import tfidf
+from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, TextParams, WardParams
 from textmap.plans.analysis import Analysis, run_analysis
 from textmap.session import stage
 
@@ -25,6 +26,8 @@ NMF_STEPS = 2
 PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=15, learning_rate=0.1, init="first")
 PROJECTED_REGIONS = 4
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=15)
+LONG_LIST = TextParams(min_df=2, max_df=1.0)
+WIDE_MAP = SomParams(kshape=(3, 4), n_iter=6, learning_rate=0.1, min_influence=0.001, seed=5)
 TERM_MAP = SomParams(kshape=(3, 4), n_iter=10, learning_rate=0.1, decay="sparse", min_influence=0.001, seed=5)
 
 
@@ -143,10 +146,37 @@ def m9_terms_epoch(spark: SparkSession, folder: str) -> DataFrame:
     return sparse_som.entries(after).withColumn("w", rounded(F.col("w")))
 
 
+def long_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, vo.Vocabulary]:
+    """TF-IDF rows over every term of at least two documents, stored."""
+    terms = tokenized(spark, folder)
+    vocab = vo.fit_vocabulary(terms, LONG_LIST)
+    return stage(tfidf(terms, vocab), "tfidf-long"), vocab
+
+
+def r1_wide_power_step(spark: SparkSession, folder: str) -> DataFrame:
+    """The power step over the long term list, with the basis as a table that is sent in blocks."""
+    rows, vocab = long_rows(spark, folder)
+    number = lambda j: F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), "id", F.lit(f":{j}"))), 1, 8), 16, 10)
+    basis = spark.range(vocab.n_terms).select(
+        F.col("id").cast("int").alias("feature"), F.array(*[number(j).cast("double") / F.lit(2.0**32) for j in range(WIDTH)]).alias("weights")
+    )
+    placed = mx.multiply_by_blocks(rows, stage(basis, "basis"), vocab.n_terms, WIDTH)
+    joined = stage(rows.join(placed, "doc_id").select("indices", "values", "vec"), "joined")
+    step = mx.transpose_by_blocks(joined, vocab.n_terms, WIDTH)
+    return step.select(F.col("row").alias("term_id"), F.posexplode("vec").alias("j", "z")).withColumn("z", rounded(F.col("z"), 5))
+
+
+def m10_wide_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All epochs of a map on the long term list, with the codebook as a table."""
+    rows, vocab = long_rows(spark, folder)
+    model = sparse_som.train(rows, vocab.n_terms, WIDE_MAP)
+    return sparse_som.entries(model.codebook).withColumn("w", rounded(F.col("w")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
+        r1_wide_power_step, m10_wide_fit, m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
@@ -210,18 +240,42 @@ _PROJECTED = [
     cs.NODE_WEIGHTS, cs.node_words(2, 3), cs.TOPICS_TEXT, f"hits AS ({_HITS})",
 ]
 
-_TERM_UNITS = [
-    *q.tfidf_ctes(),
-    f"""k0 AS MATERIALIZED (SELECT CAST(n AS INTEGER) AS node, term_id,
-        ('0x' || md5('{TERM_MAP.seed}:' || n || ':' || term_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS w
-        FROM voc, range({TERM_MAP.n_nodes}) t(n))""",
-    "kl AS (SELECT node, sqrt(sum(w * w)) AS l FROM k0 GROUP BY node)",
-    """dots AS MATERIALIZED (SELECT doc_id, node, sum(v * w) / max(l) AS sim FROM cells JOIN k0 USING (term_id)
-        JOIN kl USING (node) GROUP BY doc_id, node)""",
-    """aa AS MATERIALIZED (SELECT tok.doc_id, coalesce(node, 0) AS node FROM tok LEFT JOIN (SELECT doc_id, node FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 12) DESC, node) AS rn FROM dots)
+_LONG = q.tfidf_ctes(low="2", high="n")
+
+
+def _term_start(params: SomParams) -> str:
+    return f"""k0 AS MATERIALIZED (SELECT CAST(n AS INTEGER) AS node, term_id,
+        ('0x' || md5('{params.seed}:' || n || ':' || term_id)[1:8])::BIGINT / 4294967296.0::DOUBLE AS w
+        FROM voc, range({params.n_nodes}) t(n))"""
+
+
+def _term_units(it: int) -> list[str]:
+    """aa{it}: the best unit of every document on k{it - 1}, a codebook over terms."""
+    before = f"k{it - 1}"
+    return [
+        f"kl{it} AS (SELECT node, sqrt(sum(w * w)) AS l FROM {before} GROUP BY node)",
+        f"""dots{it} AS MATERIALIZED (SELECT doc_id, node, sum(v * w) / max(l) AS sim FROM cells JOIN {before} USING (term_id)
+        JOIN kl{it} USING (node) GROUP BY doc_id, node)""",
+        f"""aa{it} AS MATERIALIZED (SELECT tok.doc_id, coalesce(node, 0) AS node FROM tok LEFT JOIN (SELECT doc_id, node FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 12) DESC, node) AS rn FROM dots{it})
         WHERE rn = 1) u ON u.doc_id = tok.doc_id)""",
-]
+    ]
+
+
+def _term_epoch(params: SomParams, it: int) -> list[str]:
+    """k{it} from k{it - 1}."""
+    return [
+        *_term_units(it), q.kernel(params, it, f"hh{it}"),
+        f"hits{it} AS MATERIALIZED (SELECT node, count(*) AS n FROM aa{it} GROUP BY node)",
+        f"mass{it} AS MATERIALIZED (SELECT j, sum(h * n) AS m FROM hh{it} JOIN hits{it} ON b = node GROUP BY j)",
+        f"sums{it} AS MATERIALIZED (SELECT node, term_id, sum(v) AS s FROM cells JOIN aa{it} USING (doc_id) GROUP BY ALL)",
+        f"pull{it} AS MATERIALIZED (SELECT j, term_id, sum(h * s) AS p FROM hh{it} JOIN sums{it} ON b = node GROUP BY ALL)",
+        f"""k{it} AS MATERIALIZED (SELECT o.node, o.term_id, CASE WHEN m > 0 THEN coalesce(p, 0) / m ELSE w END AS w
+        FROM k{it - 1} o JOIN mass{it} ON mass{it}.j = o.node LEFT JOIN pull{it} x ON x.j = o.node AND x.term_id = o.term_id)""",
+    ]
+
+
+_TERM_UNITS = [*q.tfidf_ctes(), _term_start(TERM_MAP), *_term_units(1)]
 
 ORACLES = {
     "r1_project": q.with_(*q.tfidf_ctes(), _BASIS, *_PLACED)
@@ -229,15 +283,17 @@ ORACLES = {
     "u4_projected_map": q.with_(*_PROJECTED)
     + """SELECT grid.node, gx AS x, gy AS y, cluster, hits, topics FROM grid
         JOIN node_clusters USING (node) JOIN hits USING (node) JOIN tt USING (node)""",
-    "m3_terms_best_unit": q.with_(*_TERM_UNITS) + "SELECT doc_id, node FROM aa",
-    "m9_terms_epoch": q.with_(
-        *_TERM_UNITS, q.grid(TERM_MAP), q.kernel(TERM_MAP, 1, "hh"),
-        "hits AS MATERIALIZED (SELECT node, count(*) AS n FROM aa GROUP BY node)",
-        "mass AS MATERIALIZED (SELECT j, sum(h * n) AS m FROM hh JOIN hits ON b = node GROUP BY j)",
-        "sums AS MATERIALIZED (SELECT node, term_id, sum(v) AS s FROM cells JOIN aa USING (doc_id) GROUP BY ALL)",
-        "pull AS MATERIALIZED (SELECT j, term_id, sum(h * s) AS p FROM hh JOIN sums ON b = node GROUP BY ALL)",
-    ) + """SELECT k0.node, k0.term_id AS feature, round(CASE WHEN m > 0 THEN coalesce(p, 0) / m ELSE w END, 6) AS w
-        FROM k0 JOIN mass ON mass.j = k0.node LEFT JOIN pull ON pull.j = k0.node AND pull.term_id = k0.term_id""",
+    "m3_terms_best_unit": q.with_(*_TERM_UNITS) + "SELECT doc_id, node FROM aa1",
+    "m9_terms_epoch": q.with_(*q.tfidf_ctes(), _term_start(TERM_MAP), q.grid(TERM_MAP), *_term_epoch(TERM_MAP, 1))
+    + "SELECT node, term_id AS feature, round(w, 6) AS w FROM k1",
+    "m10_wide_fit": q.with_(
+        *_LONG, _term_start(WIDE_MAP), q.grid(WIDE_MAP), *[part for it in range(1, WIDE_MAP.n_iter + 1) for part in _term_epoch(WIDE_MAP, it)]
+    ) + f"SELECT node, term_id AS feature, round(w, 6) AS w FROM k{WIDE_MAP.n_iter}",
+    "r1_wide_power_step": q.with_(
+        *_LONG,
+        _BASIS,
+        "y AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
+    ) + "SELECT term_id, j, round(sum(v * y), 5) + 0.0 AS z FROM cells JOIN y USING (doc_id) GROUP BY term_id, j",
     "r1_power_step": q.with_(
         *q.tfidf_ctes(),
         _BASIS,

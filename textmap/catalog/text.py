@@ -49,6 +49,15 @@ def _through(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     return co.read_corpus(spark, path, fmt, ["doc_id", "text", "lang"], schema)
 
 
+def s3_read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus kept as CSV, whose texts hold line ends, quotes and commas."""
+    path, form = staging_path(spark, "corpus-csv"), {"header": "true", "escape": '"'}
+    rows = documents(spark, folder).select("doc_id", "text", "lang")
+    kept = {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.write.format("csv").options(**form, **kept).save(path)
+    return co.read_corpus(spark, path, "csv", schema="doc_id long, text string, lang string", multiLine="true", **form)
+
+
 def s3_read_json(spark: SparkSession, folder: str) -> DataFrame:
     return _through(spark, folder, "json")
 
@@ -158,7 +167,7 @@ def top_terms_by_source(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_read_articles, s2_read_limited, s3_read_json, s3_read_orc, p1_project, p2_drop_duplicates,
+        s1_read_articles, s2_read_limited, s3_read_json, s3_read_orc, s3_read_csv, p1_project, p2_drop_duplicates,
         p3_drop_incomplete, p5_rows_with, p6_get_document, p7_rows_in, p11_fill_numbers, t1_fold, t2_tokens,
         t3_stems, t4_ngrams, t5_vocabulary, t6_lookup, t7_tfidf, t8_unit_rows, t9_shape, t10_fixed_vocabulary,
         j3_term_names, top_terms_by_source,
@@ -173,6 +182,7 @@ _NGRAMS = f"""grams AS MATERIALIZED (SELECT doc_id, list_concat(terms,
 ORACLES = {
     "s1_read_articles": ARTICLES_SQL,
     "s2_read_limited": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100",
+    "s3_read_csv": "SELECT doc_id, text, lang FROM documents",
     "s3_read_json": "SELECT doc_id, text, lang FROM documents",
     "s3_read_orc": "SELECT doc_id, text, lang FROM documents",
     "p1_project": f"SELECT doc_id, {q.TITLE} AS title FROM documents",
