@@ -17,7 +17,7 @@ from textmap.operators import regions, som
 from textmap.operators import summaries as sm
 from textmap.operators import vocabulary as vo
 from textmap.session import staging_path
-from textmap.sources import sinks
+from textmap.sources import sinks, versions
 
 RUN, TIME = "run-1", datetime(2024, 1, 1)
 NODE = 3
@@ -60,6 +60,15 @@ def s8_upsert_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.upsert(old, later.groupBy("node").agg(F.count(F.lit(1)).alias("hits")), ["node"])
 
 
+def s8_update_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The document table in versions, updated by the labels of some documents; only their buckets are rewritten."""
+    path = staging_path(spark, "documents")
+    versions.overwrite(documents(spark, folder).select("doc_id", "lang", "n_chars"), path, ["doc_id"], 16)
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    versions.update(labels.where("quality = 1").withColumn("lang", F.lit("??")), path, ["doc_id"])
+    return versions.read(spark, path).select("doc_id", "lang", "n_chars", "quality")
+
+
 def s9_posts_with_nodes(spark: SparkSession, folder: str) -> DataFrame:
     assigned = cs.fit(spark, folder).assigned
     return sinks.posts_with_nodes(articles(spark, folder).select("doc_id", "title"), assigned)
@@ -148,7 +157,7 @@ def p12_violations(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s5_append_articles, s6_append_session, s7_overwrite_table, s8_upsert_nodes, s9_posts_with_nodes,
+        s5_append_articles, s6_append_session, s7_overwrite_table, s8_upsert_nodes, s8_update_documents, s9_posts_with_nodes,
         s9_posts_by_title, s10_topic_json, a6_header, a6_nodes, a6_topics, a6_articles, a7_attributes,
         p8_session_node, j4_node_posts, k5_list_posts, p12_violations,
     )
@@ -180,6 +189,8 @@ ORACLES = {
     + """SELECT grid.node, gx AS x, gy AS y, coalesce(n.c, o.c, 0) AS hits FROM grid
         LEFT JOIN (SELECT node, count(*) AS c FROM aa GROUP BY node) n ON n.node = grid.node
         LEFT JOIN (SELECT node, count(*) AS c FROM a2 GROUP BY node) o ON o.node = grid.node""",
+    "s8_update_documents": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN lang ELSE '??' END AS lang, n_chars, quality
+        FROM documents d FULL JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id HAVING max(quality) = 1) l ON l.doc_id = d.doc_id""",
     "s9_posts_with_nodes": q.with_(*cs.FINAL) + f"SELECT doc_id, title, node FROM {_TITLES} LEFT JOIN aa USING (doc_id)",
     "s9_posts_by_title": q.with_(*cs.FINAL, f"t AS MATERIALIZED {_TITLES}")
     + """SELECT doc_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY title) THEN last END AS node FROM t LEFT JOIN (

@@ -27,7 +27,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key; the others stay.
 
-    Columns that ``new`` lacks keep their old values. Write the result to a new path.
+    Columns that ``new`` lacks keep their old values; columns that only ``new`` has are added, null in rows it does
+    not hold. Write the result to a new path, or use ``sources.versions`` to rewrite only what changes.
     """
     present = "_new"
     fresh = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in keys], F.lit(True).alias(present))
@@ -37,7 +38,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
         for c in old.columns
         if c not in keys
     ]
-    return joined.select(*keys, *values)
+    added = [F.col(f"_n_{c}").alias(c) for c in new.columns if c not in old.columns]
+    return joined.select(*keys, *values, *added)
 
 
 def posts_with_nodes(posts: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Streams: articles stored as pages arrive, documents scored against a fitted map."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textmap.functions import grid
 from textmap.operators import som, web
-from textmap.sources.sinks import overwrite_table
+from textmap.session import stage
+from textmap.sources import versions
 
 
 def read_files(
@@ -53,29 +54,51 @@ def running_hits(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def _trigger(interval: str | None) -> dict:
+    return {"availableNow": True} if interval is None else {"processingTime": interval}
+
+
+def store_running(
+    changed: DataFrame, keys: Sequence[str], path: str, checkpoint: str, interval: str | None = None, buckets: int = 1
+) -> StreamingQuery:
+    """Keep the newest row of each key of an aggregated stream as a versioned table.
+
+    Runs in update mode: the counts live in the state store, a batch hands on only the keys it changed, and only their
+    buckets are rewritten. Started again on its checkpoint it goes on counting; a batch that is repeated after a
+    failure writes the same rows again.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = stage(batch, "changed")
+        if versions.versions(spark, path):
+            versions.update(rows, path, keys)
+        else:
+            versions.overwrite(rows, path, keys, buckets)
+
+    writer = changed.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return writer.trigger(**_trigger(interval)).start()
+
+
 def refresh_map(
     hits: DataFrame, kshape: tuple[int, int], path: str, checkpoint: str,
     interval: str | None = "1 second", then: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Rewrite the map table (node, x, y, hits) after every batch; ``interval`` None drains what is there.
+    """Store the map table (node, x, y, hits) anew after every batch; ``interval`` None drains what is there.
 
-    Each batch goes to its own folder, so a repeated batch overwrites itself and readers never see a
-    half-written table.
+    Each table is a version of its own: readers never see a half-written one, and only the last two are kept.
     """
 
     def rewrite(batch: DataFrame, number: int) -> None:
         table = grid.nodes(batch.sparkSession, kshape).join(batch, "node", "left").na.fill(0, ["hits"])
-        overwrite_table(table, f"{path}/batch={number}")
+        versions.overwrite(table, path, ["node"])
         if then is not None:
-            then(table, number)
+            then(latest_map(batch.sparkSession, path), number)
 
     writer = hits.writeStream.outputMode("complete").foreachBatch(rewrite).option("checkpointLocation", checkpoint)
-    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    return writer.trigger(**_trigger(interval)).start()
 
 
 def latest_map(spark: SparkSession, path: str) -> DataFrame:
     """The map table of the newest batch."""
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("batch").alias("b")).first()["b"]
-    return table.where(F.col("batch") == newest).drop("batch")
+    return versions.read(spark, path)
