@@ -225,3 +225,44 @@ def test_fits_of_queries_are_not_cut_short(spark, small, monkeypatch):
     models.r2_nmf(spark, small)
     trace = [found[0].attributes[f"error_{i}"] for i in range(found[0].attributes["n_iter"])]
     assert len(trace) > 8
+
+
+def test_lloyd_settles_and_measures_itself(spark):
+    points = np.concatenate([np.random.default_rng(i).normal(3 * i, 0.3, (20, 2)) for i in range(3)])
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "node long, vec array<double>")
+    start = np.vstack([points[[0, 1, 2]], [[99.0, 99.0]]])
+    found = regions.lloyd(rows, start)
+    centres, labels = start.copy(), None
+    for _ in range(50):
+        labels = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([points[labels == k].mean(axis=0) if (labels == k).any() else centres[k] for k in range(4)])
+    assert found.converged and np.allclose(found.centres, centres) and (found.centres[3] == 99).all()
+    assert [r["cluster"] for r in found.labels.orderBy("node").collect()] == labels.tolist()
+    assert found.inertia == pytest.approx(((points - centres[labels]) ** 2).sum())
+    assert not regions.lloyd(rows, start, max_iter=1).converged
+
+
+def test_nmf_from_given_topics_is_the_same_on_both_routes(spark, monkeypatch):
+    dense = low_rank(40, 20, 1)
+    start = np.random.default_rng(3).random((20, 3))
+    params = NmfParams(max_steps=3, inner_steps=2, tolerance=0.0)
+    one = rd.nmf(sparse_table(spark, dense), 40, 20, params, start)
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr("textmap.operators.matrix.LEAST_ROWS", 6)
+    two = rd.nmf(sparse_table(spark, dense), 40, 20, params, start)
+    assert np.allclose(by_term(one.components, 20, 3), by_term(two.components, 20, 3))
+    assert np.allclose(vectors(one, 40), vectors(two, 40))
+    assert one.attributes["converged"] == two.attributes["converged"] == "false"
+
+
+def test_lsa_tells_whether_it_settled(spark, monkeypatch):
+    monkeypatch.setattr(rd, "GRAM_TERMS", 0)
+    rows = sparse_table(spark, low_rank())
+    assert rd.lsa(rows, 80, 40, LsaParams(n_components=3, max_steps=1, oversample=0)).attributes["converged"] == "false"
+    assert rd.lsa(rows, 80, 40, LsaParams(n_components=3)).attributes["converged"] == "true"
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr("textmap.operators.matrix.LEAST_ROWS", 15)
+    found = rd.lsa(rows, 80, 40, LsaParams(n_components=3, tolerance=1e-5, oversample=10))
+    assert found.attributes["converged"] == "true"
+    values = np.linalg.svd(low_rank())[1][:3]
+    assert np.allclose([found.attributes[f"singular_value_{i}"] for i in range(3)], values, rtol=1e-4)

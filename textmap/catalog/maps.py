@@ -254,6 +254,23 @@ def c1_kmeans_documents(spark: SparkSession, folder: str) -> DataFrame:
     return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("articles"))
 
 
+def c1_kmeans_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """k-means of the map's nodes from the first of them, until it settles."""
+    _, codebook, _ = fitted(spark, folder)
+    found = regions.lloyd(codebook.to_df(spark), codebook.weights[:N_CLUSTERS])
+    return found.labels.select(F.col("node").cast("int").alias("node"), "cluster", rounded(F.col("d")).alias("d"))
+
+
+def document_means(spark: SparkSession, folder: str) -> regions.Clusters:
+    rows = vectors(spark, folder)
+    return regions.lloyd(rows, som.first_rows_codebook(rows, (N_CLUSTERS, 1)).weights, "doc_id")
+
+
+def c1_kmeans_documents_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """k-means of all vectors from the first of them, until it settles."""
+    return document_means(spark, folder).labels.select("doc_id", "cluster", rounded(F.col("d")).alias("d"))
+
+
 def c1_lloyd_step(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
     centres = som.first_rows_codebook(rows, (N_CLUSTERS, 1)).weights
@@ -319,7 +336,7 @@ QUERIES = {
         m6_kernel_sigma, m7_kernel_sparse, m8_unfold_kernel, m9_epoch_sums, m9_epoch, m9_epoch_summed, m10_fit,
         m10_fit_hex, m10_fit_full, m11_trace, m12_predict, m13_codebook, m14_u_matrix, m15_hits, m16_projection,
         m17_coordinates, m18_neighbours, m19_hex_frame, m20_hex_distance, m20_kernel_hex, m21_kernel_torus,
-        m22_distances, m23_subtract, m24_clip, a8_mean_error, c1_kmeans, c1_kmeans_documents, c1_lloyd_step,
+        m22_distances, m23_subtract, m24_clip, a8_mean_error, c1_kmeans, c1_kmeans_documents, c1_kmeans_from_start, c1_kmeans_documents_from_start, c1_lloyd_step,
         c2_ward_regions, u2_start_function, u3_fit_then_predict, m10_maps_by_label, m11_traces_by_label, m12_predict_by_label, c2_regions_by_label,
     )
 }
@@ -358,6 +375,24 @@ _LAST = f"k{LABEL_MAPS.n_iter}"
 _ONE = SomParams(kshape=MAP.kshape, n_iter=3, learning_rate=MAP.learning_rate, init="first")
 
 
+# Steps that settle k-means on the test tables and then repeat themselves.
+LLOYD_STEPS = 40
+
+
+def lloyd_sql(rows: str, key: str, name: str = "c") -> list[str]:
+    """{name}0 .. {name}n: centres (node, vec) from the first rows of ``rows``(key, vec), and {name}l: the last labels."""
+    near = lambda k: f"""(SELECT {key}, node, d FROM (SELECT {key}, node, d, row_number() OVER (PARTITION BY {key} ORDER BY round(d, 12), node) AS rn
+        FROM (SELECT x.{key}, k.node, list_sum([(a[1] - a[2]) * (a[1] - a[2]) for a in list_zip(x.vec, k.vec)]) AS d FROM {rows} x, {name}{k} k)) WHERE rn = 1)"""
+    parts = [f"""{name}0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {key}) - 1 AS INTEGER) AS node, vec
+        FROM {rows} ORDER BY {key} LIMIT {N_CLUSTERS})"""]
+    for step in range(1, LLOYD_STEPS + 1):
+        parts.append(f"""{name}{step} AS MATERIALIZED (SELECT o.node, coalesce(m.vec, o.vec) AS vec FROM {name}{step - 1} o LEFT JOIN (
+            SELECT node, list(v ORDER BY f) AS vec FROM (SELECT node, f, avg(v) AS v FROM (
+            SELECT n.node, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS f FROM {near(step - 1)} n JOIN {rows} x ON x.{key} = n.{key})
+            GROUP BY ALL) GROUP BY node) m ON m.node = o.node)""")
+    return [*parts, f"{name}l AS MATERIALIZED (SELECT * FROM {near(LLOYD_STEPS)})"]
+
+
 def _trace_sql() -> str:
     parts = []
     for it in (1, 2, 3):
@@ -424,6 +459,9 @@ ORACLES = {
         FROM x JOIN aa USING (doc_id) JOIN kk ON kk.node = aa.node) WHERE a - b <> 0""",
     "m24_clip": q.with_(*_final()) + _entries("kk", "CASE WHEN w < 1e-4::DOUBLE THEN 0.0 ELSE w END"),
     "a8_mean_error": q.with_(*_final()) + "SELECT round(avg(qe), 5) AS mean_qe FROM aa",
+    "c1_kmeans_from_start": q.with_(*_final(), "units AS (SELECT node AS unit, vec FROM kk)", *lloyd_sql("units", "unit"))
+    + "SELECT unit AS node, node AS cluster, round(d, 6) + 0.0 AS d FROM cl",
+    "c1_kmeans_documents_from_start": q.with_(q.X, *lloyd_sql("x", "doc_id")) + "SELECT doc_id, node AS cluster, round(d, 6) + 0.0 AS d FROM cl",
     "c1_lloyd_step": q.with_(q.X, q.first_rows(N_CLUSTERS, "kk"), _NEAR)
     + """SELECT node AS cluster, count(*) AS n, feature, round(avg(v), 6) + 0.0 AS v FROM (
         SELECT node, unnest(vec) AS v, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS feature

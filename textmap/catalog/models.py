@@ -22,7 +22,7 @@ from textmap.session import stage
 
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
-NMF_STEPS = 2
+NMF_STEPS, NMF_PASSES = 2, 4
 PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=15, learning_rate=0.1, init="first")
 PROJECTED_REGIONS = 4
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=15)
@@ -76,6 +76,26 @@ def r2_nmf(spark: SparkSession, folder: str) -> DataFrame:
     return sm.top_terms(found.components, vocab.terms, 10)
 
 
+def r2_nmf_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """Topics after several passes from given ones."""
+    rows, vocab = stored(spark, folder)
+    params = NmfParams(max_steps=NMF_PASSES, inner_steps=NMF_STEPS, tolerance=0.0)
+    found = rd.nmf(rows, vocab.n_docs, vocab.n_terms, params, _basis(vocab.n_terms))
+    return found.components.withColumn("weight", rounded(F.col("weight")))
+
+
+def r4_nmf_map_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole analysis on NMF topics from given ones: map, regions, hits and words."""
+
+    def topics(rows: DataFrame, tokenized: DataFrame, vocab: vo.Vocabulary) -> rd.Reduction:
+        params = NmfParams(max_steps=NMF_PASSES, inner_steps=NMF_STEPS, tolerance=0.0)
+        return rd.nmf(rows, vocab.n_docs, vocab.n_terms, params, _basis(vocab.n_terms))
+
+    params = AnalysisParams(som=PROJECTED_MAP, ward=WardParams(PROJECTED_REGIONS))
+    table = run_analysis(articles(spark, folder), params, reducer=topics).map_table(2, 3)
+    return table.withColumn("topics", sm.topics_text(F.col("topics")))
+
+
 def r3_lda(spark: SparkSession, folder: str) -> DataFrame:
     terms = tokenized(spark, folder)
     vocab = vo.fit_vocabulary(terms)
@@ -176,7 +196,7 @@ def m10_wide_fit(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        r1_wide_power_step, m10_wide_fit, m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r3_lda, r4_nmf_map, text_map,
+        r1_wide_power_step, m10_wide_fit, m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r2_nmf_from_start, r4_nmf_map_from_start, r3_lda, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
@@ -187,29 +207,44 @@ _BASIS = f"""b AS MATERIALIZED (SELECT term_id, CAST(j AS INTEGER) AS j,
     FROM voc, range({WIDTH}) t(j))"""
 
 
-def _nmf_step_sql() -> str:
-    """Multiplicative steps on weights (doc_id, j), then on topics (term_id, j)."""
+def _nmf_ctes(passes: int) -> list[str]:
+    """t0 .. tn: topics (term_id, j, w) after each pass. Multiplicative steps on weights (doc_id, j), then on topics."""
+    ctes = ["t0 AS (SELECT * FROM b)"]
+    for p in range(passes):
+        ctes += [*_nmf_weights(f"t{p}", p), *_nmf_topics(f"t{p}", p)]
+    return ctes
+
+
+def _nmf_weights(topics: str, p: int) -> list[str]:
+    """w{p}_n: the weights (doc_id, j, w) that fit given topics."""
     ctes = [
-        *q.tfidf_ctes(), _BASIS,
-        "sq AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM b l JOIN b r USING (term_id) GROUP BY ALL)",
-        "p AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS p FROM cells JOIN b USING (term_id) GROUP BY ALL)",
-        "w0 AS MATERIALIZED (SELECT doc_id, p.j AS j, p / (s + 1e-12::DOUBLE) AS w FROM p JOIN sq ON sq.i = p.j AND sq.j = p.j)",
+        f"sq{p} AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM {topics} l JOIN {topics} r USING (term_id) GROUP BY ALL)",
+        f"p{p} AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS p FROM cells JOIN {topics} USING (term_id) GROUP BY ALL)",
+        f"w{p}_0 AS MATERIALIZED (SELECT doc_id, m.j AS j, p / (s + 1e-12::DOUBLE) AS w FROM p{p} m JOIN sq{p} s ON s.i = m.j AND s.j = m.j)",
     ]
     for step in range(1, NMF_STEPS + 1):
-        ctes.append(f"""w{step} AS MATERIALIZED (SELECT o.doc_id, o.j, max(o.w) * max(p) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
-            FROM w{step - 1} o JOIN w{step - 1} n USING (doc_id) JOIN sq ON sq.i = n.j AND sq.j = o.j
-            JOIN p ON p.doc_id = o.doc_id AND p.j = o.j GROUP BY o.doc_id, o.j)""")
-    last = f"w{NMF_STEPS}"
-    ctes += [
-        f"a AS MATERIALIZED (SELECT term_id, j, sum(v * w) AS a FROM cells JOIN {last} USING (doc_id) GROUP BY ALL)",
-        f"ww AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM {last} l JOIN {last} r USING (doc_id) GROUP BY ALL)",
-        "h0 AS (SELECT * FROM b)",
+        ctes.append(f"""w{p}_{step} AS MATERIALIZED (SELECT o.doc_id, o.j, max(o.w) * max(p) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
+            FROM w{p}_{step - 1} o JOIN w{p}_{step - 1} n USING (doc_id) JOIN sq{p} s ON s.i = n.j AND s.j = o.j
+            JOIN p{p} m ON m.doc_id = o.doc_id AND m.j = o.j GROUP BY o.doc_id, o.j)""")
+    return ctes
+
+
+def _nmf_topics(topics: str, p: int) -> list[str]:
+    last = f"w{p}_{NMF_STEPS}"
+    ctes = [
+        f"a{p}_ AS MATERIALIZED (SELECT term_id, j, sum(v * w) AS a FROM cells JOIN {last} USING (doc_id) GROUP BY ALL)",
+        f"ww{p} AS MATERIALIZED (SELECT l.j AS i, r.j AS j, sum(l.w * r.w) AS s FROM {last} l JOIN {last} r USING (doc_id) GROUP BY ALL)",
+        f"h{p}_0 AS (SELECT * FROM {topics})",
     ]
     for step in range(1, NMF_STEPS + 1):
-        ctes.append(f"""h{step} AS MATERIALIZED (SELECT o.term_id, o.j, max(o.w) * max(a) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
-            FROM h{step - 1} o JOIN h{step - 1} n USING (term_id) JOIN ww ON ww.i = n.j AND ww.j = o.j
-            JOIN a ON a.term_id = o.term_id AND a.j = o.j GROUP BY o.term_id, o.j)""")
-    return q.with_(*ctes) + f"SELECT j AS topic_id, term_id, round(w, 6) AS weight FROM h{NMF_STEPS}"
+        ctes.append(f"""h{p}_{step} AS MATERIALIZED (SELECT o.term_id, o.j, max(o.w) * max(a) / (sum(n.w * s) + 1e-12::DOUBLE) AS w
+            FROM h{p}_{step - 1} o JOIN h{p}_{step - 1} n USING (term_id) JOIN ww{p} s ON s.i = n.j AND s.j = o.j
+            JOIN a{p}_ m ON m.term_id = o.term_id AND m.j = o.j GROUP BY o.term_id, o.j)""")
+    return [*ctes, f"t{p + 1} AS MATERIALIZED (SELECT * FROM h{p}_{NMF_STEPS})"]
+
+
+def _nmf_sql(passes: int) -> str:
+    return q.with_(*q.tfidf_ctes(), _BASIS, *_nmf_ctes(passes)) + f"SELECT j AS topic_id, term_id, round(w, 6) AS weight FROM t{passes}"
 
 
 def _first_component_sql() -> str:
@@ -231,14 +266,28 @@ _PLACED = [
     f"""x AS MATERIALIZED (SELECT tok.doc_id, coalesce(vec, [0.0::DOUBLE for i in range({WIDTH})]) AS vec
         FROM tok LEFT JOIN yl ON yl.doc_id = tok.doc_id)""",
 ]
-_PROJECTED = [
-    f"dedup AS MATERIALIZED (SELECT min(doc_id) AS doc_id, body FROM ({ARTICLES_SQL}) GROUP BY title, body)",
-    q.tokens_of("dedup", "doc_id", "body"), *q.tfidf_ctes()[1:], _BASIS, *_PLACED, q.XU, q.grid(PROJECTED_MAP),
-    q.first_rows(PROJECTED_MAP.n_nodes), *[part for it in range(1, PROJECTED_MAP.n_iter + 1) for part in q.epoch(PROJECTED_MAP, it)],
-    f"kk AS (SELECT * FROM k{PROJECTED_MAP.n_iter})", q.assign("kk", "aa"), *q.ward("kk", PROJECTED_MAP, PROJECTED_REGIONS),
-    "comp AS MATERIALIZED (SELECT j AS topic_id, term_id, term AS name, w - 0.5 AS weight FROM b JOIN voc USING (term_id))",
-    cs.NODE_WEIGHTS, cs.node_words(2, 3), cs.TOPICS_TEXT, f"hits AS ({_HITS})",
-]
+def _mapped(placed: list[str], components: str) -> list[str]:
+    """The whole analysis with given document vectors x and components comp."""
+    return [
+        f"dedup AS MATERIALIZED (SELECT min(doc_id) AS doc_id, body FROM ({ARTICLES_SQL}) GROUP BY title, body)",
+        q.tokens_of("dedup", "doc_id", "body"), *q.tfidf_ctes()[1:], _BASIS, *placed, q.XU, q.grid(PROJECTED_MAP),
+        q.first_rows(PROJECTED_MAP.n_nodes), *[part for it in range(1, PROJECTED_MAP.n_iter + 1) for part in q.epoch(PROJECTED_MAP, it)],
+        f"kk AS (SELECT * FROM k{PROJECTED_MAP.n_iter})", q.assign("kk", "aa"), *q.ward("kk", PROJECTED_MAP, PROJECTED_REGIONS),
+        components, cs.NODE_WEIGHTS, cs.node_words(2, 3), cs.TOPICS_TEXT, f"hits AS ({_HITS})",
+    ]
+
+
+_PROJECTED = _mapped(_PLACED, "comp AS MATERIALIZED (SELECT j AS topic_id, term_id, term AS name, w - 0.5 AS weight FROM b JOIN voc USING (term_id))")
+_FACTORED = _mapped(
+    [
+        *_nmf_ctes(NMF_PASSES), *_nmf_weights(f"t{NMF_PASSES}", NMF_PASSES),
+        f"""x AS MATERIALIZED (SELECT tok.doc_id, coalesce(vec, [0.0::DOUBLE for i in range({WIDTH})]) AS vec FROM tok LEFT JOIN (
+            SELECT doc_id, list(w ORDER BY j) AS vec FROM w{NMF_PASSES}_{NMF_STEPS} GROUP BY doc_id) m ON m.doc_id = tok.doc_id)""",
+    ],
+    f"comp AS MATERIALIZED (SELECT j AS topic_id, term_id, term AS name, w AS weight FROM t{NMF_PASSES} JOIN voc USING (term_id))",
+)
+_MAP_TABLE = """SELECT grid.node, gx AS x, gy AS y, cluster, hits, topics FROM grid
+        JOIN node_clusters USING (node) JOIN hits USING (node) JOIN tt USING (node)"""
 
 _LONG = q.tfidf_ctes(low="2", high="n")
 
@@ -280,9 +329,8 @@ _TERM_UNITS = [*q.tfidf_ctes(), _term_start(TERM_MAP), *_term_units(1)]
 ORACLES = {
     "r1_project": q.with_(*q.tfidf_ctes(), _BASIS, *_PLACED)
     + f"""SELECT doc_id, CAST(j AS INTEGER) AS topic_id, round(vec[j + 1], 6) + 0.0 AS w FROM x, range({WIDTH}) t(j)""",
-    "u4_projected_map": q.with_(*_PROJECTED)
-    + """SELECT grid.node, gx AS x, gy AS y, cluster, hits, topics FROM grid
-        JOIN node_clusters USING (node) JOIN hits USING (node) JOIN tt USING (node)""",
+    "u4_projected_map": q.with_(*_PROJECTED) + _MAP_TABLE,
+    "r4_nmf_map_from_start": q.with_(*_FACTORED) + _MAP_TABLE,
     "m3_terms_best_unit": q.with_(*_TERM_UNITS) + "SELECT doc_id, node FROM aa1",
     "m9_terms_epoch": q.with_(*q.tfidf_ctes(), _term_start(TERM_MAP), q.grid(TERM_MAP), *_term_epoch(TERM_MAP, 1))
     + "SELECT node, term_id AS feature, round(w, 6) AS w FROM k1",
@@ -299,7 +347,8 @@ ORACLES = {
         _BASIS,
         "y AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
     ) + "SELECT term_id, j, round(sum(v * y), 5) + 0.0 AS z FROM cells JOIN y USING (doc_id) GROUP BY term_id, j",
-    "r2_nmf_step": _nmf_step_sql(),
+    "r2_nmf_step": _nmf_sql(1),
+    "r2_nmf_from_start": _nmf_sql(NMF_PASSES),
     "r1_first_component": _first_component_sql(),
     "u1_custom_tokenizer": """SELECT term, count(DISTINCT doc_id) AS df FROM (
         SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents) GROUP BY term""",

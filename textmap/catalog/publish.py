@@ -133,12 +133,21 @@ def p8_session_node(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a7_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each step of a run knows of itself: sizes, errors as the last pass measured them, steps, inertia."""
     terms = vo.tokenize(articles(spark, folder))
     vocab, fitted = vo.fit_vocabulary(terms), cs.fit(spark, folder)
+    rows = maps.vectors(spark, folder)
+    model, means = som.fit(rows, MAP), maps.document_means(spark, folder)
+    _, seen = som.place(rows, model.codebook)
     return sinks.attribute_rows(spark, RUN, {
         "tfidf": {"corpus_size": vocab.n_docs, "n_features": vocab.n_terms},
-        "som": {"n_nodes": MAP.n_nodes, "n_topics": fitted.width, "topology": MAP.topology},
+        "som": {
+            "n_nodes": MAP.n_nodes, "n_topics": fitted.width, "topology": MAP.topology, "n_iter": model.n_iter,
+            "converged": str(model.converged).lower(), "rows": seen["rows"],
+            "quant_error": f"{seen['quant_error']:.5f}", "topo_error": f"{seen['topo_error']:.5f}",
+        },
         "ward": {"n_clusters": cs.clusters(fitted).select("cluster").distinct().count()},
+        "kmeans": {"inertia": f"{means.inertia:.4f}", "converged": str(means.converged).lower()},
     })
 
 
@@ -206,13 +215,21 @@ ORACLES = {
     + f"""SELECT '{RUN}' AS run_id, topic_id AS id, rank, name, round(weight, 6) AS weight
         FROM {cs.top('comp', 'topic_id', 'name', 10)}""",
     "a6_articles": q.with_(*cs.FINAL) + f"SELECT '{RUN}' AS run_id, node, doc_id FROM aa",
-    "a7_attributes": q.with_(q.tokens_of(), *q.vocabulary(), q.X)
+    "a7_attributes": q.with_(q.tokens_of(), *q.vocabulary(), *maps._final(), maps._NEAR, *maps.lloyd_sql("x", "doc_id"))
     + f"""SELECT '{RUN}' AS run_id, model, key, value::VARCHAR AS value FROM (
         SELECT 'tfidf' AS model, 'corpus_size' AS key, (SELECT count(*) FROM tok)::VARCHAR AS value
         UNION ALL SELECT 'tfidf', 'n_features', (SELECT count(*) FROM voc)::VARCHAR
-        UNION ALL SELECT 'som', 'n_nodes', '{MAP.n_nodes}'
+        UNION ALL SELECT 'som', 'n_nodes', (SELECT count(*) FROM kk)::VARCHAR
         UNION ALL SELECT 'som', 'n_topics', (SELECT max(len(vec)) FROM x)::VARCHAR
-        UNION ALL SELECT 'som', 'topology', 'rect' UNION ALL SELECT 'ward', 'n_clusters', '{N_CLUSTERS}')""",
+        UNION ALL SELECT 'som', 'topology', 'rect' UNION ALL SELECT 'ward', 'n_clusters', '{N_CLUSTERS}'
+        UNION ALL SELECT 'som', 'n_iter', '{MAP.n_iter}' UNION ALL SELECT 'som', 'converged', 'true'
+        UNION ALL SELECT 'som', 'rows', (SELECT count(*) FROM aa)::VARCHAR
+        UNION ALL SELECT 'som', 'quant_error', (SELECT printf('%.5f', avg(qe)) FROM aa)
+        UNION ALL SELECT 'som', 'topo_error', (SELECT printf('%.5f', avg(sqrt(pow(p.gx - s.gx, 2) + pow(p.gy - s.gy, 2))))
+            FROM near a JOIN near b ON a.doc_id = b.doc_id AND a.rn = 1 AND b.rn = 2 JOIN grid p ON p.node = a.node JOIN grid s ON s.node = b.node)
+        UNION ALL SELECT 'kmeans', 'inertia', (SELECT printf('%.4f', sum(d)) FROM cl)
+        UNION ALL SELECT 'kmeans', 'converged', (SELECT (max(list_distance(o.vec, n.vec)) < 1e-9)::VARCHAR
+            FROM c{maps.LLOYD_STEPS} n JOIN c{maps.LLOYD_STEPS - 1} o USING (node)))""",
     "p8_session_node": f"SELECT run_id, id, article_hits, topics FROM ({_NODES_SQL}) WHERE id = {NODE}",
     "j4_node_posts": q.with_(*cs.FINAL) + f"SELECT doc_id, title FROM {_TITLES} JOIN aa USING (doc_id) WHERE node = {NODE}",
     "k5_list_posts": f"""SELECT doc_id, ts AS created_at, title FROM {_TITLES} LEFT JOIN events ON event_id = doc_id

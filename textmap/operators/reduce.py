@@ -73,7 +73,7 @@ def _ritz(small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[::-1], vectors[:, ::-1]
 
 
-def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, np.ndarray, int]:
+def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, np.ndarray, int, bool]:
     """Leading right singular vectors: block Krylov iteration with Rayleigh-Ritz, stopped on the residual.
 
     Each pass over the rows multiplies only the directions that have not settled yet. The basis is
@@ -90,8 +90,9 @@ def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[n
         lead = basis @ turn[:, :k]
         gap = image @ turn[:, :k] - lead * values[:k]
         size = np.linalg.norm(gap, axis=0) / max(values[0], _TINY)
-        if size.max() <= params.tolerance or step == params.max_steps or basis.shape[1] == n_terms:
-            return values[:k], lead, step
+        settled = size.max() <= params.tolerance or basis.shape[1] == n_terms
+        if settled or step == params.max_steps:
+            return values[:k], lead, step, bool(settled)
         if basis.shape[1] + k > 6 * width:
             basis, image = lead, image @ turn[:, :k]
         fresh = gap[:, size > params.tolerance / 10]
@@ -101,11 +102,11 @@ def _krylov(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[n
         sound = np.abs(np.diag(scale)) > _TINY * max(values[0], 1.0)
         block = block[:, sound][:, : n_terms - basis.shape[1]]
         if block.shape[1] == 0:
-            return values[:k], lead, step
+            return values[:k], lead, step, True
     raise ValueError("max_steps must be positive")
 
 
-def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, DataFrame, int]:
+def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -> tuple[np.ndarray, DataFrame, int, bool]:
     """Subspace iteration with basis and image as stored tables, for term lists too long to broadcast.
 
     Only l x l matrices reach the driver: the basis is made orthonormal through its small product.
@@ -146,7 +147,7 @@ def _subspace_tables(rows: DataFrame, n_terms: int, k: int, params: LsaParams) -
             signs = np.ones(k)
             for r in strongest.collect():
                 signs[r["topic_id"]] = -1.0 if r["w"] < 0 else 1.0
-            return values[:k], turned(lead, np.diag(signs)), step
+            return values[:k], turned(lead, np.diag(signs)), step, bool(worst <= params.tolerance)
     raise ValueError("max_steps must be positive")
 
 
@@ -164,6 +165,7 @@ def component_count(wanted: int, n_rows: int, n_terms: int) -> int:
 def lsa(rows: DataFrame, n_docs: int, n_terms: int, params: LsaParams = LsaParams()) -> Reduction:
     """Rank-k SVD of the rows. Document vectors are U * S scaled to length one; components are V'.
 
+    The attribute ``converged`` tells whether the residual settled within the steps allowed.
     ``rows`` is read once per step: pass a stored table.
     """
     k = component_count(params.n_components, n_docs, n_terms)
@@ -171,20 +173,20 @@ def lsa(rows: DataFrame, n_docs: int, n_terms: int, params: LsaParams = LsaParam
     attributes: dict[str, float | str] = {"n_components": k}
     if n_terms <= GRAM_TERMS:
         values, vectors = _ritz(gram(rows, n_terms))
-        values, by_term, steps = values[:k], vectors[:, :k], 1
+        values, by_term, steps, settled = values[:k], vectors[:, :k], 1, True
         attributes["algorithm"] = "gram"
     elif fits_broadcast(n_terms * (k + params.oversample) * 8):
-        values, by_term, steps = _krylov(rows, n_terms, k, params)
+        values, by_term, steps, settled = _krylov(rows, n_terms, k, params)
         attributes["algorithm"] = "krylov"
     else:
-        values, table, steps = _subspace_tables(rows, n_terms, k, params)
+        values, table, steps, settled = _subspace_tables(rows, n_terms, k, params)
         weights = table.select(F.col("row").alias("feature"), F.col("vec").alias("weights"))
-        attributes |= {"algorithm": "subspace-tables", "n_iter": steps}
+        attributes |= {"algorithm": "subspace-tables", "n_iter": steps, "converged": str(settled).lower()}
         attributes |= {f"singular_value_{i}": float(np.sqrt(max(v, 0.0))) for i, v in enumerate(values)}
         components = components_from_table(table)
         return Reduction(mx.multiply_by_blocks(rows, weights, n_terms, k, unit=True), components, k, attributes)
     by_term = fix_signs(by_term)
-    attributes["n_iter"] = steps
+    attributes |= {"n_iter": steps, "converged": str(settled).lower()}
     attributes |= {f"singular_value_{i}": float(np.sqrt(max(v, 0.0))) for i, v in enumerate(values)}
     return Reduction(mx.multiply(rows, by_term, unit=True), components_of(spark, by_term), k, attributes)
 
@@ -216,9 +218,15 @@ def nmf_sums(rows: DataFrame, by_term: np.ndarray, steps: int) -> tuple[np.ndarr
     return found[:n_terms], found[n_terms:]
 
 
-def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParams()) -> Reduction:
-    """X ~ W H with non-negative factors; ``vectors`` is W, not scaled. One pass over ``rows`` per step."""
-    k = component_count(params.n_components, n_docs, n_terms)
+def nmf(
+    rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParams(), h_init: np.ndarray | None = None
+) -> Reduction:
+    """X ~ W H with non-negative factors; ``vectors`` is W, not scaled. One pass over ``rows`` per step.
+
+    ``h_init``: the first topics as a terms x topics matrix, in place of seeded ones. The attribute ``converged``
+    tells whether the error settled within the steps allowed.
+    """
+    k = component_count(params.n_components, n_docs, n_terms) if h_init is None else h_init.shape[1]
     spark = rows.sparkSession
     in_row = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
     squares = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v)
@@ -226,10 +234,11 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
     scale = np.sqrt((sums["s"] or 0.0) / max(1, n_docs * n_terms) / k)
     total, steps = sums["q"] or 0.0, params.inner_steps
     if not fits_broadcast(n_terms * k * 8):
-        return _nmf_tables(rows, n_terms, k, scale, total, params)
-    start = _nmf_start(spark, n_terms, k, scale, params.seed).toArrow()
-    by_term = np.zeros((n_terms, k))
-    by_term[start.column(0).to_numpy()] = np.array(start.column(1).to_pylist(), np.float64).reshape(-1, k)
+        return _nmf_tables(rows, n_terms, k, scale, total, params, h_init)
+    if h_init is None:
+        by_term = mx.collect_matrix(_nmf_start(spark, n_terms, k, scale, params.seed), (n_terms, k))
+    else:
+        by_term = np.array(h_init, float)
     trace: list[float] = []
     for _ in range(params.max_steps):
         pulled, square = nmf_sums(rows, by_term, steps)
@@ -243,7 +252,7 @@ def nmf(rows: DataFrame, n_docs: int, n_terms: int, params: NmfParams = NmfParam
         topics = final.value
         return fit_weights(block @ topics, topics.T @ topics, steps)
 
-    attributes: dict[str, float | str] = {"n_topics": k, "n_iter": len(trace)}
+    attributes: dict[str, float | str] = {"n_topics": k, "n_iter": len(trace), "converged": str(_settled(trace, params.tolerance, total)).lower()}
     attributes |= {f"error_{i}": e for i, e in enumerate(trace)}
     return Reduction(mx.map_rows(rows, n_terms, weigh), components_of(spark, by_term), k, attributes)
 
@@ -273,11 +282,14 @@ def _nmf_start(spark: SparkSession, n_terms: int, k: int, scale: float, seed: in
 
 
 def _nmf_tables(
-    rows: DataFrame, n_terms: int, k: int, scale: float, total: float, params: NmfParams
+    rows: DataFrame, n_terms: int, k: int, scale: float, total: float, params: NmfParams, h_init: np.ndarray | None
 ) -> Reduction:
     """The same steps with H as a stored table, for term lists too long to broadcast."""
     spark, steps = rows.sparkSession, params.inner_steps
-    topics = stage(_nmf_start(spark, n_terms, k, scale, params.seed), "nmf-topics")
+    start = _nmf_start(spark, n_terms, k, scale, params.seed)
+    if h_init is not None:
+        start = mx.matrix_table(spark, h_init).select(F.col("feature").alias("row"), F.col("weights").alias("vec"))
+    topics = stage(start, "nmf-topics")
     small, trace = (k, k), []
 
     def square_of(table: DataFrame, key: str) -> np.ndarray:
@@ -307,7 +319,7 @@ def _nmf_tables(
             pair, 2 * k, lambda b: update_topics(b[:, :k], b[:, k:], square, steps), "row"
         ).select(F.col("row").cast("int").alias("row"), "vec")
         topics = stage(moved, "nmf-topics")
-    attributes: dict[str, float | str] = {"n_topics": k, "n_iter": len(trace)}
+    attributes: dict[str, float | str] = {"n_topics": k, "n_iter": len(trace), "converged": str(_settled(trace, params.tolerance, total)).lower()}
     attributes |= {f"error_{i}": e for i, e in enumerate(trace)}
     return Reduction(weights_for(topics, square_of(topics, "row")), components_from_table(topics), k, attributes)
 

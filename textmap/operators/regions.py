@@ -2,6 +2,7 @@
 
 import heapq
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textmap.functions import grid
 from textmap.operators import som
+from textmap.session import stage_observed
 
 # Largest map that one task clusters; the size of a map does not depend on the corpus.
 MAX_NODES = 10_000
@@ -118,8 +120,9 @@ def _centres(centres: np.ndarray) -> som.Codebook:
 
 def nearest_centre(vectors: DataFrame, centres: np.ndarray, id_col: str = "node") -> DataFrame:
     """(id, cluster, d): the centre of least squared distance, the lowest cluster on ties."""
-    found = som.predict(vectors, _centres(centres), id_col, "euclid")
-    return found.select(id_col, F.col("node").alias("cluster"), F.col("score").alias("d"))
+    rows = vectors.select(F.col(id_col).alias("_row"), "vec")
+    found = som.predict(rows, _centres(centres), "_row", "euclid")
+    return found.select(F.col("_row").alias(id_col), F.col("node").alias("cluster"), F.col("score").alias("d"))
 
 
 def lloyd_step(vectors: DataFrame, centres: np.ndarray, id_col: str = "node") -> DataFrame:
@@ -129,6 +132,35 @@ def lloyd_step(vectors: DataFrame, centres: np.ndarray, id_col: str = "node") ->
     return sums.select(F.col("node").alias("cluster"), "n", mean.alias("vec"))
 
 
+@dataclass(frozen=True)
+class Clusters:
+    """``labels`` (id, cluster, d) stored, ``centres`` in their order, and what the last pass measured."""
+
+    labels: DataFrame
+    centres: np.ndarray
+    inertia: float
+    n_iter: int
+    converged: bool
+
+
+def lloyd(vectors: DataFrame, centres: np.ndarray, id_col: str = "node", max_iter: int = 100, tolerance: float = 1e-9) -> Clusters:
+    """k-means from given centres, one grouped sum per step, until no centre moves by more than ``tolerance``.
+
+    A centre without rows stays where it is. The inertia is taken while the labels are written.
+    """
+    converged, step = False, 0
+    while step < max_iter and not converged:
+        moved = centres.copy()
+        found = lloyd_step(vectors, centres, id_col).select("cluster", "vec").toArrow()
+        for cluster, vec in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            moved[cluster] = vec
+        step += 1
+        converged = bool(np.abs(moved - centres).max(initial=0.0) <= tolerance)
+        centres = moved
+    labels, seen = stage_observed(nearest_centre(vectors, centres, id_col), "labels", inertia=F.sum("d"))
+    return Clusters(labels, centres, float(seen["inertia"] or 0.0), step, converged)
+
+
 def document_clusters(assigned: DataFrame, node_clusters: DataFrame) -> DataFrame:
     """Add the region of each document's node."""
     return assigned.join(node_clusters.select("node", "cluster"), "node")

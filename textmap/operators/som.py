@@ -18,7 +18,7 @@ from textmap.functions import grid
 from textmap.functions import vectors as vx
 from textmap.operators import matrix as mx
 from textmap.params import SomParams
-from textmap.session import few_tasks, fits_broadcast, stage
+from textmap.session import few_tasks, fits_broadcast, stage, stage_observed
 
 # Similarities equal to this many digits are ties; the lowest node wins.
 TIE_DIGITS = 12
@@ -214,6 +214,44 @@ def two_nearest(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") ->
     )
 
 
+def predict_measured(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> DataFrame:
+    """(id, node, score, qe, step): as ``predict``, with the grid distance between the two nodes nearest to the raw row.
+
+    One narrow pass while the codebook is small enough to be sent. A map of one node has no step.
+    """
+    width, cols = codebook.width, codebook.kshape[1]
+    if len(codebook.weights) < 2:
+        return predict(rows, codebook, id_col).withColumn("step", F.lit(None).cast("double"))
+    if not fits_broadcast(codebook.weights.nbytes):
+        near = two_nearest(rows, codebook, id_col)
+        dx = grid.node_x(F.col("node"), cols) - grid.node_x(F.col("second"), cols)
+        dy = grid.node_y(F.col("node"), cols) - grid.node_y(F.col("second"), cols)
+        return predict(rows, codebook, id_col).join(near.select(id_col, F.sqrt((dx * dx + dy * dy).cast("double")).alias("step")), id_col)
+    sent = _blocks(rows, codebook)[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, block in mx.blocks(batches, width):
+            node, score, error = best_units(block, sent.value, "cosine")
+            squared = np.round(squared_distances(block, sent.value), TIE_DIGITS)
+            two = np.argsort(squared, axis=1, kind="stable")[:, :2]
+            x, y = np.divmod(two, cols)
+            step = np.hypot(x[:, 0] - x[:, 1], y[:, 0] - y[:, 1])
+            columns = [pa.array(ids, pa.int64()), pa.array(node.astype(np.int32)), pa.array(score), pa.array(error), pa.array(step)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "node", "score", "qe", "step"])
+
+    schema = f"{id_col} long, node int, score double, qe double, step double"
+    return mx.row_columns(rows, id_col).mapInArrow(run, schema)
+
+
+def place(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> tuple[DataFrame, dict]:
+    """The stored rows of ``predict`` and, from the same pass: rows, quant_error, topo_error."""
+    stored, seen = stage_observed(
+        predict_measured(rows, codebook, id_col), "assigned",
+        rows=F.count(F.lit(1)), quant_error=F.avg("qe"), topo_error=F.avg("step"),
+    )
+    return stored.drop("step"), seen
+
+
 def topographic_error(rows: DataFrame, codebook: Codebook, id_col: str = "doc_id") -> DataFrame:
     """One row: mean grid distance between the two nearest nodes of each row."""
     cols = codebook.kshape[1]
@@ -380,6 +418,15 @@ class SomModel:
     def quantization_error(self) -> float | None:
         return self.trace[-1][3] if self.trace else None
 
+    @property
+    def n_iter(self) -> int:
+        return len(self.trace)
+
+    @property
+    def converged(self) -> bool:
+        """The schedule ran to its end, or the error settled before."""
+        return self.n_iter == self.params.n_iter or self.params.tolerance is not None
+
 
 def fit(
     rows: DataFrame,

@@ -29,6 +29,7 @@ class Analysis:
     codebook: DataFrame
     assigned: DataFrame
     node_clusters: DataFrame
+    measures: dict
 
     def map_table(self, n_topics: int = 4, n_features: int = 5) -> DataFrame:
         return sm.map_table(
@@ -49,15 +50,15 @@ class Analysis:
         )
 
     def attributes(self, run_id: str) -> DataFrame:
-        """Attributes of every step, with the errors of the map."""
-        topo = som.topographic_error(self.reduction.vectors, self.model.codebook).first()["topographic_error"]
+        """Attributes of every step, with the errors of the map as the run itself measured them."""
         params = self.params
         steps = {
             "tfidf": {"corpus_size": self.vocabulary.n_docs, "n_features": self.vocabulary.n_terms},
             params.reducer: {"n_topics": self.reduction.n_topics, **self.reduction.attributes},
             "som": {
                 "kshape": params.som.kshape, "n_nodes": params.som.n_nodes, "topology": params.som.topology,
-                "learning_rate": params.som.learning_rate, "quant_error": self.model.quantization_error, "topo_error": topo,
+                "learning_rate": params.som.learning_rate, "n_iter": self.model.n_iter, "converged": self.model.converged,
+                **self.measures,
             },
             "ward": {"n_clusters": params.ward.n_clusters},
         }
@@ -99,6 +100,6 @@ def run_analysis(
     found = rd.Reduction(stage(found.vectors, "vectors"), found.components, found.n_topics, found.attributes)
     model = som.fit(found.vectors, params.som, width=found.n_topics, k_init=k_init)
     codebook = model.codebook.to_df(corpus.sparkSession)
-    assigned = stage(som.predict(found.vectors, model.codebook), "assigned")
+    assigned, measures = som.place(found.vectors, model.codebook)
     clusters = regions.ward_regions(codebook, params.som.kshape, params.ward.n_clusters)
-    return Analysis(params, corpus, vocab, rows, found, model, codebook, assigned, stage(clusters, "clusters"))
+    return Analysis(params, corpus, vocab, rows, found, model, codebook, assigned, stage(clusters, "clusters"), measures)

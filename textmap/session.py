@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Largest matrix sent to every executor in one broadcast variable.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -47,6 +47,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As ``stage``, with aggregates of ``df`` that are taken while it is written: no scan of their own."""
+    seen = Observation(name)
+    stored = stage(df.observe(seen, *[measure.alias(key) for key, measure in measures.items()]), name)
+    return stored, seen.get
+
+
 def fits_broadcast(n_bytes: int) -> bool:
     return n_bytes <= BROADCAST_LIMIT_BYTES
 
