@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textmap.llm.tokencount import CUT, code_points, proven
 from textmap.llm.workers import worker_cache
 from textmap.session import stage, staging_path
 
@@ -37,6 +39,7 @@ TRAILER = "<QQQ8s"  # blocks, documents, ids, mark
 TRAILER_SIZE = struct.calcsize(TRAILER)
 CHUNK = 2048  # blocks packed or read at once
 CACHED_CHUNKS = 1_000_000
+CACHED_PIECES = 500_000
 END_ID = 0
 
 
@@ -205,94 +208,88 @@ def read_documents(source) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class ChunkEncoder:
-    """Encodes texts with the library, each distinct stretch between blanks once.
+    """Encodes texts with the library, each distinct stretch between blanks once, each distinct pre-token once.
 
     A byte-level pre-tokenizer cuts before every single blank, so a text's ids are those of its first
-    stretch and of each further stretch with the blank before it. Texts with longer white space around a blank
-    are encoded whole.
+    stretch and of each further stretch with the blank before it. A new stretch is cut into pre-tokens, whose ids the
+    library gives. Texts with longer white space around a blank, or with code points for which our cut is not
+    proven (``odd``), are encoded whole.
     """
 
-    odd = re.compile(r" \s|\s ")
-    lines = re.compile(r"\S+(\n\S+)+")
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: list[tuple[int, int]]):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._library([".", ","]), strict=True))
-        self.line_end = self._library(["\n"])[0]
+        self.pieces: dict[str, bytes] = {}
+        self.cut = regex.compile(CUT).findall
+        self.odd = regex.compile(code_points(odd)).search
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, wanted: set[str], known: dict[str, bytes], lead: str) -> None:
-        """Encode stretches not ``known`` yet; a mark at the end of a word is a piece of its own."""
-        plain, marked = set(), []
-        for s in wanted:
-            if s[-1:] in self.marks and s[-2:-1].isalpha():
-                marked.append(s)
-                plain.add(s[:-1])
-            else:
-                plain.add(s)
-        new = [s for s in plain if s not in known]
-        known.update(zip(new, self._library([lead + s for s in new]), strict=True))
-        for s in marked:
-            known[s] = known[s[:-1]] + self.marks[s[-1]]
+    def _learn(self, wanted: list[str], known: dict[str, bytes], lead: str) -> None:
+        if len(known) + len(wanted) > CACHED_CHUNKS:
+            known.clear()
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        pieces = self.pieces
+        cuts = [self.cut(lead + s) for s in wanted]
+        new = list(set().union(*cuts).difference(pieces))
+        pieces.update(zip(new, self._library(new), strict=True))
+        get = pieces.__getitem__
+        known.update((s, b"".join(map(get, cut)) if len(cut) > 1 else get(cut[0])) for s, cut in zip(wanted, cuts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        if len(self.later) > CACHED_CHUNKS:
-            self.later.clear()
-        if len(self.first) > CACHED_CHUNKS:
-            self.first.clear()
-        firsts = {s[0] for s in split if s and s[0] not in self.first}
-        laters = set()
-        for s in split:
-            if s:
-                laters.update(s[1:])
-        laters = {s for s in laters if s not in self.later}
-        # a single line end between words is a piece of its own, too
-        lines = {s: s.split("\n") for s in firsts | laters if "\n" in s and self.lines.fullmatch(s)}
-        firsts_of_lines = {x for parts in lines.values() for x in parts[1:]}
-        self._learn(
-            {s for s in firsts if s not in lines}
-            | {parts[0] for s, parts in lines.items() if s in firsts}
-            | {s for s in firsts_of_lines if s not in self.first},
-            self.first, "",
-        )
-        self._learn(
-            {s for s in laters if s not in lines} | {parts[0] for s, parts in lines.items() if s in laters}, self.later, " "
-        )
-        for s, parts in lines.items():
-            tail = b"".join(self.line_end + self.first[x] for x in parts[1:])
-            if s in firsts:
-                self.first[s] = self.first[parts[0]] + tail
-            if s in laters:
-                self.later[s] = self.later[parts[0]] + tail
+        split = [t.split(" ") for t in texts]
+        firsts, laters = {s[0] for s in split}, set().union(*(s[1:] for s in split))
+        new_firsts, new_laters = firsts.difference(self.first), laters.difference(self.later)
+        # a stretch that is empty or begins or ends in white space stands beside more of it
+        bad = {c for c in new_firsts | new_laters if c.strip() != c or not c or (not c.isascii() and self.odd(c))}
+        if bad:
+            new_firsts -= bad
+            new_laters -= bad
+            split = [None if not bad.isdisjoint(s) else s for s in split]
+        # a cache that is emptied has to learn the known stretches of this call again
+        for held, new, every, lead in ((self.first, new_firsts, firsts, ""), (self.later, new_laters, laters, " ")):
+            self._learn(list(every - bad if len(held) + len(new) > CACHED_CHUNKS else new), held, lead)
         whole = iter(self._library([t for t, s in zip(texts, split, strict=True) if s is None]))
         get = self.later.__getitem__
         return [next(whole) if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
 
 
-TEXTS_AT_ONCE = 400
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 1500, 1 << 23
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded numbers of texts and of characters; one long text stays whole."""
+    ends = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + CHARACTERS_AT_ONCE, side="right")))
+        end = min(end, begin + TEXTS_AT_ONCE)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _writer(folder: str, tokenizer: str, percentile: float):
+    odd = proven(tokenizer)[1]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = worker_cache("token-encoders")
-        encoder = cache.get(tokenizer) or cache.setdefault(tokenizer, ChunkEncoder(tokenizer))
+        encoder = cache.get(tokenizer) or cache.setdefault(tokenizer, ChunkEncoder(tokenizer, odd))
         writer = path = part = None
         end = struct.pack("<I", END_ID)
         for batch in batches:
-            for begin in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                piece = batch.slice(begin, TEXTS_AT_ONCE)
+            for piece in _portions(batch):
                 if writer is None:
                     path, part = f"{folder}/{uuid.uuid4().hex}.pfor", piece.column(2)[0].as_py()
                     store, inner = file_system(path)

@@ -90,6 +90,13 @@ def proven(tokenizer: str) -> tuple[list[str], list[tuple[int, int]], list[str]]
     return whole, [*_ranges(sorted(odd)), (PLANE, 0x10FFFF)], special
 
 
+def code_points(ranges: list[tuple[int, int]]) -> str:
+    """A pattern of the code points in these ranges."""
+    import regex
+
+    return "[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in ranges) + "]"
+
+
 class Counter:
     """Counts the tokens of texts; what it remembers is bounded."""
 
@@ -103,7 +110,7 @@ class Counter:
         # a byte as the library writes it
         self.byte_chars = self._byte_chars()
         self.cut = regex.compile(CUT)
-        self.odd = regex.compile("[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in odd) + "]")
+        self.odd = regex.compile(code_points(odd))
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         counter = self
 
