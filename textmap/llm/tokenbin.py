@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmap.llm.tokencount import CUT, code_points, proven
+from textmap.llm.tokencount import CUT, byte_text, code_points, proven
 from textmap.llm.workers import worker_cache
 from textmap.session import stage, staging_path
 
@@ -211,8 +211,8 @@ class ChunkEncoder:
     """Encodes texts with the library, each distinct stretch between blanks once, each distinct pre-token once.
 
     A byte-level pre-tokenizer cuts before every single blank, so a text's ids are those of its first
-    stretch and of each further stretch with the blank before it. A new stretch is cut into pre-tokens, whose ids the
-    library gives. Texts with longer white space around a blank, or with code points for which our cut is not
+    stretch and of each further stretch with the blank before it. A new stretch is cut into pre-tokens, which the
+    library merges. Texts with longer white space around a blank, or with code points for which our cut is not
     proven (``odd``), are encoded whole.
     """
 
@@ -238,9 +238,10 @@ class ChunkEncoder:
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
         pieces = self.pieces
-        cuts = [self.cut(lead + s) for s in wanted]
-        new = list(set().union(*cuts).difference(pieces))
-        pieces.update(zip(new, self._library(new), strict=True))
+        cuts = [[lead + s] if s.isascii() and s.isalpha() else self.cut(lead + s) for s in wanted]
+        merge = self.library.model.tokenize
+        for piece in set().union(*cuts).difference(pieces):
+            pieces[piece] = array("I", [t.id for t in merge(byte_text(piece))]).tobytes()
         get = pieces.__getitem__
         known.update((s, b"".join(map(get, cut)) if len(cut) > 1 else get(cut[0])) for s, cut in zip(wanted, cuts, strict=True))
 

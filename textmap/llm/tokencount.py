@@ -97,6 +97,24 @@ def code_points(ranges: list[tuple[int, int]]) -> str:
     return "[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in ranges) + "]"
 
 
+def _byte_table() -> dict[int, str]:
+    """A byte as the library writes it: printable ones stand for themselves, the others for the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(free)) for b in range(256)}
+
+
+_BYTES = _byte_table()
+_BLANK = _BYTES[32]
+
+
+def byte_text(piece: str) -> str:
+    """A pre-token in the characters that the library merges."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _BLANK)
+    return piece.encode().decode("latin-1").translate(_BYTES)
+
+
 class Counter:
     """Counts the tokens of texts; what it remembers is bounded."""
 
@@ -107,8 +125,6 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = Tokenizer.from_file(tokenizer)
         self.library, self.merge = library, library.model.tokenize
-        # a byte as the library writes it
-        self.byte_chars = self._byte_chars()
         self.cut = regex.compile(CUT)
         self.odd = regex.compile(code_points(odd))
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -125,18 +141,8 @@ class Counter:
         self.whole = whole
         self.limit = len(whole) + REMEMBERED
 
-    @staticmethod
-    def _byte_chars() -> list[str]:
-        """Printable bytes stand for themselves, the others for the characters from 256 on."""
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        chars, free = [], 256
-        for b in range(256):
-            chars.append(chr(b if b in plain else free))
-            free += b not in plain
-        return chars
-
     def merged(self, piece: str) -> int:
-        return len(self.merge("".join(map(self.byte_chars.__getitem__, piece.encode()))))
+        return len(self.merge(byte_text(piece)))
 
     def count(self, text: str) -> int:
         """The number of tokens of ``text``."""
