@@ -171,7 +171,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     All rows but the query's own are indexed; score is the cosine in double precision. Directions per table grow with
     the logarithm of the rows. A bounded sample of queries is answered by brute force, and the tables and probes are
     chosen so that the visited buckets hold 98 % of those true neighbours; the answers are approximate beyond.
-    Large buckets and crowds of visitors are compared in blocks.
+    Large buckets and crowds of visitors are compared in blocks. A query whose visited buckets hold fewer than ``k``
+    other rows visits all probes of all tables, and if they do not suffice all rows, so every query gets ``k`` rows or all.
 
     Rows with null, zero or broken vectors, or of another length than most, take no part; a null id is no query
     and loses ties. Repeated rows are candidates each for themselves. Fewer rows than ``k`` give all of them.
@@ -191,19 +192,42 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
                 )
 
     keyed = stage(vectors.select("row", "vector").mapInArrow(keys, "row long, part int, key long"), "ann-keys")
-    n_tables, n_probes = _choose(vectors, queries, hashes, keyed, k)
+    def searched(asked: DataFrame, n_tables: int, n_probes: int) -> DataFrame:
+        """Matches of the ``asked`` queries in their visited buckets."""
+
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit = units(matrix(batch.column(1)))
+                for t in range(n_tables if batch.num_rows else 0):
+                    found = hashes.probes(unit, t, n_probes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(batch.column(0).to_numpy(), found.shape[1])), pa.array(found.reshape(-1))], ["row", "key"]
+                    )
+
+        members = keyed.where(F.col("part") < n_tables).select("row", "key")
+        return _met(vectors, stage(asked.select("row", "vector").mapInArrow(visits, "row long, key long"), "ann-visits"), members, k)
+
+    top = stage(_top(searched(queries, *_choose(vectors, queries, hashes, keyed, k)), k), "ann-top")
+    # queries whose buckets held too few rows visit all probes of all tables, then all rows
+    for last in (False, True):
+        known = top.groupBy("query_row").agg(F.count("*").alias("known"))
+        short = queries.join(known, F.col("row") == F.col("query_row"), "left").where(F.coalesce("known", F.lit(0)) < min(k, n - 1))
+        short = stage(short.select("row", "vector"), "ann-short")
+        if short.isEmpty():
+            break
+        if last:
+            one = F.lit(0).cast("long").alias("key")
+            more = _met(vectors, short.select("row", one), vectors.select("row", one), k)
+        else:
+            more = searched(short, TABLES, len(hashes.steps))
+        others = top.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti")
+        top = stage(others.unionByName(_top(more, k)), "ann-top")
+    named = vectors.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return top.join(named, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = units(matrix(batch.column(1)))
-            for t in range(n_tables if batch.num_rows else 0):
-                found = hashes.probes(unit, t, n_probes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0).to_numpy(), found.shape[1])), pa.array(found.reshape(-1))], ["row", "key"]
-                )
 
-    members = keyed.where(F.col("part") < n_tables).select("row", "key")
-    visitors = stage(queries.select("row", "vector").mapInArrow(visits, "row long, key long"), "ann-visits")
+def _met(vectors: DataFrame, visitors: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Matches of visitors (row, key) with the members (row, key) of their buckets, compared in blocks of bounded size."""
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -220,6 +244,4 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
         return full.select(*[F.col(c).alias(c) for c in ("key", "block_m", "block_v", "row", "vec_id", "vector")])
 
     where = ["key", "block_m", "block_v"]
-    found = placed(visitors, "v", "m").groupBy(*where).cogroup(placed(members, "m", "v").groupBy(*where)).applyInArrow(_in_block(k), MATCH)
-    named = vectors.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
-    return _top(found, k).join(named, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return placed(visitors, "v", "m").groupBy(*where).cogroup(placed(members, "m", "v").groupBy(*where)).applyInArrow(_in_block(k), MATCH)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmap.llm.passing import passing
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -38,8 +40,12 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     return padded.reshape(n, WINDOW), held
 
 
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
 def has_letter(text: str | None) -> bool:
-    return text is not None and re.search(r"[^\W\d_]", text) is not None
+    """Whether any character is a letter; numerals such as fractions and roman ones are none."""
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 class ByteNet:
@@ -203,12 +209,8 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 def with_known_language(docs: DataFrame, net: ByteNet | None, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of at least ``least``."""
-    fields = docs.schema.fields
-    others = [f.name for f in fields if f.name != "text"]
-    packed = docs.select(F.struct(*others).alias("rest"), F.col("text"), F.col("text").alias("body"))
-    kind = f"rest {packed.schema['rest'].dataType.simpleString()}, lang_pred string, score double, body string"
-    told = packed.mapInArrow(_predictor(net), kind).where(
-        (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)
-    )
-    return told.select(*[F.col("body").alias("text") if f.name == "text" else F.col(f"rest.`{f.name}`") for f in fields])
+    """The rows of ``docs`` whose language is told with a score of at least ``least``, with all their columns.
+
+    Each row is judged by its own text, so repeated ids and rows with one id and different texts do no harm.
+    """
+    return passing(docs, _predictor(net), "lang_pred string, score double", (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))

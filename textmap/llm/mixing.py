@@ -117,6 +117,8 @@ def solve_multipliers(rows: DataFrame, targets: DataFrame, cap: float) -> DataFr
         state = state.drop("gap")
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"multipliers did not settle in {MAX_STEPS} steps: a source still misses its target by a share of {worst}")
     return state.select(F.col("of").alias("source"), F.round("multiplier", 9).alias("multiplier"))
 
 
@@ -209,11 +211,11 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row of ``docs`` as often as ``mix`` takes it.
+    """The documents of the mix: each row of ``docs`` as often as ``mix`` takes it, with all its columns.
 
     ``docs`` must be a scan of stored files, which numbers its rows alike each time it is read.
     """
-    taken = mix(docs, **options).where("copies > 0").select(F.col("row").alias("row__"), F.col("copies").alias("copies__"))
-    numbered = docs.withColumn("row__", F.monotonically_increasing_id())
-    repeated = numbered.join(taken, "row__").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int"))))
-    return repeated.select(*docs.columns)
+    taken = mix(docs, **options).where("copies > 0").select(F.col("row").alias("taken_row"), F.col("copies").cast("int").alias("copies"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), F.monotonically_increasing_id().alias("row"))
+    repeated = held.join(taken, F.col("row") == F.col("taken_row")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"rest.`{c}`") for c in docs.columns])

@@ -21,6 +21,7 @@ BATCH_SHINGLES = 400_000
 CROWD = 16  # classes left in a band that are compared pair by pair; more are compared in blocks
 BLOCK = 128
 COLUMNS = 4096
+HASHED_ROW = 128  # bytes of a short row in a broadcast table
 
 
 class _WordHashes(dict):
@@ -163,7 +164,7 @@ def _shingle_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, name:
     wanted = stage(
         classes.join(wanted, "node").select(F.col("first_doc").alias("wanted_doc"), "node", "d1", "d2"), f"{name}-wanted"
     )
-    if fits_broadcast(wanted.count() * 32):
+    if fits_broadcast(wanted.count() * HASHED_ROW):
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_doc"))).select("text", "node", "d1", "d2")
     return stage(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), f"{name}-sets")
@@ -270,6 +271,18 @@ def near_duplicates(
     the smallest other id of their component, or null and are kept. Rows of one id count as one document each.
     ``docs`` must be a scan or another plan that gives the same rows twice. Other columns play no part.
     """
+    out = _grouped_rows(docs, percent, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select(
+        F.col("doc_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(component.eqNullSafe(F.col("doc_id")), F.lit(False)).alias("kept"),
+    )
+
+
+def _grouped_rows(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, n, d1, d2, component, component_id) of every row; ``component`` numbers its group, null for empty sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     signed = stage(numbered.mapInArrow(_signatures(rows_of_band(percent)), SIGNATURE), "near-signed")
@@ -319,24 +332,25 @@ def near_duplicates(
 
     in_class = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = in_class.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = in_class.join(smallest, "component").select("n", "d1", "d2", "component_id")
-    out = signed.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component.eqNullSafe(F.col("doc_id")), F.lit(False)).alias("kept"),
-    )
+    named = in_class.join(smallest, "component").select("n", "d1", "d2", "component", "component_id")
+    return signed.select("doc_id", "row", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; of rows with one id, the first text by its hash.
+    """Exactly one row of ``docs`` for each group of near duplicates, with all its columns.
 
-    Rows with a null id stay.
+    It is the row with the smallest id (null ids last), of rows with one id the first text by its digest, of equal
+    rows one. So an id that comes with two texts loses only the text that is a copy, and a repeated row stays once.
+    Rows without words belong to no group and stay. ``docs`` must be a scan of stored files, which numbers its rows
+    alike each time it is read.
     """
-    lost = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    grouped = _grouped_rows(docs, percent, "doc_id", "text").where("n > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2", "row")
+    stays = grouped.groupBy("component").agg(F.min(order)["row"].alias("first"))
+    lost = grouped.join(stays, "component").where("row <> first").select(F.col("row").alias("lost"))
     lost = stage(lost, "near-lost")
-    if fits_broadcast(lost.count() * 16):
+    if fits_broadcast(lost.count() * HASHED_ROW):
         lost = F.broadcast(lost)
-    return docs.join(lost, "doc_id", "left_anti")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), F.monotonically_increasing_id().alias("row"))
+    left = held.join(lost, F.col("row") == F.col("lost"), "left_anti")
+    return left.select(*[F.col(f"rest.`{c}`") for c in docs.columns])

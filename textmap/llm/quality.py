@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmap.llm.passing import passing
+
 TRAIN_ROWS = 20_000  # bound of the labelled sample
 BINS, PAIR_BINS = 32, 8
 ROUNDS, PAIR_ROUNDS, PAIRS = 120, 60, 8
@@ -217,11 +219,6 @@ def score(measured: DataFrame, model: AdditiveModel | None, id_col: str = "doc_i
 
 
 def with_good_quality(docs: DataFrame, model: AdditiveModel | None, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``."""
-    fields = docs.schema.fields
-    others = [f.name for f in fields if f.name != "text"]
-    packed = docs.select(F.struct(*others).alias("rest"), F.col("text"), F.col("text").alias("body"))
-    kind = packed.schema["rest"].dataType.simpleString()
-    measured = packed.mapInArrow(_measured, f"rest {kind}, features array<double>, body string")
-    scored = measured.mapInArrow(_scorer(model), f"rest {kind}, score double, body string").where(F.col("score") >= least)
-    return scored.select(*[F.col("body").alias("text") if f.name == "text" else F.col(f"rest.`{f.name}`") for f in fields])
+    """The rows of ``docs`` with a score of at least ``least``, with all their columns; each is judged by its own text."""
+    score_of = _scorer(model)
+    return passing(docs, lambda batches: score_of(_measured(batches)), "score double", F.col("score") >= least)
