@@ -44,7 +44,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._staged = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete the folder of a table that ``stage`` stored and that nothing reads any more."""
+    path = getattr(stored, "_staged", None)
+    if path is not None:
+        context = stored.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stage_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
