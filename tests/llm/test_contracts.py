@@ -84,3 +84,18 @@ def test_few_rows_give_all_candidates(spark):
     table = stage(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [-1.0, 0.0])], "vec_id long, embedding array<double>"), "few")
     found = annsearch.nearest(table, 50, 5).groupBy("query_id").agg(F.count("*").alias("n")).collect()
     assert {r["query_id"]: r["n"] for r in found} == {0: 2, 50: 2}
+
+
+def test_stretches_have_the_words_of_their_texts():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from textmap.llm import pieces
+
+    table = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts, split = pieces.Stretches(table.cuts), pieces.splitter(table.cuts)
+    rng = np.random.default_rng(9)
+    signs = ["a", "be", " ", "  ", "\n", ".", "...", "!=", "\"", "é", "汉", pieces.SPACE, "\t", "://", "x" * 60, "😀"]
+    odd = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 12))) for _ in range(4000)]
+    for text in [None, "", " ", "a b", " a", "a ", "a\n b", *odd]:
+        assert [w for s in texts.of(text) for w in texts.words(s)] == split(text)
+    several = pieces.Stretches(pieces.MANY_WORDS)
+    assert several.of("a b c") == ["a b c"]

@@ -58,6 +58,15 @@ def with_values(
                 rows.extend([row] * len(rest))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, arrow)], ["row", "word"])
 
+    asked = docs.select("row", "text").mapInArrow(others, f"row long, word {kind}")
+    valued = asked.join(words.select("word", "value"), "word", "left")
+    per_row = valued.groupBy("row").agg(F.collect_list(F.struct("word", "value")).alias("rest"))
+    return packed_texts(docs).join(per_row, "row", "left")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, packed): the texts by zstd; null stays."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -68,11 +77,7 @@ def with_values(
             packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["row", "doc_id", "packed"])
 
-    asked = docs.select("row", "text").mapInArrow(others, f"row long, word {kind}")
-    valued = asked.join(words.select("word", "value"), "word", "left")
-    per_row = valued.groupBy("row").agg(F.collect_list(F.struct("word", "value")).alias("rest"))
-    whole = docs.select("row", "doc_id", "text").mapInArrow(pack, "row long, doc_id long, packed binary")
-    return whole.join(per_row, "row", "left")
+    return docs.select("row", "doc_id", "text").mapInArrow(pack, "row long, doc_id long, packed binary")
 
 
 def unpacked(packed: bytes | None) -> str | None:

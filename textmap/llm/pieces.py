@@ -17,22 +17,26 @@ import string
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmap.llm.lookup import as_dict, common_words, unpacked, with_values
-from textmap.session import fits_broadcast, stage
+from textmap.llm.lookup import as_dict, common_words, packed_texts, unpacked
+from textmap.llm.workers import release_caches
+from textmap.session import fits_broadcast, release, stage
 
 SPACE = "▁"
 LONG = 48  # characters of a word that becomes a lattice of rows
 SPREAD = 4
 HEAD = 200_000  # so many of the commonest words go to all tasks
 FLUSH = 4_000_000  # characters of text in a batch of results
-COUNTED = 200_000  # words counted before they leave a task
+COUNTED = 300_000  # words or stretches counted before they leave a task
+REMEMBERED = 200_000  # stretches whose words a worker remembers
+MANY_WORDS = r"(?s).+"
 DECODED = 100_000  # so many ids become text at once, for small buffers
 PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
 SPELLED = -30.0  # value of a byte; below every piece
@@ -41,7 +45,7 @@ SPELLED = -30.0  # value of a byte; below every piece
 def cuts(held: list[str]) -> str:
     """The pattern of the words of a text. No piece of ``held`` reaches over the end of a match."""
     if any("\n" in p or " " in p.replace(SPACE, " ").lstrip(" ") for p in held):
-        return r"(?s).+"  # pieces of several words
+        return MANY_WORDS  # pieces of several words
     marks = set(string.punctuation)
     touching = {x for p in held for a, b in zip(p, p[1:]) for x, y in ((a, b), (b, a)) if y in marks} - marks - {SPACE}
     mark = re.escape(string.punctuation)
@@ -55,6 +59,36 @@ def splitter(pattern: str) -> Callable[[str | None], list[str]]:
     return lambda text: re.findall(pattern, f" {text}") if text else []
 
 
+class Stretches:
+    """The words of texts, each distinct stretch between single blanks cut once while it is remembered.
+
+    Words never reach over a blank that stands alone, so a text's words are those of its stretches, each with the
+    blank before it. Texts with blanks side by side or at an end are one stretch, as are all texts of a model whose
+    pieces hold several words.
+    """
+
+    def __init__(self, pattern: str):
+        self.split, self.whole = splitter(pattern), pattern == MANY_WORDS
+        self.known: dict[str, list[str]] = {}
+
+    def of(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.whole or "  " in text or text[0] == " " or text[-1] == " ":
+            return [text]
+        return text.split(" ")
+
+    def words(self, stretch: str) -> list[str]:
+        found = self.known.get(stretch)
+        if found is None:
+            found = self.split(stretch)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            if len(stretch) <= LONG:
+                self.known[stretch] = found
+        return found
+
+
 class Pieces:
     """The piece table of a model file."""
 
@@ -150,20 +184,31 @@ def folder(rows: list[tuple[str, int, float]], sizes: dict[str, list[int]], firs
 
 def words_of(docs: DataFrame, pattern: str) -> DataFrame:
     """(word, n): the distinct words of all texts and their uses, without the long ones."""
-    split = splitter(pattern)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = Stretches(pattern)
+        stretches: Counter[str] = Counter()
         held: Counter[str] = Counter()
 
+        def settle():
+            """Stretches to words."""
+            for stretch, n in stretches.items():
+                for word in texts.split(stretch):
+                    if len(word) <= LONG:
+                        held[word] += n
+            stretches.clear()
+
         def counted():
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(w for w in split(text.as_py()) if len(w) <= LONG)
-                if len(held) >= COUNTED:
-                    yield counted()
-                    held.clear()
+                stretches.update(texts.of(text.as_py()))
+                if len(stretches) >= COUNTED:
+                    settle()
+                    if len(held) >= COUNTED:
+                        yield counted()
+                        held.clear()
+        settle()
         yield counted()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -253,49 +298,74 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     pieces = Pieces(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    split = splitter(pieces.cuts)
     found = stage(words_of(rows, pieces.cuts), "piece-found")
     cut = segment(found, pieces).mapInArrow(_bytes_of_ids, "word string, n long, value binary")
     words = stage(cut, "piece-words")
+    release(found)
     common = common_words(words, HEAD if head is None else head)
     known = spark.sparkContext.broadcast(as_dict(common, "value"))  # short words, a bounded number
     text_of = pieces.decoder()
     table = spark.sparkContext.broadcast((pieces.rows, pieces.prefixes(), pieces.first_byte))
+    pattern = pieces.cuts
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = known.value
+        release_caches()
+        texts, values = Stretches(pattern), known.value
         ids_of = folder(*table.value)
         folded: dict[str, bytes] = {}  # long words, for texts that repeat them
+        done: dict[str, bytes] = {}  # ids of stretches of common words
+        sizes: dict[str, int] = {}  # how many words they have
         columns: list[list] = [[] for _ in kinds]
         held = 0
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "ids", "decoded"])
 
+        def others(stretches: list[str], rest: pa.ListScalar) -> tuple[dict[str, bytes], dict[str, int]]:
+            """Ids and numbers of words of the stretches that are not ``done``, and of those only this text has."""
+            own, counts = {}, {}
+            new = sorted(set(stretches).difference(done))
+            cuts = [texts.words(s) for s in new]
+            # the places count the words of all stretches; those of the done ones are common
+            places, found = _rest(cuts, values), {}
+            if places and rest.is_valid:
+                fields = rest.values.flatten()
+                found = dict(zip([places[p] for p in fields[0].to_pylist()], fields[1].to_pylist(), strict=True))
+            for stretch, words_ in zip(new, cuts, strict=True):
+                ids, common_only = [], True
+                for word in words_:
+                    value = values.get(word)
+                    if value is None:
+                        common_only = False
+                        if len(word) > LONG:
+                            if word not in folded:
+                                if sum(map(len, folded)) + len(word) > FLUSH:
+                                    folded.clear()
+                                folded[word] = ids_of(word)
+                            value = folded[word]
+                        else:
+                            value = found.get(word)
+                            if value is None:
+                                raise RuntimeError(f"no pieces for {word!r}; the input changed between two scans")
+                    ids.append(value)
+                target, number = (done, sizes) if common_only and len(stretch) <= LONG else (own, counts)
+                target[stretch], number[stretch] = b"".join(ids), len(ids)
+            return own, counts
+
         for batch in batches:
             for doc_id, packed, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = unpacked(packed.as_py())
                 row = (doc_id, 0, None, None)
                 if text is not None:
-                    found = split(text)
-                    held_values = list(map(values.get, found))
-                    if None in held_values:
-                        own = {r["word"]: r["value"] for r in rest.as_py() or ()}
-                        for word in {w for w in found if len(w) > LONG}:
-                            if word not in folded:
-                                if sum(map(len, folded)) + len(word) > FLUSH:
-                                    folded.clear()
-                                folded[word] = ids_of(word)
-                            own[word] = folded[word]
-                        try:
-                            held_values = [own[w] if v is None else v for w, v in zip(found, held_values, strict=True)]
-                        except KeyError as error:
-                            raise RuntimeError(f"no pieces for {error}; the input changed between two scans") from error
-                    codes = np.frombuffer(b"".join(held_values), "<u4").astype(np.int32)
+                    if len(done) > REMEMBERED:
+                        done.clear(), sizes.clear()
+                    stretches = texts.of(text)
+                    own, counts = others(stretches, rest)
+                    codes = np.frombuffer(b"".join([own[s] if s in own else done[s] for s in stretches]), "<u4").astype(np.int32)
                     decoded = text_of(codes)
-                    row = (doc_id, len(found), codes, decoded)
+                    row = (doc_id, sum([counts[s] if s in counts else sizes[s] for s in stretches]), codes, decoded)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
                 held += len(text or "")
@@ -305,11 +375,37 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         if columns[0]:
             yield batch_of()
 
-    valued = with_values(rows, words, known, lambda text: [w for w in split(text) if len(w) <= LONG])
-    found = valued.select("doc_id", "packed", "rest").mapInArrow(assemble, "doc_id long, n_words long, ids array<int>, decoded string")
+    valued = _with_rest(rows, words, known, pattern)
+    found = valued.mapInArrow(assemble, "doc_id long, n_words long, ids array<int>, decoded string")
     return found.withColumnRenamed("doc_id", id_col)
 
 
+def _rest(cuts: Iterable[list[str]], values: dict) -> list[str]:
+    """The words without a value, in order; their places name them where they are asked for and where they are used."""
+    return sorted({w for words in cuts for w in words if w not in values and len(w) <= LONG})
+
+
+def _with_rest(rows: DataFrame, words: DataFrame, known: Broadcast, pattern: str) -> DataFrame:
+    """(doc_id, packed, rest): the packed texts, and the values of the words that ``known`` lacks by their places."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        texts, values = Stretches(pattern), known.value
+        for batch in batches:
+            numbers, places, found = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rest = _rest(map(texts.words, set(texts.of(text.as_py()))), values)
+                found += rest
+                places += range(len(rest))
+                numbers += [row] * len(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], ["row", "place", "word"])
+
+    asked = rows.select("row", "text").mapInArrow(ask, "row long, place int, word string")
+    valued = asked.join(words.select("word", "value"), "word").select("row", "place", "value")
+    per_row = valued.groupBy("row").agg(F.collect_list(F.struct("place", "value")).alias("rest"))
+    return packed_texts(rows).join(per_row, "row", "left").select("doc_id", "packed", "rest")
+
+
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(2)
