@@ -96,6 +96,6 @@ def test_stretches_have_the_words_of_their_texts():
     signs = ["a", "be", " ", "  ", "\n", ".", "...", "!=", "\"", "é", "汉", pieces.SPACE, "\t", "://", "x" * 60, "😀"]
     odd = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 12))) for _ in range(4000)]
     for text in [None, "", " ", "a b", " a", "a ", "a\n b", *odd]:
-        assert [w for s in texts.of(text) for w in texts.words(s)] == split(text)
+        assert [w for s in texts.of(text) for w in texts.split(s)] == split(text)
     several = pieces.Stretches(pieces.MANY_WORDS)
     assert several.of("a b c") == ["a b c"]

@@ -17,7 +17,7 @@ import string
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ SPREAD = 4
 HEAD = 200_000  # so many of the commonest words go to all tasks
 FLUSH = 4_000_000  # characters of text in a batch of results
 COUNTED = 300_000  # words or stretches counted before they leave a task
-REMEMBERED = 200_000  # stretches whose words a worker remembers
+REMEMBERED = 300_000  # stretches whose ids or words a worker remembers
+NUMBER = 1 << 31  # marks the number of words behind the ids of a stretch
 MANY_WORDS = r"(?s).+"
 DECODED = 100_000  # so many ids become text at once, for small buffers
 PREFIX = 4  # substrings are tried in the sizes of the pieces that begin with the same four characters
@@ -60,7 +61,7 @@ def splitter(pattern: str) -> Callable[[str | None], list[str]]:
 
 
 class Stretches:
-    """The words of texts, each distinct stretch between single blanks cut once while it is remembered.
+    """The words of texts by stretches between single blanks, so that a distinct stretch need be cut only once.
 
     Words never reach over a blank that stands alone, so a text's words are those of its stretches, each with the
     blank before it. Texts with blanks side by side or at an end are one stretch, as are all texts of a model whose
@@ -69,7 +70,6 @@ class Stretches:
 
     def __init__(self, pattern: str):
         self.split, self.whole = splitter(pattern), pattern == MANY_WORDS
-        self.known: dict[str, list[str]] = {}
 
     def of(self, text: str | None) -> list[str]:
         if not text:
@@ -78,14 +78,20 @@ class Stretches:
             return [text]
         return text.split(" ")
 
-    def words(self, stretch: str) -> list[str]:
-        found = self.known.get(stretch)
-        if found is None:
-            found = self.split(stretch)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(stretch) <= LONG:
-                self.known[stretch] = found
+
+class _Lacking(dict):
+    """The words of a stretch that ``values`` lacks, remembered for some stretches."""
+
+    def __init__(self, split: Callable[[str], list[str]], values: dict):
+        super().__init__()
+        self.split, self.values = split, values
+
+    def __missing__(self, stretch: str) -> tuple[str, ...]:
+        found = tuple(w for w in self.split(stretch) if w not in self.values and len(w) <= LONG)
+        if len(stretch) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = found
         return found
 
 
@@ -315,27 +321,24 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         texts, values = Stretches(pattern), known.value
         ids_of = folder(*table.value)
         folded: dict[str, bytes] = {}  # long words, for texts that repeat them
-        done: dict[str, bytes] = {}  # ids of stretches of common words
-        sizes: dict[str, int] = {}  # how many words they have
+        done: dict[str, bytes] = {}  # ids of stretches of common words, with the number of the words
         columns: list[list] = [[] for _ in kinds]
         held = 0
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "ids", "decoded"])
 
-        def others(stretches: list[str], rest: pa.ListScalar) -> tuple[dict[str, bytes], dict[str, int]]:
-            """Ids and numbers of words of the stretches that are not ``done``, and of those only this text has."""
-            own, counts = {}, {}
-            new = sorted(set(stretches).difference(done))
-            cuts = [texts.words(s) for s in new]
-            # the places count the words of all stretches; those of the done ones are common
-            places, found = _rest(cuts, values), {}
+        def others(new: set[str], rest: pa.ListScalar) -> dict[str, bytes]:
+            """The ids of stretches that are not ``done``; those of common words are from now on."""
+            cuts = {stretch: texts.split(stretch) for stretch in new}
+            places, found = sorted({w for cut in cuts.values() for w in cut if w not in values and len(w) <= LONG}), {}
             if places and rest.is_valid:
                 fields = rest.values.flatten()
                 found = dict(zip([places[p] for p in fields[0].to_pylist()], fields[1].to_pylist(), strict=True))
-            for stretch, words_ in zip(new, cuts, strict=True):
-                ids, common_only = [], True
-                for word in words_:
+            out = {}
+            for stretch, cut in cuts.items():
+                ids, common_only = [], len(stretch) <= LONG
+                for word in cut:
                     value = values.get(word)
                     if value is None:
                         common_only = False
@@ -350,9 +353,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                             if value is None:
                                 raise RuntimeError(f"no pieces for {word!r}; the input changed between two scans")
                     ids.append(value)
-                target, number = (done, sizes) if common_only and len(stretch) <= LONG else (own, counts)
-                target[stretch], number[stretch] = b"".join(ids), len(ids)
-            return own, counts
+                ids.append((NUMBER + len(cut)).to_bytes(4, "little"))
+                out[stretch] = b"".join(ids)
+                if common_only:
+                    done[stretch] = out[stretch]
+            return out
 
         for batch in batches:
             for doc_id, packed, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -360,12 +365,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 row = (doc_id, 0, None, None)
                 if text is not None:
                     if len(done) > REMEMBERED:
-                        done.clear(), sizes.clear()
+                        done.clear()
                     stretches = texts.of(text)
-                    own, counts = others(stretches, rest)
-                    codes = np.frombuffer(b"".join([own[s] if s in own else done[s] for s in stretches]), "<u4").astype(np.int32)
-                    decoded = text_of(codes)
-                    row = (doc_id, sum([counts[s] if s in counts else sizes[s] for s in stretches]), codes, decoded)
+                    found = list(map(done.get, stretches))
+                    if None in found:
+                        own = others({s for s, v in zip(stretches, found, strict=True) if v is None}, rest)
+                        found = [own[s] if v is None else v for s, v in zip(stretches, found, strict=True)]
+                    codes = np.frombuffer(b"".join(found), "<u4")
+                    numbers = codes >= NUMBER
+                    n_words = int((codes[numbers] - np.uint32(NUMBER)).sum(dtype=np.int64))
+                    codes = codes[~numbers].astype(np.int32)
+                    row = (doc_id, n_words, codes, text_of(codes))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
                 held += len(text or "")
@@ -380,21 +390,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return found.withColumnRenamed("doc_id", id_col)
 
 
-def _rest(cuts: Iterable[list[str]], values: dict) -> list[str]:
-    """The words without a value, in order; their places name them where they are asked for and where they are used."""
-    return sorted({w for words in cuts for w in words if w not in values and len(w) <= LONG})
-
-
 def _with_rest(rows: DataFrame, words: DataFrame, known: Broadcast, pattern: str) -> DataFrame:
     """(doc_id, packed, rest): the packed texts, and the values of the words that ``known`` lacks by their places."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        texts, values = Stretches(pattern), known.value
+        texts = Stretches(pattern)
+        lacking = _Lacking(texts.split, known.value).__getitem__
         for batch in batches:
             numbers, places, found = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rest = _rest(map(texts.words, set(texts.of(text.as_py()))), values)
+                rest = sorted(set().union(*map(lacking, set(texts.of(text.as_py())))))
                 found += rest
                 places += range(len(rest))
                 numbers += [row] * len(rest)
