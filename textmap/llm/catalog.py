@@ -88,7 +88,8 @@ def op8_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op7_lattice_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.digest(pieces.encode(_table(spark, folder, "documents"), public_tokenizers.path(PIECE_MODEL)))
+    documents = _table(spark, folder, "documents")
+    return pieces.encode(documents, public_tokenizers.path(PIECE_MODEL), then=(pieces.digested, pieces.DIGEST))
 
 
 def op11_quadtree_divergence(spark: SparkSession, folder: str) -> DataFrame:

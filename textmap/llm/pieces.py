@@ -294,9 +294,16 @@ def _bytes_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["word", "n", "value"])
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head: int | None = None) -> DataFrame:
+ENCODED = "doc_id long, n_words long, ids array<int>, decoded string"
+
+
+def encode(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head: int | None = None,
+    then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None,
+) -> DataFrame:
     """(``id_col``, n_words, ids, decoded) of every row; ``decoded`` is made from the ids alone.
 
+    ``then``: a function of these batches and the columns it gives instead, applied in the task that makes them.
     Null texts have null ids and stay null; empty texts have no ids. Any other text decodes to itself. Rows are
     handled each for themselves, so repeated and null ids do no harm; other columns play no part. ``docs``
     must be a scan of stored files, whose rows keep their numbers.
@@ -326,7 +333,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         held = 0
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "ids", "decoded"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "ids", "decoded"])
+            return made if then is None else then[0](made)
 
         def others(new: set[str], rest: pa.ListScalar) -> dict[str, bytes]:
             """The ids of stretches that are not ``done``; those of common words are from now on."""
@@ -386,7 +394,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield batch_of()
 
     valued = _with_rest(rows, words, known, pattern)
-    found = valued.mapInArrow(assemble, "doc_id long, n_words long, ids array<int>, decoded string")
+    found = valued.mapInArrow(assemble, ENCODED if then is None else then[1])
     return found.withColumnRenamed("doc_id", id_col)
 
 
@@ -412,24 +420,25 @@ def _with_rest(rows: DataFrame, words: DataFrame, known: Broadcast, pattern: str
     return packed_texts(rows).join(per_row, "row", "left").select("doc_id", "packed", "rest")
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(2)
-        held = lists.is_valid().to_pylist()
-        bounds = lists.offsets.to_numpy()
-        values = lists.values.to_numpy(zero_copy_only=False)
-        cut = [values[a:b] if ok else None for ok, a, b in zip(held, bounds[:-1], bounds[1:], strict=True)]
-        sizes = [None if c is None else len(c) for c in cut]
-        sums = [None if c is None else zlib.crc32(np.ascontiguousarray(c, "<u4")) for c in cut]
-        texts = [None if x is None else zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (t.as_py() for t in batch.column(3))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (sizes, sums, texts)]],
-            ["doc_id", "n_words", "n_pieces", "ids_crc32", "text_crc32"],
-        )
+DIGEST = "doc_id long, n_words long, n_pieces long, ids_crc32 long, text_crc32 long"
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, n_pieces, ids_crc32, text_crc32 of the decoded text."""
-    return encoded.select("doc_id", "n_words", "ids", "decoded").mapInArrow(
-        _digested, "doc_id long, n_words long, n_pieces long, ids_crc32 long, text_crc32 long"
+def digested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Per encoded row: doc_id, n_words, n_pieces, ids_crc32, text_crc32 of the decoded text."""
+    lists = batch.column(2)
+    held = lists.is_valid().to_pylist()
+    bounds = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)
+    cut = [values[a:b] if ok else None for ok, a, b in zip(held, bounds[:-1], bounds[1:], strict=True)]
+    sizes = [None if c is None else len(c) for c in cut]
+    sums = [None if c is None else zlib.crc32(np.ascontiguousarray(c, "<u4")) for c in cut]
+    texts = [None if x is None else zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (t.as_py() for t in batch.column(3))]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (sizes, sums, texts)]],
+        ["doc_id", "n_words", "n_pieces", "ids_crc32", "text_crc32"],
     )
+
+
+def without_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """An encoded batch without the decoded texts."""
+    return batch.select(["doc_id", "n_words", "ids"])
