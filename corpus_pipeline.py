@@ -49,7 +49,8 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_words, ids) of each document of the mix."""
     import public_tokenizers
 
-    return pieces.encode(docs, public_tokenizers.path(catalog.PIECE_MODEL)).drop("decoded")
+    model = public_tokenizers.path(catalog.PIECE_MODEL)
+    return pieces.encode(docs, model, then=(pieces.without_text, "doc_id long, n_words long, ids array<int>"))
 
 
 STAGES = [
