@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textmap.operators import matrix as mx
 from textmap.operators import reduce as rd
 from textmap.operators import regions
 from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, TextParams, WardParams
@@ -266,3 +267,65 @@ def test_lsa_tells_whether_it_settled(spark, monkeypatch):
     assert found.attributes["converged"] == "true"
     values = np.linalg.svd(low_rank())[1][:3]
     assert np.allclose([found.attributes[f"singular_value_{i}"] for i in range(3)], values, rtol=1e-4)
+
+
+def em_by_hand(counts, topics, steps, alpha, eta):
+    shares = np.full((len(counts), topics.shape[1]), 1 / topics.shape[1])
+    for _ in range(steps):
+        part = shares[:, None, :] * topics[None, :, :]
+        part = counts[:, :, None] * part / np.maximum(part.sum(axis=2, keepdims=True), 1e-12)
+        by_doc, by_term = part.sum(axis=1), part.sum(axis=0)
+        shares = (by_doc + alpha) / (by_doc.sum(axis=1, keepdims=True) + alpha * topics.shape[1])
+        topics = (by_term + eta) / (by_term.sum(axis=0) + eta * len(topics))
+    return shares, topics
+
+
+@pytest.mark.parametrize("least_rows", [256, 5])
+def test_lda_by_blocks_of_terms(spark, monkeypatch, least_rows):
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr("textmap.operators.matrix.LEAST_ROWS", least_rows)
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(0.4, (30, 17)).astype(float)
+    counts[4], counts[:, 6] = 0, 0
+    start = rng.random((17, 3))
+    table = mx.matrix_table(spark, start)
+    found = rd.lda_by_blocks(sparse_table(spark, counts), table, 17, 3, LdaParams(n_iter=3))
+    shares, topics = em_by_hand(counts, start, 3, 0.1, 0.01)
+    assert np.allclose(vectors(found, 30), shares) and np.allclose(by_term(found.components, 17, 3), topics)
+
+
+def test_lda_over_a_long_term_list(spark, articles, monkeypatch):
+    from textmap.operators import tfidf, vocabulary
+
+    terms = vocabulary.tokenize(articles)
+    vocab = vocabulary.fit_vocabulary(terms, TextParams(min_df=0.05))
+    whole = tfidf.count_rows(terms, vocab).orderBy("doc_id").collect()
+    monkeypatch.setattr(tfidf, "DICTIONARY_LIMIT", 5)
+    monkeypatch.setattr(rd, "DICTIONARY_LIMIT", 5)
+    assert tfidf.count_rows(terms, vocab).orderBy("doc_id").collect() == whole
+    found = rd.lda(terms, vocab, LdaParams(n_topics=3, n_iter=2))
+    shares = np.array([r["vec"] for r in found.vectors.collect()])
+    assert len(shares) == articles.count() and np.allclose(shares.sum(axis=1), 1)
+    assert np.allclose(by_term(found.components, vocab.n_terms, 3).sum(axis=0), 1)
+
+
+def test_similar_documents_of_all(spark):
+    from textmap.operators import summaries as sm
+
+    rng = np.random.default_rng(7)
+    dense = np.round(rng.random((90, 4)), 1)
+    dense[10:14], dense[20] = dense[5], 0.0
+    nodes = [0] * 60 + [1] * 29 + [2]
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(dense)], "doc_id long, vec array<double>")
+    assigned = spark.createDataFrame(list(enumerate(nodes)), "doc_id long, node int")
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    expected = {}
+    for i in range(90):
+        others = [(-round(float(unit[i] @ unit[j]), 12), j) for j in range(90) if j != i and nodes[i] == nodes[j]]
+        expected[i] = [j for _, j in sorted(others)[:4]]
+    for block in (1_000, 7):
+        found = sm.all_similar_documents(rows, assigned, 4, block=block).orderBy("doc_id", "rank").collect()
+        assert {i: [r["other_id"] for r in found if r["doc_id"] == i] for i in range(90)} == expected
+    asked = spark.createDataFrame([(3,), (61,), (61,), (89,)], "doc_id long")
+    some = sm.all_similar_documents(rows, assigned, 4, asked, block=7).orderBy("doc_id", "rank").collect()
+    assert [r["other_id"] for r in some] == expected[3] + expected[61]

@@ -15,7 +15,7 @@ from textmap.operators import reduce as rd
 from textmap.operators import som, sparse_som
 from textmap.operators import summaries as sm
 from textmap.operators import vocabulary as vo
-from textmap.operators.tfidf import tfidf
+from textmap.operators.tfidf import count_rows, tfidf
 from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, TextParams, WardParams
 from textmap.plans.analysis import Analysis, run_analysis
 from textmap.session import stage
@@ -23,6 +23,7 @@ from textmap.session import stage
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
 NMF_STEPS, NMF_PASSES = 2, 4
+LDA_STEPS = 4
 PROJECTED_MAP = SomParams(kshape=(3, 4), n_iter=15, learning_rate=0.1, init="first")
 PROJECTED_REGIONS = 4
 SMALL_MAP = SomParams(kshape=(5, 6), n_iter=15)
@@ -96,6 +97,24 @@ def r4_nmf_map_from_start(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("topics", sm.topics_text(F.col("topics")))
 
 
+def r3_lda_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """LDA topics over the long term list after several steps from given ones."""
+    terms = tokenized(spark, folder)
+    vocab = vo.fit_vocabulary(terms, LONG_LIST)
+    counts = stage(count_rows(terms, vocab), "counts")
+    found = rd.lda_by_blocks(counts, stage(basis_table(spark, vocab.n_terms), "basis"), vocab.n_terms, WIDTH, LdaParams(n_iter=LDA_STEPS))
+    return found.components.withColumn("weight", rounded(F.col("weight"), 9))
+
+
+def r3_lda_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that go with them."""
+    terms = tokenized(spark, folder)
+    vocab = vo.fit_vocabulary(terms)
+    counts = stage(count_rows(terms, vocab), "counts")
+    found = rd.lda_by_blocks(counts, stage(basis_table(spark, vocab.n_terms), "basis"), vocab.n_terms, WIDTH, LdaParams(n_iter=LDA_STEPS))
+    return found.vectors.select("doc_id", F.posexplode("vec").alias("topic_id", "share")).withColumn("share", rounded(F.col("share")))
+
+
 def r3_lda(spark: SparkSession, folder: str) -> DataFrame:
     terms = tokenized(spark, folder)
     vocab = vo.fit_vocabulary(terms)
@@ -173,14 +192,18 @@ def long_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, vo.Vocabular
     return stage(tfidf(terms, vocab), "tfidf-long"), vocab
 
 
-def r1_wide_power_step(spark: SparkSession, folder: str) -> DataFrame:
-    """The power step over the long term list, with the basis as a table that is sent in blocks."""
-    rows, vocab = long_rows(spark, folder)
+def basis_table(spark: SparkSession, n_terms: int) -> DataFrame:
+    """``_basis`` as a (feature, weights) table made by the executors."""
     number = lambda j: F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), "id", F.lit(f":{j}"))), 1, 8), 16, 10)
-    basis = spark.range(vocab.n_terms).select(
+    return spark.range(n_terms).select(
         F.col("id").cast("int").alias("feature"), F.array(*[number(j).cast("double") / F.lit(2.0**32) for j in range(WIDTH)]).alias("weights")
     )
-    placed = mx.multiply_by_blocks(rows, stage(basis, "basis"), vocab.n_terms, WIDTH)
+
+
+def r1_wide_power_step(spark: SparkSession, folder: str) -> DataFrame:
+    """The power step over the long term list, with the basis as a table that is sent in blocks."""
+    rows, vocab = long_rows(spark, folder)
+    placed = mx.multiply_by_blocks(rows, stage(basis_table(spark, vocab.n_terms), "basis"), vocab.n_terms, WIDTH)
     joined = stage(rows.join(placed, "doc_id").select("indices", "values", "vec"), "joined")
     step = mx.transpose_by_blocks(joined, vocab.n_terms, WIDTH)
     return step.select(F.col("row").alias("term_id"), F.posexplode("vec").alias("j", "z")).withColumn("z", rounded(F.col("z"), 5))
@@ -196,7 +219,7 @@ def m10_wide_fit(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        r1_wide_power_step, m10_wide_fit, m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r2_nmf_from_start, r4_nmf_map_from_start, r3_lda, r4_nmf_map, text_map,
+        r1_wide_power_step, m10_wide_fit, m3_terms_best_unit, m9_terms_epoch, r1_project, u4_projected_map, r1_power_step, r1_first_component, r1_lsa, r1_lsa_vectors, r2_nmf_step, r2_nmf, r2_nmf_from_start, r4_nmf_map_from_start, r3_lda, r3_lda_from_start, r3_lda_shares, r4_nmf_map, text_map,
         u1_custom_tokenizer,
     )
 }
@@ -258,6 +281,29 @@ def _first_component_sql() -> str:
     return q.with_(*ctes) + f"SELECT term_id, round(w, 5) + 0.0 AS weight FROM v{POWER_STEPS}"
 
 
+def _lda_ctes(tokens: list[str]) -> list[str]:
+    """l0 .. ln: topics (term_id, j, w), d0 .. dn: shares (doc_id, j, s), by expectation-maximisation on counts."""
+    priors = LdaParams()
+    ctes = [
+        *tokens, _BASIS,
+        "uses AS MATERIALIZED (SELECT doc_id, term_id, count(*) AS n FROM (SELECT doc_id, unnest(terms) AS term FROM tok) JOIN voc USING (term) GROUP BY ALL)",
+        "l0 AS (SELECT * FROM b)",
+        f"d0 AS (SELECT doc_id, CAST(j AS INTEGER) AS j, 1.0::DOUBLE / {WIDTH} AS s FROM tok, range({WIDTH}) t(j))",
+    ]
+    for step in range(1, LDA_STEPS + 1):
+        ctes += [
+            f"""r{step} AS MATERIALIZED (SELECT doc_id, term_id, j, n * p / greatest(sum(p) OVER (PARTITION BY doc_id, term_id), 1e-12::DOUBLE) AS r
+                FROM (SELECT u.doc_id, u.term_id, n, j, s * w AS p FROM uses u JOIN l{step - 1} USING (term_id) JOIN d{step - 1} USING (doc_id, j)))""",
+            f"""d{step} AS MATERIALIZED (SELECT doc_id, j, (coalesce(r, 0) + {priors.share_prior}::DOUBLE)
+                / (sum(coalesce(r, 0)) OVER (PARTITION BY doc_id) + {priors.share_prior}::DOUBLE * {WIDTH}) AS s
+                FROM d0 LEFT JOIN (SELECT doc_id, j, sum(r) AS r FROM r{step} GROUP BY ALL) USING (doc_id, j))""",
+            f"""l{step} AS MATERIALIZED (SELECT term_id, j, (coalesce(r, 0) + {priors.term_prior}::DOUBLE)
+                / (sum(coalesce(r, 0)) OVER (PARTITION BY j) + {priors.term_prior}::DOUBLE * (SELECT count(*) FROM voc)) AS w
+                FROM l0 LEFT JOIN (SELECT term_id, j, sum(r) AS r FROM r{step} GROUP BY ALL) USING (term_id, j))""",
+        ]
+    return ctes
+
+
 # Document vectors x(doc_id, vec) in the space of the given components, zero where no term is known.
 _PLACED = [
     "y AS MATERIALIZED (SELECT doc_id, j, sum(v * (w - 0.5)) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
@@ -347,6 +393,10 @@ ORACLES = {
         _BASIS,
         "y AS MATERIALIZED (SELECT doc_id, j, sum(v * w) AS y FROM cells JOIN b USING (term_id) GROUP BY doc_id, j)",
     ) + "SELECT term_id, j, round(sum(v * y), 5) + 0.0 AS z FROM cells JOIN y USING (doc_id) GROUP BY term_id, j",
+    "r3_lda_from_start": q.with_(*_lda_ctes([q.tokens_of(), *q.vocabulary(low="2", high="n")]))
+    + f"SELECT j AS topic_id, term_id, round(w, 9) + 0.0 AS weight FROM l{LDA_STEPS}",
+    "r3_lda_shares": q.with_(*_lda_ctes([q.tokens_of(), *q.vocabulary()]))
+    + f"SELECT doc_id, j AS topic_id, round(s, 6) + 0.0 AS share FROM d{LDA_STEPS}",
     "r2_nmf_step": _nmf_sql(1),
     "r2_nmf_from_start": _nmf_sql(NMF_PASSES),
     "r1_first_component": _first_component_sql(),

@@ -107,6 +107,13 @@ def j5_most_similar(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("similarity", rounded(F.col("similarity")))
 
 
+def j5_all_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The three most similar documents on its node of every document."""
+    fitted = fit(spark, folder)
+    found = sm.all_similar_documents(fitted.vectors, fitted.assigned, 3)
+    return found.withColumn("similarity", rounded(F.col("similarity")))
+
+
 def c3_document_clusters(spark: SparkSession, folder: str) -> DataFrame:
     fitted = fit(spark, folder)
     return regions.document_clusters(fitted.assigned, clusters(fitted)).select("doc_id", "node", "cluster")
@@ -176,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         k1_topic_top_terms, k2_node_top_topics, k3_topic_top_documents, k4_node_features, k6_latest_run,
-        k7_first_rows, k8_term_lines, j1_cluster_documents, j2_node_topics, j5_similar_documents, j5_most_similar,
+        k7_first_rows, k8_term_lines, j1_cluster_documents, j2_node_topics, j5_similar_documents, j5_most_similar, j5_all_similar,
         c3_document_clusters, c4_centre_top_terms, a1_node_hits, a2_cluster_sizes, a3_hits_histogram, a4_map_table,
         a5_corpus_table, v1_colours, v2_node_matrix, v3_hover_columns, v4_hex_bins,
     )
@@ -209,6 +216,9 @@ def node_words(n_topics: int, n_words: int) -> str:
 TOPICS_TEXT = """tt AS (SELECT node, string_agg(words, ' | ' ORDER BY topic_rank) AS topics FROM (
     SELECT node, topic_rank, string_agg(name, ' ' ORDER BY token_rank) AS words FROM nt GROUP BY ALL) GROUP BY node)"""
 HITS = f"hits AS ({maps._HITS})"
+_ALL_SIM = """sim AS MATERIALIZED (SELECT a.doc_id, b.doc_id AS other_id, a.node,
+    list_dot_product(p.u, r.u) AS similarity FROM aa a JOIN aa b ON a.node = b.node AND a.doc_id <> b.doc_id
+    JOIN xu p ON p.doc_id = a.doc_id JOIN xu r ON r.doc_id = b.doc_id)"""
 _SIM = f"""sim AS MATERIALIZED (SELECT a.doc_id, b.doc_id AS other_id, a.node,
     list_dot_product(p.u, r.u) AS similarity FROM aa a JOIN aa b ON a.node = b.node AND a.doc_id <> b.doc_id
     JOIN xu p ON p.doc_id = a.doc_id JOIN xu r ON r.doc_id = b.doc_id WHERE a.doc_id IN ({ASKED}, {ASKED + 1}))"""
@@ -236,6 +246,9 @@ ORACLES = {
     "j5_similar_documents": q.with_(*FINAL, _SIM)
     + f"SELECT doc_id, other_id, node, round(similarity, 6) + 0.0 AS similarity FROM sim WHERE doc_id = {ASKED}",
     "j5_most_similar": q.with_(*FINAL, _SIM)
+    + f"""SELECT doc_id, other_id, node, round(similarity, 6) + 0.0 AS similarity, rank
+        FROM {top('sim', 'doc_id', 'other_id', 3, 'similarity')}""",
+    "j5_all_similar": q.with_(*FINAL, _ALL_SIM)
     + f"""SELECT doc_id, other_id, node, round(similarity, 6) + 0.0 AS similarity, rank
         FROM {top('sim', 'doc_id', 'other_id', 3, 'similarity')}""",
     "c3_document_clusters": q.with_(*FINAL, *WARD) + "SELECT doc_id, node, cluster FROM aa JOIN node_clusters USING (node)",

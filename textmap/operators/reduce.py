@@ -4,6 +4,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from textmap.functions import vectors as vx
 from textmap.operators import matrix as mx
-from textmap.operators.tfidf import term_counts
+from textmap.operators.tfidf import DICTIONARY_LIMIT, count_rows, term_counts
 from textmap.operators.vocabulary import Vocabulary
 from textmap.params import LdaParams, LsaParams, NmfParams
-from textmap.session import fits_broadcast, stage
+from textmap.session import few_tasks, fits_broadcast, stage
 
 # Up to this many terms the term-by-term product is formed in one pass.
 GRAM_TERMS = 2_000
@@ -324,8 +325,83 @@ def _nmf_tables(
     return Reduction(weights_for(topics, square_of(topics, "row")), components_from_table(topics), k, attributes)
 
 
+def topic_shares_step(counts: DataFrame, shares: DataFrame, topics: DataFrame, n_terms: int, k: int, params: LdaParams) -> tuple[DataFrame, DataFrame]:
+    """One step of LDA by expectation-maximisation: new (doc_id, vec) shares and new (feature, weights) topics, stored.
+
+    Each use of a term is divided among the topics as share x weight; a document's uses by topic give its shares, a
+    term's uses by topic its weights, both smoothed. ``topics`` is sent in blocks of terms and both sums are taken
+    block by block, so neither the term list nor a hot term bounds the step. ``counts`` are stored sparse rows.
+    """
+    spark = counts.sparkSession
+    joined = stage(counts.join(shares, "doc_id").select("doc_id", "indices", "values", "vec"), "lda-rows")
+
+    def divided(batch: pa.RecordBatch, block: np.ndarray, start: int, stop: int):
+        share = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        lists = pa.RecordBatch.from_arrays(batch.columns[:3], ["id", "indices", "values"])
+        for number, feature, value in mx._cells(lists, start, stop, k):
+            part = share[number] * block[feature]
+            yield number, feature, part * (value / np.maximum(part.sum(axis=1), _TINY))[:, None]
+
+    by_doc = by_term = None
+    for start, stop in mx.row_blocks(n_terms, k):
+        sent = spark.sparkContext.broadcast(mx._block_of(topics, start, stop, k))
+
+        def of_docs(batches, sent=sent, start=start, stop=stop):
+            for batch in batches:
+                total = np.zeros((batch.num_rows, k))
+                for number, _, part in divided(batch, sent.value, start, stop):
+                    found, sums = mx.add_by_key(number, part)
+                    total[found] += sums
+                yield pa.RecordBatch.from_arrays([batch.column(0), mx.list_array(total)], ["doc_id", "vec"])
+
+        def of_terms(batches, sent=sent, start=start, stop=stop):
+            total = np.zeros((stop - start, k))
+            for batch in batches:
+                for _, feature, part in divided(batch, sent.value, start, stop):
+                    found, sums = mx.add_by_key(feature, part)
+                    total[found] += sums
+            hit = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array((start + hit).astype(np.int32)), mx.list_array(total[hit])], ["row", "vec"])
+
+        docs = joined.mapInArrow(of_docs, "doc_id long, vec array<double>")
+        terms = mx.merge_partials(few_tasks(joined).mapInArrow(of_terms, "row int, vec array<double>"), "row", k)
+        by_doc = docs if by_doc is None else by_doc.unionByName(docs)
+        by_term = terms if by_term is None else by_term.unionByName(terms)
+    if len(mx.row_blocks(n_terms, k)) > 1:
+        by_doc = mx.sum_vectors(by_doc, "doc_id")
+    uses = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v)
+    alpha, eta = params.share_prior, params.term_prior
+    smooth = F.transform("vec", lambda v: (v + F.lit(alpha)) / (F.col("uses") + F.lit(alpha * k)))
+    shares = stage(by_doc.withColumn("uses", uses).select("doc_id", smooth.alias("vec")), "lda-shares")
+    by_term = stage(by_term, "lda-sums")
+    whole = mx.collect_matrix(mx.sum_rows(by_term.select(F.col("row").alias("doc_id"), "vec"), k, (1, k), lambda b: b.sum(axis=0, keepdims=True)), (1, k))[0]
+    mass = F.array(*[F.lit(float(m) + eta * n_terms) for m in whole])
+    every = topics.select(F.col("feature").alias("row")).join(by_term, "row", "left")
+    sums = F.coalesce("vec", F.array_repeat(F.lit(0.0), k))
+    moved = F.zip_with(sums, mass, lambda v, m: (v + F.lit(eta)) / m)
+    return shares, stage(every.select(F.col("row").cast("int").alias("feature"), moved.alias("weights")), "lda-topics")
+
+
+def lda_by_blocks(counts: DataFrame, topics: DataFrame, n_terms: int, k: int, params: LdaParams = LdaParams()) -> Reduction:
+    """LDA from given topics (feature, weights) over a term list of any length; repeatable, one step per iteration."""
+    even = F.array_repeat(F.lit(1.0 / k), k)
+    shares = counts.select("doc_id", even.alias("vec"))
+    for _ in range(params.n_iter):
+        shares, topics = topic_shares_step(counts, shares, topics, n_terms, k, params)
+    components = components_from_table(topics.select(F.col("feature").alias("row"), F.col("weights").alias("vec")))
+    return Reduction(shares, components, k, {"n_topics": k, "n_iter": params.n_iter, "algorithm": "em"})
+
+
 def lda(tokenized: DataFrame, vocabulary: Vocabulary, params: LdaParams = LdaParams()) -> Reduction:
-    """Topic shares per document and term weights per topic, by Spark's online variational LDA on counts."""
+    """Topic shares per document and term weights per topic on counts.
+
+    By Spark's online variational LDA up to the length of a term list that is sent whole, beyond it by
+    expectation-maximisation over blocks of terms from seeded topics.
+    """
+    if vocabulary.n_terms > DICTIONARY_LIMIT:
+        start = _nmf_start(tokenized.sparkSession, vocabulary.n_terms, params.n_topics, 1.0, params.seed)
+        topics = stage(start.select(F.col("row").alias("feature"), F.col("vec").alias("weights")), "lda-topics")
+        return lda_by_blocks(stage(count_rows(tokenized, vocabulary), "lda-counts"), topics, vocabulary.n_terms, params.n_topics, params)
     counts = term_counts(tokenized, vocabulary)
     # every pass takes all documents; Spark's own share is a twentieth
     fit = LDA(k=params.n_topics, maxIter=params.n_iter, seed=params.seed, featuresCol="counts", subsamplingRate=1.0)

@@ -22,6 +22,8 @@ from textmap.session import few_tasks, stage
 PAGE_SIZE = 10_000
 # Asked documents, one vector each, that are sent to every executor.
 BROADCAST_ASKED = 1_000
+# Documents of a node that are compared at once with as many others.
+SIMILAR_BLOCK = 1_024
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -195,6 +197,56 @@ def similar_documents(
     return top_per_group(pairs, "doc_id", order, k)
 
 
+def all_similar_documents(
+    vectors: DataFrame, assigned: DataFrame, k: int, asked: DataFrame | None = None, block: int = SIMILAR_BLOCK
+) -> DataFrame:
+    """(doc_id, other_id, node, similarity, rank): the ``k`` most similar documents on its node of every asked document.
+
+    ``asked`` (doc_id) names them, all documents without it. The documents of a node lie in blocks of bounded size;
+    an asked block meets each block of its node in a task of its own, as one matrix product of which only the best
+    ``k`` of each document leave the task. So no row is made per pair, and a crowded node is spread over many tasks.
+    """
+    units = vectors.select("doc_id", vx.unit(vx.doubles(F.col("vec"))).alias("vec")).where(F.col("vec").isNotNull())
+    placed = assigned.select("doc_id", "node").join(units, "doc_id")
+    sizes = placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    cut = placed.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        held = F.array_sort(F.collect_list(F.struct("doc_id", "vec")))
+        return rows.groupBy("node", "block", "blocks").agg(held.alias("rows")).select(
+            "node", "block", "blocks", F.col("rows.doc_id").alias("ids"), F.flatten("rows.vec").alias("flat")
+        )
+
+    whole = stage(packed(cut), "similar-blocks")
+    some = whole if asked is None else packed(cut.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"))
+    met = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", F.col("other").alias("block"), F.col("ids").alias("asked_ids"), F.col("flat").alias("asked_flat")
+    ).join(whole.drop("blocks"), ["node", "block"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                node = batch.column(0)[r].as_py()
+                asked_ids, ids = (batch.column(c)[r].values.to_numpy() for c in (1, 3))
+                a, b = (batch.column(c)[r].values.to_numpy().reshape(len(n), -1) for c, n in ((2, asked_ids), (4, ids)))
+                similarity = a @ b.T
+                key = np.where(asked_ids[:, None] == ids[None, :], np.inf, -np.round(similarity, som.TIE_DIGITS))
+                order = np.argsort(key, axis=1, kind="stable")[:, :k]  # the ids are sorted
+                row, column = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+                real = np.isfinite(key[row, column])
+                row, column = row[real], column[real]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked_ids[row]), pa.array(ids[column]), pa.array(np.full(len(row), node, np.int32)), pa.array(similarity[row, column])],
+                    ["doc_id", "other_id", "node", "similarity"],
+                )
+
+    found = met.select(F.col("node").cast("int").alias("node"), "asked_ids", "asked_flat", "ids", "flat").mapInArrow(
+        best, "doc_id long, other_id long, node int, similarity double"
+    )
+    order = [F.desc(F.round("similarity", som.TIE_DIGITS)), F.asc("other_id")]
+    return top_per_group(found, "doc_id", order, k)
+
+
 def spread_hits(assigned: DataFrame, params: SomParams, it: int) -> DataFrame:
     """(node, density): the hits of the map spread by the influence kernel of epoch ``it``."""
     return (

@@ -30,6 +30,22 @@ def term_counts(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _count(tokenized, vocabulary.on_driver()[0])
 
 
+def count_rows(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, indices, values): how often each document uses the vocabulary's terms; rows without one stay, empty."""
+    if vocabulary.n_terms <= DICTIONARY_LIMIT:
+        vector = F.unwrap_udt(F.col("counts"))
+        return _count(tokenized, vocabulary.on_driver()[0]).select("doc_id", vector.alias("v")).select(
+            "doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("values")
+        )
+    used = tokenized.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    cells = used.join(vocabulary.terms, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("row"))
+    return tokenized.select("doc_id").join(cells, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce(F.col("row.term_id"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("row.tf"), F.array().cast("array<double>")).alias("values"),
+    )
+
+
 def _from_dictionary(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None) -> DataFrame:
     texts, dfs = vocabulary.on_driver()
     weights = np.log((1.0 + vocabulary.n_docs) / (1.0 + dfs)) + 1.0

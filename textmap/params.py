@@ -37,6 +37,8 @@ class LdaParams:
     n_topics: int = 200
     n_iter: int = 1
     seed: int = 0
+    share_prior: float = 0.1
+    term_prior: float = 0.01
 
 
 @dataclass(frozen=True)
