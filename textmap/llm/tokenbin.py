@@ -207,6 +207,45 @@ def read_documents(source) -> Iterator[tuple[int | None, np.ndarray]]:
         ready, held = [ids[need:]], held - need
 
 
+class _Whole(Exception):
+    """A stretch that can't be encoded apart from its text."""
+
+
+class _Pieces(dict):
+    """Pre-tokens and their ids, merged by the library when they are first met."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        ids = self[piece] = array("I", [t.id for t in self.merge(byte_text(piece))]).tobytes()
+        return ids
+
+
+class _Stretches(dict):
+    """Stretches and their ids, each cut into pre-tokens when it is first met; ``lead`` stands before it."""
+
+    def __init__(self, lead: str, cut, odd, pieces: _Pieces):
+        super().__init__()
+        self.lead, self.cut, self.odd, self.piece = lead, cut, odd, pieces.__getitem__
+
+    def __missing__(self, stretch: str) -> bytes:
+        # one that is empty or begins or ends in white space stands beside more of it
+        if not stretch or stretch.strip() != stretch or not (stretch.isascii() or not self.odd(stretch)):
+            raise _Whole
+        if stretch.isascii() and stretch.isalpha():
+            ids = self.piece(self.lead + stretch)
+        else:
+            ids = b"".join(map(self.piece, self.cut(self.lead + stretch)))
+        if len(self) >= CACHED_CHUNKS:
+            self.clear()
+        self[stretch] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts with the library, each distinct stretch between blanks once, each distinct pre-token once.
 
@@ -222,45 +261,25 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.cut = regex.compile(CUT).findall
-        self.odd = regex.compile(code_points(odd)).search
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _learn(self, wanted: list[str], known: dict[str, bytes], lead: str) -> None:
-        if len(known) + len(wanted) > CACHED_CHUNKS:
-            known.clear()
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        pieces = self.pieces
-        cuts = [[lead + s] if s.isascii() and s.isalpha() else self.cut(lead + s) for s in wanted]
-        merge = self.library.model.tokenize
-        for piece in set().union(*cuts).difference(pieces):
-            pieces[piece] = array("I", [t.id for t in merge(byte_text(piece))]).tobytes()
-        get = pieces.__getitem__
-        known.update((s, b"".join(map(get, cut)) if len(cut) > 1 else get(cut[0])) for s, cut in zip(wanted, cuts, strict=True))
+        pieces = _Pieces(self.library.model.tokenize)
+        cut, odd_in = regex.compile(CUT).findall, regex.compile(code_points(odd)).search
+        self.first, self.later = (_Stretches(lead, cut, odd_in, pieces) for lead in ("", " "))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        firsts, laters = {s[0] for s in split}, set().union(*(s[1:] for s in split))
-        new_firsts, new_laters = firsts.difference(self.first), laters.difference(self.later)
-        # a stretch that is empty or begins or ends in white space stands beside more of it
-        bad = {c for c in new_firsts | new_laters if c.strip() != c or not c or (not c.isascii() and self.odd(c))}
-        if bad:
-            new_firsts -= bad
-            new_laters -= bad
-            split = [None if not bad.isdisjoint(s) else s for s in split]
-        # a cache that is emptied has to learn the known stretches of this call again
-        for held, new, every, lead in ((self.first, new_firsts, firsts, ""), (self.later, new_laters, laters, " ")):
-            self._learn(list(every - bad if len(held) + len(new) > CACHED_CHUNKS else new), held, lead)
-        whole = iter(self._library([t for t, s in zip(texts, split, strict=True) if s is None]))
-        get = self.later.__getitem__
-        return [next(whole) if s is None else self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        first, later = self.first.__getitem__, self.later.__getitem__
+        out: list[bytes] = []
+        whole: list[int] = []
+        for text in texts:
+            stretches = text.split(" ")
+            try:
+                out.append(first(stretches[0]) + b"".join(map(later, stretches[1:])))
+            except _Whole:
+                whole.append(len(out))
+                out.append(b"")
+        found = self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        for i, e in zip(whole, found, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
 
 TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 1500, 1 << 23
