@@ -54,22 +54,18 @@ def neighbours(spark: SparkSession, kshape: tuple[int, int], radius: int = 1) ->
     return moved.select("node", (F.col("nx") * kshape[1] + F.col("ny")).cast("int").alias("neighbour"))
 
 
-def _toward_zero(value: Column) -> Column:
-    return F.signum(value) * F.floor(F.abs(value))
-
-
-def _away_from_zero(value: Column) -> Column:
-    return F.signum(value) * F.ceil(F.abs(value))
+def _half(value: Column) -> Column:
+    """Half of a whole number, cut towards zero."""
+    return F.call_function("div", value.cast("long"), F.lit(2))
 
 
 def to_hex(i: Column, j: Column) -> tuple[Column, Column]:
-    """Array cell (i, j) in the hexagonal frame."""
-    half = j / F.lit(2.0)
-    return (i - _toward_zero(half)).cast("int"), (i + _away_from_zero(half)).cast("int")
+    """Array cell (i, j) in the hexagonal frame: the j steps are shared out to both axes."""
+    return (i - _half(j)).cast("int"), (i + j - _half(j)).cast("int")
 
 
 def from_hex(hx: Column, hy: Column) -> tuple[Column, Column]:
-    return _toward_zero((hx + hy) / F.lit(2.0)).cast("int"), (hy - hx).cast("int")
+    return _half(hx + hy).cast("int"), (hy - hx).cast("int")
 
 
 def hex_distance(dx: Column, dy: Column) -> Column:
