@@ -274,3 +274,15 @@ def test_blank_is_any_white_space(spark):
 
     rows = spark.createDataFrame([("\n\t\n",), (" a ",), (None,)], "t string")
     assert [r[0] for r in rows.select(web.is_blank(F.col("t"))).collect()] == [True, False, True]
+
+
+def test_stream_reads_tables_of_one_file_and_of_several(spark, tmp_path):
+    rows = spark.range(6).selectExpr("id AS doc_id")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in/many.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "in" / "one.parquet")
+    for name in ("many", "one"):
+        stream = st.read_files(spark, f"{tmp_path}/in", "doc_id long", f"{name}.parquet")
+        st.store_rows(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/marks-{name}").awaitTermination()
+        stored = spark.read.parquet(f"{tmp_path}/out-{name}")
+        assert sorted(r["doc_id"] for r in stored.collect()) == list(range(6))

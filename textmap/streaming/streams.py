@@ -15,13 +15,15 @@ from textmap.sources import versions
 def read_files(
     spark: SparkSession, folder: str, schema: str, name_glob: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A stream of parquet files as they appear in a folder."""
+    """A stream of parquet files as they appear in a folder.
+
+    ``name_glob`` picks entries of the folder by name: single files, or tables of several files, which are read whole.
+    """
     reader = spark.readStream.schema(schema)
-    if name_glob is not None:
-        reader = reader.option("pathGlobFilter", name_glob)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # a stream takes a plain path for a folder; a pattern, even of one name, may also be a file
+    return reader.parquet(folder if name_glob is None else f"{folder}/{{{name_glob}}}")
 
 
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
