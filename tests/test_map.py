@@ -336,3 +336,10 @@ def test_long_rows_are_summed_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mx, "PIECE_ENTRIES", 4)
     pieces = som.fit(vector_table(spark, rows, 4), params)
     assert np.allclose(whole.codebook.weights, pieces.codebook.weights)
+
+
+def test_hex_distance_of_far_points(spark):
+    far = [(90_000, 80_000, 90_000), (-90_000, 80_000, 170_000), (-70_000, -90_000, 90_000), (0, -90_000, 90_000), (None, 3, None)]
+    rows = spark.createDataFrame(far, "dx int, dy int, d int")
+    found = rows.select("d", grid.hex_distance(F.col("dx"), F.col("dy")).alias("found")).collect()
+    assert all(r["d"] == r["found"] for r in found)

@@ -71,7 +71,9 @@ def from_hex(hx: Column, hy: Column) -> tuple[Column, Column]:
 def hex_distance(dx: Column, dy: Column) -> Column:
     """Steps between two hexagons whose frame coordinates differ by (dx, dy)."""
     ax, ay = F.abs(dx), F.abs(dy)
-    return F.when(dx * dy >= 0, F.greatest(ax, ay)).otherwise(ax + ay)
+    # signs are compared, not multiplied: the product of two whole numbers may not fit
+    alike = ((dx >= 0) & (dy >= 0)) | ((dx <= 0) & (dy <= 0))
+    return F.when(alike, F.greatest(ax, ay)).otherwise(ax + ay)
 
 
 def distance(
