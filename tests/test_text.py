@@ -176,3 +176,19 @@ def test_read_corpus_formats(spark, tmp_path):
 def test_column_pruning_reaches_the_scan(spark, small):
     plan = co.read_corpus(spark, f"{small}/documents.parquet", columns=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_ngram_vocabulary_forms_only_grams_of_frequent_words(spark, monkeypatch):
+    texts = ["aa bb aa bb", "bb aa bb", "aa bb cc", "", None, "dd", "cc aa bb ee aa bb"]
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, body string").coalesce(1)
+    formed = []
+    count = vo.document_frequencies
+    monkeypatch.setattr(vo, "document_frequencies", lambda t: formed.append(t) or count(t))
+    for grams in ((1, 3), (2, 3), (1, 1), (2, 2)):
+        params = TextParams(ngram_range=grams, min_df=2, max_df=3)
+        found = vo.fit_ngram_vocabulary(vo.tokenize(rows), params)
+        terms = {t for r in formed[-1].collect() for t in r["terms"]}
+        assert not any("dd" in t or "ee" in t for t in terms)
+        whole = vo.fit_vocabulary(vo.tokenize(rows, params), params)
+        assert sorted(map(tuple, found.terms.collect())) == sorted(map(tuple, whole.terms.collect())) and found.n_docs == whole.n_docs
+        monkeypatch.setattr(vo, "_WORDS_AT_ONCE", 4)

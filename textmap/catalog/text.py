@@ -113,7 +113,7 @@ def t3_stems(spark: SparkSession, folder: str) -> DataFrame:
 
 def t4_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     params = TextParams(ngram_range=(1, 3), min_df=0.05, max_df=0.8)
-    return vo.fit_vocabulary(tokenized(spark, folder, params), params).terms
+    return vo.fit_ngram_vocabulary(tokenized(spark, folder), params).terms
 
 
 def t5_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
