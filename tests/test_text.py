@@ -192,3 +192,13 @@ def test_ngram_vocabulary_forms_only_grams_of_frequent_words(spark, monkeypatch)
         whole = vo.fit_vocabulary(vo.tokenize(rows, params), params)
         assert sorted(map(tuple, found.terms.collect())) == sorted(map(tuple, whole.terms.collect())) and found.n_docs == whole.n_docs
         monkeypatch.setattr(vo, "_WORDS_AT_ONCE", 4)
+
+
+def test_length_of_a_joined_row_is_taken_once(spark, monkeypatch):
+    monkeypatch.setattr(tf, "DICTIONARY_LIMIT", 0)
+    rows = spark.createDataFrame([(0, "aa bb aa"), (1, "bb"), (2, None)], "doc_id long, body string")
+    terms = vo.tokenize(rows)
+    weighted = tf.tfidf(terms, vo.fit_vocabulary(terms, TextParams(min_df=1, max_df=1.0)))
+    assert "/ SQRT(" not in weighted._jdf.queryExecution().optimizedPlan().toString()
+    lengths = {r["doc_id"]: sum(v * v for v in r["values"]) for r in weighted.collect()}
+    assert abs(lengths[0] - 1) < 1e-12 and abs(lengths[1] - 1) < 1e-12 and lengths[2] == 0

@@ -6,16 +6,25 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmap.functions.common import let
 from textmap.operators.vocabulary import Vocabulary
+from textmap.session import fits_broadcast
 
 # Longest term list handed to every executor; a longer one is joined as a table.
 DICTIONARY_LIMIT = 200_000
+# A term with its number and frequency, about.
+TERM_BYTES = 40
 
 
 def idf(df: Column, n_docs: int) -> Column:
     return F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
+def _numbers(vocabulary: Vocabulary) -> DataFrame:
+    """The terms for a join: sent whole while they fit, so that no cell moves for its term and no term is hot."""
+    return F.broadcast(vocabulary.terms) if fits_broadcast(vocabulary.n_terms * TERM_BYTES) else vocabulary.terms
+
+
 def _count(tokenized: DataFrame, texts: list[str]) -> DataFrame:
     if not texts:
         raise ValueError("the vocabulary is empty: widen min_df and max_df")
@@ -38,7 +47,7 @@ def count_rows(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             "doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("values")
         )
     used = tokenized.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    cells = used.join(vocabulary.terms, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("row"))
+    cells = used.join(_numbers(vocabulary), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "tf"))).alias("row"))
     return tokenized.select("doc_id").join(cells, "doc_id", "left").select(
         "doc_id",
         F.coalesce(F.col("row.term_id"), F.array().cast("array<int>")).alias("indices"),
@@ -66,10 +75,10 @@ def _from_join(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None) -
         .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    cells = counted.join(vocabulary.terms, "term").select(
+    cells = counted.join(_numbers(vocabulary), "term").select(
         "doc_id", "term_id", (F.col("tf") * idf(F.col("df"), vocabulary.n_docs)).alias("v")
     )
-    rows = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "v"))).alias("row"))
+    rows = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "v"))).alias("row"))
     whole = tokenized.select("doc_id").join(rows, "doc_id", "left").select(
         "doc_id",
         F.coalesce(F.col("row.term_id"), F.array().cast("array<int>")).alias("indices"),
@@ -78,9 +87,9 @@ def _from_join(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None) -
     if norm != "l2":
         return whole
     length = F.sqrt(F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v))
-    return whole.select("doc_id", "indices", "values", length.alias("length")).select(
-        "doc_id", "indices", F.transform("values", lambda v: v / F.col("length")).alias("values")
-    )
+    # a column of its own would be folded into the lambda and taken anew for every value
+    scaled = let(length, lambda n: F.transform("values", lambda v: v / n))
+    return whole.select("doc_id", "indices", scaled.alias("values"))
 
 
 def tfidf(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None = "l2") -> DataFrame:
