@@ -1,3 +1,5 @@
+import json
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -286,3 +288,18 @@ def test_stream_reads_tables_of_one_file_and_of_several(spark, tmp_path):
         st.store_rows(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/marks-{name}").awaitTermination()
         stored = spark.read.parquet(f"{tmp_path}/out-{name}")
         assert sorted(r["doc_id"] for r in stored.collect()) == list(range(6))
+
+
+def test_crawls_of_many_files_are_one_batch_each(spark, tmp_path, monkeypatch):
+    from textmap.catalog import streams as cs
+
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(5).write.parquet(f"{tmp_path}/in/pages.parquet")
+    monkeypatch.setattr(cs, "staging_path", lambda session, name: f"{tmp_path}/{name}")
+    found = cs.st1_store_crawls(spark, f"{tmp_path}/in").collect()
+    assert len(list((tmp_path / "crawls").glob("*.parquet"))) >= 3 * 4
+    logs = (tmp_path / "marks" / "sources" / "0").glob("[0-9]*")
+    sizes = Counter(json.loads(line)["batchId"] for log in logs for line in log.read_text().splitlines()[1:])
+    assert len(sizes) == 3 and len(set(sizes.values())) == 1
+    monkeypatch.undo()
+    whole = cs.st1_store_crawls(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, whole))

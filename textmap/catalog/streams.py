@@ -45,11 +45,13 @@ def st1_store_crawls(spark: SparkSession, folder: str) -> DataFrame:
     The stream is stopped after the second crawl and started again on its checkpoint for the third.
     """
     source, path, marks = (staging_path(spark, n) for n in ("crawls", "articles", "marks"))
-    crawls = _crawls(spark, folder)
+    crawls, files = _crawls(spark, folder), 0
     for wave in (crawls[:2], crawls[2:]):
         for crawl in wave:
-            crawl.coalesce(1).write.mode("append").parquet(source)
-        pages = st.read_files(spark, source, CRAWL_SCHEMA, files_per_trigger=1)
+            crawl.write.mode("append").parquet(source)
+            # every crawl is cut as the first one, so that many files are one crawl and one batch
+            files = files or len(spark.read.schema(CRAWL_SCHEMA).parquet(source).inputFiles())
+        pages = st.read_files(spark, source, CRAWL_SCHEMA, files_per_trigger=max(1, files))
         st.store_rows(st.article_stream(pages, event_time="fetched", delay=DELAY), path, marks).awaitTermination()
     return sinks.read_table(spark, path)
 
