@@ -229,3 +229,16 @@ def test_near_pairs_by_brute_force():
         for left, right in ((a, b), (a, c), (a, a)):
             found = set(zip(*(x.tolist() for x in spelling.near_pairs(left, right)), strict=True))
             assert found == {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if near_by_hand(x, y)}
+
+
+def test_links_of_a_batch_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    words = sorted(f"abcd{a}{b}" for a in "efgh" for b in "efgh")
+    row = {"same": True, "left": words, "n_left": list(range(16)), "right": words, "n_right": list(range(16))}
+    batch = pa.RecordBatch.from_pylist([row] * 5)
+    whole = [r for part in spelling._links(iter([batch])) for r in part.to_pylist()]
+    monkeypatch.setattr(spelling, "LINKS_HELD", 8)
+    parts = list(spelling._links(iter([batch])))
+    assert len(parts) > 4 and max(p.num_rows for p in parts) < len(whole)
+    assert [r for part in parts for r in part.to_pylist()] == whole

@@ -26,6 +26,7 @@ GROUPS = 6
 BLOCK = 4096  # words of usual length in a block; longer words count for more
 USUAL = 16
 SLICE = 1 << 22  # distances held at once
+LINKS_HELD = 1 << 16  # links held before they are handed on
 EXACT = 1000  # from this length on, counts are multiplied in double precision
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 192 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -145,8 +146,13 @@ LINKS = "word string, n_near long, best struct<less: long, form: string>"
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each two blocks: how many near words each word has in the other, and the commonest of them."""
+    names, numbers, less, forms = [], [], [], []
+
+    def out() -> pa.RecordBatch:
+        best = pa.StructArray.from_arrays([pa.array(less, pa.int64()), pa.array(forms, pa.string())], ["less", "form"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64()), best], ["word", "n_near", "best"])
+
     for batch in batches:
-        names, numbers, less, forms = [], [], [], []
         for r in range(batch.num_rows):
             same, left, right = (batch.column(k)[r].as_py() for k in (0, 1, 3))
             n_left, n_right = (batch.column(k)[r].values.to_numpy() for k in (2, 4))
@@ -163,8 +169,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 numbers += np.diff(first, append=len(own)).tolist()
                 less += (-n_other[best]).tolist()
                 forms += [partners[k] for k in best.tolist()]
-        best = pa.StructArray.from_arrays([pa.array(less, pa.int64()), pa.array(forms, pa.string())], ["less", "form"])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64()), best], ["word", "n_near", "best"])
+            # a batch may hold many pairs of blocks; their links are handed on as they come
+            if len(names) >= LINKS_HELD:
+                yield out()
+                for held in (names, numbers, less, forms):
+                    held.clear()
+    yield out()
 
 
 def near_words(words: DataFrame) -> DataFrame:
