@@ -343,3 +343,26 @@ def test_hex_distance_of_far_points(spark):
     rows = spark.createDataFrame(far, "dx int, dy int, d int")
     found = rows.select("d", grid.hex_distance(F.col("dx"), F.col("dy")).alias("found")).collect()
     assert all(r["d"] == r["found"] for r in found)
+
+
+def test_wide_epoch_reads_the_rows_once(spark, monkeypatch):
+    """Rows with ids of their own are placed and added where they lie; rows that share an id still meet in the join."""
+    rng = np.random.default_rng(21)
+    dense = np.where(rng.random((40, 17)) < 0.3, rng.random((40, 17)), 0.0)
+    dense[5] = 0
+    rows, params = sparse_table(spark, dense), SomParams(kshape=(2, 3), n_iter=2, seed=4)
+    model = som.fit(rows, params, width=17)
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr(mx, "LEAST_ROWS", 9)
+    monkeypatch.setattr(mx, "BLOCK_ENTRIES", 60)
+    passes, kept = [], sparse_som.stage
+    monkeypatch.setattr(sparse_som, "stage", lambda df, name: passes.append(name) or kept(df, name))
+    wide = sparse_som.train(rows, 17, params)
+    assert set(passes) == {"codebook", "node-sums"} and np.allclose(wide.trace, model.trace)
+    table = np.zeros((6, 17))
+    for r in sparse_som.entries(wide.codebook).collect():
+        table[r["node"], r["feature"]] = r["w"]
+    assert np.allclose(table, model.codebook.weights)
+    passes.clear()
+    sparse_som.train(rows.unionByName(rows.where("doc_id = 3")), 17, params)
+    assert "placed" in passes

@@ -202,3 +202,25 @@ def test_length_of_a_joined_row_is_taken_once(spark, monkeypatch):
     assert "/ SQRT(" not in weighted._jdf.queryExecution().optimizedPlan().toString()
     lengths = {r["doc_id"]: sum(v * v for v in r["values"]) for r in weighted.collect()}
     assert abs(lengths[0] - 1) < 1e-12 and abs(lengths[1] - 1) < 1e-12 and lengths[2] == 0
+
+
+def test_long_term_list_is_counted_in_place(spark, monkeypatch):
+    monkeypatch.setattr(tf, "DICTIONARY_LIMIT", 0)
+    tokenized = vo.tokenize(corpus(spark), TextParams(min_df=1, max_df=1.0))
+    vocab = vo.fit_vocabulary(tokenized, TextParams(min_df=1, max_df=1.0))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for limit in (64 << 20, 8):  # sent whole, joined
+        monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", limit)
+        made = tf.tfidf(tokenized, vocab), tf.tfidf(tokenized, vocab, None), tf.count_rows(tokenized, vocab)
+        assert all(("Join" in plan(rows)) == (limit == 8) for rows in made)
+        found[limit] = [dense(rows, len(TEXTS), vocab.n_terms) for rows in made]
+        assert all(rows.count() == len(TEXTS) for rows in made)
+    assert np.allclose(found[8], found[64 << 20])
+    twice = spark.createDataFrame([(0, ["aa", "bb"]), (0, ["bb", None]), (1, None)], "doc_id long, terms array<string>")
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 64 << 20)
+    assert "Join" in plan(tf.count_rows(twice, vo.fit_vocabulary(twice, TextParams(min_df=1, max_df=1.0))))
+    odd = twice.where("terms is null or size(terms) = 2").withColumn("doc_id", F.monotonically_increasing_id())
+    listed = vo.fit_vocabulary(odd, TextParams(min_df=1, max_df=1.0))
+    got = sorted(tuple(r["values"]) for r in tf.count_rows(odd, listed).collect())
+    assert got == [(), (1.0,), (1.0, 1.0)]

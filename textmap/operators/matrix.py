@@ -24,6 +24,8 @@ BLOCK_ENTRIES = 4_000_000
 PIECE_ENTRIES = 1_024
 # A matrix over the broadcast limit is cut into blocks of rows that fit, but of no fewer rows than these.
 LEAST_ROWS = 256
+# Most blocks that a task holds at once, with as many sums, so that its rows are read once for all of them.
+BLOCKS_AT_ONCE = 2
 
 
 def is_sparse(rows: DataFrame) -> bool:
@@ -41,6 +43,12 @@ def row_columns(rows: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def have_own_ids(rows: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether every row has an id and no two rows have the same. Only the ids move."""
+    shared_ids = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    return shared_ids.isEmpty()
+
+
 def width_of(rows: DataFrame) -> int:
     """Row length of a dense table, from one row; the tasks refuse rows of another length."""
     found = rows.where(F.col("vec").isNotNull()).select(F.size("vec").alias("n")).first()
@@ -132,6 +140,12 @@ def add_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return found, np.add.reduceat(values[order], starts, axis=0)
 
 
+def add_in_order(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``add_by_key`` for keys that are in order already."""
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(values, starts, axis=0) if len(starts) else values
+
+
 def merge_partials(partial: DataFrame, key: str, width: int) -> DataFrame:
     """(key int, vec): sums of per-task partial rows, spread by key.
 
@@ -275,7 +289,7 @@ def multiply_by_blocks(
                     total = np.zeros((batch.num_rows, n_out))
                     hit = np.full(batch.num_rows, start == 0)
                     for number, feature, value in _cells(batch, start, stop, n_out):
-                        found, part = add_by_key(number, sent.value[feature] * value[:, None])
+                        found, part = add_in_order(number, sent.value[feature] * value[:, None])
                         total[found] += part
                         hit[found] = True
                     ids = batch.column(0).to_numpy(zero_copy_only=False)[hit]

@@ -154,16 +154,78 @@ def _node_sums(placed: DataFrame, n_features: int, size: int) -> DataFrame:
     return whole.select(F.col("row").alias("feature"), F.col("vec").alias("sums"))
 
 
-def _epoch(rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str) -> tuple[WideCodebook, tuple]:
-    """The codebook after one epoch, and its line of the trace."""
-    size = params.n_nodes
+def _in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> bool:
+    """Whether a task may hold the whole codebook with its sums; rows that share an id meet each other in a join."""
+    few = len(mx.row_blocks(codebook.n_features, codebook.n_nodes)) <= mx.BLOCKS_AT_ONCE
+    return few and codebook.n_nodes <= NODES_AT_ONCE and mx.have_own_ids(rows, id_col)
+
+
+def _sums_in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float]:
+    """(feature, sums) stored, rows by node, and the sum of the errors: each row is placed and added where it lies."""
+    size, n_features = codebook.n_nodes, codebook.n_features
+    context, stretches = rows.sparkSession.sparkContext, mx.row_blocks(n_features, size)
+    sent, squares = [], np.zeros(size)
+    for start, stop in stretches:
+        block = np.ascontiguousarray(mx._block_of(codebook.weights, start, stop, size))
+        squares += (block * block).sum(axis=0)
+        sent.append(context.broadcast(block))
+    scale = np.where(squares > 0, np.sqrt(squares), 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((stop - start) * size) for start, stop in stretches]
+        seen = np.zeros((2, size))
+        for whole in batches:
+            step = max(1, mx.BLOCK_ENTRIES // size)
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                product, length = np.zeros((batch.num_rows, size)), np.zeros(batch.num_rows)
+                for (start, stop), block in zip(stretches, sent, strict=True):
+                    for number, feature, value in mx._cells(batch, start, stop, size):
+                        found, part = mx.add_in_order(number, block.value[feature] * value[:, None])
+                        product[found] += part
+                        length += np.bincount(number, value * value, batch.num_rows)
+                length = np.sqrt(length)
+                similarity = product / np.where(length > 0, length, 1.0)[:, None] / scale
+                node = np.argmax(np.round(similarity, som.TIE_DIGITS), axis=1)
+                errors = som.quantization_error(similarity[np.arange(batch.num_rows), node])
+                seen += np.bincount(node, minlength=size), np.bincount(node, errors, size)
+                for (start, stop), total in zip(stretches, totals, strict=True):
+                    for number, feature, value in mx._cells(batch, start, stop, size):
+                        np.add.at(total, feature.astype(np.int64) * size + node[number], value)
+        # the counts and the errors travel as rows below the features
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([-1, -2], np.int32)), mx.list_array(seen)], ["row", "vec"])
+        for (start, _), total in zip(stretches, totals, strict=True):
+            table = total.reshape(-1, size)
+            hit = np.flatnonzero(table.any(axis=1))
+            step = max(1, mx.BLOCK_ENTRIES // size)
+            for first in range(0, len(hit), step):
+                some = hit[first : first + step]
+                yield pa.RecordBatch.from_arrays([pa.array((start + some).astype(np.int32)), mx.list_array(table[some])], ["row", "vec"])
+
+    partial = few_tasks(mx.row_columns(rows, id_col)).mapInArrow(run, "row int, vec array<double>")
+    merged = stage(mx.merge_partials(partial, "row", size), "node-sums")
+    seen = mx.collect_matrix(merged.where("row < 0").select((-1 - F.col("row")).alias("row"), "vec"), (2, size))
+    return merged.where("row >= 0").select(F.col("row").alias("feature"), F.col("vec").alias("sums")), seen[0], float(seen[1].sum())
+
+
+def _sums_by_node(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float]:
+    """As ``_sums_in_one_pass``, with a pass over the rows for each block of the codebook and its sums."""
+    size = codebook.n_nodes
     assigned = stage(predict(rows, codebook, id_col), "assigned")
     counts, errors = np.zeros(size), 0.0
     for row in assigned.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("qe").alias("qe")).collect():
         counts[row["node"]] = row["n"]
         errors += row["qe"]
     placed = stage(rows.join(assigned.select(id_col, "node"), id_col).select("node", "indices", "values"), "placed")
-    sums = _node_sums(placed, codebook.n_features, size)
+    return _node_sums(placed, codebook.n_features, size), counts, errors
+
+
+def _epoch(
+    rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str, one_pass: bool
+) -> tuple[WideCodebook, tuple]:
+    """The codebook after one epoch, and its line of the trace."""
+    size = params.n_nodes
+    sums, counts, errors = (_sums_in_one_pass if one_pass else _sums_by_node)(rows, codebook, id_col)
     pair = codebook.weights.join(sums, "feature", "left").select(
         F.col("feature").alias("id"), F.concat("weights", F.coalesce("sums", F.array_repeat(F.lit(0.0), size))).alias("vec")
     )
@@ -193,7 +255,7 @@ def run_epoch(
     rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str = "doc_id"
 ) -> tuple[WideCodebook, float]:
     """The codebook after one epoch, and the mean error against the codebook before."""
-    after, line = _epoch(rows, codebook, params, it, id_col)
+    after, line = _epoch(rows, codebook, params, it, id_col, _in_one_pass(rows, codebook, id_col))
     return after, line[3]
 
 
@@ -214,8 +276,9 @@ def train(
     if codebook.kshape != params.kshape or codebook.n_features != n_features:
         raise ValueError(f"given map {codebook.kshape} x {codebook.n_features} does not fit {params.kshape} x {n_features}")
     trace: list[tuple] = []
+    one_pass = _in_one_pass(rows, codebook, id_col)
     for it in range(1, params.n_iter + 1):
-        codebook, line = _epoch(rows, codebook, params, it, id_col)
+        codebook, line = _epoch(rows, codebook, params, it, id_col, one_pass)
         trace.append(line)
         if params.tolerance is not None and it > 1 and abs(trace[-2][3] - line[3]) <= params.tolerance * abs(trace[-2][3]):
             break

@@ -1,16 +1,22 @@
 """TF-IDF rows: one sparse row per document, (doc_id, indices, values)."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmap.functions.common import let
+from textmap.operators import matrix as mx
 from textmap.operators.vocabulary import Vocabulary
 from textmap.session import fits_broadcast
 
-# Longest term list handed to every executor; a longer one is joined as a table.
+# Longest term list handed to the JVM of every executor. A longer one goes to the Python workers as one Arrow array
+# while it fits a broadcast; beyond that, or where ids repeat, the terms are joined as a table.
 DICTIONARY_LIMIT = 200_000
 # A term with its number and frequency, about.
 TERM_BYTES = 40
@@ -25,6 +31,44 @@ def _numbers(vocabulary: Vocabulary) -> DataFrame:
     return F.broadcast(vocabulary.terms) if fits_broadcast(vocabulary.n_terms * TERM_BYTES) else vocabulary.terms
 
 
+def _listed(tokenized: DataFrame, vocabulary: Vocabulary) -> tuple[pa.Array, np.ndarray] | None:
+    """Terms and document frequencies in term_id order, if the terms fit a broadcast and no two documents share an id."""
+    size = vocabulary.terms.agg(F.sum(F.octet_length("term") + 4).alias("n")).first()["n"]
+    if size is None or not fits_broadcast(size) or not mx.have_own_ids(tokenized):
+        return None
+    table = vocabulary.terms.select("term_id", "term", "df").toArrow().sort_by("term_id").combine_chunks()
+    return table.column("term").combine_chunks(), table.column("df").to_numpy()
+
+
+def _rows_in_place(tokenized: DataFrame, terms: pa.Array, weights: np.ndarray | None = None, unit: bool = False) -> DataFrame:
+    """(doc_id, indices, values): each document's counts of ``terms``, times ``weights``, at length one if ``unit``. No shuffle."""
+    context = tokenized.sparkSession.sparkContext
+    sent, scale = context.broadcast(terms), None if weights is None else context.broadcast(weights)
+    width = len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            known = pc.index_in(coded.dictionary, value_set=sent.value)
+            term = known.take(coded.indices).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            cells, uses = np.unique(row[term >= 0] * width + term[term >= 0], return_counts=True)
+            row, term = np.divmod(cells, width)
+            value = uses.astype(float) if scale is None else uses * scale.value[term]
+            if unit:
+                value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            indices, values = pa.array(term.astype(np.int32)), pa.array(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, indices), pa.ListArray.from_arrays(offsets, values)],
+                ["doc_id", "indices", "values"],
+            )
+
+    kind = tokenized.schema["doc_id"].dataType.simpleString()
+    return tokenized.select("doc_id", "terms").mapInArrow(run, f"doc_id {kind}, indices array<int>, values array<double>")
+
+
 def _count(tokenized: DataFrame, texts: list[str]) -> DataFrame:
     if not texts:
         raise ValueError("the vocabulary is empty: widen min_df and max_df")
@@ -46,6 +90,9 @@ def count_rows(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return _count(tokenized, vocabulary.on_driver()[0]).select("doc_id", vector.alias("v")).select(
             "doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("values")
         )
+    listed = _listed(tokenized, vocabulary)
+    if listed is not None:
+        return _rows_in_place(tokenized, listed[0])
     used = tokenized.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     cells = used.join(_numbers(vocabulary), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "tf"))).alias("row"))
     return tokenized.select("doc_id").join(cells, "doc_id", "left").select(
@@ -95,13 +142,17 @@ def _from_join(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None) -
 def tfidf(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None = "l2") -> DataFrame:
     """tf * (ln((1 + N) / (1 + df)) + 1), each row scaled to length one unless ``norm`` is None.
 
-    Documents without a known term keep an empty row. With a term list of checked length every row is
-    weighted where it lies; beyond the limit the terms are joined as a table.
+    Documents without a known term keep an empty row. While the term list can be sent every row is
+    weighted where it lies; beyond the limits the terms are joined as a table.
     """
     if norm not in ("l2", None):
         raise ValueError(f"unknown norm: {norm}")
     if vocabulary.n_terms <= DICTIONARY_LIMIT:
         return _from_dictionary(tokenized, vocabulary, norm)
+    listed = _listed(tokenized, vocabulary)
+    if listed is not None:
+        weights = np.log((1.0 + vocabulary.n_docs) / (1.0 + listed[1])) + 1.0
+        return _rows_in_place(tokenized, listed[0], weights, norm == "l2")
     return _from_join(tokenized, vocabulary, norm)
 
 
