@@ -329,3 +329,23 @@ def test_similar_documents_of_all(spark):
     asked = spark.createDataFrame([(3,), (61,), (61,), (89,)], "doc_id long")
     some = sm.all_similar_documents(rows, assigned, 4, asked, block=7).orderBy("doc_id", "rank").collect()
     assert [r["other_id"] for r in some] == expected[3] + expected[61]
+
+
+def test_lda_step_reads_the_rows_once(spark, monkeypatch):
+    """Rows with ids of their own carry their shares along; rows that share an id still meet in the join."""
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr("textmap.operators.matrix.LEAST_ROWS", 9)
+    monkeypatch.setattr("textmap.operators.matrix.BLOCK_ENTRIES", 30)
+    rng = np.random.default_rng(6)
+    counts, start = rng.poisson(0.4, (30, 17)).astype(float), rng.random((17, 3))
+    counts[4], counts[:, 6] = 0, 0
+    passes, kept = [], rd.stage
+    monkeypatch.setattr(rd, "stage", lambda df, name: passes.append(name) or kept(df, name))
+    rows, table = sparse_table(spark, counts), mx.matrix_table(spark, start)
+    found = rd.lda_by_blocks(rows, table, 17, 3, LdaParams(n_iter=3))
+    shares, topics = em_by_hand(counts, start, 3, 0.1, 0.01)
+    assert passes == ["lda-step", "lda-sums", "lda-topics"] * 3
+    assert np.allclose(vectors(found, 30), shares) and np.allclose(by_term(found.components, 17, 3), topics)
+    passes.clear()
+    rd.lda_by_blocks(rows.unionByName(rows.where("doc_id = 3")), table, 17, 3, LdaParams(n_iter=1))
+    assert "lda-rows" in passes

@@ -1,6 +1,6 @@
 """Topic models over sparse rows: LSA, NMF, LDA. Each gives document vectors and topic components."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -374,20 +374,76 @@ def topic_shares_step(counts: DataFrame, shares: DataFrame, topics: DataFrame, n
     smooth = F.transform("vec", lambda v: (v + F.lit(alpha)) / (F.col("uses") + F.lit(alpha * k)))
     shares = stage(by_doc.withColumn("uses", uses).select("doc_id", smooth.alias("vec")), "lda-shares")
     by_term = stage(by_term, "lda-sums")
+    return shares, _moved_topics(topics, by_term, n_terms, k, eta)
+
+
+def _moved_topics(topics: DataFrame, by_term: DataFrame, n_terms: int, k: int, eta: float) -> DataFrame:
+    """New (feature, weights), stored, from the stored sums by term."""
     whole = mx.collect_matrix(mx.sum_rows(by_term.select(F.col("row").alias("doc_id"), "vec"), k, (1, k), lambda b: b.sum(axis=0, keepdims=True)), (1, k))[0]
     mass = F.array(*[F.lit(float(m) + eta * n_terms) for m in whole])
     every = topics.select(F.col("feature").alias("row")).join(by_term, "row", "left")
     sums = F.coalesce("vec", F.array_repeat(F.lit(0.0), k))
     moved = F.zip_with(sums, mass, lambda v, m: (v + F.lit(eta)) / m)
-    return shares, stage(every.select(F.col("row").cast("int").alias("feature"), moved.alias("weights")), "lda-topics")
+    return stage(every.select(F.col("row").cast("int").alias("feature"), moved.alias("weights")), "lda-topics")
+
+
+def _shares_in_one_pass(rows: DataFrame, topics: DataFrame, n_terms: int, k: int, params: LdaParams, last: bool) -> tuple[DataFrame, DataFrame]:
+    """As ``topic_shares_step``, for stored ``rows`` (doc_id, indices, values, vec) that carry their shares along.
+
+    Gives such rows with the new shares, without their cells after the ``last`` step. A task holds all of ``topics``,
+    and as many sums, which it ships behind its rows; no row moves.
+    """
+    context, stretches = rows.sparkSession.sparkContext, mx.row_blocks(n_terms, k)
+    sent = [context.broadcast(np.ascontiguousarray(mx._block_of(topics, start, stop, k))) for start, stop in stretches]
+    alpha, slots = params.share_prior, np.arange(k)
+    step = max(1, mx.BLOCK_ENTRIES // k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((stop - start) * k) for start, stop in stretches]
+        for whole in batches:
+            for first in range(0, whole.num_rows, step):
+                batch = whole.slice(first, step)
+                share = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                uses = np.zeros((batch.num_rows, k))
+                for (start, stop), block, total in zip(stretches, sent, totals, strict=True):
+                    for number, feature, value in mx._cells(batch, start, stop, k):
+                        part = share[number] * block.value[feature]
+                        part *= (value / np.maximum(part.sum(axis=1), _TINY))[:, None]
+                        found, sums = mx.add_in_order(number, part)
+                        uses[found] += sums
+                        np.add.at(total, (feature.astype(np.int64)[:, None] * k + slots).ravel(), part.ravel())
+                new = mx.list_array((uses + alpha) / (uses.sum(axis=1, keepdims=True) + alpha * k))
+                cells = [pa.nulls(batch.num_rows, c.type) for c in batch.columns[1:3]] if last else batch.columns[1:3]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cells, new, pa.array([False] * batch.num_rows)], names)
+        for (start, _), total in zip(stretches, totals, strict=True):
+            table = total.reshape(-1, k)
+            hit = np.flatnonzero(table.any(axis=1))
+            for first in range(0, len(hit), step):
+                some = hit[first : first + step]
+                none = [pa.nulls(len(some), pa.list_(t)) for t in (pa.int32(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(start + some), *none, mx.list_array(table[some]), pa.array([True] * len(some))], names)
+
+    names = ["doc_id", "indices", "values", "vec", "is_term"]
+    told = few_tasks(rows).mapInArrow(run, "doc_id long, indices array<int>, values array<double>, vec array<double>, is_term boolean")
+    told = stage(told, "lda-step")
+    partial = told.where("is_term").select(F.col("doc_id").cast("int").alias("row"), "vec")
+    by_term = stage(mx.merge_partials(partial, "row", k), "lda-sums")
+    return told.where("not is_term").drop("is_term"), _moved_topics(topics, by_term, n_terms, k, params.term_prior)
 
 
 def lda_by_blocks(counts: DataFrame, topics: DataFrame, n_terms: int, k: int, params: LdaParams = LdaParams()) -> Reduction:
     """LDA from given topics (feature, weights) over a term list of any length; repeatable, one step per iteration."""
     even = F.array_repeat(F.lit(1.0 / k), k)
     shares = counts.select("doc_id", even.alias("vec"))
-    for _ in range(params.n_iter):
-        shares, topics = topic_shares_step(counts, shares, topics, n_terms, k, params)
+    # rows that share an id meet each other in the join of the longer way
+    if len(mx.row_blocks(n_terms, k)) <= mx.BLOCKS_AT_ONCE and mx.have_own_ids(counts):
+        rows = counts.select(F.col("doc_id").cast("long").alias("doc_id"), "indices", "values", even.alias("vec"))
+        for step in range(params.n_iter):
+            rows, topics = _shares_in_one_pass(rows, topics, n_terms, k, params, step == params.n_iter - 1)
+        shares = rows.select("doc_id", "vec")
+    else:
+        for _ in range(params.n_iter):
+            shares, topics = topic_shares_step(counts, shares, topics, n_terms, k, params)
     components = components_from_table(topics.select(F.col("feature").alias("row"), F.col("weights").alias("vec")))
     return Reduction(shares, components, k, {"n_topics": k, "n_iter": params.n_iter, "algorithm": "em"})
 
