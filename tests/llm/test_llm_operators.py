@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +475,46 @@ def test_lost_links_are_found_in_blocks(spark, cloud, monkeypatch):
     np.fill_diagonal(linked, False)
     assert [found[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
     assert {r["audit_recall"] for r in found.values()} == {1.0}
+
+
+def test_words_are_cut_as_bytes_are_split(monkeypatch):
+    from textmap.llm import lookup
+
+    texts = ["", None, " A b\tC\n", "É ÀB x \x1c y\x85z q", "\x0b\x0cAa  aa\r\n", "x" * 40, "\x1f a\x00b　c\xa0d", "  "]
+    for size in (1, 16, 1 << 20):
+        monkeypatch.setattr(lookup, "BYTES_AT_ONCE", size)
+        found = [[] for _ in texts]
+        for first, n_texts, words, text in lookup.words_in(pa.array(texts)):
+            assert text.max(initial=0) < n_texts
+            for word, i in zip(words.to_pylist(), text, strict=True):
+                found[first + i].append(word)
+        assert found == [(t or "").encode().lower().split() for t in texts]
+
+
+def test_brown_rounds_ship_a_row_per_word_and_rare_words_may_span_batches():
+    """A task ships one row for each word it met, not one for each pair; the uses of a rare word need not come at once."""
+    k, classes = brown.K, np.array([0, 1, 2, -1, brown.END])
+    rng = np.random.default_rng(3)
+    pairs = [pa.record_batch([pa.array(rng.integers(0, 5, 40), t) for t in (pa.int32(), pa.int32(), pa.int64())], ["a", "b", "n"]) for _ in range(3)]
+    expected = np.zeros((5, 2 * k))
+    for a, b, n in (row for batch in pairs for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        if classes[b] >= 0:
+            expected[a, classes[b]] += n
+        if classes[a] >= 0:
+            expected[b, k + classes[a]] += n
+    sides = list(brown._sides(classes)(brown._packed(iter(pairs))))
+    assert sum(b.num_rows for b in sides) == 5
+    merged = list(brown._merged(5)(iter(sides + sides)))
+    assert np.array_equal(brown._vectors(merged[0].column(1).to_pylist(), merged[0].column(2).to_pylist()), 2 * expected)
+    matrix = rng.random((k, k)) * 9
+    rows = [(b"a", [5, 70]), (b"a", [70]), (b"b", [9]), (b"b", [40, 41]), (b"b", [3]), (b"c", [1])]
+
+    def placed(sizes):
+        parts = iter(rows)
+        some = [[next(parts) for _ in range(n)] for n in sizes]
+        batches = [pa.record_batch([pa.array([w for w, _ in p], pa.binary()), pa.array([c for _, c in p], pa.list_(pa.int16()))], ["word", "cells"]) for p in some]
+        return [r for b in brown._place(matrix)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    whole = placed([6])
+    assert [(w, n) for w, n, _ in whole] == [(b"a", 3), (b"b", 4), (b"c", 1)]
+    assert all(placed(sizes) == whole for sizes in ([1] * 6, [3, 3], [2, 4], [4, 1, 1]))

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.lookup import as_dict, common_words, unpacked, with_values
-from textmap.session import stage
+from textmap.llm.lookup import as_arrays, common_words, places_in, unpacked, with_values, words_in
+from textmap.session import few_tasks, stage
 
 CLASSES = 32
 END = CLASSES  # the class of the end token
@@ -25,65 +26,101 @@ EXCHANGED = 40_000  # at most so many of the commonest words move in rounds; all
 ROUNDS = 6
 HALF = 0.5
 FALLBACK = 50.0  # weight of the class shares in a transition
-SEPARATOR = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts; words as bytes."""
-    folded = F.translate(F.col("text"), UPPER, LOWER)
-    words = docs.select(F.explode(F.split(folded, SEPARATOR)).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("n")).select(F.col("word").cast("binary").alias("word"), "n")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, coded, _ in words_in(batch.column(0)):
+                n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _ranks(coded: pa.DictionaryArray, text: np.ndarray, n_texts: int, listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of all words with an end before, between and behind the texts, and where the words stand in it."""
+    at = np.arange(len(text)) + text + 1
+    ranks = np.full(len(text) + n_texts + 1, len(listed), np.int64)
+    ranks[at] = places_in(coded, listed)[coded.indices.to_numpy()]
+    return ranks, at
 
 
 def _pairs(index):
     """Counts of neighbouring words, both exchanged ones or an end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = index.value
-        end = len(numbers)
+        listed = index.value
+        end = len(listed)
         for batch in batches:
-            parts = []
-            for text in batch.column(0):
-                at = [numbers.get(w, -1) for w in split(text.as_py())]
-                parts.append(np.array([end, *at, end], np.int64))
-            if not parts:
-                continue
-            before = np.concatenate([p[:-1] for p in parts])
-            after = np.concatenate([p[1:] for p in parts])
-            both = (before >= 0) & (after >= 0)
-            keys, n = np.unique(before[both] * (end + 1) + after[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((keys // (end + 1)).astype(np.int32)), pa.array((keys % (end + 1)).astype(np.int32)), pa.array(n.astype(np.int64))],
-                ["a", "b", "n"],
-            )
+            for _, n_texts, coded, text in words_in(batch.column(0)):
+                ranks, _ = _ranks(coded, text, n_texts, listed)
+                before, after = ranks[:-1], ranks[1:]
+                both = (before >= 0) & (after >= 0)
+                keys, n = np.unique(before[both] * (end + 1) + after[both], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((keys // (end + 1)).astype(np.int32)), pa.array((keys % (end + 1)).astype(np.int32)), pa.array(n.astype(np.int64))],
+                    ["a", "b", "n"],
+                )
 
     return count
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns a, b and n as bytes, some rows in one, since every round reads them again."""
+    for batch in batches:
+        columns = [batch.column(i).to_numpy().astype(kind).tobytes() for i, kind in enumerate((np.int32, np.int32, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["a", "b", "n"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            yield [np.frombuffer(v.as_py(), kind).astype(np.int64) for v, kind in zip(row, (np.int32, np.int32, np.int64), strict=True)]
+
+
+PER_WORD = "word int, slots array<int>, counts array<long>"
+
+
+def _by_word(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per word with any count: its slots and their counts."""
+    word, slot = np.nonzero(sums.reshape(-1, 2 * K))
+    words, starts = np.unique(word, return_index=True)
+    offsets = pa.array(np.append(starts, len(word)).astype(np.int32))
+    slots = pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int32)))
+    counts = pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1, 2 * K)[word, slot].astype(np.int64)))
+    yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), slots, counts], ["word", "slots", "counts"])
+
+
 def _sides(classes: np.ndarray):
-    """For each word the counts of the classes after (slots 0 to K - 1) and before it (K to 2K - 1)."""
+    """For each word the counts of the classes after (slots 0 to K - 1) and before it (K to 2K - 1), added up in the task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+        sums = np.zeros(len(classes) * 2 * K)
+        for a, b, n in _unpacked(batches):
             after, before = classes[b] >= 0, classes[a] >= 0
-            keys = np.concatenate([a[after] * 2 * K + classes[b[after]], b[before] * 2 * K + K + classes[a[before]]])
-            keys, place = np.unique(keys, return_inverse=True)
-            sums = np.bincount(place, np.concatenate([n[after], n[before]]), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((keys // (2 * K)).astype(np.int32)), pa.array((keys % (2 * K)).astype(np.int32)), pa.array(sums)], ["word", "slot", "n"]
-            )
+            np.add.at(sums, a[after] * 2 * K + classes[b[after]], n[after].astype(float))
+            np.add.at(sums, b[before] * 2 * K + K + classes[a[before]], n[before].astype(float))
+        yield from _by_word(sums)
 
     return count
 
 
+def _merged(n_words: int):
+    """The rows of ``_sides`` added by word."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n_words * 2 * K)
+        for batch in batches:
+            word = np.repeat(batch.column(0).to_numpy().astype(np.int64), np.diff(batch.column(1).offsets.to_numpy()))
+            np.add.at(sums, word * 2 * K + batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy().astype(float))
+        yield from _by_word(sums)
+
+    return add
+
+
 def _best_classes(sides: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The class of greatest likelihood for words with these neighbours; a word's own counts are left out of its class."""
     after, before = sides[:, :K], sides[:, K:]
@@ -152,10 +189,8 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
     classes[: min(CLASSES, n_words)] = np.arange(min(CLASSES, n_words))
     classes[n_words] = END
     for turn in range(ROUNDS):
-        sides = pairs.mapInArrow(_sides(classes), "word int, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-        per_word = stage(
-            sides.groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")), "brown-sides"
-        )
+        sides = few_tasks(pairs).mapInArrow(_sides(classes), PER_WORD).repartition("word")
+        per_word = stage(sides.mapInArrow(_merged(n_words + 1), PER_WORD), "brown-sides")
         matrix = _matrix(per_word.mapInArrow(_after(classes), "cell int, n long"), K * K).reshape(K, K)
         moves = per_word.where(F.col("word") < n_words).mapInArrow(_moves(classes, matrix, turn), "word int, class int")
         found = moves.toArrow()  # one row per exchanged word
@@ -171,8 +206,7 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
 def class_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(K * K)
-        for batch in batches:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+        for a, b, n in _unpacked(batches):
             a, b = classes[a], classes[b]
             known = (a >= 0) & (b >= 0)
             total += np.bincount(a[known] * K + b[known], n[known], K * K)
@@ -190,40 +224,53 @@ def _matrix(cells: DataFrame, size: int) -> np.ndarray:
 
 
 def _rare(index, classes: np.ndarray):
-    """(word, cell) of each use of a word outside the exchange; the cell holds the classes before and after it."""
+    """(word, cells) of the uses of a word outside the exchange, by some texts; a cell holds the classes before and after a use."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = index.value
         lookup = np.append(classes, K)  # K: a neighbour outside the exchange
         for batch in batches:
-            words, cells = [], []
-            for text in batch.column(0):
-                found = split(text.as_py())
-                at = [numbers.get(w, -1) for w in found]
-                around = lookup[np.array([len(numbers), *at, len(numbers)], np.int64)]
-                rare = [i for i, x in enumerate(at) if x < 0]
-                words.extend([found[i] for i in rare])
-                cells.append((around[:-2] * (K + 1) + around[2:])[rare])
-            flat = np.concatenate(cells).astype(np.int16) if cells else np.empty(0, np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(flat)], ["word", "cell"])
+            for _, n_texts, coded, text in words_in(batch.column(0)):
+                ranks, at = _ranks(coded, text, n_texts, index.value)
+                around, rare = lookup[ranks], np.flatnonzero(ranks[at] < 0)
+                code = coded.indices.to_numpy()[rare]
+                order = np.argsort(code, kind="stable")
+                words, starts = np.unique(code[order], return_index=True)
+                place = at[rare[order]]
+                cells = pa.array((around[place - 1] * (K + 1) + around[place + 1]).astype(np.int16))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), cells)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(words)), lists], ["word", "cells"])
 
     return find
 
 
 def _place(matrix: np.ndarray):
+    def placed(words: pa.Array, sides: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        best = _best_classes(sides[:, : 2 * K], np.full(len(sides), -1), matrix)
+        return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a word follow each other; the last word of a batch may go on in the next."""
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            coded, lists = batch.column(0).dictionary_encode(), batch.column(1)
+            owner = np.repeat(coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy()))
             cells = lists.flatten().to_numpy().astype(np.int64)
-            sides = np.zeros((len(lists), 2 * K + 1))
+            words, sides = coded.dictionary, np.zeros((len(coded.dictionary), 2 * K + 1))
             before, after = cells // (K + 1), cells % (K + 1)
             np.add.at(sides, (owner[after < K], after[after < K]), 1)
             np.add.at(sides, (owner[before < K], K + before[before < K]), 1)
-            best = _best_classes(sides[:, : 2 * K], np.full(len(lists), -1), matrix)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=len(lists)).astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+            n = np.bincount(owner, minlength=len(words)).astype(np.int64)
+            if held is not None and held[0][0] == words[0]:
+                sides[0] += held[1][0]
+                n[0] += held[2][0]
+            elif held is not None:
+                yield placed(*held)
+            held = words[-1:], sides[-1:], n[-1:]
+            yield placed(words[:-1], sides[:-1], n[:-1])
+        if held is not None:
+            yield placed(*held)
 
     return place
 
@@ -235,33 +282,46 @@ def _tokens(head, n_train: int, n_types: int, n_ends: int):
     """Per text: counts, the unigram score, the sum of emission numerators, and its transitions."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = head.value
+        listed, values = head.value
         floor = n_train + HALF * (n_types + 1)
         end = n_ends * 64 + END if n_ends else -1
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for packed, rest in zip(batch.column(2), batch.column(3), strict=True):
-                own = {r["word"]: r["value"] for r in rest.as_py() or () if r["value"] is not None}
-                found = split(unpacked(packed.as_py()))
-                codes = np.array([*[values[w] if w in values else own.get(w, -1) for w in found], end], np.int64)
+        for whole in batches:
+            texts = pa.array([unpacked(p.as_py()) for p in whole.column(2)], pa.string())
+            for first, n_texts, coded, text in words_in(texts):
+                batch = whole.slice(first, n_texts)
+                rest = batch.column(3).flatten()
+                valued = pc.is_valid(rest.field("value"))
+                rest_words, rest_values = rest.field("word").filter(valued), rest.field("value").filter(valued).to_numpy()
+                place, other = places_in(coded, listed), places_in(coded, rest_words)
+                code = np.full(len(place), -1, np.int64)
+                code[other >= 0] = rest_values[other[other >= 0]]
+                code[place >= 0] = values[place[place >= 0]]
+                # all words in order, and an end behind each text
+                size = np.bincount(text, minlength=n_texts) + 1
+                starts = np.cumsum(size) - size
+                codes = np.full(size.sum(), end, np.int64)
+                codes[np.arange(len(text)) + text] = code[coded.indices.to_numpy()]
                 known = codes >= 0
                 n = np.where(known, codes >> 6, 0)
                 to = np.where(known, codes & 63, K)
                 # the class before: of the last known word, or of an end
-                last = np.maximum.accumulate(np.where(known, np.arange(1, len(codes) + 1), 0))
-                context = np.append(END, to)[np.concatenate([[0], last[:-1]])]
-                cells, counts = np.unique(context * (K + 1) + to, return_counts=True)
-                row = (
-                    len(codes), int(known.sum()), float(np.log10((n + HALF) / floor).sum()),
-                    float(np.log10(n[known] + HALF).sum()), cells.astype(np.int32), counts,
+                last = np.maximum.accumulate(np.where(known, np.arange(len(codes)), -1))
+                last = np.concatenate([[-1], last[:-1]])
+                context = np.where(last >= np.repeat(starts, size), to[last], END)
+                width = K * (K + 1)
+                owner = np.repeat(np.arange(n_texts), size)
+                keys, counts = np.unique(owner * width + context * (K + 1) + to, return_counts=True)
+                offsets = pa.array(np.searchsorted(keys, np.arange(n_texts + 1) * width).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array(size), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                        pa.array(np.add.reduceat(np.log10((n + HALF) / floor), starts)),
+                        pa.array(np.add.reduceat(np.where(known, np.log10(n + HALF), 0.0), starts)),
+                        pa.ListArray.from_arrays(offsets, pa.array((keys % width).astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+                    ],
+                    ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "emitted", "cells", "counts"],
                 )
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "emitted", "cells", "counts"],
-            )
 
     return score
 
@@ -322,12 +382,13 @@ def score_texts(docs: DataFrame, learnt, id_col: str = "doc_id", text_col: str =
 
     common = common_words(counts, exchanged or EXCHANGED).orderBy(F.col("n").desc(), "word").toArrow()
     ranked = common.column(0).to_pylist()
-    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(ranked)})
-    pairs = stage(train.mapInArrow(_pairs(index), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "brown-pairs")
+    index = spark.sparkContext.broadcast(pa.array(ranked, pa.binary()))
+    pairs = train.mapInArrow(_pairs(index), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = stage(pairs.mapInArrow(_packed, "a binary, b binary, n binary"), "brown-pairs")
     classes = exchange(pairs, len(ranked))
     matrix = class_matrix(pairs, classes)
-    uses = train.mapInArrow(_rare(index, classes), "word binary, cell short")
-    placed = uses.groupBy("word").agg(F.collect_list("cell").alias("cells")).mapInArrow(_place(matrix), "word binary, n long, class int")
+    uses = train.mapInArrow(_rare(index, classes), "word binary, cells array<short>")
+    placed = uses.repartition("word").sortWithinPartitions("word").mapInArrow(_place(matrix), "word binary, n long, class int")
     first = spark.createDataFrame(
         [(w, n, int(c)) for w, n, c in zip(ranked, common.column(1).to_pylist(), classes[:-1], strict=True)], "word binary, n long, class int"
     )
@@ -340,8 +401,8 @@ def score_texts(docs: DataFrame, learnt, id_col: str = "doc_id", text_col: str =
     for r in per_class.collect():
         totals[:, r["class"]] = r["n"], r["types"], r["single"]
     totals[:, END] = n_docs, n_docs > 0, 0
-    known = spark.sparkContext.broadcast(as_dict(common_words(words) if head is None else common_words(words, head), "value"))
-    valued = with_values(rows, words, known, split)
+    known = spark.sparkContext.broadcast(as_arrays(common_words(words) if head is None else common_words(words, head), "value"))
+    valued = with_values(rows, words, known)
     flags = rows.select("row", "learnt")
     full = valued.join(flags, "row").select("doc_id", "learnt", "packed", "rest")
     told = stage(full.mapInArrow(_tokens(known, n_train, n_types, n_docs), SCORED), "brown-told")

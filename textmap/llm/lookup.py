@@ -6,10 +6,11 @@ handed to the document with its value. Both ways give the same values.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from textmap.llm.workers import release_caches
 
 HEAD = 400_000
 HEAD_BYTES = 64  # longer words are never broadcast
+BYTES_AT_ONCE = 1 << 24  # of texts that are cut into words together
 
 
 def common_words(words: DataFrame, limit: int = HEAD) -> DataFrame:
@@ -36,29 +38,54 @@ def as_dict(rows: DataFrame, value: str) -> dict:
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
 
 
-def with_values(
-    docs: DataFrame, words: DataFrame, head: Broadcast, split: Callable[[str | None], list]
-) -> DataFrame:
+def as_arrays(rows: DataFrame, value: str) -> tuple[pa.Array, np.ndarray]:
+    """Words and values of a bounded table."""
+    table = rows.select("word", value).toArrow().combine_chunks()
+    return pa.array(table.column(0).to_pylist(), pa.binary()), table.column(1).to_numpy()
+
+
+def words_in(texts: pa.Array) -> Iterator[tuple[int, int, pa.DictionaryArray, np.ndarray]]:
+    """Some texts at a time: (first text, their number, all their words as coded bytes, the text of each word from 0).
+
+    A-Z are lower-cased; words are what lies between blanks, the bytes 0x20 and 0x09 to 0x0D.
+    """
+    texts = texts.fill_null("")
+    ends, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(first, last - first)))
+        words, text = lists.flatten(), np.repeat(np.arange(last - first), np.diff(lists.offsets.to_numpy()))
+        full = pc.not_equal(pc.binary_length(words), 0)  # blanks at an end leave an empty word
+        yield first, last - first, words.filter(full).cast(pa.binary()).dictionary_encode(), text[full.to_numpy(zero_copy_only=False)]
+        first = last
+
+
+def places_in(words: pa.DictionaryArray, listed: pa.Array) -> np.ndarray:
+    """The place in ``listed`` of each distinct word, -1 for the others."""
+    found = pc.index_in(words.dictionary, value_set=listed).fill_null(-1)
+    return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def with_values(docs: DataFrame, words: DataFrame, head: Broadcast) -> DataFrame:
     """``docs`` (row, doc_id, text) with the texts packed and the words that ``head`` lacks.
 
     Columns: row, doc_id, packed (zstd of the text, null stays), rest (array of word, value). ``words`` has
-    word (string or binary, as ``split`` gives them) and value. Documents without other words get a null rest.
+    word (binary) and value; ``head`` is ``as_arrays`` of some of it. Documents without other words get a null rest.
     """
-    kind = words.schema["word"].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.binary()
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        known = head.value
         for batch in batches:
-            rows, found = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rest = {w for w in split(text.as_py()) if w not in known}
-                found.extend(rest)
-                rows.extend([row] * len(rest))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, arrow)], ["row", "word"])
-
-    asked = docs.select("row", "text").mapInArrow(others, f"row long, word {kind}")
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, _, coded, text in words_in(batch.column(1)):
+                code = coded.indices.to_numpy()
+                other = places_in(coded, head.value[0])[code] < 0
+                distinct = np.unique(text[other] * len(coded.dictionary) + code[other])
+                text, code = np.divmod(distinct, max(1, len(coded.dictionary)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[first + text], pa.int64()), coded.dictionary.take(pa.array(code))], ["row", "word"])
+
+    asked = docs.select("row", "text").mapInArrow(others, "row long, word binary")
     valued = asked.join(words.select("word", "value"), "word", "left")
     per_row = valued.groupBy("row").agg(F.collect_list(F.struct("word", "value")).alias("rest"))
     return packed_texts(docs).join(per_row, "row", "left")
