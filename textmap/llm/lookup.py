@@ -19,7 +19,7 @@ from textmap.llm.workers import release_caches
 
 HEAD = 400_000
 HEAD_BYTES = 64  # longer words are never broadcast
-BYTES_AT_ONCE = 1 << 24  # of texts that are cut into words together
+BYTES_AT_ONCE = 1 << 22  # of texts that are cut into words together
 
 
 def common_words(words: DataFrame, limit: int = HEAD) -> DataFrame:
