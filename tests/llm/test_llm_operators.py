@@ -518,3 +518,65 @@ def test_brown_rounds_ship_a_row_per_word_and_rare_words_may_span_batches():
     whole = placed([6])
     assert [(w, n) for w, n, _ in whole] == [(b"a", 3), (b"b", 4), (b"c", 1)]
     assert all(placed(sizes) == whole for sizes in ([1] * 6, [3, 3], [2, 4], [4, 1, 1]))
+
+
+def test_texts_are_cut_at_once_as_by_the_pattern():
+    """Many texts as one array of bytes, beside one another and in slices, against the pattern on each."""
+    table = pieces.Pieces(public_tokenizers.path(catalog.PIECE_MODEL))
+    split = pieces.splitter(table.cuts)
+    rng = np.random.default_rng(9)
+    signs = ["a", "s", " ", "  ", "\n", "\r", "\t", ".", "!=", "://", "é", "«", "’", "汉", "😀", pieces.SPACE, "x" * 60, "é" * 47, "é" * 48]
+    texts = [None, "", " ", "a ", " a", "a\n b", *["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 12))) for _ in range(3000)]]
+    for column in (pa.array(texts, pa.string()), pa.array(["before", *texts], pa.string()).slice(1)):
+        words, long, n_words = table.cutter.words(column)
+        found = [w.decode() for w in words.to_pylist()]
+        ends = np.append(0, np.cumsum(n_words))
+        assert [found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [split(t) for t in texts]
+        assert long.tolist() == [len(w) > pieces.LONG for w in found]
+    several = pieces.Cutter(["a\nb"])
+    assert several.words(pa.array(["a b\nc.", ""]))[0].to_pylist() == [b" a b\nc."]
+
+
+def test_chunks_do_not_follow_batches(monkeypatch):
+    monkeypatch.setattr(pieces, "FLUSH", 10)
+    texts = ["abc", None, "", "x" * 25, "abcdef", "abcdef", "y", "z"]
+    whole = pa.record_batch([pa.array(texts)], ["text"])
+    for size in (1, 2, 3, 8):
+        batches = (whole.slice(i, size) for i in range(0, len(texts), size))
+        found = [pieces.texts_in(c).to_pylist() for c in pieces.chunks(batches)]
+        assert found == [["abc", None, "", "x" * 25], ["abcdef", "abcdef"], ["y", "z"]]
+
+
+def test_words_meet_their_edges_in_small_blocks(spark, odd, monkeypatch):
+    """Blocks and chunks of a few words give the ids of large ones."""
+    model = public_tokenizers.path(catalog.PIECE_MODEL)
+    large = Counter((r["doc_id"], r["n_words"], tuple(r["ids"] or [-1])) for r in pieces.encode(odd, model).collect())
+    for name, value in (("BLOCK", 7), ("FLUSH", 30), ("COUNTED", 5)):
+        monkeypatch.setattr(pieces, name, value)
+    small = pieces.encode(odd, model, head=3).collect()
+    assert Counter((r["doc_id"], r["n_words"], tuple(r["ids"] or [-1])) for r in small) == large
+
+
+def test_shuffles_of_stored_steps_are_removed(spark, odd):
+    """The shuffle files of a stored step go when it ends, and the setting is put back."""
+    import time
+
+    from textmap import session
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(name, None), shuffled()
+    with session.shuffles_removed(spark):
+        stored = stage(odd.groupBy("lang").agg(F.count("*").alias("n")), "counted")
+    for _ in range(50):
+        if shuffled() <= held:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= held
+    assert spark.conf.get(name, None) == before
+    assert {r["lang"]: r["n"] for r in stored.collect()} == Counter(lang for _, _, lang, _ in ODD)

@@ -32,12 +32,6 @@ def common_words(words: DataFrame, limit: int = HEAD) -> DataFrame:
     return short.where(F.col("n") >= (min(fitting) if fitting else F.lit(1 << 62)))
 
 
-def as_dict(rows: DataFrame, value: str) -> dict:
-    """word -> value of a bounded table."""
-    table = rows.select("word", value).toArrow()
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
-
-
 def as_arrays(rows: DataFrame, value: str) -> tuple[pa.Array, np.ndarray]:
     """Words and values of a bounded table."""
     table = rows.select("word", value).toArrow().combine_chunks()

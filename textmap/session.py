@@ -4,6 +4,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -58,6 +60,21 @@ def release(stored: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside drop their shuffle files when they end; what they leave must be stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stage_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """As ``stage``, with aggregates of ``df`` that are taken while it is written: no scan of their own."""
     seen = Observation(name)
