@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.lookup import as_arrays, common_words, places_in, unpacked, with_values, words_in
-from textmap.session import few_tasks, stage
+from textmap.llm.lookup import BYTES_AT_ONCE, as_arrays, common_words, places_in, unpacked, with_values, words_in
+from textmap.llm.workers import tidy
+from textmap.session import few_tasks, short_batches, stage
 
 CLASSES = 32
 END = CLASSES  # the class of the end token
@@ -25,6 +26,7 @@ K = CLASSES + 1
 EXCHANGED = 40_000  # at most so many of the commonest words move in rounds; all others are placed once after them
 ROUNDS = 6
 HALF = 0.5
+AT_ONCE = BYTES_AT_ONCE * 7 // 8  # bytes of texts that reach a task together, cut into words at once
 FALLBACK = 50.0  # weight of the class shares in a transition
 
 
@@ -37,7 +39,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ranks(coded: pa.DictionaryArray, text: np.ndarray, n_texts: int, listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +191,8 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
     classes[: min(CLASSES, n_words)] = np.arange(min(CLASSES, n_words))
     classes[n_words] = END
     for turn in range(ROUNDS):
-        sides = few_tasks(pairs).mapInArrow(_sides(classes), PER_WORD).repartition("word")
-        per_word = stage(sides.mapInArrow(_merged(n_words + 1), PER_WORD), "brown-sides")
+        sides = few_tasks(pairs).mapInArrow(tidy(_sides(classes)), PER_WORD).repartition("word")
+        per_word = stage(sides.mapInArrow(tidy(_merged(n_words + 1)), PER_WORD), "brown-sides")
         matrix = _matrix(per_word.mapInArrow(_after(classes), "cell int, n long"), K * K).reshape(K, K)
         moves = per_word.where(F.col("word") < n_words).mapInArrow(_moves(classes, matrix, turn), "word int, class int")
         found = moves.toArrow()  # one row per exchanged word
@@ -278,6 +280,17 @@ def _place(matrix: np.ndarray):
 SCORED = "doc_id long, learnt boolean, n_tokens long, n_known long, base_score double, emitted double, cells array<int>, counts array<long>"
 
 
+def _unpacked_parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """Some rows at a time and their texts: packed texts may be much longer than they look."""
+    texts, size, begin = [], 0, 0
+    for end, packed in enumerate(batch.column(2), 1):
+        texts.append(unpacked(packed.as_py()))
+        size += len(texts[-1] or "")
+        if size >= AT_ONCE or end == batch.num_rows:
+            yield batch.slice(begin, end - begin), pa.array(texts, pa.string())
+            texts, size, begin = [], 0, end
+
+
 def _tokens(head, n_train: int, n_types: int, n_ends: int):
     """Per text: counts, the unigram score, the sum of emission numerators, and its transitions."""
 
@@ -285,10 +298,9 @@ def _tokens(head, n_train: int, n_types: int, n_ends: int):
         listed, values = head.value
         floor = n_train + HALF * (n_types + 1)
         end = n_ends * 64 + END if n_ends else -1
-        for whole in batches:
-            texts = pa.array([unpacked(p.as_py()) for p in whole.column(2)], pa.string())
+        for part, texts in (found for batch in batches for found in _unpacked_parts(batch)):
             for first, n_texts, coded, text in words_in(texts):
-                batch = whole.slice(first, n_texts)
+                batch = part.slice(first, n_texts)
                 rest = batch.column(3).flatten()
                 valued = pc.is_valid(rest.field("value"))
                 rest_words, rest_values = rest.field("word").filter(valued), rest.field("value").filter(valued).to_numpy()
@@ -375,38 +387,39 @@ def score_texts(docs: DataFrame, learnt, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), learnt.alias("learnt"),
     )
     train = rows.where("learnt").select("text")
-    counts = stage(count_words(train), "brown-counts")
-    n_docs = train.count()
-    n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_train, n_types = n_words + n_docs, n_types + (n_docs > 0)
-
-    common = common_words(counts, exchanged or EXCHANGED).orderBy(F.col("n").desc(), "word").toArrow()
-    ranked = common.column(0).to_pylist()
-    index = spark.sparkContext.broadcast(pa.array(ranked, pa.binary()))
-    pairs = train.mapInArrow(_pairs(index), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = stage(pairs.mapInArrow(_packed, "a binary, b binary, n binary"), "brown-pairs")
-    classes = exchange(pairs, len(ranked))
-    matrix = class_matrix(pairs, classes)
-    uses = train.mapInArrow(_rare(index, classes), "word binary, cells array<short>")
-    placed = uses.repartition("word").sortWithinPartitions("word").mapInArrow(_place(matrix), "word binary, n long, class int")
-    first = spark.createDataFrame(
-        [(w, n, int(c)) for w, n, c in zip(ranked, common.column(1).to_pylist(), classes[:-1], strict=True)], "word binary, n long, class int"
-    )
-    words = stage(first.unionByName(placed).withColumn("value", F.col("n") * 64 + F.col("class")), "brown-words")
-
-    per_class = words.groupBy("class").agg(
-        F.sum("n").alias("n"), F.count("*").alias("types"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")
-    )
-    totals = np.zeros((3, K))
-    for r in per_class.collect():
-        totals[:, r["class"]] = r["n"], r["types"], r["single"]
-    totals[:, END] = n_docs, n_docs > 0, 0
-    known = spark.sparkContext.broadcast(as_arrays(common_words(words) if head is None else common_words(words, head), "value"))
-    valued = with_values(rows, words, known)
-    flags = rows.select("row", "learnt")
-    full = valued.join(flags, "row").select("doc_id", "learnt", "packed", "rest")
-    told = stage(full.mapInArrow(_tokens(known, n_train, n_types, n_docs), SCORED), "brown-told")
-    moves = _matrix(told.where("learnt").select("cells", "counts").mapInArrow(_transitions, "cell int, n long"), K * (K + 1))
+    with short_batches(spark, AT_ONCE):
+        counts = stage(count_words(train), "brown-counts")
+        n_docs = train.count()
+        n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        n_train, n_types = n_words + n_docs, n_types + (n_docs > 0)
+
+        common = common_words(counts, exchanged or EXCHANGED).orderBy(F.col("n").desc(), "word").toArrow()
+        ranked = common.column(0).to_pylist()
+        index = spark.sparkContext.broadcast(pa.array(ranked, pa.binary()))
+        pairs = train.mapInArrow(tidy(_pairs(index)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        pairs = stage(pairs.mapInArrow(_packed, "a binary, b binary, n binary"), "brown-pairs")
+        classes = exchange(pairs, len(ranked))
+        matrix = class_matrix(pairs, classes)
+        uses = train.mapInArrow(tidy(_rare(index, classes)), "word binary, cells array<short>")
+        placed = uses.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(_place(matrix)), "word binary, n long, class int")
+        first = spark.createDataFrame(
+            [(w, n, int(c)) for w, n, c in zip(ranked, common.column(1).to_pylist(), classes[:-1], strict=True)], "word binary, n long, class int"
+        )
+        words = stage(first.unionByName(placed).withColumn("value", F.col("n") * 64 + F.col("class")), "brown-words")
+
+        per_class = words.groupBy("class").agg(
+            F.sum("n").alias("n"), F.count("*").alias("types"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")
+        )
+        totals = np.zeros((3, K))
+        for r in per_class.collect():
+            totals[:, r["class"]] = r["n"], r["types"], r["single"]
+        totals[:, END] = n_docs, n_docs > 0, 0
+        known = spark.sparkContext.broadcast(as_arrays(common_words(words) if head is None else common_words(words, head), "value"))
+        valued = with_values(rows, words, known)
+        flags = rows.select("row", "learnt")
+        full = valued.join(flags, "row").select("doc_id", "learnt", "packed", "rest")
+        told = stage(full.mapInArrow(tidy(_tokens(known, n_train, n_types, n_docs)), SCORED), "brown-told")
+        moves = _matrix(told.where("learnt").select("cells", "counts").mapInArrow(_transitions, "cell int, n long"), K * (K + 1))
     if n_train:
         chances = _log_chances(moves.reshape(K, K + 1), totals).reshape(-1)
         done = told.mapInArrow(_summed(chances), SCORED.split(", emitted")[0] + ", score double")

@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.workers import release_caches
+from textmap.llm.workers import tidy
 
 HEAD = 400_000
 HEAD_BYTES = 64  # longer words are never broadcast
@@ -69,7 +69,6 @@ def with_values(docs: DataFrame, words: DataFrame, head: Broadcast) -> DataFrame
     """
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, coded, text in words_in(batch.column(1)):
@@ -79,7 +78,7 @@ def with_values(docs: DataFrame, words: DataFrame, head: Broadcast) -> DataFrame
                 text, code = np.divmod(distinct, max(1, len(coded.dictionary)))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[first + text], pa.int64()), coded.dictionary.take(pa.array(code))], ["row", "word"])
 
-    asked = docs.select("row", "text").mapInArrow(others, "row long, word binary")
+    asked = docs.select("row", "text").mapInArrow(tidy(others), "row long, word binary")
     valued = asked.join(words.select("word", "value"), "word", "left")
     per_row = valued.groupBy("row").agg(F.collect_list(F.struct("word", "value")).alias("rest"))
     return packed_texts(docs).join(per_row, "row", "left")
@@ -91,14 +90,13 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        release_caches()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = (t.as_py() for t in batch.column(2))
             packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["row", "doc_id", "packed"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(pack, "row long, doc_id long, packed binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(tidy(pack), "row long, doc_id long, packed binary")
 
 
 def unpacked(packed: bytes | None) -> str | None:

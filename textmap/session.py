@@ -75,6 +75,21 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Queries run inside send rows to Python in batches of some bytes: 10,000 texts have no bound of their own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(n_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stage_observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """As ``stage``, with aggregates of ``df`` that are taken while it is written: no scan of their own."""
     seen = Observation(name)
