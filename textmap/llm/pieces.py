@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.llm.lookup import HEAD_BYTES, common_words
-from textmap.llm.workers import release_caches
-from textmap.session import fits_broadcast, release, shuffles_removed, stage
+from textmap.llm.workers import tidy
+from textmap.session import fits_broadcast, release, short_batches, shuffles_removed, stage
 
 SPACE = "▁"
 LONG = 48  # characters of a word that becomes a lattice of rows
@@ -39,6 +39,7 @@ SPREAD = 4
 BLOCK = 40_000  # edges of words that are folded together
 HEAD = 300_000  # so many of the commonest words go to all tasks
 FLUSH = 1_000_000  # bytes of text in a chunk, if it has several texts
+SENT = 4 << 20  # bytes of rows that reach Python at once
 COUNTED = 1_000_000  # words of chunks that are counted together before they leave a task
 MANY_WORDS = r"(?s).+"
 DECODED = 100_000  # so many ids become text at once, for small buffers
@@ -291,7 +292,7 @@ def words_of(docs: DataFrame, cutter: Broadcast) -> DataFrame:
         if held:
             yield from counted()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def best_paths(words: list[str], own: np.ndarray, ways: np.ndarray, values: np.ndarray, first_byte: int) -> list[np.ndarray]:
@@ -387,7 +388,7 @@ def best_values(words: DataFrame, pieces: Pieces) -> DataFrame:
         if held:
             yield folded(pa.Table.from_batches(held))
 
-    return lattice.mapInArrow(fold, "word string, n long, value binary")
+    return lattice.mapInArrow(tidy(fold), "word string, n long, value binary")
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -439,7 +440,7 @@ def encode(
     pieces = Pieces(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cutter = spark.sparkContext.broadcast(pieces.cutter)
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), short_batches(spark, SENT):
         found = stage(words_of(rows, cutter), "piece-found")
         words = stage(best_values(found, pieces), "piece-words")
     release(found)
@@ -454,7 +455,6 @@ def encode(
     bytes_of, kind = pieces.spelling(), pieces.kind
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         flat, starts = valued.value
         for batch in batches:
             for row in range(len(batch)):
@@ -478,7 +478,7 @@ def encode(
                 yield made if then is None else then[0](made)
 
     packed = _with_rest(rows, rest, cutter, known, table, kind)
-    found = packed.mapInArrow(assemble, ENCODED if then is None else then[1])
+    found = packed.mapInArrow(tidy(assemble), ENCODED if then is None else then[1])
     return found.withColumnRenamed("doc_id", id_col)
 
 
@@ -512,7 +512,6 @@ def _with_rest(rows: DataFrame, words: DataFrame, cutter: Broadcast, known: Broa
     """Each chunk of texts packed as numbers of its words, and the values of those that ``known`` lacks, each behind its place."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for chunk in chunks(batches):
             asked = Chunk(texts_in(chunk), cutter.value, known.value).lacking
             number = pa.array(np.full(len(asked), chunk.column("row")[0].as_py()), pa.int64())
@@ -522,7 +521,6 @@ def _with_rest(rows: DataFrame, words: DataFrame, cutter: Broadcast, known: Broa
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        release_caches()
         packer = zstandard.ZstdCompressor(level=3)
         ids_of = folder(*table.value)
         for rows in chunks(batches):
@@ -538,10 +536,10 @@ def _with_rest(rows: DataFrame, words: DataFrame, cutter: Broadcast, known: Broa
             ]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "n_words", "packed", "lacking", "long"])
 
-    asked = rows.select("row", "text").mapInArrow(ask, "chunk long, place binary, word string")
+    asked = rows.select("row", "text").mapInArrow(tidy(ask), "chunk long, place binary, word string")
     valued = asked.join(words.select("word", "value"), "word").select("chunk", F.concat("place", "value").alias("value"))
     per_chunk = valued.groupBy("chunk").agg(F.collect_list("value").alias("rest"))
-    packed = rows.mapInArrow(pack, "chunk long, doc_ids array<long>, n_words array<long>, packed binary, lacking int, long array<binary>")
+    packed = rows.mapInArrow(tidy(pack), "chunk long, doc_ids array<long>, n_words array<long>, packed binary, lacking int, long array<binary>")
     return packed.join(per_chunk, "chunk", "left")
 
 
