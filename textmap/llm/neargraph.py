@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,14 +83,28 @@ def _joined(table: pa.Table) -> pa.Table:
 
 
 def _lists(edges: DataFrame, room: DataFrame | None, name: str) -> DataFrame:
-    """The nearest entries of each node: as many as it has room for."""
-    once = edges.groupBy("node", "other").agg(F.max("near").alias("near"))
+    """The nearest entries of each node: as many as it has room for. All of it happens where the edges of the node lie."""
+    once = edges.repartition("node").groupBy("node", "other").agg(F.max("near").alias("near"))
+    return stage(_nearest_of(once, room), name)
+
+
+def _next_lists(before: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The lists after a round, and how many of their entries it found; these are counted while they are written."""
+    edges = before.withColumn("fresh", F.lit(1)).unionByName(found.withColumn("fresh", F.lit(2)))
+    once = edges.repartition("node").groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
+    seen = Observation(name)
+    kept = _nearest_of(once, None).observe(seen, F.count(F.when(F.col("fresh") == 2, 1)).alias("changed"))
+    lists = stage(kept.drop("fresh"), name)
+    return lists, seen.get["changed"]
+
+
+def _nearest_of(once: DataFrame, room: DataFrame | None) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.col("near").desc(), "other"))
     ranked = once.withColumn("rank", rank)
     if room is None:
-        return stage(ranked.where(F.col("rank") <= NEIGHBOURS).drop("rank"), name)
+        return ranked.where(F.col("rank") <= NEIGHBOURS).drop("rank")
     roomy = ranked.join(room, "node", "left")
-    return stage(roomy.where(F.col("rank") <= F.coalesce("room", F.lit(NEIGHBOURS))).select("node", "other", "near"), name)
+    return roomy.where(F.col("rank") <= F.coalesce("room", F.lit(NEIGHBOURS))).select("node", "other", "near")
 
 
 def _descend(lists: DataFrame, codes: DataFrame, room: DataFrame | None, only: DataFrame | None, n_groups: int) -> DataFrame:
@@ -102,10 +116,11 @@ def _descend(lists: DataFrame, codes: DataFrame, room: DataFrame | None, only: D
     rank = F.row_number().over(W.partitionBy("centre").orderBy(F.col("near").desc(), "node"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= kept).select("centre", "node")
     ahead = lists.select(F.col("node").alias("centre"), F.col("other").alias("node"))
-    own = ahead.select("centre", F.col("centre").alias("node")).distinct()
-    members = ahead.unionByName(back).unionByName(own).distinct()
+    own = ahead.select("centre", F.col("centre").alias("node"))
+    members = ahead.unionByName(back).unionByName(own)
     if only is not None:
         members = members.join(only.withColumnRenamed("node", "centre"), "centre", "left_semi")
+    members = members.repartition("node").distinct()  # lie where the join below needs them
     full = lists.groupBy("node").agg(F.min("near").alias("worst"), F.count("*").alias("n"))
     if room is not None:
         full = full.join(room, "node", "left")
@@ -373,9 +388,7 @@ def _graph(codes: DataFrame, lists: DataFrame | None, length: int, n: int, n_gro
     start = split.groupBy("leaf", "part").applyInArrow(_leaf_edges, EDGE)
     lists = _lists(start if lists is None else lists.unionByName(start), None, "nnd-lists")
     for _ in range(ROUNDS):
-        before = lists
-        lists = _lists(before.unionByName(_descend(before, codes, None, None, n_groups)), None, "nnd-lists")
-        changed = lists.join(before, ["node", "other"], "left_anti").count()
+        lists, changed = _next_lists(lists, _descend(lists, codes, None, None, n_groups), "nnd-lists")
         if changed <= SETTLED * NEIGHBOURS * n:
             break
     room, size = None, NEIGHBOURS
