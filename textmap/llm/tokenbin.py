@@ -48,8 +48,9 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.ndarray]:
     table = ids.astype(np.uint32).reshape(-1, BLOCK)
     low = table.min(axis=1)
     rest = table - low[:, None]
-    bits = np.searchsorted(np.uint32(1) << np.arange(32, dtype=np.uint32), rest, side="right").astype(np.uint8)
-    width = np.sort(bits, axis=1)[:, max(0, int(np.ceil(percentile * BLOCK)) - 1)].astype(np.int64)
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # exact: doubles hold 32 bits, and 0 needs none
+    place = max(0, int(np.ceil(percentile * BLOCK)) - 1)
+    width = np.partition(bits, place, axis=1)[:, place].astype(np.int64)
     high = rest.astype(np.uint64) >> width[:, None].astype(np.uint64)
     at_block, at = np.nonzero(high)
     high = high[at_block, at].astype(np.uint32)
@@ -233,10 +234,12 @@ class _Stretches(dict):
         self.lead, self.cut, self.odd, self.piece = lead, cut, odd, pieces.__getitem__
 
     def __missing__(self, stretch: str) -> bytes:
+        if stretch.isascii() and stretch.isalpha():
+            ids = self.piece(self.lead + stretch)
         # one that is empty or begins or ends in white space stands beside more of it
-        if not stretch or stretch.strip() != stretch or not (stretch.isascii() or not self.odd(stretch)):
+        elif not stretch or stretch.strip() != stretch or not (stretch.isascii() or not self.odd(stretch)):
             raise _Whole
-        if stretch.isascii() and stretch.isalpha():
+        elif stretch.isalpha():  # letters alone, of which none is odd
             ids = self.piece(self.lead + stretch)
         else:
             ids = b"".join(map(self.piece, self.cut(self.lead + stretch)))
