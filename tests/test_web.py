@@ -1,4 +1,5 @@
 import json
+import os
 from collections import Counter
 from datetime import datetime
 
@@ -10,6 +11,7 @@ from textmap.operators import som
 from textmap.operators import summaries as sm
 from textmap.operators import web
 from textmap.operators.html import elements
+from textmap.session import staging_root
 from textmap.sources import sinks
 from textmap.streaming import streams as st
 
@@ -245,6 +247,27 @@ def test_stream_keeps_running_hits(spark, tmp_path):
     assert sum(r["hits"] for r in table.collect()) == 3 and len(set(seen)) == len(seen) == 2
 
 
+def test_map_refresh_commits_state_partitions_without_nodes(spark, tmp_path):
+    """Joined by sorting, as batches too large to be sent are: no partition of the stream's state is skipped."""
+    schema = "doc_id long, vec array<double>"
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("16", "-1"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        for wave in ([(1, [1.0, 0.0]), (2, [0.0, 1.0])], [(3, [1.0, 0.0])]):
+            spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(source)
+            hits = st.running_hits(st.score_stream(st.read_files(spark, source, schema), som.random_codebook((1, 2), 2)))
+            st.refresh_map(hits, (1, 2), out, marks, None).awaitTermination()
+        assert sum(r["hits"] for r in st.latest_map(spark, out).collect()) == 3
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    # what a batch was stored in is gone again
+    assert not [n for n in os.listdir(f"{staging_root(spark)}/textmap") if n.startswith("hits-")]
+
+
 def test_links_resolve_steps_entities_and_schemes(spark):
     from textmap.operators import web
 

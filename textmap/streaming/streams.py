@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textmap.functions import grid
 from textmap.operators import som, web
-from textmap.session import stage
+from textmap.session import release, stage
 from textmap.sources import versions
 
 
@@ -92,8 +92,11 @@ def refresh_map(
     """
 
     def rewrite(batch: DataFrame, number: int) -> None:
-        table = grid.nodes(batch.sparkSession, kshape).join(batch, "node", "left").na.fill(0, ["hits"])
+        # stored first: a join that skips a partition without nodes would leave its state uncommitted
+        rows = stage(batch, "hits")
+        table = grid.nodes(batch.sparkSession, kshape).join(rows, "node", "left").na.fill(0, ["hits"])
         versions.overwrite(table, path, ["node"])
+        release(rows)
         if then is not None:
             then(latest_map(batch.sparkSession, path), number)
 
