@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -366,3 +368,34 @@ def test_wide_epoch_reads_the_rows_once(spark, monkeypatch):
     passes.clear()
     sparse_som.train(rows.unionByName(rows.where("doc_id = 3")), 17, params)
     assert "placed" in passes
+
+
+def test_wide_epoch_moves_no_row_for_many_blocks(spark, monkeypatch):
+    """A codebook of more blocks than a task keeps is read block by block; no copy of the rows is stored for an epoch."""
+    rng = np.random.default_rng(22)
+    dense = np.where(rng.random((60, 17)) < 0.3, rng.random((60, 17)), 0.0)
+    dense[5] = 0
+    rows, params = sparse_table(spark, dense), SomParams(kshape=(2, 3), n_iter=3, seed=4)
+    model = som.fit(rows, params, width=17)
+    start = som.random_codebook((2, 3), 17, 4).weights
+    for name, value in (("LEAST_ROWS", 3), ("BLOCK_ENTRIES", 60)):
+        monkeypatch.setattr(mx, name, value)
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", 8)
+    monkeypatch.setattr(sparse_som, "HELD_ENTRIES", 100)
+    assert len(mx.row_blocks(17, 6)) == 6
+    made, kept = [], sparse_som.stage
+    monkeypatch.setattr(sparse_som, "stage", lambda df, name: made.append(kept(df, name)) or made[-1])
+    own = sparse_som.WideCodebook((2, 3), 17, *[kept(mx.matrix_table(spark, start.T), "given")] * 2)
+    for k_init in (None, own):
+        made.clear()
+        wide = sparse_som.train(rows, 17, params, k_init)
+        assert np.allclose(wide.trace, model.trace)
+        table = np.zeros((6, 17))
+        for r in sparse_som.entries(wide.codebook).collect():
+            table[r["node"], r["feature"]] = r["w"]
+        assert np.allclose(table, model.codebook.weights)
+        names = [os.path.basename(t._staged).split("-")[0] for t in made]
+        assert set(names) == {"codebook", "node"}
+        # the sums and codebooks of the epochs before are gone, what the caller gave is not
+        assert [os.path.exists(t._staged) for t in made] == [False] * (len(made) - 1) + [True]
+    assert own.weights.count() == 17

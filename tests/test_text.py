@@ -224,3 +224,20 @@ def test_long_term_list_is_counted_in_place(spark, monkeypatch):
     listed = vo.fit_vocabulary(odd, TextParams(min_df=1, max_df=1.0))
     got = sorted(tuple(r["values"]) for r in tf.count_rows(odd, listed).collect())
     assert got == [(), (1.0,), (1.0, 1.0)]
+
+
+def test_term_list_over_a_broadcast_is_counted_in_place(spark, monkeypatch):
+    """The terms go out in several lists; no document is spread over its terms for a join."""
+    words = [f"w{i:03d}" for i in range(700)]
+    rows = [(d, [words[(d * 37 + i * i) % 700] for i in range(90)] + ["unlisted", None]) for d in range(40)] + [(40, []), (41, None)]
+    tokenized = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    vocab = vo.fit_vocabulary(tokenized, TextParams(min_df=2, max_df=39))
+    monkeypatch.setattr(tf, "DICTIONARY_LIMIT", 0)
+    made = lambda: (tf.tfidf(tokenized, vocab), tf.tfidf(tokenized, vocab, None), tf.count_rows(tokenized, vocab))
+    whole = [sorted((r["doc_id"], r["indices"], r["values"]) for r in df.collect()) for df in made()]
+    size = vocab.terms.agg(F.sum(F.octet_length("term") + 4)).first()[0]
+    monkeypatch.setattr("textmap.session.BROADCAST_LIMIT_BYTES", size // 3)
+    assert vocab.n_terms > 300 and len(tf._listed(tokenized, vocab)) > 1
+    for df, expected in zip(made(), whole, strict=True):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r["doc_id"], r["indices"], r["values"]) for r in df.collect()) == expected

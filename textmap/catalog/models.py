@@ -18,7 +18,7 @@ from textmap.operators import vocabulary as vo
 from textmap.operators.tfidf import count_rows, tfidf
 from textmap.params import AnalysisParams, LdaParams, LsaParams, NmfParams, SomParams, TextParams, WardParams
 from textmap.plans.analysis import Analysis, run_analysis
-from textmap.session import stage
+from textmap.session import shuffles_removed, stage
 
 SEED, WIDTH = 3, 4
 POWER_STEPS = 60
@@ -188,8 +188,9 @@ def m9_terms_epoch(spark: SparkSession, folder: str) -> DataFrame:
 def long_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, vo.Vocabulary]:
     """TF-IDF rows over every term of at least two documents, stored."""
     terms = tokenized(spark, folder)
-    vocab = vo.fit_vocabulary(terms, LONG_LIST)
-    return stage(tfidf(terms, vocab), "tfidf-long"), vocab
+    with shuffles_removed(spark):
+        vocab = vo.fit_vocabulary(terms, LONG_LIST)
+        return stage(tfidf(terms, vocab), "tfidf-long"), vocab
 
 
 def basis_table(spark: SparkSession, n_terms: int) -> DataFrame:

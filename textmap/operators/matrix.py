@@ -67,6 +67,12 @@ def shared(spark: SparkSession, value: np.ndarray) -> Iterator[Broadcast]:
         sent.destroy()
 
 
+def read_anew(sent: Broadcast) -> np.ndarray:
+    """The value of a broadcast variable inside a task, read from the executor's disk where it lies there and not kept."""
+    path = getattr(sent, "_path", None)
+    return sent.value if path is None else sent.load_from_path(path)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, rows x width matrix) blocks of bounded size from Arrow batches of a row table."""
     step = max(1, BLOCK_ENTRIES // max(1, width))

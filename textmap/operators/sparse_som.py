@@ -17,19 +17,22 @@ from textmap.functions import grid
 from textmap.operators import matrix as mx
 from textmap.operators import som
 from textmap.params import SomParams
-from textmap.session import few_tasks, stage
+from textmap.session import few_tasks, release, shuffles_removed, stage
 
 # Nodes whose products a row carries at once.
 NODES_AT_ONCE = 1_024
+# Cells and products of the rows that a task holds while the blocks of a long codebook pass by: 100 MB.
+HELD_ENTRIES = 8_000_000
 
 
 @dataclass(frozen=True)
 class WideCodebook:
-    """``weights`` is (feature, weights array<double>), stored."""
+    """``weights`` is (feature, weights array<double>), stored; ``stored`` is the table behind them, where ``stage`` made it."""
 
     kshape: tuple[int, int]
     n_features: int
     weights: DataFrame
+    stored: DataFrame | None = None
 
     @property
     def n_nodes(self) -> int:
@@ -54,7 +57,8 @@ def random_codebook(spark: SparkSession, kshape: tuple[int, int], n_features: in
 
     features = spark.range(n_features).select(F.col("id").cast("int").alias("feature"))
     weights = features.select("feature", F.array(*[value(n) for n in range(kshape[0] * kshape[1])]).alias("weights"))
-    return WideCodebook(kshape, n_features, stage(weights, "codebook"))
+    stored = stage(weights, "codebook")
+    return WideCodebook(kshape, n_features, stored, stored)
 
 
 def first_rows_codebook(rows: DataFrame, kshape: tuple[int, int], n_features: int, id_col: str = "doc_id") -> WideCodebook:
@@ -70,7 +74,8 @@ def first_rows_codebook(rows: DataFrame, kshape: tuple[int, int], n_features: in
     by_node = cells.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("node", "v"))).alias("by_node"))
     every = spark.range(n_features).select(F.col("id").cast("int").alias("feature"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda n: F.coalesce(F.try_element_at(F.col("by_node"), n), F.lit(0.0)))
-    return WideCodebook(kshape, n_features, stage(every.join(by_node, "feature", "left").select("feature", spread.alias("weights")), "codebook"))
+    stored = stage(every.join(by_node, "feature", "left").select("feature", spread.alias("weights")), "codebook")
+    return WideCodebook(kshape, n_features, stored, stored)
 
 
 def unit_rows(rows: DataFrame, id_col: str) -> DataFrame:
@@ -155,13 +160,32 @@ def _node_sums(placed: DataFrame, n_features: int, size: int) -> DataFrame:
 
 
 def _in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> bool:
-    """Whether a task may hold the whole codebook with its sums; rows that share an id meet each other in a join."""
-    few = len(mx.row_blocks(codebook.n_features, codebook.n_nodes)) <= mx.BLOCKS_AT_ONCE
-    return few and codebook.n_nodes <= NODES_AT_ONCE and mx.have_own_ids(rows, id_col)
-
-
-def _sums_in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float]:
-    """(feature, sums) stored, rows by node, and the sum of the errors: each row is placed and added where it lies."""
+    """Whether a row can be placed and added where it lies; rows that share an id meet each other in a join."""
+    return codebook.n_nodes <= NODES_AT_ONCE and mx.have_own_ids(rows, id_col)
+
+
+def _rounds(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches to be held together: until their cells and products reach ``most``, one at least."""
+    held, entries = [], 0
+    for whole in batches:
+        step = max(1, mx.BLOCK_ENTRIES // size)
+        for first in range(0, whole.num_rows, step):
+            batch = whole.slice(first, step)
+            held.append(batch)
+            entries += len(batch.column(1).flatten()) + batch.num_rows * size
+            if entries >= most:
+                yield held
+                held, entries = [], 0
+    if held:
+        yield held
+
+
+def _sums_in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float, DataFrame]:
+    """(feature, sums) by node, the rows by node, the sum of the errors, and the stored table behind the sums.
+
+    Each row is placed and added where it lies. A task keeps up to two blocks of the codebook, with their sums; of a longer
+    one it reads the blocks in turn for some rows at a time, and ships the sums of these.
+    """
     size, n_features = codebook.n_nodes, codebook.n_features
     context, stretches = rows.sparkSession.sparkContext, mx.row_blocks(n_features, size)
     sent, squares = [], np.zeros(size)
@@ -170,45 +194,58 @@ def _sums_in_one_pass(rows: DataFrame, codebook: WideCodebook, id_col: str) -> t
         squares += (block * block).sum(axis=0)
         sent.append(context.broadcast(block))
     scale = np.where(squares > 0, np.sqrt(squares), 1.0)
+    keeps = len(stretches) <= mx.BLOCKS_AT_ONCE
+
+    def packed(start: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = total.reshape(-1, size)
+        hit = np.flatnonzero(table.any(axis=1))
+        step = max(1, mx.BLOCK_ENTRIES // size)
+        for first in range(0, len(hit), step):
+            some = hit[first : first + step]
+            yield pa.RecordBatch.from_arrays([pa.array((start + some).astype(np.int32)), mx.list_array(table[some])], ["row", "vec"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros((stop - start) * size) for start, stop in stretches]
+        totals = [np.zeros((stop - start) * size) for start, stop in stretches] if keeps else []
         seen = np.zeros((2, size))
-        for whole in batches:
-            step = max(1, mx.BLOCK_ENTRIES // size)
-            for first in range(0, whole.num_rows, step):
-                batch = whole.slice(first, step)
-                product, length = np.zeros((batch.num_rows, size)), np.zeros(batch.num_rows)
-                for (start, stop), block in zip(stretches, sent, strict=True):
+        for held in _rounds(batches, size, 0 if keeps else HELD_ENTRIES):
+            products = [(np.zeros((batch.num_rows, size)), np.zeros(batch.num_rows)) for batch in held]
+            for (start, stop), block in zip(stretches, sent, strict=True):
+                weights = block.value if keeps else mx.read_anew(block)
+                for batch, (product, length) in zip(held, products, strict=True):
                     for number, feature, value in mx._cells(batch, start, stop, size):
-                        found, part = mx.add_in_order(number, block.value[feature] * value[:, None])
+                        found, part = mx.add_in_order(number, weights[feature] * value[:, None])
                         product[found] += part
                         length += np.bincount(number, value * value, batch.num_rows)
-                length = np.sqrt(length)
+            nodes = []
+            for product, squared in products:
+                length = np.sqrt(squared)
                 similarity = product / np.where(length > 0, length, 1.0)[:, None] / scale
                 node = np.argmax(np.round(similarity, som.TIE_DIGITS), axis=1)
-                errors = som.quantization_error(similarity[np.arange(batch.num_rows), node])
+                errors = som.quantization_error(similarity[np.arange(len(node)), node])
                 seen += np.bincount(node, minlength=size), np.bincount(node, errors, size)
-                for (start, stop), total in zip(stretches, totals, strict=True):
+                nodes.append(node)
+            for place, (start, stop) in enumerate(stretches):
+                total = totals[place] if keeps else np.zeros((stop - start) * size)
+                for batch, node in zip(held, nodes, strict=True):
                     for number, feature, value in mx._cells(batch, start, stop, size):
                         np.add.at(total, feature.astype(np.int64) * size + node[number], value)
+                if not keeps:
+                    yield from packed(start, total)
         # the counts and the errors travel as rows below the features
         yield pa.RecordBatch.from_arrays([pa.array(np.array([-1, -2], np.int32)), mx.list_array(seen)], ["row", "vec"])
-        for (start, _), total in zip(stretches, totals, strict=True):
-            table = total.reshape(-1, size)
-            hit = np.flatnonzero(table.any(axis=1))
-            step = max(1, mx.BLOCK_ENTRIES // size)
-            for first in range(0, len(hit), step):
-                some = hit[first : first + step]
-                yield pa.RecordBatch.from_arrays([pa.array((start + some).astype(np.int32)), mx.list_array(table[some])], ["row", "vec"])
+        for (start, _), total in zip(stretches, totals, strict=False):
+            yield from packed(start, total)
 
     partial = few_tasks(mx.row_columns(rows, id_col)).mapInArrow(run, "row int, vec array<double>")
     merged = stage(mx.merge_partials(partial, "row", size), "node-sums")
+    for block in sent:
+        block.destroy()
     seen = mx.collect_matrix(merged.where("row < 0").select((-1 - F.col("row")).alias("row"), "vec"), (2, size))
-    return merged.where("row >= 0").select(F.col("row").alias("feature"), F.col("vec").alias("sums")), seen[0], float(seen[1].sum())
+    sums = merged.where("row >= 0").select(F.col("row").alias("feature"), F.col("vec").alias("sums"))
+    return sums, seen[0], float(seen[1].sum()), merged
 
 
-def _sums_by_node(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float]:
+def _sums_by_node(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple[DataFrame, np.ndarray, float, DataFrame]:
     """As ``_sums_in_one_pass``, with a pass over the rows for each block of the codebook and its sums."""
     size = codebook.n_nodes
     assigned = stage(predict(rows, codebook, id_col), "assigned")
@@ -217,7 +254,8 @@ def _sums_by_node(rows: DataFrame, codebook: WideCodebook, id_col: str) -> tuple
         counts[row["node"]] = row["n"]
         errors += row["qe"]
     placed = stage(rows.join(assigned.select(id_col, "node"), id_col).select("node", "indices", "values"), "placed")
-    return _node_sums(placed, codebook.n_features, size), counts, errors
+    release(assigned)
+    return _node_sums(placed, codebook.n_features, size), counts, errors, placed
 
 
 def _epoch(
@@ -225,7 +263,7 @@ def _epoch(
 ) -> tuple[WideCodebook, tuple]:
     """The codebook after one epoch, and its line of the trace."""
     size = params.n_nodes
-    sums, counts, errors = (_sums_in_one_pass if one_pass else _sums_by_node)(rows, codebook, id_col)
+    sums, counts, errors, behind = (_sums_in_one_pass if one_pass else _sums_by_node)(rows, codebook, id_col)
     pair = codebook.weights.join(sums, "feature", "left").select(
         F.col("feature").alias("id"), F.concat("weights", F.coalesce("sums", F.array_repeat(F.lit(0.0), size))).alias("vec")
     )
@@ -243,19 +281,21 @@ def _epoch(
         return np.column_stack([new, ((new - old) ** 2).sum(axis=1), (new * new).sum(axis=1)])
 
     moved = stage(mx.map_rows(pair, 2 * size, move, "id", "vec"), "codebook")
+    release(behind)
     norms = moved.agg(F.sqrt(F.sum(F.element_at("vec", size + 1))).alias("way"), F.sqrt(F.sum(F.element_at("vec", size + 2))).alias("length")).first()
     weights = moved.select(F.col("id").cast("int").alias("feature"), F.slice("vec", 1, size).alias("weights"))
     radius, rate, _, _ = grid.schedule(params, it)
     error = float(errors / counts.sum()) if counts.sum() else float("nan")
     line = (it, radius, rate, error, float(norms["way"] or 0.0), float(norms["length"] or 0.0))
-    return WideCodebook(codebook.kshape, codebook.n_features, weights), line
+    return WideCodebook(codebook.kshape, codebook.n_features, weights, moved), line
 
 
 def run_epoch(
     rows: DataFrame, codebook: WideCodebook, params: SomParams, it: int, id_col: str = "doc_id"
 ) -> tuple[WideCodebook, float]:
     """The codebook after one epoch, and the mean error against the codebook before."""
-    after, line = _epoch(rows, codebook, params, it, id_col, _in_one_pass(rows, codebook, id_col))
+    with shuffles_removed(rows.sparkSession):
+        after, line = _epoch(rows, codebook, params, it, id_col, _in_one_pass(rows, codebook, id_col))
     return after, line[3]
 
 
@@ -278,7 +318,11 @@ def train(
     trace: list[tuple] = []
     one_pass = _in_one_pass(rows, codebook, id_col)
     for it in range(1, params.n_iter + 1):
-        codebook, line = _epoch(rows, codebook, params, it, id_col, one_pass)
+        before = codebook
+        with shuffles_removed(rows.sparkSession):
+            codebook, line = _epoch(rows, before, params, it, id_col, one_pass)
+        if before is not k_init:
+            release(before.stored)
         trace.append(line)
         if params.tolerance is not None and it > 1 and abs(trace[-2][3] - line[3]) <= params.tolerance * abs(trace[-2][3]):
             break

@@ -15,9 +15,10 @@ from textmap.operators import matrix as mx
 from textmap.operators.vocabulary import Vocabulary
 from textmap.session import fits_broadcast
 
-# Longest term list handed to the JVM of every executor. A longer one goes to the Python workers as one Arrow array
-# while it fits a broadcast; beyond that, or where ids repeat, the terms are joined as a table.
+# Longest term list handed to the JVM of every executor. A longer one goes to the Python workers as Arrow arrays, each
+# small enough to be sent, while these are few; beyond that, or where ids repeat, the terms are joined as a table.
 DICTIONARY_LIMIT = 200_000
+LISTS_AT_MOST = 4
 # A term with its number and frequency, about.
 TERM_BYTES = 40
 
@@ -31,31 +32,47 @@ def _numbers(vocabulary: Vocabulary) -> DataFrame:
     return F.broadcast(vocabulary.terms) if fits_broadcast(vocabulary.n_terms * TERM_BYTES) else vocabulary.terms
 
 
-def _listed(tokenized: DataFrame, vocabulary: Vocabulary) -> tuple[pa.Array, np.ndarray] | None:
-    """Terms and document frequencies in term_id order, if the terms fit a broadcast and no two documents share an id."""
+def _listed(tokenized: DataFrame, vocabulary: Vocabulary) -> list[tuple[int, pa.Array, np.ndarray]] | None:
+    """Terms and document frequencies in term_id order, in lists with the number of their first term; none where the
+    lists would be too many or two documents share an id."""
     size = vocabulary.terms.agg(F.sum(F.octet_length("term") + 4).alias("n")).first()["n"]
-    if size is None or not fits_broadcast(size) or not mx.have_own_ids(tokenized):
+    if size is None or not fits_broadcast(size // LISTS_AT_MOST) or not mx.have_own_ids(tokenized):
         return None
-    table = vocabulary.terms.select("term_id", "term", "df").toArrow().sort_by("term_id").combine_chunks()
-    return table.column("term").combine_chunks(), table.column("df").to_numpy()
-
-
-def _rows_in_place(tokenized: DataFrame, terms: pa.Array, weights: np.ndarray | None = None, unit: bool = False) -> DataFrame:
-    """(doc_id, indices, values): each document's counts of ``terms``, times ``weights``, at length one if ``unit``. No shuffle."""
-    context = tokenized.sparkSession.sparkContext
-    sent, scale = context.broadcast(terms), None if weights is None else context.broadcast(weights)
-    width = len(terms)
+    found = []
+    for start, stop in mx.row_blocks(vocabulary.n_terms, -(-size // (8 * vocabulary.n_terms))):
+        own = vocabulary.terms.where(F.col("term_id").between(start, stop - 1)).select("term_id", "term", "df")
+        table = own.toArrow().sort_by("term_id").combine_chunks()
+        found.append((start, table.column("term").combine_chunks(), table.column("df").to_numpy()))
+    return found
+
+
+def _rows_in_place(
+    tokenized: DataFrame, listed: list[tuple[int, pa.Array, np.ndarray]], idf_docs: int | None = None, unit: bool = False
+) -> DataFrame:
+    """(doc_id, indices, values): each document's counts of the listed terms, times their weight among ``idf_docs``
+    documents where given, at length one if ``unit``. No shuffle."""
+    context, width = tokenized.sparkSession.sparkContext, sum(len(terms) for _, terms, _ in listed)
+    sent = [
+        (first, len(terms), context.broadcast((terms, None if idf_docs is None else np.log((1.0 + idf_docs) / (1.0 + dfs)) + 1.0)))
+        for first, terms, dfs in listed
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
-            known = pc.index_in(coded.dictionary, value_set=sent.value)
-            term = known.take(coded.indices).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = np.full(len(coded.dictionary), -1)
+            for first, _, some in sent:
+                place = pc.index_in(coded.dictionary, value_set=some.value[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+                known = np.where(place >= 0, first + place.astype(np.int64), known)
+            term = pa.array(known).take(coded.indices).fill_null(-1).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             cells, uses = np.unique(row[term >= 0] * width + term[term >= 0], return_counts=True)
             row, term = np.divmod(cells, width)
-            value = uses.astype(float) if scale is None else uses * scale.value[term]
+            value = uses.astype(float)
+            for first, size, some in sent if idf_docs is not None else ():
+                own = (term >= first) & (term < first + size)
+                value[own] *= some.value[1][term[own] - first]
             if unit:
                 value = value / np.sqrt(np.bincount(row, value * value, batch.num_rows))[row]
             offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
@@ -92,7 +109,7 @@ def count_rows(tokenized: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         )
     listed = _listed(tokenized, vocabulary)
     if listed is not None:
-        return _rows_in_place(tokenized, listed[0])
+        return _rows_in_place(tokenized, listed)
     used = tokenized.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     cells = used.join(_numbers(vocabulary), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "tf"))).alias("row"))
     return tokenized.select("doc_id").join(cells, "doc_id", "left").select(
@@ -151,8 +168,7 @@ def tfidf(tokenized: DataFrame, vocabulary: Vocabulary, norm: str | None = "l2")
         return _from_dictionary(tokenized, vocabulary, norm)
     listed = _listed(tokenized, vocabulary)
     if listed is not None:
-        weights = np.log((1.0 + vocabulary.n_docs) / (1.0 + listed[1])) + 1.0
-        return _rows_in_place(tokenized, listed[0], weights, norm == "l2")
+        return _rows_in_place(tokenized, listed, vocabulary.n_docs, norm == "l2")
     return _from_join(tokenized, vocabulary, norm)
 
 
